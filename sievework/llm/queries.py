@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import bpe, exact_dedup, jaccard, line_dedup, lz_fingerprint, mixing, quality, unigram_counts, warc
 
 SPACES_SQL = r"[\x20\x09-\x0D]+"
+WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +22,51 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = lz_fingerprint.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return prints.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, ranks))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = unigram_counts.piece_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    return unigram_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), scores)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("deduped_text", 256).alias("deduped_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup,)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lz_fingerprint, op3_quality, op4_ngram_join, op5_mixing, op6_byte_bpe, op7_token_counts, op9_warc, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -29,4 +75,46 @@ def oracle_sql() -> dict[str, str]:
             WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{SPACES_SQL}', ' ', 'g') AS norm FROM documents),
             g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)""",
+        "op5_mixing": rf"""
+            WITH t AS (
+                SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_SQL}')) AS size FROM documents),
+            s AS (
+                SELECT source, sum(size) AS source_size,
+                    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+                FROM t GROUP BY source),
+            r AS (
+                SELECT *, 2.0 * source_size / w AS ratio, 1.5 * sum(source_size) OVER () AS total,
+                    coalesce(sum(2.0 * source_size) OVER (ORDER BY 2.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
+                    sum(w) OVER (ORDER BY 2.0 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+                FROM s),
+            f AS (SELECT (total - stopped) / rest AS level FROM r WHERE (total - stopped) / rest <= ratio ORDER BY ratio, source LIMIT 1),
+            g AS (
+                SELECT doc_id, t.source, size, source_size, least(2.0 * source_size, level * w) AS target,
+                    sum(size) OVER (PARTITION BY t.source ORDER BY ('0x' || substr(md5('mix:' || doc_id), 1, 10))::BIGINT, doc_id) - size AS start
+                FROM t JOIN r ON t.source IS NOT DISTINCT FROM r.source, f)
+            SELECT doc_id, source, size, CAST(source_size AS BIGINT) AS source_size, target,
+                CAST(greatest(0, least(size, round(target) - start)) + greatest(0, least(size, round(target) - source_size - start)) AS BIGINT) AS taken
+            FROM g""",
+        "op9_warc": """
+            WITH t AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+            g AS (SELECT hex, max(page_id) AS newest FROM t GROUP BY hex)
+            SELECT page_id, payload_bytes,
+                array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    1 + ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+                CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+                CASE WHEN page_id <> newest THEN newest END AS refers_to
+            FROM t JOIN g USING (hex)""",
+        "op10_line_dedup": r"""
+            WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+            w AS (
+                SELECT doc_id, i AS place, array_to_string(lines[i + 1:i + 3], chr(10)) AS body
+                FROM (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS i FROM d WHERE len(lines) >= 3)),
+            v AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, place) AS nth FROM w
+                WHERE trim(replace(replace(replace(body, chr(10), ' '), chr(13), ' '), chr(9), ' ')) <> ''),
+            c AS (SELECT DISTINCT doc_id, unnest([place, place + 1, place + 2]) AS line FROM v WHERE nth > 1),
+            k AS (SELECT doc_id, list(line) AS gone FROM c GROUP BY doc_id),
+            j AS (SELECT d.doc_id, lines, coalesce(gone, []) AS gone FROM d LEFT JOIN k USING (doc_id))
+            SELECT doc_id, len(lines) AS n_lines, len(gone) AS n_removed,
+                sha256(coalesce(array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(gone, i)), lambda i: lines[i + 1]), chr(10)), '')) AS deduped_sha256
+            FROM j""",
     }
