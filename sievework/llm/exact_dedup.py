@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, join_groups, new_path, text_of, written
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Keyed state on the executors' disks, without space that each of many small stores would allocate ahead.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Copies that are compared with one replica of the row that stays.
 COPIES_A_REPLICA = 500
 
@@ -22,12 +25,14 @@ def normalised(column: str = "text"):
 
 @contextmanager
 def _disk_state(spark: SparkSession):
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def digest_state(keys: DataFrame, state: str, log: str) -> None:
