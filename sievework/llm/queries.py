@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, line_dedup, lz_fingerprint, mixing, quality, unigram_counts, warc
+from . import bpe, exact_dedup, jaccard, line_dedup, lz_fingerprint, mixing, pseudo_likelihood, quality, unigram_counts, warc
 
 SPACES_SQL = r"[\x20\x09-\x0D]+"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -55,6 +55,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), scores)
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -66,7 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_lz_fingerprint, op3_quality, op4_ngram_join, op5_mixing, op6_byte_bpe, op7_token_counts, op9_warc, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lz_fingerprint, op3_quality, op4_ngram_join, op5_mixing, op6_byte_bpe, op7_token_counts, op8_pseudo_likelihood, op9_warc, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
