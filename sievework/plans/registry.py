@@ -1,4 +1,4 @@
 """All queries with their SQL; importing the query modules registers them."""
 
-from . import q_ranks, q_tables  # noqa: F401
+from . import q_features, q_metrics, q_ranks, q_tables  # noqa: F401
 from .views import QUERIES, SQL  # noqa: F401
