@@ -108,14 +108,14 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     return fit(x, got["y"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with the column score in (0, 1), from the whole text alone; a null text counts as empty. No shuffle."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with the column `name` in (0, 1), from the whole text alone; a null text counts as empty. No shuffle."""
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([features(t) for t in texts], float).reshape(len(texts), FEATURES)))
 
-    return docs.withColumn("score", scored(text_of(text_col)))
+    return docs.withColumn(name, scored(text_of(text_col)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
@@ -127,3 +127,11 @@ def classify(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
     """
     scored = score(docs, train(docs, labels, most_rows))
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+
+
+def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents predicted as label 1, with all their columns and no others."""
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, train(docs, labels), name=name).where(F.col(name) >= CUT).drop(name)
