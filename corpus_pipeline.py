@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import exact_dedup
+from sievework.llm import bpe, exact_dedup, jaccard, mixing, quality
 from sievework.llm.common import written
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier takes for label 1."""
+    return quality.stage(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest id."""
     return exact_dedup.stage(spark, docs)
 
 
-STAGES = [("exact dedup", deduplicate)]
+def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by word 5-gram similarity the one with the smallest id."""
+    return jaccard.stage(spark, docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.stage(spark, docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row that is left."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+
+
+STAGES = [("quality classifier", classify), ("exact dedup", deduplicate), ("n-gram join", join_similar), ("mixing", mix), ("byte-level BPE", encode)]
 
 #: The quality classifier can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
