@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .wordblocks import by_position, codes_of, distinct_words, word_blocks
+from .wordblocks import by_position, valued, word_blocks
+
+#: Rows whose decoded bytes a task holds at once.
+SLICE = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,29 +43,30 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     back to the blocks that hold it. A null or empty text has no tokens. Repeated rows each give a row; columns other
     than the two named are ignored; an empty table gives an empty result.
     """
-    spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    shipped = spark.sparkContext.broadcast(ranks)
+    shipped = docs.sparkSession.sparkContext.broadcast(ranks)
     coded, words = word_blocks(docs, id_col, text_col, lambda: _cutter(pattern))
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merger():
         import tiktoken
 
-        core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=shipped.value, special_tokens={})._core_bpe
-        for batch in batches:
-            ids = [np.array(core.encode_single_piece(word.encode()), "<u4").tobytes() for word in batch["word"]]
-            yield pd.DataFrame({"word": batch["word"], "word_ids": ids})
+        merge = _cached(shipped.value, lambda r: tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=r, special_tokens={})._core_bpe.encode_single_piece)
+        return lambda word: np.array(merge(word.encode()), "<u4")
+
+    def assemble(numbers: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[int, bytes]:
+        ids = gather(numbers, starts, lengths, codes)
+        return len(ids), ids.tobytes()
+
+    return by_position(coded, valued(words, merger), assemble, "n_tokens long, ids binary", id_col)
+
 
-    encoded = distinct_words(words).mapInPandas(merge, "word string, word_ids binary")
-    valued = words.join(encoded.hint("shuffle_hash"), "word").select("block", "code", "word_ids")
+_made: dict[int, object] = {}
 
-    def assemble(documents: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        flat = np.frombuffer(b"".join(values["word_ids"]), "<u4")
-        lengths = np.array([len(x) // 4 for x in values["word_ids"]], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        ids = [gather(flat, starts, lengths, codes_of(packed)) for packed in documents["codes"]]
-        return pd.DataFrame({id_col: documents["id"], "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
 
-    return by_position(coded, valued, assemble, f"{id_col} {id_type}, n_tokens long, ids binary")
+def _cached(ranks: dict[bytes, int], make):
+    """make(ranks), once for each Python worker."""
+    if id(ranks) not in _made:
+        _made[id(ranks)] = make(ranks)
+    return _made[id(ranks)]
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -82,8 +86,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         starts[ranked] = np.cumsum(lengths[ranked]) - lengths[ranked]
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         for batch in batches:
-            back = [None if ids is None else gather(flat, starts, lengths, np.frombuffer(ids, "<u4")).tobytes() for ids in batch["ids"]]
-            yield batch.assign(decoded=back)
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
+                yield part.assign(decoded=[None if ids is None else gather(flat, starts, lengths, np.frombuffer(ids, "<u4")).tobytes() for ids in part["ids"]])
 
     return encoded.mapInPandas(run, schema)
 

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import parts
-from .wordblocks import by_position, codes_of, word_blocks
+from .wordblocks import by_position, valued, word_blocks
 
 #: What SentencePiece puts for the space before a word.
 MARK = "▁"
+#: Code points, MARK among them, that decide the bucket of a word.
+PREFIX = 5
 
 
 def piece_scores(path: str) -> dict[str, float]:
@@ -29,36 +28,39 @@ def piece_scores(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Sorted words share the forward states of their common prefixes: state j is (best score, its number of tokens) of
-    the first j code points. Of equal scores the fewer tokens count. A code point that no piece covers is taken as its
-    UTF-8 bytes, one token each, at `floor` a byte."""
+    """Words that share a prefix share its forward states: a node holds (best score, its number of tokens, children) for
+    the code points up to it, computed when the first word passes. Of equal scores the fewer tokens count. A code point
+    that no piece covers is taken as its UTF-8 bytes, one token each, at `floor` a byte."""
 
     def __init__(self, scores: dict[str, float]) -> None:
         self.scores, self.longest = scores, max(map(len, scores), default=1)
         self.floor = min(scores.values(), default=0.0) - 1.0
-        self.word, self.states = "", [(0.0, 0)]
+        self.root = (0.0, 0, {})
 
     def count(self, word: str) -> int:
-        """Tokens of `word`; cheap for what it shares with the word before."""
-        same, most = 0, min(len(word), len(self.word))
-        while same < most and word[same] == self.word[same]:
-            same += 1
-        states, scores, longest = self.states, self.scores.get, self.longest
-        del states[same + 1 :]
-        for end in range(same + 1, len(word) + 1):
-            n_bytes = len(word[end - 1].encode("utf-8", "surrogatepass"))
-            score, tokens = states[end - 1]
-            best = (score + self.floor * n_bytes, tokens + n_bytes)
-            for start in range(max(0, end - longest), end):
-                piece = scores(word[start:end])
-                if piece is not None:
-                    score, tokens = states[start]
-                    score += piece
-                    if score > best[0] or score == best[0] and tokens + 1 < best[1]:
-                        best = (score, tokens + 1)
-            states.append(best)
-        self.word = word
-        return states[len(word)][1]
+        """Tokens on the best path of `word`, from the terminal node."""
+        node, path = self.root, [self.root]
+        for end, c in enumerate(word, 1):
+            after = node[2].get(c)
+            if after is None:
+                after = node[2][c] = (*self.best(word, end, path), {})
+            path.append(after)
+            node = after
+        return node[1]
+
+    def best(self, word: str, end: int, path: list[tuple]) -> tuple[float, int]:
+        n_bytes = len(word[end - 1].encode("utf-8", "surrogatepass"))
+        score, tokens, _ = path[end - 1]
+        best = (score + self.floor * n_bytes, tokens + n_bytes)
+        scores = self.scores.get
+        for start in range(max(0, end - self.longest), end):
+            piece = scores(word[start:end])
+            if piece is not None:
+                score, tokens, _ = path[start]
+                score += piece
+                if score > best[0] or score == best[0] and tokens + 1 < best[1]:
+                    best = (score, tokens + 1)
+        return best
 
 
 def _cutter():
@@ -71,27 +73,19 @@ def _cutter():
 def token_counts(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_tokens.
 
-    Words are the runs between ASCII white space, each with MARK before it. The corpus's distinct words are dealt out
-    by ranges, so that words with a prefix in common meet in one task, which walks their trie once and keeps each
-    word's count; the counts are joined back and summed up by document. A null or empty text has no tokens. Repeated
-    rows each give a row; other columns are ignored; an empty table gives an empty result.
+    Words are the runs between ASCII white space, each with MARK before it. Words that begin alike meet in one task,
+    bucket by bucket, which inserts the distinct ones in a trie and keeps each one's count; the counts go back to the
+    documents and are summed up. A null or empty text has no tokens. Repeated rows each give a row; other columns are
+    ignored; an empty table gives an empty result.
     """
-    spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    shipped = spark.sparkContext.broadcast(scores)
-    coded, words = word_blocks(docs, id_col, text_col, _cutter)
+    shipped = docs.sparkSession.sparkContext.broadcast(scores)
+    coded, words = word_blocks(docs, id_col, text_col, _cutter, PREFIX)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walker():
         trie = Trie(shipped.value)
-        for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "tokens": [trie.count(w) for w in batch["word"]]})
+        return lambda word: np.array([trie.count(word)], "<u4")
 
-    ordered = words.select("word").distinct().repartitionByRange(parts(spark), "word").sortWithinPartitions("word")
-    counted = ordered.mapInPandas(walk, "word string, tokens long")
-    valued = words.join(counted.hint("shuffle_hash"), "word").select("block", "code", "tokens")
+    def add(numbers: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[int, int]:
+        return len(codes), int(numbers[codes].sum(dtype=np.int64))
 
-    def add(documents: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        tokens = values["tokens"].to_numpy(np.int64)
-        codes = [codes_of(packed) for packed in documents["codes"]]
-        return pd.DataFrame({id_col: documents["id"], "n_words": [len(c) for c in codes], "n_tokens": [int(tokens[c].sum()) for c in codes]})
-
-    return by_position(coded, valued, add, f"{id_col} {id_type}, n_words long, n_tokens long")
+    return by_position(coded, valued(words, walker), add, "n_words long, n_tokens long", id_col)

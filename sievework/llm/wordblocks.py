@@ -1,26 +1,32 @@
 """Dictionary-coded blocks of pre-tokens: the positions of a document's words as codes into its block's list of words.
 
 Exploding every pre-token of a corpus into a row would shuffle far more bytes than the texts have. A block of whole
-documents is exploded into one row per distinct word and block instead, and each document keeps its positions as codes.
-What is computed per word is then computed once for each distinct word of the corpus, joined back to the (block, word)
-rows, and put together by position within the block.
+documents keeps its positions as codes instead, and its distinct words leave it in packed rows, one per bucket of
+words. What is computed per word is computed once for each distinct word of the corpus, where all rows of a bucket
+meet; the values go back to the blocks in the same order and are put together by position.
 """
 
 from __future__ import annotations
 
+import atexit
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, parts, text_of
 
 #: A block ends at the document that takes it to this many code points; a longer document is a block of its own.
 BLOCK_CHARS = 8_000_000
+#: Buckets of words for each shuffle partition.
+BUCKETS_A_PART = 2
+#: Ends a word in a packed row; a word that holds it is led by ESCAPE.
+END, ESCAPE = "\x00", "\x01"
 
 
 def _blocks(texts: pd.Series) -> Iterator[tuple[int, int]]:
@@ -34,50 +40,118 @@ def _blocks(texts: pd.Series) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def word_blocks(docs: DataFrame, id_col: str, text_col: str, splitter: Callable[[], Callable[[str], list[str]]]) -> tuple[DataFrame, DataFrame]:
-    """(coded documents, words): (block, id, codes) and (block, code, word); codes are zlib-packed little-endian int32.
+def pack_words(words: list[str]) -> bytes:
+    marked = (w.replace(ESCAPE, ESCAPE + "1").replace(END, ESCAPE + "0") if ESCAPE in w or END in w else w for w in words)
+    return zlib.compress(END.join(marked).encode("utf-8", "surrogatepass"), 6)
 
-    splitter() is called in each task and gives the function that cuts a text into pre-tokens. Both results are parts
-    of one table in the shared folder. Null texts count as empty; a document without words has no codes. Rows are
-    carried one by one, so repeated rows and repeated ids stay apart.
+
+def unpack_words(packed: bytes) -> list[str]:
+    words = zlib.decompress(packed).decode("utf-8", "surrogatepass").split(END)
+    return [w.replace(ESCAPE + "0", END).replace(ESCAPE + "1", ESCAPE) if ESCAPE in w else w for w in words]
+
+
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte plane by byte plane."""
+    return zlib.compress(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def word_blocks(
+    docs: DataFrame, id_col: str, text_col: str, splitter: Callable[[], Callable[[str], list[str]]], prefix: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(coded documents, words): (block, id, codes) and (bucket, block, packed words).
+
+    splitter() is called in each task and gives the function that cuts a text into pre-tokens. A word's bucket is a
+    hash of it, or of its first `prefix` code points. Codes number the words of a block by bucket and then by word.
+    Both results are parts of one table in the shared folder, bucketed by block, so documents are not shuffled when
+    their values come back. Null texts count as empty; a document without words has no codes. Rows are carried one by
+    one, so repeated rows and repeated ids stay apart.
     """
+    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
+    n_buckets = BUCKETS_A_PART * parts(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = splitter()
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for start, end in _blocks(batch["text"]):
-                code_of: dict[str, int] = {}
-                packed = []
+                first_code: dict[str, int] = {}
+                coded = []
                 for text in batch["text"].iloc[start:end]:
-                    codes = [code_of.setdefault(word, len(code_of)) for word in cut(text)]
-                    packed.append(zlib.compress(np.array(codes, "<i4").tobytes(), 1))
-                yield pd.DataFrame({"block": number, "id": batch["id"].iloc[start:end].array, "codes": packed, "code": None, "word": None})
-                yield pd.DataFrame({"block": number, "id": None, "codes": None, "code": range(len(code_of)), "word": list(code_of)})
+                    coded.append(np.array([first_code.setdefault(word, len(first_code)) for word in cut(text)], np.int32))
+                keyed = sorted((zlib.crc32(w[:prefix].encode("utf-8", "surrogatepass")) % n_buckets, w, c) for w, c in first_code.items())
+                code = np.empty(len(keyed), np.int32)
+                code[[c for _, _, c in keyed]] = np.arange(len(keyed))
+                buckets = np.array([b for b, _, _ in keyed], np.int64)
+                edges = np.flatnonzero(np.diff(buckets, prepend=-1)).tolist() if keyed else []
+                yield pd.DataFrame({"block": number, "id": batch["id"].iloc[start:end].array, "codes": [pack_numbers(code[c]) for c in coded], "bucket": None, "words": None})
+                lists = [[w for _, w, _ in keyed[a:b]] for a, b in zip(edges, [*edges[1:], len(keyed)], strict=True)]
+                yield pd.DataFrame({"block": number, "id": None, "codes": None, "bucket": buckets[edges], "words": [pack_words(x) for x in lists]})
                 number += 1
 
-    schema = f"block long, id {id_type}, codes binary, code int, word string"
+    schema = f"block long, id {id_type}, codes binary, bucket int, words binary"
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    path = new_path(docs.sparkSession, "blocks")
-    source.mapInPandas(run, schema).write.parquet(path)
-    coded, words = (docs.sparkSession.read.schema(schema).parquet(path) for _ in range(2))
-    return coded.where("codes IS NOT NULL").select("block", "id", "codes"), words.where("word IS NOT NULL").select("block", "code", "word")
-
+    name = f"sievework_blocks_{uuid.uuid4().hex}"
+    writer = source.mapInPandas(run, schema).write.format("parquet").option("path", new_path(spark, "blocks"))
+    writer.bucketBy(parts(spark), "block").saveAsTable(name)
+    atexit.register(_forget, spark, name)
+    coded = spark.table(name).where("codes IS NOT NULL").select("block", "id", "codes")
+    return coded, spark.table(name).where("words IS NOT NULL").select("bucket", F.col("block").alias("of_block"), "words")
 
-def by_position(coded: DataFrame, valued: DataFrame, per_block: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """per_block(documents of a block, its words with their values in code order) for each block, bounded by the block's size."""
 
-    def run(documents: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        return per_block(documents, words.sort_values("code", ignore_index=True))
+def _forget(spark: SparkSession, name: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None and not sc._jsc.sc().isStopped():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    return coded.groupBy("block").cogroup(valued.groupBy("block")).applyInPandas(run, schema)
 
+def valued(words: DataFrame, of_bucket: Callable[[], Callable[[str], np.ndarray]]) -> DataFrame:
+    """(block, bucket, lengths, numbers): for every packed word the unsigned 32-bit numbers that it is worth.
 
-def codes_of(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), "<i4")
+    All rows of a bucket meet in one task, one after the other; of_bucket() is called for each bucket and gives the
+    function of a word, which is called once for each distinct word of the corpus.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, known, worth = None, {}, None
+        for batch in batches:
+            out = []
+            for bucket, block, packed in zip(batch["bucket"], batch["of_block"], batch["words"], strict=True):
+                if bucket != current:
+                    current, known, worth = bucket, {}, of_bucket()
+                values = []
+                for word in unpack_words(packed):
+                    value = known.get(word)
+                    if value is None:
+                        value = known[word] = worth(word)
+                    values.append(value)
+                lengths = np.array([len(v) for v in values], np.uint32)
+                out.append((block, bucket, pack_numbers(lengths), pack_numbers(np.concatenate(values))))
+            yield pd.DataFrame(out, columns=["of_block", "bucket", "lengths", "numbers"])
+
+    dealt = words.repartition(parts(words.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInPandas(run, "of_block long, bucket int, lengths binary, numbers binary")
+
+
+def by_position(coded: DataFrame, values: DataFrame, of_document: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple], columns: str, id_col: str) -> DataFrame:
+    """One row per document: its id and of_document(numbers, starts, lengths, codes), where the word of code c is worth
+    numbers[starts[c] : starts[c] + lengths[c]]. A task holds one block's words and documents."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
-def distinct_words(words: DataFrame) -> DataFrame:
-    """Each word of the corpus once, over the session's shuffle partitions."""
-    return words.select("word").distinct().repartition(parts(words.sparkSession), "word")
+    def run(documents: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        words = words.sort_values("bucket")
+        lengths = np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(x).astype(np.int64) for x in words["lengths"])])
+        numbers = np.concatenate([np.zeros(0, "<u4"), *(unpack_numbers(x) for x in words["numbers"])])
+        starts = np.cumsum(lengths) - lengths
+        rows = [of_document(numbers, starts, lengths, unpack_numbers(codes)) for codes in documents["codes"]]
+        out = pd.DataFrame(rows, columns=names)
+        out.insert(0, id_col, documents["id"].array)
+        return out
+
+    id_type = coded.schema["id"].dataType.simpleString()
+    return coded.groupBy("block").cogroup(values.groupBy("of_block")).applyInPandas(run, f"{id_col} {id_type}, {columns}")
