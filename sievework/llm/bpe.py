@@ -6,7 +6,7 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +56,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         ids = gather(numbers, starts, lengths, codes)
         return len(ids), ids.tobytes()
 
-    return by_position(coded, valued(words, merger), assemble, "n_tokens long, ids binary", id_col)
+    return by_position(coded, valued(words, merger), assemble, "n_tokens long, ids binary", id_col, docs.schema[id_col].dataType.simpleString())
 
 
 _made: dict[int, object] = {}
@@ -73,24 +73,25 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """encoded with the column `decoded`: the bytes of its ids, joined from the token-byte table by id and position.
 
     The table has one row per token of the vocabulary, a fixed size, so every task gets it whole and gathers from it.
-    Null ids decode to null; an id that the vocabulary lacks fails the job.
+    Other columns pass through as Arrow has them. Null ids decode to null; an id that the vocabulary lacks fails the job.
     """
     tokens = sorted(ranks, key=ranks.get)
     table = encoded.sparkSession.sparkContext.broadcast((np.array([ranks[t] for t in tokens]), tokens))
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, pieces = table.value
         lengths, starts = np.zeros(ranked[-1] + 1, np.int64), np.zeros(ranked[-1] + 1, np.int64)
         lengths[ranked] = [len(t) for t in pieces]
         starts[ranked] = np.cumsum(lengths[ranked]) - lengths[ranked]
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.iloc[at : at + SLICE]
-                yield part.assign(decoded=[None if ids is None else gather(flat, starts, lengths, np.frombuffer(ids, "<u4")).tobytes() for ids in part["ids"]])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                back = [None if ids is None else gather(flat, starts, lengths, np.frombuffer(ids, "<u4")).tobytes() for ids in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.mapInPandas(run, schema)
+    return encoded.mapInArrow(run, schema)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -145,5 +145,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 waiting, of_part = (None, None) if extra else ((id_, text, first_half, print_), part)
             yield pd.DataFrame(done, columns=columns)
 
-    schema = f"{id_col} {id_type}, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return neighbours(docs, id_col, text_col).mapInPandas(run, schema)
+    # ids travel as text: pandas would turn integers beside nulls into floats
+    schema = f"{id_col} string, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    dealt = neighbours(docs, id_col, text_col).withColumn("id", F.col("id").cast("string"))
+    return dealt.mapInPandas(run, schema).withColumn(id_col, F.col(id_col).cast(id_type))

@@ -88,4 +88,4 @@ def token_counts(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_i
     def add(numbers: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[int, int]:
         return len(codes), int(numbers[codes].sum(dtype=np.int64))
 
-    return by_position(coded, valued(words, walker), add, "n_words long, n_tokens long", id_col)
+    return by_position(coded, valued(words, walker), add, "n_words long, n_tokens long", id_col, docs.schema[id_col].dataType.simpleString())

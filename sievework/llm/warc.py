@@ -84,7 +84,6 @@ def write(pages: DataFrame, where: str, min_bytes: int = 0, date: str = "2000-01
         for batch in batches:
             rows = []
             for page_id, url, html, refers_to in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"], strict=True):
-                page_id, refers_to = (None if pd.isna(x) else x for x in (page_id, refers_to))
                 if out is None:
                     name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.gz"
                     files.create_dir(root, recursive=True)
@@ -93,7 +92,7 @@ def write(pages: DataFrame, where: str, min_bytes: int = 0, date: str = "2000-01
                 digest = base32_sha1(payload)
                 raw = record(page_id, url, payload, digest, refers_to, date)
                 out.write(raw)
-                rows.append((f"{where}/{path}", at, len(raw), page_id, url, digest, "response" if refers_to is None else "revisit", len(payload)))
+                rows.append((f"{where}/{path}", at, len(raw), None if page_id is None else int(page_id), url, digest, "response" if refers_to is None else "revisit", len(payload)))
                 at += len(raw)
                 if at >= ARCHIVE_BYTES:
                     out.close()
@@ -102,7 +101,8 @@ def write(pages: DataFrame, where: str, min_bytes: int = 0, date: str = "2000-01
         if out is not None:
             out.close()
 
-    marked = marked.select("page_id", "url", "html", F.col("refers_to"))
+    # ids as text: pandas would turn integers beside nulls into floats
+    marked = marked.select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"))
     return written(marked.mapInPandas(run, INDEX.format(id=id_type)), "index")
 
 

@@ -72,7 +72,6 @@ def word_blocks(
     one, so repeated rows and repeated ids stay apart.
     """
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
     n_buckets = BUCKETS_A_PART * parts(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,8 +93,9 @@ def word_blocks(
                 yield pd.DataFrame({"block": number, "id": None, "codes": None, "bucket": buckets[edges], "words": [pack_words(x) for x in lists]})
                 number += 1
 
-    schema = f"block long, id {id_type}, codes binary, bucket int, words binary"
-    source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    # ids travel as text: pandas would turn integers beside nulls into floats
+    schema = "block long, id string, codes binary, bucket int, words binary"
+    source = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("text"))
     name = f"sievework_blocks_{uuid.uuid4().hex}"
     writer = source.mapInPandas(run, schema).write.format("parquet").option("path", new_path(spark, "blocks"))
     writer.bucketBy(parts(spark), "block").saveAsTable(name)
@@ -138,8 +138,8 @@ def valued(words: DataFrame, of_bucket: Callable[[], Callable[[str], np.ndarray]
     return dealt.mapInPandas(run, "of_block long, bucket int, lengths binary, numbers binary")
 
 
-def by_position(coded: DataFrame, values: DataFrame, of_document: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple], columns: str, id_col: str) -> DataFrame:
-    """One row per document: its id and of_document(numbers, starts, lengths, codes), where the word of code c is worth
+def by_position(coded: DataFrame, values: DataFrame, of_document: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple], columns: str, id_col: str, id_type: str) -> DataFrame:
+    """One row per document: its id (as id_type) and of_document(numbers, starts, lengths, codes), where the word of code c is worth
     numbers[starts[c] : starts[c] + lengths[c]]. A task holds one block's words and documents."""
     names = [c.split()[0] for c in columns.split(", ")]
 
@@ -153,5 +153,5 @@ def by_position(coded: DataFrame, values: DataFrame, of_document: Callable[[np.n
         out.insert(0, id_col, documents["id"].array)
         return out
 
-    id_type = coded.schema["id"].dataType.simpleString()
-    return coded.groupBy("block").cogroup(values.groupBy("of_block")).applyInPandas(run, f"{id_col} {id_type}, {columns}")
+    out = coded.groupBy("block").cogroup(values.groupBy("of_block")).applyInPandas(run, f"{id_col} string, {columns}")
+    return out.withColumn(id_col, F.col(id_col).cast(id_type))
