@@ -12,6 +12,7 @@ import atexit
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -27,17 +28,7 @@ BLOCK_CHARS = 8_000_000
 BUCKETS_A_PART = 2
 #: Ends a word in a packed row; a word that holds it is led by ESCAPE.
 END, ESCAPE = "\x00", "\x01"
-
-
-def _blocks(texts: pd.Series) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= BLOCK_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def pack_words(words: list[str]) -> bytes:
@@ -77,33 +68,54 @@ def word_blocks(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = splitter()
         number = TaskContext.get().partitionId() << 40
+        ids, coded, first_code, size = [], [], {}, 0
         for batch in batches:
-            for start, end in _blocks(batch["text"]):
-                first_code: dict[str, int] = {}
-                coded = []
-                for text in batch["text"].iloc[start:end]:
-                    coded.append(np.array([first_code.setdefault(word, len(first_code)) for word in cut(text)], np.int32))
-                keyed = sorted((zlib.crc32(w[:prefix].encode("utf-8", "surrogatepass")) % n_buckets, w, c) for w, c in first_code.items())
-                code = np.empty(len(keyed), np.int32)
-                code[[c for _, _, c in keyed]] = np.arange(len(keyed))
-                buckets = np.array([b for b, _, _ in keyed], np.int64)
-                edges = np.flatnonzero(np.diff(buckets, prepend=-1)).tolist() if keyed else []
-                yield pd.DataFrame({"block": number, "id": batch["id"].iloc[start:end].array, "codes": [pack_numbers(code[c]) for c in coded], "bucket": None, "words": None})
-                lists = [[w for _, w, _ in keyed[a:b]] for a, b in zip(edges, [*edges[1:], len(keyed)], strict=True)]
-                yield pd.DataFrame({"block": number, "id": None, "codes": None, "bucket": buckets[edges], "words": [pack_words(x) for x in lists]})
-                number += 1
+            for id_, text in zip(batch["id"], batch["text"], strict=True):
+                ids.append(id_)
+                coded.append(np.array([first_code.setdefault(word, len(first_code)) for word in cut(text)], np.int32))
+                size += len(text)
+                if size >= BLOCK_CHARS:
+                    yield from block(number, ids, coded, first_code)
+                    number += 1
+                    ids, coded, first_code, size = [], [], {}, 0
+        if ids:
+            yield from block(number, ids, coded, first_code)
+
+    def block(number: int, ids: list, coded: list[np.ndarray], first_code: dict[str, int]) -> Iterator[pd.DataFrame]:
+        words = list(first_code)
+        buckets = np.array([zlib.crc32(w[:prefix].encode("utf-8", "surrogatepass")) % n_buckets for w in words], np.int64)
+        order = sorted(range(len(words)), key=lambda i: (buckets[i], words[i]))
+        code = np.empty(len(words), np.int32)
+        code[order] = np.arange(len(words))
+        yield pd.DataFrame({"block": number, "id": ids, "codes": [pack_numbers(code[c]) for c in coded], "bucket": None, "words": None})
+        buckets = buckets[order]
+        edges = np.flatnonzero(np.diff(buckets, prepend=-1)).tolist() if words else []
+        lists = [pack_words([words[i] for i in order[a:b]]) for a, b in zip(edges, [*edges[1:], len(words)], strict=True)]
+        yield pd.DataFrame({"block": number, "id": None, "codes": None, "bucket": buckets[edges], "words": lists})
 
     # ids travel as text: pandas would turn integers beside nulls into floats
     schema = "block long, id string, codes binary, bucket int, words binary"
     source = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("text"))
     name = f"sievework_blocks_{uuid.uuid4().hex}"
-    writer = source.mapInPandas(run, schema).write.format("parquet").option("path", new_path(spark, "blocks"))
-    writer.bucketBy(parts(spark), "block").saveAsTable(name)
+    with _small_batches(spark):
+        writer = source.mapInPandas(run, schema).write.format("parquet").option("path", new_path(spark, "blocks"))
+        writer.bucketBy(parts(spark), "block").saveAsTable(name)
     atexit.register(_forget, spark, name)
     coded = spark.table(name).where("codes IS NOT NULL").select("block", "id", "codes")
     return coded, spark.table(name).where("words IS NOT NULL").select("bucket", F.col("block").alias("of_block"), "words")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer texts in each Arrow batch while the blocks are written."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, "500")
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def _forget(spark: SparkSession, name: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is not None and not sc._jsc.sc().isStopped():
