@@ -25,8 +25,9 @@ def _column(x) -> Column:
 
 def keyed_poisson(seed, draw, row_id) -> Column:
     """Poisson(1) weight: how many cumulative probabilities lie at or below the keyed uniform."""
-    u = keyed_uniform(seed, draw, row_id)
-    return reduce(lambda a, b: a + b, [(u >= c).cast("int") for c in POISSON_CUTS])
+    # the uniform is bound once, so that its hash is not taken again for every comparison
+    counted = F.transform(F.array(keyed_uniform(seed, draw, row_id)), lambda u: reduce(lambda a, b: a + b, [(u >= c).cast("int") for c in POISSON_CUTS]))
+    return F.get(counted, 0)
 
 
 def keyed_normal(seed, draw, row_id) -> Column:

@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.ordered import ordered
+from ..plans.staging import staged
 from .aggregates import quantile_higher
 from .sampling import ntile
 
 
 def score_steps(df: DataFrame, score: str, label: str, groups: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
-    """One row per group and distinct score, best first: n, pos, run_n, run_pos, all_n, all_pos (weighted where asked)."""
+    """One row per group and distinct score, best first: n, pos, run_n, run_pos, all_n, all_pos (weighted where asked).
+
+    The sums are written once: the passes that rank them then don't compute the scores and draws again.
+    """
     w = F.col(weight) if weight else F.lit(1)
     g = df.groupBy(*groups, F.col(score).alias("score")).agg(F.sum(w).alias("n"), F.sum(w * F.col(label)).alias("pos"))
-    return ordered(g, "score", groups=groups, desc=True, sums={"n": F.col("n"), "pos": F.col("pos")}, ranks=False)
+    return ordered(staged(g, "steps"), "score", groups=groups, desc=True, sums={"n": F.col("n"), "pos": F.col("pos")}, ranks=False)
 
 
 def ap_tie_aware(df: DataFrame, score: str, label: str, groups: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ KM = "2 * 6371.0 * asin(sqrt(least(1.0, greatest(0.0, pow(sin(radians(mlat - lat
 @query(f"""WITH f AS (SELECT * FROM txn WHERE row_id % 3 <> 0), p AS (SELECT card, avg(ln(1 + amount)) AS m, coalesce(stddev_samp(ln(1 + amount)), 0) AS s FROM f GROUP BY card),
     o AS (SELECT avg(ln(1 + amount)) AS am, stddev_pop(ln(1 + amount)) AS asd, count(*) AS na FROM f), c AS (SELECT category, count(*) AS nc FROM f GROUP BY category),
     s AS (SELECT card, min(t) AS t0, count(*) AS k FROM txn GROUP BY card), g AS (SELECT row_id AS card, {KM} AS km FROM geo)
-    SELECT row_id, round(ln(1 + amount), 7) AS log_amount, round(sin(2 * pi() * (t % 86400) / 86400.0), 7) AS hour_sin, round(cos(2 * pi() * (t % 86400) / 86400.0), 7) AS hour_cos,
+    SELECT row_id, round(ln(1 + amount), 7) AS log_amount, round(sin(2 * pi() * (t % 86400) / 86400.0), 7) + 0.0 AS hour_sin, round(cos(2 * pi() * (t % 86400) / 86400.0), 7) + 0.0 AS hour_cos,
         round((t - t0) / 86400.0, 6) AS card_age_days, round(ln(1 + coalesce(km, 0)), 5) AS log_km, round(ln(1 + k), 7) AS log_rows, round(coalesce(nc / na, 0.0), 7) AS category_rate,
         round(least(20.0, greatest(-20.0, (ln(1 + amount) - coalesce(m, am)) / greatest(coalesce(s, asd), 0.05))), 5) AS deviation
     FROM txn LEFT JOIN p USING (card) CROSS JOIN o LEFT JOIN c USING (category) JOIN s USING (card) LEFT JOIN g USING (card)""", "txn", "geo")
@@ -57,7 +57,7 @@ def feat_geo_card(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", *(R(c, places.get(c, 7)).alias(c) for c in out.columns if c != "row_id"))
 
 
-@query("SELECT row_id, round(ln(1 + amount), 7) AS log_amount, round(sin(2 * pi() * (t % 86400) / 86400.0), 7) AS hour_sin, round(cos(2 * pi() * (t % 86400) / 86400.0), 7) AS hour_cos FROM txn", "txn")
+@query("SELECT row_id, round(ln(1 + amount), 7) AS log_amount, round(sin(2 * pi() * (t % 86400) / 86400.0), 7) + 0.0 AS hour_sin, round(cos(2 * pi() * (t % 86400) / 86400.0), 7) + 0.0 AS hour_cos FROM txn", "txn")
 def feat_shared_coords(spark: SparkSession, d: str) -> DataFrame:
     s, c = S.cyclic_hour(F.pmod("t", F.lit(86400)) / 3600)
     return V.txn(spark, d).select("row_id", R(F.log1p("amount"), 7).alias("log_amount"), R(s, 7).alias("hour_sin"), R(c, 7).alias("hour_cos"))

@@ -69,7 +69,7 @@ def vector_mean(spark: SparkSession, d: str) -> DataFrame:
     return A.vector_mean(V.patterns(spark, d), "p", ("seed",)).withColumn("mean", R("mean", 9))
 
 
-@query(" UNION ALL ".join(f"SELECT 'x{i}' AS i, 'x{j}' AS j, round(avg(x{i}), 4) AS mean_i, round(avg(x{j}), 4) AS mean_j, round(covar_pop(x{i}, x{j}) / 1000, 2) AS cov_k FROM features WHERE y = 0" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j), "features")
+@query(" UNION ALL ".join(f"SELECT 'x{i}' AS i, 'x{j}' AS j, round(avg(x{i}), 4) AS mean_i, round(avg(x{j}), 4) AS mean_j, round(covar_pop(x{i}, x{j}) / 1000, 2) + 0.0 AS cov_k FROM features WHERE y = 0" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j), "features")
 def moments_matrix(spark: SparkSession, d: str) -> DataFrame:
     m = A.moments(V.features(spark, d).where("y = 0"), ["x1", "x2", "x3"])
     return m.select("i", "j", R("mean_i", 4).alias("mean_i"), R("mean_j", 4).alias("mean_j"), R(F.col("cov") / 1000, 2).alias("cov_k"))

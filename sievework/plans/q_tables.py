@@ -289,7 +289,7 @@ def fn_time_parts(spark: SparkSession, d: str) -> DataFrame:
     return V.txn(spark, d).select("row_id", S.hour_of(F.col("t")).alias("hour"), S.weekday_of(F.col("t")).alias("weekday"))
 
 
-@query("SELECT row_id, round(sin(2 * pi() * (t % 86400) / 86400.0), 9) AS hour_sin, round(cos(2 * pi() * (t % 86400) / 86400.0), 9) AS hour_cos FROM txn", "txn")
+@query("SELECT row_id, round(sin(2 * pi() * (t % 86400) / 86400.0), 9) + 0.0 AS hour_sin, round(cos(2 * pi() * (t % 86400) / 86400.0), 9) + 0.0 AS hour_cos FROM txn", "txn")
 def fn_cyclic_hour(spark: SparkSession, d: str) -> DataFrame:
     s, c = S.cyclic_hour(F.pmod("t", F.lit(86400)) / 3600)
     return V.txn(spark, d).select("row_id", R(s, 9).alias("hour_sin"), R(c, 9).alias("hour_cos"))
