@@ -114,6 +114,7 @@ def gamma_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 def cross_view(df: DataFrame, left: list[str], right: list[str], fit: Column) -> DataFrame:
     """df with overlap = 1 - (1 + prod cos(pi (a_k - b_k) / 2)) / 2 of the canonical variates of two views, each mapped by its
     empirical distribution. Covariance blocks come from one aggregation; the small decomposition is done on the driver."""
+    from ..plans.staging import staged
     from .encode import ecdf
 
     cols = [*left, *right]
@@ -135,7 +136,8 @@ def cross_view(df: DataFrame, left: list[str], right: list[str], fit: Column) ->
     mixed = lambda xs, w: reduce(lambda p, q: p + q, [x * float(c) for x, c in zip(xs, w, strict=True)])
     out = df.withColumn("_in_fit", fit).withColumns({f"_a{i}": mixed(centred[:k], wa[:, i]) for i in range(r)} | {f"_b{i}": mixed(centred[k:], wb[:, i]) for i in range(r)})
     for c in [f"_{s}{i}" for s in "ab" for i in range(r)]:
-        out = ecdf(out, c, F.col("_in_fit")).withColumn(f"{c}u", F.col("u")).drop("n_lt", "n_le", "n_fit", "u", c)
+        # an empirical distribution reads its input several times, so each starts from a table
+        out = ecdf(staged(out, "variates"), c, F.col("_in_fit")).withColumn(f"{c}u", F.col("u")).drop("n_lt", "n_le", "n_fit", "u", c)
     product = reduce(lambda p, q: p * q, [F.cos(math.pi * (F.col(f"_a{i}u") - F.col(f"_b{i}u")) / 2) for i in range(r)])
     return out.withColumn("overlap", 1 - 0.5 * (1 + product)).drop("_in_fit", *(f"_{s}{i}u" for s in "ab" for i in range(r)))
 

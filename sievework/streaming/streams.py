@@ -52,29 +52,30 @@ def deduplicated(stream: DataFrame, time: str, key: str, late: str = "1 day") ->
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-class Deviation(StatefulProcessor):
-    """Keeps (n, sum, sum of squares) of log amounts by card; each row's deviation is from what came before its batch."""
+def card_deviation(stream: DataFrame, card: str, amount: str, key: str) -> DataFrame:
+    """(card, row_id, seen, deviation) of every arriving row, by a stateful processor over RocksDB."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("sums", "n long, s double, q double")
+    # defined here, so that it is sent by value: the process that sets up the state may not find this package
+    class Deviation(StatefulProcessor):
+        """Keeps (n, sum, sum of squares) of log amounts by card; each row's deviation is from what came before its batch."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        n, s, q = self.state.get() if self.state.exists() else (0, 0.0, 0.0)
-        mean = s / n if n else 0.0
-        sd = max(0.05, (max(0.0, (q - n * mean * mean) / (n - 1)) if n > 1 else 0.0) ** 0.5)
-        new_n, new_s, new_q = n, s, q
-        for batch in rows:
-            x = batch["x"]
-            new_n, new_s, new_q = new_n + len(x), new_s + float(x.sum()), new_q + float((x * x).sum())
-            yield pd.DataFrame({"card": key[0], "row_id": batch["row_id"], "seen": n, "deviation": ((x - mean) / sd).clip(-20, 20) if n else 0.0})
-        self.state.update((new_n, new_s, new_q))
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("sums", "n long, s double, q double")
 
-    def close(self) -> None:
-        pass
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            n, s, q = self.state.get() if self.state.exists() else (0, 0.0, 0.0)
+            mean = s / n if n else 0.0
+            sd = max(0.05, (max(0.0, (q - n * mean * mean) / (n - 1)) if n > 1 else 0.0) ** 0.5)
+            new_n, new_s, new_q = n, s, q
+            for batch in rows:
+                x = batch["x"]
+                new_n, new_s, new_q = new_n + len(x), new_s + float(x.sum()), new_q + float((x * x).sum())
+                yield pd.DataFrame({"card": key[0], "row_id": batch["row_id"], "seen": n, "deviation": ((x - mean) / sd).clip(-20, 20) if n else 0.0})
+            self.state.update((new_n, new_s, new_q))
 
+        def close(self) -> None:
+            pass
 
-def card_deviation(stream: DataFrame, card: str, amount: str, key: str) -> DataFrame:
-    """(card, row_id, seen, deviation) of every arriving row, by a stateful processor over RocksDB."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = stream.select(F.col(card).alias("card"), F.col(key).alias("row_id"), F.log1p(amount).alias("x"))
     return rows.groupBy("card").transformWithStateInPandas(Deviation(), "card long, row_id long, seen long, deviation double", "append", "none")
