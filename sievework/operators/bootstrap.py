@@ -8,14 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.ordered import ordered
+from ..plans.staging import staged
 from .metrics import ap_tie_aware
-from .sampling import poisson_draws
+
+#: Draws that one order of the scores serves; their sums stay below the number of columns that Spark compiles as a whole.
+BLOCK = 8
 
 
 def ap_draws(df: DataFrame, key: str, method: str, score: str, label: str, draws: int, seed: int) -> DataFrame:
-    """(draw, method, ap): weights depend on (draw, key) alone, so methods share them; draws without both classes have no ap."""
-    d = poisson_draws(df.select(key, method, score, label), key, draws, seed)
-    return ap_tie_aware(d, score, label, ("draw", method), "weight").where("ap IS NOT NULL")
+    """(draw, method, ap): weights depend on (draw, key) alone, so methods share them; draws without both classes have no ap.
+
+    A row carries the weights of BLOCK draws side by side, so one order of the scores serves them all.
+    """
+    rows = df.select(method, F.col(score).alias("score"), key, label, F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // BLOCK))).alias("block"))
+    first = F.col("block") * BLOCK
+    rows = rows.withColumns({f"w{i}": S.keyed_poisson(seed, first + i, key) for i in range(BLOCK)})
+    sums = {f"n{i}": F.sum(f"w{i}") for i in range(BLOCK)} | {f"p{i}": F.sum(F.col(f"w{i}") * F.col(label)) for i in range(BLOCK)}
+    steps = staged(rows.groupBy(method, "block", "score").agg(*(v.alias(k) for k, v in sums.items())), "steps")
+    o = ordered(steps, "score", groups=(method, "block"), desc=True, sums={k: F.col(k) for k in sums}, ranks=False)
+    # a step without weight in a draw adds nothing to it
+    gain = lambda i: F.try_divide(F.col(f"p{i}") * F.col(f"run_p{i}"), F.col(f"run_n{i}"))
+    each = o.groupBy(method, "block").agg(*(F.try_divide(F.sum(gain(i)), F.max(f"all_p{i}")).alias(f"ap{i}") for i in range(BLOCK)))
+    found = F.explode(F.array(*(F.struct((first + i).alias("draw"), F.col(f"ap{i}").alias("ap")) for i in range(BLOCK))))
+    return staged(each.select(method, found.alias("e")).select("e.draw", method, "e.ap").where((F.col("draw") < draws) & F.col("ap").isNotNull()), "draws")
 
 
 def binned_ap_draws(df: DataFrame, method: str, score: str, label: str, draws: int, seed: int, bins: int = 1000) -> DataFrame:
