@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +20,14 @@ def stream_of(spark: SparkSession, path: str, schema: str, files_a_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run the stream over what is there and return what it has written."""
+def finished(stream: DataFrame, name: str, mode: str = "append", then: Callable[[], None] | None = None) -> DataFrame:
+    """Run the stream over what is there and return what it has written; with `then`, call it and go on with what it adds."""
     out = scratch(stream.sparkSession, name)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}.state").option("path", out).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}.state").option("path", out).outputMode(mode).trigger(availableNow=True)
+    writer.start().awaitTermination()
+    if then is not None:
+        then()
+        writer.start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
@@ -43,7 +46,8 @@ def monitor(stream: DataFrame, time: str, score: str, label: str, low: float, hi
 
 
 def sessions(stream: DataFrame, time: str, card: str, amount: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    """Sessions of a card's activity: start, rows, total."""
+    """Sessions of a card's activity: start, rows, total. The sessions still open are state, which RocksDB keeps."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     g = stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), card)
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("total")).select(card, F.col("w.start").alias("start"), "n", "total")
 
