@@ -127,6 +127,17 @@ def multinomial_counts(df: DataFrame, key: str, vector: str, shots: int, seed: i
     return s.withColumn("_u", u).groupBy(key, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def multinomial_cells(vector: Column, key: str, shots: int, seed: int) -> Column:
+    """What multinomial_counts draws for a row, as an array of the count of each cell: no row per shot."""
+    count = lambda drawn: F.transform(F.sequence(F.lit(0), F.size(vector) - 1), lambda c: F.size(F.filter(drawn, lambda x: x == c)))
+    edges = F.transform(F.sequence(F.lit(1), F.size(vector)), lambda i: S.total(F.slice(vector, F.lit(1), i)))
+    uniforms = F.transform(F.sequence(F.lit(0), F.lit(shots - 1)), lambda shot: S.keyed_uniform(seed, shot, key))
+    # edges, uniforms and the cells drawn are each bound once
+    cells = lambda e: F.transform(uniforms, lambda u: F.least(F.size(F.filter(e, lambda x: x <= u)), F.size(e) - 1))
+    drawn = F.get(F.transform(F.array(edges), cells), 0)
+    return F.get(F.transform(F.array(drawn), count), 0)
+
+
 def permuted_labels(df: DataFrame, key: str, label: str, permutations: int, seed: int, groups: tuple[str, ...] = ()) -> DataFrame:
     """df by permutation, with `permuted`: as many ones as label has, on the rows that come first in keyed order."""
     reps = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("permutation"))

@@ -226,14 +226,12 @@ def bootstrap_simultaneous(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_nested(spark: SparkSession, d: str) -> DataFrame:
-    """Rows resampled and their counts drawn anew in each draw: diversity of the resampled vectors of shot shares."""
-    rows = V.patterns(spark, d, 1).where("row_id % 100 = row_id % 10").select("row_id", "p")
-    drawn = P.poisson_draws(rows, "row_id", 5, 62)
+    """All rows resampled and their counts drawn anew in each of five draws: diversity of the resampled vectors of shot shares."""
+    drawn = P.poisson_draws(V.patterns(spark, d, 1).select("row_id", "p"), "row_id", 5, 62)
     keyed = drawn.select("*", F.explode(F.sequence(F.lit(1), "weight")).alias("copy")).withColumn("k", F.concat_ws("/", *(F.col(c).cast("string") for c in ("draw", "row_id", "copy"))))
-    counts = P.multinomial_counts(keyed.select("k", "p"), "k", "p", 32, 63).withColumn("x", F.col("n") / 32)
-    m = counts.groupBy(F.split_part("k", F.lit("/"), F.lit(1)).cast("int").alias("draw"), "cell").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    n = keyed.groupBy("draw").agg(F.count(F.lit(1)).alias("rows"))
-    return m.join(F.broadcast(n), "draw").groupBy("draw", "rows").agg((2 * F.col("rows") / (F.col("rows") - 1) * F.sum(F.col("q") / F.col("rows") - F.pow(F.col("s") / F.col("rows"), 2))).alias("diversity"))
+    cells = keyed.select("draw", F.posexplode(P.multinomial_cells(F.col("p"), "k", 32, 63)).alias("cell", "n")).withColumn("x", F.col("n") / 32)
+    m = cells.groupBy("draw", "cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    return m.groupBy("draw", "rows").agg((2 * F.col("rows") / (F.col("rows") - 1) * F.sum(F.col("q") / F.col("rows") - F.pow(F.col("s") / F.col("rows"), 2))).alias("diversity"))
 
 
 V.VIEW_SQL["ps"] = "SELECT method, (1 + count(*) FILTER (abs(delta - observed) >= abs(observed))) / (count(*) + 1) AS p FROM deltas JOIN observed USING (method) GROUP BY method"
