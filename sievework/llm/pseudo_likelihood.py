@@ -19,8 +19,6 @@ TOKENS = 1 << 14
 CLASSES = 64
 #: Neighbours on each side, and hidden units.
 REACH, HIDDEN = 2, 16
-#: In training every STRIDE-th token of each document is a target; all tokens are contexts and all are counted.
-STRIDE = 8
 ROUNDS, BATCH, RATE = 2, 2048, 0.02
 #: Vectors that one task adds up.
 FAN_IN = 64
@@ -96,13 +94,27 @@ def contexts(classes: np.ndarray) -> np.ndarray:
     return np.stack([wide[o : o + n] for o in range(2 * REACH + 1) if o != REACH], 1)
 
 
-def forward(params: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hidden layer, log-probabilities of the classes)."""
-    a = params["bias"] + sum(params["inp"][p][context[:, p]] for p in range(2 * REACH))
-    h = np.tanh(a)
-    logits = h @ params["out"] + params["prior"]
+def forward(params: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hidden layer, logits of the classes, of which the largest is 0, and their exponentials)."""
+    a = params["inp"][0][context[:, 0]]
+    for p in range(1, 2 * REACH):
+        a += params["inp"][p][context[:, p]]
+    a += params["bias"]
+    h = np.tanh(a, out=a)
+    logits = h @ params["out"]
+    logits += params["prior"]
     logits -= logits.max(1, keepdims=True)
-    return h, logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    return h, logits, np.exp(logits)
+
+
+def of_classes(params: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log-probability of each target class in its context, a batch at a time."""
+    out = np.empty(len(target))
+    for at in range(0, len(target), BATCH):
+        t = target[at : at + BATCH]
+        _, logits, e = forward(params, context[at : at + BATCH])
+        out[at : at + BATCH] = logits[np.arange(len(t)), t] - np.log(e.sum(1))
+    return out
 
 
 class Trainer:
@@ -112,22 +124,26 @@ class Trainer:
         self.params = {k: v.copy() for k, v in params.items()}
         self.squares = {k: np.full(v.shape, 1e-6, np.float32) for k, v in params.items()}
         self.seen = 0
+        self.hot = np.zeros((CLASSES + 1, BATCH), np.float32)
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         n = len(target)
         if not n:
             return
         p = self.params
-        h, logp = forward(p, context)
-        d = np.exp(logp)
+        h, _, d = forward(p, context)
+        d /= d.sum(1, keepdims=True)
         d[np.arange(n), target] -= 1
         d /= n
         da = (d @ p["out"].T) * (1 - h * h)
         grads = {"out": h.T @ d, "prior": d.sum(0), "bias": da.sum(0), "inp": np.zeros(SHAPES["inp"], np.float32)}
+        ones = self.hot.ravel()
         for k in range(2 * REACH):
-            hot = np.zeros((CLASSES + 1, n), np.float32)
-            hot[context[:, k], np.arange(n)] = 1
-            grads["inp"][k] = hot @ da
+            # the ones are taken back, so that the table isn't cleared as a whole
+            at = context[:, k] * BATCH + np.arange(n)
+            ones[at] = 1
+            grads["inp"][k] = self.hot[:, :n] @ da
+            ones[at] = 0
         for k, g in grads.items():
             self.squares[k] += g * g
             p[k] -= RATE * g / np.sqrt(self.squares[k])
@@ -173,8 +189,8 @@ def _summed(vectors: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[dict[str, np.ndarray], Classes]:
-    """The network and the classes, from all of docs: in each round every task goes on from the same parameters over its
-    own documents, and their results are averaged by the number of tokens they have seen."""
+    """The network and the classes, from all of docs: in each round every task goes on from the same parameters over
+    every token of its own documents, and their results are averaged by the number of tokens they have seen."""
     spark = docs.sparkSession
     classes = make_classes(token_counts(docs, text_col))
     params = start()
@@ -187,22 +203,25 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tupl
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
 
-            def flush() -> None:
+            def flush(least: int) -> tuple[np.ndarray, np.ndarray]:
+                """Train on full batches, and at last on what is left; the tokens that still wait."""
                 context, target = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                for at in range(0, len(target), BATCH):
+                at = 0
+                while len(target) - at >= least:
                     trainer.step(context[at : at + BATCH], target[at : at + BATCH])
+                    at += BATCH
+                return context[at:], target[at:]
 
             for batch in batches:
-                for number, text in enumerate(batch["text"]):
+                for text in batch["text"]:
                     c = class_of[tokens.of(text)]
-                    first = number % STRIDE
-                    waiting.append((contexts(c)[first::STRIDE], c[first::STRIDE]))
-                    held += len(waiting[-1][1])
+                    waiting.append((contexts(c), c))
+                    held += len(c)
                     if held >= BATCH:
-                        flush()
-                        waiting, held = [], 0
+                        waiting = [flush(BATCH)]
+                        held = len(waiting[0][1])
             if waiting:
-                flush()
+                flush(1)
             yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "seen": [trainer.seen], "flat": [packed(trainer.params).tobytes()]})
 
         flat, seen = _summed(_source(docs, text_col).mapInPandas(run, "part long, seen long, flat binary"))
@@ -215,13 +234,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tupl
 def log_probabilities(params: dict[str, np.ndarray], classes: Classes, tokens: np.ndarray) -> np.ndarray:
     """The conditional log-probability of every token given those around it."""
     c = classes.class_of[tokens]
-    out = np.empty(len(tokens))
-    context = contexts(c)
-    for at in range(0, len(tokens), 16 * BATCH):
-        part = slice(at, at + 16 * BATCH)
-        _, logp = forward(params, context[part])
-        out[part] = logp[np.arange(len(logp)), c[part]]
-    return out + classes.within[tokens]
+    return of_classes(params, contexts(c), c) + classes.within[tokens]
 
 
 def score(docs: DataFrame, params: dict[str, np.ndarray], classes: Classes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,8 +275,7 @@ def _together(params: dict[str, np.ndarray], classes: Classes, ids: list[np.ndar
     tokens = np.concatenate(ids)
     c = classes.class_of[tokens]
     context = np.concatenate([contexts(x) for x in np.split(c, np.cumsum(n)[:-1])])
-    _, logp = forward(params, context)
-    each = logp[np.arange(len(c)), c] + classes.within[tokens]
+    each = of_classes(params, context, c) + classes.within[tokens]
     return np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)).tolist()
 
 
