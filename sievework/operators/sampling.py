@@ -107,7 +107,9 @@ def multinomial_draws(df: DataFrame, key: str, draws: int, seed: int) -> DataFra
     """Resampling with replacement of exactly n rows: slot k of a draw takes the row of rank 1 + floor(n u(draw, k))."""
     ranked = ordered(df, key, ranks=False)
     n = df.count()
-    slots = df.sparkSession.range(n).crossJoin(df.sparkSession.range(draws).withColumnRenamed("id", "draw")) if n and draws <= 1000 else df.sparkSession.range(0).withColumn("draw", F.lit(0).cast("long"))
+    all_slots = n * draws
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, all_slots // 10_000_000)
+    slots = df.sparkSession.range(0, all_slots, 1, parts).select(F.expr(f"id div {max(1, n)}").alias("draw"), (F.col("id") % max(1, n)).alias("id"))
     taken = slots.select("draw", (F.floor(S.keyed_uniform(seed, "draw", "id") * n) + 1).alias("position"))
     counted = taken.groupBy("draw", "position").agg(F.count(F.lit(1)).alias("weight"))
     return counted.join(ranked, "position").drop("position", "total")
