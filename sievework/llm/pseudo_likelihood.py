@@ -15,14 +15,18 @@ from .common import text_of
 
 #: Tokens are the lower-cased words hashed to this many values, so that every table over them has a fixed size.
 TOKENS = 1 << 14
-#: Classes that the network predicts; a token's probability within its class comes from the corpus's counts.
-CLASSES = 64
-#: Neighbours on each side, and hidden units.
-REACH, HIDDEN = 2, 16
-ROUNDS, BATCH, RATE = 2, 2048, 0.02
+#: Stands for what lies beyond a text, and between two texts of a stream.
+BEYOND = TOKENS
+#: Neighbours on each side, numbers in an embedding and in the hidden layer, word distributions that the network mixes.
+REACH, HIDDEN, SORTS = 3, 16, 32
+#: Buckets into which the neighbours of a token are counted for the first embeddings.
+SKETCH = 32
+ROUNDS, BATCH, RATE = 2, 2048, 0.15
 #: Vectors that one task adds up.
-FAN_IN = 64
+FAN_IN = 16
 MOST_WORDS_REMEMBERED = 1_000_000
+#: Tokens that are counted, or scored, together.
+CHUNK = 1 << 16
 
 
 class Tokens:
@@ -44,241 +48,298 @@ class Tokens:
         return np.array([t if (t := known.get(w)) is not None else self.word(w) for w in text.lower().encode("utf-8", "surrogatepass").split()], np.int32)
 
 
-@dataclass
-class Classes:
-    """class_of[token] (CLASSES stands for beyond the text) and within[token], the log-probability in its class."""
-
-    class_of: np.ndarray
-    within: np.ndarray
-
-
-def make_classes(counts: np.ndarray) -> Classes:
-    """Tokens dealt to classes of about equal mass, the most frequent first, each to the lightest class."""
-    import heapq
+GAP = np.full(REACH, BEYOND, np.int32)
 
-    counts = counts + 0.5
-    heap = [(0.0, c) for c in range(CLASSES)]
-    class_of = np.zeros(TOKENS, np.int32)
-    for token in np.argsort(-counts, kind="stable"):
-        mass, c = heapq.heappop(heap)
-        class_of[token] = c
-        heapq.heappush(heap, (mass + counts[token], c))
-    return Classes(class_of, np.log(counts / np.bincount(class_of, counts, CLASSES)[class_of]))
 
+def streams(texts: Iterator[str], length: int) -> Iterator[np.ndarray]:
+    """All texts in order as one stream of tokens with REACH times BEYOND before, between and after them, cut into pieces of
+    `length` positions; each piece has REACH more positions on either side."""
+    tokens, held, size = Tokens(), [GAP], REACH
 
-SHAPES = {"inp": (2 * REACH, CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CLASSES), "prior": (CLASSES,)}
+    for text in texts:
+        held += [tokens.of(text), GAP]
+        size += len(held[-2]) + REACH
+        if size >= length + 2 * REACH:
+            stream, at = np.concatenate(held), 0
+            while len(stream) - at >= length + 2 * REACH:
+                yield stream[at : at + length + 2 * REACH]
+                at += length
+            held, size = [stream[at:]], len(stream) - at
+    if size > 2 * REACH:
+        yield np.concatenate(held)
 
 
-def start(seed: int = 3) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return {k: (rng.normal(0, 0.2, s) if k in ("inp", "out") else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
-
+@dataclass
+class Model:
+    """embed[token], one weight per neighbour's place and number, two layers, and words[token], the probability of the token
+    in each of SORTS distributions. Given its neighbours a token has the mixture of these with the network's shares."""
 
-def packed(params: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([params[k].ravel() for k in SHAPES])
+    embed: np.ndarray
+    place: np.ndarray
+    mix: np.ndarray
+    bias: np.ndarray
+    out: np.ndarray
+    prior: np.ndarray
+    words: np.ndarray
 
 
-def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k], at = flat[at : at + n].reshape(s).astype(np.float32), at + n
-    return out
+LEARNT = {"embed": (TOKENS + 1, HIDDEN), "place": (2 * REACH, HIDDEN), "mix": (HIDDEN, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, SORTS), "prior": (SORTS,)}
 
 
-def contexts(classes: np.ndarray) -> np.ndarray:
-    """(token, neighbour) classes of the REACH tokens on each side of every token; the token itself is masked."""
-    n = len(classes)
-    wide = np.full(n + 2 * REACH, CLASSES, np.int32)
-    wide[REACH : REACH + n] = classes
-    return np.stack([wide[o : o + n] for o in range(2 * REACH + 1) if o != REACH], 1)
-
-
-def forward(params: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hidden layer, logits of the classes, of which the largest is 0, and their exponentials)."""
-    a = params["inp"][0][context[:, 0]]
-    for p in range(1, 2 * REACH):
-        a += params["inp"][p][context[:, p]]
-    a += params["bias"]
-    h = np.tanh(a, out=a)
-    logits = h @ params["out"]
-    logits += params["prior"]
-    logits -= logits.max(1, keepdims=True)
-    return h, logits, np.exp(logits)
-
-
-def of_classes(params: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The log-probability of each target class in its context, a batch at a time."""
-    out = np.empty(len(target))
-    for at in range(0, len(target), BATCH):
-        t = target[at : at + BATCH]
-        _, logits, e = forward(params, context[at : at + BATCH])
-        out[at : at + BATCH] = logits[np.arange(len(t)), t] - np.log(e.sum(1))
+def start(counts: np.ndarray, seen: np.ndarray, seed: int = 3) -> Model:
+    """The first model, from the tokens' counts and the counts of their neighbours' buckets: embeddings are the main
+    directions in which the neighbours of tokens differ, and each distribution holds the tokens of one cluster of them."""
+    rng = np.random.default_rng(seed)
+    around = seen.sum(1, keepdims=True)
+    usual = seen.sum(0) / max(1.0, seen.sum())
+    # neighbours of rare tokens count as partly the usual ones
+    differ = np.sqrt((seen + 20 * usual) / (around + 20)) - np.sqrt(usual)
+    _, directions = np.linalg.eigh((differ * counts[:, None]).T @ differ)
+    embed = np.zeros((TOKENS + 1, HIDDEN))
+    embed[:-1] = differ @ directions[:, ::-1][:, :HIDDEN]
+    embed /= np.sqrt((counts[:, None] * embed[:-1] ** 2).sum(0) / max(1.0, counts.sum())) + 1e-9
+    embed = np.clip(embed, -5, 5)
+    weight = counts / max(1.0, counts.sum())
+    centres = embed[rng.choice(TOKENS, SORTS, replace=False, p=(weight + 1e-9) / (weight + 1e-9).sum())]
+    for _ in range(12):
+        near = ((embed[:-1, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+        mass = np.bincount(near, counts, SORTS)
+        moved = np.stack([np.bincount(near, counts * embed[:-1, i], SORTS) for i in range(HIDDEN)], 1) / np.maximum(mass, 1e-9)[:, None]
+        centres = np.where(mass[:, None] > 0, moved, centres)
+    member = np.full((TOKENS, SORTS), 0.2 / SORTS)
+    member[np.arange(TOKENS), near] += 0.8
+    f = lambda x: x.astype(np.float32)
+    return Model(
+        f(embed), np.full((2 * REACH, HIDDEN), 1 / REACH, np.float32), f(np.eye(HIDDEN) * 0.5 + rng.normal(0, 0.02, (HIDDEN, HIDDEN))), np.zeros(HIDDEN, np.float32),
+        f(rng.normal(0, 0.1, (HIDDEN, SORTS))), np.zeros(SORTS, np.float32), distributions(counts[:, None] * member, counts),
+    )
+
+
+def distributions(expected: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each column of expected counts as a distribution over all tokens, mixed with a hundredth of the corpus's."""
+    corpus = (counts + 0.5) / (counts + 0.5).sum()
+    total = expected.sum(0)
+    own = np.where(total > 0, expected / np.maximum(total, 1e-9), corpus[:, None])
+    return (0.99 * own + 0.01 * corpus[:, None]).astype(np.float32)
+
+
+def layers(m: Model, stream: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(embedded stream, hidden layer and shares of the positions that have neighbours on both sides)."""
+    e = m.embed[stream]
+    n = len(stream) - 2 * REACH
+    a = np.zeros((n, HIDDEN), np.float32)
+    for k, o in enumerate(o for o in range(2 * REACH + 1) if o != REACH):
+        a += e[o : o + n] * m.place[k]
+    h = a @ m.mix
+    h += m.bias
+    np.tanh(h, out=h)
+    z = h @ m.out
+    z += m.prior
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return e, a, h, z
+
+
+def log_probabilities(m: Model, stream: np.ndarray) -> np.ndarray:
+    """log p(token | neighbours) of the stream without its ends; 0 at BEYOND."""
+    target = stream[REACH : len(stream) - REACH]
+    real = target < BEYOND
+    shares = layers(m, stream)[3][real]
+    out = np.zeros(len(target))
+    out[real] = np.log(np.einsum("ij,ij->i", shares, m.words[target[real]]))
     return out
 
 
 class Trainer:
-    """Adagrad on mini-batches of (context, class)."""
+    """Adagrad on pieces of a stream, every token of which is a target; `expected` adds up how much of each token is put
+    down to each distribution."""
 
-    def __init__(self, params: dict[str, np.ndarray]) -> None:
-        self.params = {k: v.copy() for k, v in params.items()}
-        self.squares = {k: np.full(v.shape, 1e-6, np.float32) for k, v in params.items()}
+    def __init__(self, model: Model) -> None:
+        self.m = Model(**{k: v.copy() for k, v in vars(model).items()})
+        self.squares = {k: np.full(s, 1e-4, np.float32) for k, s in LEARNT.items()}
+        self.expected = np.zeros((TOKENS, SORTS), np.float32)
         self.seen = 0
-        self.hot = np.zeros((CLASSES + 1, BATCH), np.float32)
 
-    def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        n = len(target)
-        if not n:
+    def step(self, stream: np.ndarray) -> None:
+        m, n = self.m, len(stream) - 2 * REACH
+        target = stream[REACH : REACH + n]
+        real = target < BEYOND
+        count = int(np.count_nonzero(real))
+        if not count:
             return
-        p = self.params
-        h, _, d = forward(p, context)
-        d /= d.sum(1, keepdims=True)
-        d[np.arange(n), target] -= 1
-        d /= n
-        da = (d @ p["out"].T) * (1 - h * h)
-        grads = {"out": h.T @ d, "prior": d.sum(0), "bias": da.sum(0), "inp": np.zeros(SHAPES["inp"], np.float32)}
-        ones = self.hot.ravel()
-        for k in range(2 * REACH):
-            # the ones are taken back, so that the table isn't cleared as a whole
-            at = context[:, k] * BATCH + np.arange(n)
-            ones[at] = 1
-            grads["inp"][k] = self.hot[:, :n] @ da
-            ones[at] = 0
-        for k, g in grads.items():
-            self.squares[k] += g * g
-            p[k] -= RATE * g / np.sqrt(self.squares[k])
-        self.seen += n
+        e, a, h, shares = layers(m, stream)
+        target = np.where(real, target, 0)
+        owed = shares * m.words[target]
+        owed /= owed.sum(1, keepdims=True)
+        owed *= real[:, None]
+        d = shares * real[:, None]
+        d -= owed
+        d /= count
+        dh = d @ m.out.T
+        dh *= 1 - h * h
+        da = dh @ m.mix.T
+        de = np.zeros_like(e)
+        place = np.empty((2 * REACH, HIDDEN), np.float32)
+        for k, o in enumerate(o for o in range(2 * REACH + 1) if o != REACH):
+            de[o : o + n] += da * m.place[k]
+            place[k] = np.einsum("ij,ij->j", da, e[o : o + n])
+        for k, g in {"place": place, "mix": a.T @ dh, "bias": dh.sum(0), "out": h.T @ d, "prior": d.sum(0)}.items():
+            self.move(k, slice(None), g)
+        # rows of one token are added up at once
+        order = np.argsort(stream.astype(np.int16), kind="stable")
+        of = stream[order]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        of = of[first]
+        both = np.zeros((len(stream), HIDDEN + SORTS), np.float32)
+        both[:, :HIDDEN] = de
+        both[REACH : REACH + n, HIDDEN:] = owed
+        both = np.add.reduceat(both[order], first)
+        self.move("embed", of, both[:, :HIDDEN])
+        if of[-1] == BEYOND:
+            of, both = of[:-1], both[:-1]
+        self.expected[of] += both[:, HIDDEN:]
+        self.seen += count
+
+    def move(self, name: str, at, gradient: np.ndarray) -> None:
+        squares, values = self.squares[name], getattr(self.m, name)
+        squares[at] += gradient * gradient
+        values[at] -= RATE * gradient / np.sqrt(squares[at])
+
+    def packed(self) -> np.ndarray:
+        """What is learnt, times the tokens seen, and then the expected counts: a vector that may be added up."""
+        return np.concatenate([getattr(self.m, k).ravel() * np.float32(self.seen) for k in LEARNT] + [self.expected.ravel()])
+
+
+def unpacked(flat: np.ndarray, seen: int, counts: np.ndarray) -> Model:
+    out, at = {}, 0
+    for k, s in LEARNT.items():
+        n = int(np.prod(s))
+        out[k], at = (flat[at : at + n].reshape(s) / seen).astype(np.float32), at + n
+    return Model(**out, words=distributions(flat[at:].reshape(TOKENS, SORTS).astype(float), counts))
 
 
 def _source(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_of(text_col).alias("text"))
 
 
-def token_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often each of the TOKENS stands in all texts: TOKENS numbers, summed up by Spark."""
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[str]:
+    for batch in batches:
+        yield from batch["text"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, counts = Tokens(), np.zeros(TOKENS, np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                np.add.at(counts, tokens.of(text), 1)
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"token": at, "n": counts[at]})
 
-    rows = _source(docs, text_col).mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(TOKENS)
-    counts[rows["token"]] = rows["n"]
-    return counts
+VECTOR = "part long, seen long, flat binary"
+
 
+def _vector(seen: int, flat: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"part": [TaskContext.get().partitionId()], "seen": [seen], "flat": [flat.astype(np.float32).tobytes()]})
 
-def _summed(vectors: DataFrame) -> tuple[np.ndarray, int]:
-    """Weighted mean of the (part, seen, flat) vectors, FAN_IN at a time until one task can hold what is left."""
+
+def summed(vectors: DataFrame) -> tuple[np.ndarray | None, int]:
+    """Sum of the VECTOR rows, FAN_IN at a time until one is left, which goes to the driver."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        seen = int(group["seen"].sum())
-        flat = sum(np.frombuffer(f, np.float32) * np.float32(s / max(1, seen)) for f, s in zip(group["flat"], group["seen"], strict=True))
-        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "seen": [seen], "flat": [flat.astype(np.float32).tobytes()]})
+        total = np.zeros(len(group["flat"].iloc[0]) // 4)
+        for flat in group["flat"]:
+            total += np.frombuffer(flat, np.float32)
+        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "seen": [int(group["seen"].sum())], "flat": [total.astype(np.float32).tobytes()]})
 
-    schema = "part long, seen long, flat binary"
     left = vectors.rdd.getNumPartitions()
-    while left > 1:
+    while True:
         left = -(-left // FAN_IN)
-        vectors = vectors.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part").applyInPandas(add, schema)
-    rows = vectors.where("seen > 0").collect()
+        vectors = vectors.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part").applyInPandas(add, VECTOR)
+        if left <= 1:
+            break
+    rows = vectors.collect()
     return (np.frombuffer(rows[0].flat, np.float32), rows[0].seen) if rows else (None, 0)
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[dict[str, np.ndarray], Classes]:
-    """The network and the classes, from all of docs: in each round every task goes on from the same parameters over
-    every token of its own documents, and their results are averaged by the number of tokens they have seen."""
+def counted(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """How often each token stands in all texts, and how often a neighbour of it falls in each of SKETCH buckets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, seen, n = np.zeros(TOKENS), np.zeros((TOKENS + 1) * (SKETCH + 1)), 0
+        for stream in streams(_texts(batches), CHUNK):
+            target = stream[REACH : len(stream) - REACH]
+            counts += np.bincount(target, minlength=TOKENS + 1)[:TOKENS]
+            n += int(np.count_nonzero(target < BEYOND))
+            bucket = np.where(stream < BEYOND, stream % SKETCH, SKETCH)
+            for o in (REACH - 1, REACH + 1):
+                seen += np.bincount(target * (SKETCH + 1) + bucket[o : o + len(target)], minlength=len(seen))
+        if n:
+            yield _vector(n, np.concatenate([counts, seen.reshape(TOKENS + 1, SKETCH + 1)[:-1, :-1].ravel()]))
+
+    flat, n = summed(_source(docs, text_col).mapInPandas(run, VECTOR))
+    if not n:
+        return np.zeros(TOKENS), np.zeros((TOKENS, SKETCH))
+    return flat[:TOKENS].astype(float), flat[TOKENS:].reshape(TOKENS, SKETCH).astype(float)
+
+
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
+    """The model of all of docs. In each round every task goes on from the same model over every token of its own documents;
+    then what they have learnt is averaged by the tokens they have seen, and their expected counts are added up to the
+    next word distributions. Results do not depend on how a task's rows come in batches."""
     spark = docs.sparkSession
-    classes = make_classes(token_counts(docs, text_col))
-    params = start()
+    counts, seen = counted(docs, text_col)
+    model = start(counts, seen)
     for _ in range(rounds):
-        shipped = spark.sparkContext.broadcast((params, classes.class_of))
+        shipped = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            begin, class_of = shipped.value
-            trainer, tokens = Trainer(begin), Tokens()
-            waiting: list[tuple[np.ndarray, np.ndarray]] = []
-            held = 0
-
-            def flush(least: int) -> tuple[np.ndarray, np.ndarray]:
-                """Train on full batches, and at last on what is left; the tokens that still wait."""
-                context, target = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                at = 0
-                while len(target) - at >= least:
-                    trainer.step(context[at : at + BATCH], target[at : at + BATCH])
-                    at += BATCH
-                return context[at:], target[at:]
-
-            for batch in batches:
-                for text in batch["text"]:
-                    c = class_of[tokens.of(text)]
-                    waiting.append((contexts(c), c))
-                    held += len(c)
-                    if held >= BATCH:
-                        waiting = [flush(BATCH)]
-                        held = len(waiting[0][1])
-            if waiting:
-                flush(1)
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "seen": [trainer.seen], "flat": [packed(trainer.params).tobytes()]})
+            trainer = Trainer(shipped.value)
+            for stream in streams(_texts(batches), BATCH):
+                trainer.step(stream)
+            if trainer.seen:
+                yield _vector(trainer.seen, trainer.packed())
 
-        flat, seen = _summed(_source(docs, text_col).mapInPandas(run, "part long, seen long, flat binary"))
-        if not seen:
+        flat, n = summed(_source(docs, text_col).mapInPandas(run, VECTOR))
+        if not n:
             break
-        params = unpacked(flat)
-    return params, classes
+        model = unpacked(flat, n, counts)
+    return model
 
 
-def log_probabilities(params: dict[str, np.ndarray], classes: Classes, tokens: np.ndarray) -> np.ndarray:
-    """The conditional log-probability of every token given those around it."""
-    c = classes.class_of[tokens]
-    return of_classes(params, contexts(c), c) + classes.within[tokens]
+def scored(model: Model, texts: list[np.ndarray]) -> list[float]:
+    """The sum of the log-probabilities of each tokenised text."""
+    stream = np.concatenate([GAP, *(x for t in texts for x in (t, GAP))])
+    edges = np.cumsum([0, *(len(t) + REACH for t in texts)])
+    each = np.concatenate([log_probabilities(model, stream[at : at + CHUNK + 2 * REACH]) for at in range(0, max(1, len(stream) - 2 * REACH), CHUNK)])
+    total = np.concatenate([[0.0], np.cumsum(each), [0.0] * REACH])
+    total[len(each) + 1 :] = total[len(each)]
+    return (total[edges[1:]] - total[edges[:-1]]).tolist()
 
 
-def score(docs: DataFrame, params: dict[str, np.ndarray], classes: Classes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, log_likelihood (sum of the conditional log-probabilities), per_token.
 
-    A null text counts as empty; an empty one has log_likelihood 0 and a null per_token. Repeated rows score alike, an
-    empty table gives an empty result, other columns are ignored. No shuffle.
+    A null text counts as empty; an empty one has log_likelihood 0 and a null per_token. Rows with a null id are scored as
+    any other; repeated rows score alike, an empty table gives an empty result, other columns are ignored. No shuffle.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    shipped = docs.sparkSession.sparkContext.broadcast((params, classes))
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        params, classes = shipped.value
-        tokens = Tokens()
+        model, tokens = shipped.value, Tokens()
         for batch in batches:
-            ids = [tokens.of(t) for t in batch["text"]]
-            # documents are scored in runs, with REACH tokens beyond the text between them
-            sums, n = [], [len(i) for i in ids]
-            at = 0
-            while at < len(ids):
-                end, size = at, 0
-                while end < len(ids) and (end == at or size + n[end] <= 16 * BATCH):
-                    size += n[end]
-                    end += 1
-                sums += _together(params, classes, ids[at:end])
-                at = end
+            sums, waiting, size, n = [], [], 0, []
+            for text in batch["text"]:
+                waiting.append(tokens.of(text))
+                n.append(len(waiting[-1]))
+                size += n[-1]
+                if size >= CHUNK:
+                    sums += scored(model, waiting)
+                    waiting, size = [], 0
+            if waiting:
+                sums += scored(model, waiting)
             per = [s / k if k else None for s, k in zip(sums, n, strict=True)]
-            yield pd.DataFrame({id_col: batch["id"], "n_tokens": n, "log_likelihood": sums, "per_token": per})
-
-    source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return source.mapInPandas(run, f"{id_col} {id_type}, n_tokens long, log_likelihood double, per_token double")
-
+            yield pd.DataFrame({"id": batch["id"], "n_tokens": n, "log_likelihood": sums, "per_token": per})
 
-def _together(params: dict[str, np.ndarray], classes: Classes, ids: list[np.ndarray]) -> list[float]:
-    if len(ids) == 1:
-        return [float(log_probabilities(params, classes, ids[0]).sum())]
-    n = np.array([len(i) for i in ids])
-    tokens = np.concatenate(ids)
-    c = classes.class_of[tokens]
-    context = np.concatenate([contexts(x) for x in np.split(c, np.cumsum(n)[:-1])])
-    each = of_classes(params, context, c) + classes.within[tokens]
-    return np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)).tolist()
+    # ids travel as text: pandas would turn integers beside nulls into floats
+    source = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("text"))
+    out = source.mapInPandas(run, "id string, n_tokens long, log_likelihood double, per_token double")
+    return out.select(F.col("id").cast(id_type).alias(id_col), "n_tokens", "log_likelihood", "per_token")
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`score` of docs by the network that `train` has from the same docs."""
-    return score(docs, *train(docs, text_col), id_col, text_col)
+    """`score` of docs by the model that `train` has from the same docs."""
+    return score(docs, train(docs, text_col), id_col, text_col)

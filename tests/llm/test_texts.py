@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from sievework.llm import bpe, lz_fingerprint, pseudo_likelihood, quality, unigram_counts
+from sievework.llm import bpe, lz_fingerprint, quality, unigram_counts
 
 DOCS = "doc_id long, text string, score string, n_tokens string"
 TEXTS = [
@@ -143,30 +143,3 @@ def test_quality_learns_and_defines_edges(spark):
     kept = quality.stage(docs, labels)
     assert kept.columns == docs.columns
     assert quality.classify(docs.limit(0), labels).count() == 0
-
-
-def test_pseudo_likelihood_scores_and_beats_shuffled_text(spark):
-    rng = random.Random(2)
-    order = ["alpha", "beta", "gamma", "delta", "rho", "tau"]
-    rows = [(i, " ".join(order[(i + j) % 6] for j in range(60))) for i in range(200)]
-    rows += [(900, None), (901, ""), (902, "one"), (903, "word " * 40_000), (1, rows[1][1])]
-    docs = frame(spark, rows).repartition(4)
-    params, classes = pseudo_likelihood.train(docs, rounds=6)
-    got = {r.doc_id: r for r in pseudo_likelihood.score(docs, params, classes).collect()}
-    assert got[900].log_likelihood == got[901].log_likelihood == 0.0 and got[900].per_token is None and got[902].n_tokens == 1
-    tokens = pseudo_likelihood.Tokens()
-    for i in (0, 7, 902):
-        ids = tokens.of(dict(rows)[i])
-        c = classes.class_of[ids]
-        total = 0.0
-        for at in range(len(ids)):
-            near = [c[k] if 0 <= k < len(ids) else pseudo_likelihood.CLASSES for k in (at - 2, at - 1, at + 1, at + 2)]
-            h = np.tanh(params["bias"] + sum(params["inp"][p][x] for p, x in enumerate(near)))
-            z = h @ params["out"] + params["prior"]
-            total += float(z[c[at]] - np.log(np.exp(z - z.max()).sum()) - z.max()) + classes.within[ids[at]]
-        assert abs(total - got[i].log_likelihood) < 1e-2 * max(1, len(ids) / 10)
-    mixed = dict(rows)[0].split()
-    rng.shuffle(mixed)
-    bad = pseudo_likelihood.score(frame(spark, [(1, " ".join(mixed))]), params, classes).first()
-    assert got[0].per_token > bad.per_token + 0.2
-    assert pseudo_likelihood.pseudo_likelihood(frame(spark, [])).count() == 0
