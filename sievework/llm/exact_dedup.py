@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_groups, new_path, text_of, written
+from .common import SPACES, free_name, join_groups, new_path, text_of, written
 
 #: Keyed state on the executors' disks, without space that each of many small stores would allocate ahead.
 STATE = {
@@ -71,25 +72,29 @@ def groups_of(spark: SparkSession, log: str, id_type: str) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_a_batch: int = 10_000) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_a_batch: int = 10_000, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256 (the hex digits of `digest`).
 
     Texts are equal when they are identical after each run of ASCII white space has become one space; of equal texts
     the row with the smallest id stays. Digests go through a stream with disk-backed state (`digest_state`); every hit
-    is then compared in full with the text of the row that stays, so that rows whose digests alone agree would all be
-    kept, each as a group of its own.
+    is then compared in full with the text of the row that stays, both fetched by their locators. Rows whose digests
+    alone agree are grouped by their full texts.
 
     Null texts count as empty, and empty texts are copies of each other. A row without an id stays only where no row
-    of its group has an id. Of repeated rows (same id and text) one is kept. An empty table gives an empty result.
-    Other columns are ignored, whatever their names.
+    of its group has an id. Of repeated rows (same id and equal text) one is kept. An empty table gives an empty
+    result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-    source = source.withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    where = F.concat_ws("#", F.input_file_name(), F.col("id").cast("string"))
+    # the file that holds the row, its id there, and a hash that tells rows of one id apart
+    where = F.concat_ws("#", F.input_file_name(), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.xxhash64(F.col(text_col))))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), where.alias("locator"))
     keys_path, work = new_path(spark, "digests"), new_path(spark, "dedup")
-    source.select("id", "digest", where.alias("locator")).write.parquet(keys_path)
+    source.select("id", digest(normalised()).alias("digest"), "locator").write.parquet(keys_path)
     schema = f"id {id_type}, digest binary, locator string"
     keys = spark.read.schema(schema).parquet(keys_path)
     total = keys.count()
@@ -97,51 +102,55 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return spark.createDataFrame([], f"{id_col} {id_type}, keep_id {id_type}, group_size long, kept boolean, text_sha256 string")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(keys_path)
     digest_state(stream, f"{work}/state", f"{work}/log")
-    groups = written(groups_of(spark, f"{work}/log", id_type), "groups").drop("locator")
+    groups = written(groups_of(spark, f"{work}/log", id_type).withColumnRenamed("locator", "keep_locator"), "groups")
 
-    info = keys.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("times"))
+    info = keys.groupBy("id", "digest", "locator").agg(F.count(F.lit(1)).alias("times"))
     info = written(join_groups(info, groups, ["digest"], "group_size", total), "info")
-    is_first = F.col("id").eqNullSafe(F.col("keep_id"))
-    lone = info.where("group_size = 1").select("id", "digest", "keep_id", "group_size", F.lit(True).alias("kept"), F.lit(True).alias("same"))
-    checked = _same_bytes(source, info.where("group_size > 1"))
+    lone = info.where("group_size = 1").select("id", "digest", "keep_id", "group_size")
+    checked = written(_compared(source, info.where("group_size > 1"), digest), "compared")
+    same = checked.where("other IS NULL").select("id", "digest", "keep_id", "group_size")
+    # rows with the digest, but not the text, of the row that stays; as good as never any
+    other = checked.where("other IS NOT NULL")
+    if not other.isEmpty():
+        apart = other.groupBy("digest", "other").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"), F.count(F.lit(1)).alias("own"))
+        away = apart.groupBy("digest").agg(F.sum("own").alias("away"))
+        same = same.join(away, "digest", "left").withColumn("group_size", F.col("group_size") - F.coalesce("away", F.lit(0))).drop("away")
+        other = other.select("id", "digest", "other").join(apart, ["digest", "other"])
+        same = same.unionByName(other.select("id", "digest", F.col("first.id").alias("keep_id"), F.col("own").alias("group_size")))
+    rows = lone.unionByName(same)
     # of rows that repeat with the id that stays, one is kept
-    again = checked.where(is_first & (F.col("times") > 1)).groupBy("id", "digest", "keep_id", "group_size", "same").agg(F.count(F.lit(1)).alias("n"))
-    again = again.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).withColumn("kept", F.col("i") == 1)
-    once = checked.where(~(is_first & (F.col("times") > 1))).withColumn("kept", is_first)
-    columns = lone.columns
-    out = lone.unionByName(once.select(columns)).unionByName(again.select(columns))
-    return out.select(
-        F.col("id").alias(id_col),
-        F.when(F.col("same"), F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"),
-        F.when(F.col("same"), F.col("group_size")).otherwise(F.lit(1).cast("long")).alias("group_size"),
-        (F.col("kept") | ~F.col("same")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    first = rows.where(stays & (F.col("group_size") > 1)).groupBy("id", "digest", "keep_id", "group_size").agg(F.count(F.lit(1)).alias("n"))
+    first = first.select("id", "digest", "keep_id", "group_size", F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: i == 1)).alias("kept"))
+    rows = rows.where(~(stays & (F.col("group_size") > 1))).withColumn("kept", stays).unionByName(first)
+    return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def _same_bytes(source: DataFrame, hits: DataFrame) -> DataFrame:
-    """One row per source row of `hits`, with `same`: whether its full text equals that of the row that stays.
+def _compared(source: DataFrame, hits: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """One row per source row of `hits`, with `other`: its text where that differs from the text of the row that stays.
 
-    The texts are fetched by id and digest; a row that stays meets its copies in as many replicas as COPIES_A_REPLICA
-    asks for, so a group of any size spreads over many tasks.
+    Texts are fetched by locator, so only those of hits are normalised and digested again; a row that stays meets its
+    copies in as many replicas as COPIES_A_REPLICA asks for, so a group of any size spreads over many tasks.
     """
     replicas = F.ceil(F.col("group_size") / COPIES_A_REPLICA).cast("int")
-    info = hits.withColumnsRenamed({"id": "hit_id", "digest": "hit_digest"})
-    texts = source.join(info, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest"))).drop("hit_id", "hit_digest")
+    wanted = hits.select("locator", F.col("digest").alias("hit"), "keep_id", "keep_locator", "group_size")
+    texts = source.join(wanted, "locator").withColumn("norm", normalised()).drop("text")
+    texts = texts.withColumn("digest", digest(F.col("norm"))).where("digest = hit").drop("hit")
     texts = written(texts.withColumn("salt", F.pmod(F.xxhash64("id", F.rand(7)), replicas).cast("int")), "hits")
-    stays = texts.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "group_size").agg(F.min("norm").alias("kept_norm"))
+    stays = texts.where("locator = keep_locator").groupBy("digest", "group_size").agg(F.min("norm").alias("kept_norm"))
     stays = stays.select("digest", "kept_norm", F.explode(F.sequence(F.lit(0), replicas - 1)).alias("salt"))
-    return texts.join(stays, ["digest", "salt"]).withColumn("same", F.col("norm") == F.col("kept_norm")).drop("norm", "kept_norm", "salt")
+    other = F.when(F.col("norm") != F.col("kept_norm"), F.col("norm"))
+    return texts.join(stays, ["digest", "salt"]).select("id", "digest", "keep_id", "group_size", other.alias("other"))
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. Of repeated rows (same id and text) one stays."""
-    keep = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("keep_doc"), F.col("text_sha256").alias("keep_sha"))
-    digest = F.sha2(normalised("text"), 256)
-    on = docs["doc_id"].eqNullSafe(F.col("keep_doc")) & (digest == F.col("keep_sha"))
-    found = docs.join(keep.distinct(), on, "left_semi")
-    return found.dropDuplicates(["doc_id", "text"]) if _repeats(docs) else found
+    """The documents that stay, with all their columns. Of rows with the same id and equal texts one stays.
 
-
-def _repeats(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    Null texts count as empty; a row without an id stays where no row of its group has one. Texts of any length, ties,
+    an empty table and further columns, whatever their names, are as in `exact_dedup`.
+    """
+    key = free_name(docs, "row_key")
+    of = lambda id_, sha: F.concat_ws("#", F.coalesce(F.col(id_).cast("string"), F.lit("null")), sha)
+    keep = exact_dedup(docs).where("kept").select(of("doc_id", F.col("text_sha256")).alias(key))
+    marked = docs.withColumn(key, of("doc_id", F.sha2(normalised(), 256)))
+    return marked.join(keep, key, "left_semi").dropDuplicates([key]).drop(key)

@@ -48,6 +48,37 @@ def test_exact_dedup_large_group_and_stage(spark):
     assert staged.columns == docs.columns and staged.count() == 21
 
 
+def test_rows_that_share_a_digest_only_are_told_apart_by_their_texts(spark):
+    rows = [(1, "a b"), (2, "a  b"), (3, "c"), (4, "d"), (5, "c "), (6, "a b"), (None, "c"), (7, "c"), (7, "c"), (8, "d")]
+    got = exact_dedup.exact_dedup(frame(spark, rows).repartition(3), digest=lambda text: F.encode(F.lit("one"), "UTF-8")).collect()
+    assert len(got) == len(rows)
+    for i, t in rows:
+        group = [j for j, u in rows if norm(u) == norm(t)]
+        first = min((j for j in group if j is not None), default=None)
+        assert {(r.keep_id, r.group_size) for r in got if r.doc_id == i} == {(first, len(group))}
+    assert sorted(r.doc_id for r in got if r.kept) == [1, 3, 4, 5]
+
+
+def test_stage_drops_repeats_with_other_white_space(spark):
+    rows = [(1, "a b"), (1, "a  b"), (2, "a b"), (3, None), (4, ""), (None, "x"), (None, "x "), (5, "y"), (5, "z"), (6, "é" * 100_000)]
+    docs = frame(spark, rows).withColumn("ROW_KEY", F.lit("clash")).repartition(3)
+    kept = exact_dedup.stage(spark, docs)
+    assert kept.columns == docs.columns
+    want = [(0, "x"), (0, "x "), (1, "a b"), (3, ""), (5, "y"), (5, "z"), (6, "é" * 100_000)]
+    assert sorted((r.doc_id or 0, norm(r.text)) for r in kept.collect()) == want
+    assert exact_dedup.stage(spark, docs.limit(0)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from sievework.llm import common
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(unset)
+
+
 def test_exact_dedup_empty_table(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
