@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import parts, text_of
 
@@ -17,8 +19,6 @@ from .common import parts, text_of
 SIZE = 128
 MASK = (1 << 64) - 1
 MULTIPLIER = 6364136223846793005
-#: Ranges of ids over which the documents are dealt, at most.
-MOST_RANGES = 10_000
 
 
 def code_points(text: str) -> list[int]:
@@ -76,37 +76,73 @@ def written_out(fingerprint: np.ndarray) -> str:
     return base64.b64encode(fingerprint.astype("<u4").tobytes()).decode()
 
 
+LOWEST = -1.7976931348623157e308
+
+
+def place_of(id_: Column, type_: T.DataType) -> Column:
+    """A number that never falls as the id grows: the id itself, as far as a double holds it, or the leading bytes of a
+    string. A null id has the lowest place."""
+    if isinstance(type_, T.NumericType):
+        place = id_.cast("double")
+    elif isinstance(type_, T.StringType):
+        place = F.conv(F.rpad(F.substring(F.hex(F.encode(id_, "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+    else:
+        raise TypeError(f"ids must be numbers or strings, not {type_.simpleString()}")
+    return F.coalesce(place, F.lit(LOWEST))
+
+
 def neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns part, extra, id, text: the documents dealt out by ranges of ids, in descending order within each part.
 
     The last document of a part needs the first one of the next lower part (the lowest needs the highest), so those
-    first documents, one for each part, come a second time as extra rows at the end. One shuffle of the texts. Null
-    ids order last. Rows with equal ids are in the order of their texts.
+    first documents, one for each part, come a second time as extra rows at the end. One shuffle of the texts. Parts are
+    cut at quantiles of the ids' places and rows are ordered by the ids themselves. Null ids order last. Rows with equal
+    ids follow each other by a hash of the text; an id that many rows share is cut into parts by that hash.
     """
-    spark = docs.sparkSession
+    spark, type_ = docs.sparkSession, docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    place = F.coalesce(F.col("id").cast("double"), F.lit(float("-inf"))).alias("place")
-    ranges = min(parts(spark), MOST_RANGES)
-    ids = docs.select(F.col(id_col).cast("double").alias("place")).where("place IS NOT NULL")
-    cuts = sorted(set(ids.approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
-    splits = [-float("inf"), *cuts, float("inf")]
-    dealer = Bucketizer(splits=splits, inputCol="place", outputCol="part") if cuts else None
-    dealt = dealer.transform(rows.select("*", place)) if dealer else rows.select("*", place, F.lit(0.0).alias("part"))
-    dealt = dealt.withColumn("part", F.col("part").cast("int"))
-    # at most MOST_RANGES rows: the first place of each part that has rows
-    firsts = sorted((r.part, r.place) for r in dealt.groupBy("part").agg(F.max("place").alias("place")).collect())
+    rows = rows.select("id", "text", place_of(F.col("id"), type_).alias("place"), F.xxhash64("text").alias("mixed"))
+    ranges = parts(spark)
+    cuts = Counter(rows.approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else [])
+    shared = rows.where(F.col("place").isin([c for c, n in cuts.items() if n > 1])) if max(cuts.values(), default=0) > 1 else rows.limit(0)
+    # places of one id alone that take several ranges: as many rows as there are such cuts
+    hot = shared.groupBy("place").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <=> high").collect()
+    pieces = {r.place: cuts[r.place] for r in hot}
+    edges = sorted(cuts)
+    splits = [-float("inf"), *edges, float("inf")]
+    dealt = Bucketizer(splits=splits, inputCol="place", outputCol="range").transform(rows) if edges else rows.withColumn("range", F.lit(0.0))
+    # parts number the ranges upwards; a hot place has its pieces before the rest of the range that it begins
+    first_part, at = [0], 0
+    for edge in edges:
+        at += 1
+        first_part.append(at)
+        at += pieces.get(edge, 0)
+    n_parts = at + 1
+    base = F.element_at(F.array(*map(F.lit, first_part)), (F.col("range") + 1).cast("int"))
+    if pieces:
+        held = F.element_at(F.create_map(*(F.lit(x) for pair in pieces.items() for x in pair)), F.col("place"))
+        of_range = F.element_at(F.array(*(F.lit(pieces.get(e, 0)) for e in [None, *edges])), (F.col("range") + 1).cast("int"))
+        piece = F.floor((F.shiftrightunsigned("mixed", 1) / float(1 << 63)) * held)
+        dealt = dealt.withColumn("part", (base + F.when(held.isNotNull(), F.least(piece, held - 1)).otherwise(of_range)).cast("int"))
+    else:
+        dealt = dealt.withColumn("part", base.cast("int"))
+    rank = F.struct(F.col("id").isNotNull().alias("known"), "id", F.shiftrightunsigned("mixed", 1).alias("mixed"))
+    # one row for each part that has rows: what its first document is
+    firsts = sorted(dealt.groupBy("part").agg(F.max(rank).alias("first")).collect(), key=lambda r: r.part)
     if not firsts:
         return dealt.select("part", F.lit(0).alias("extra"), "id", "text")
-    goes_to = [(place, firsts[(i + 1) % len(firsts)][0]) for i, (_, place) in enumerate(firsts)]
-    extra = spark.createDataFrame(goes_to, "place double, also int")
-    both = dealt.join(F.broadcast(extra), "place", "left").select(
-        "id", "text", "place", F.explode(F.array_compact(F.array(
+    id_type = type_.simpleString()
+    goes_to = [(r.first.known, r.first.id, r.first.mixed, r.part, firsts[(i + 1) % len(firsts)].part) for i, r in enumerate(firsts)]
+    extra = spark.createDataFrame(goes_to, f"known boolean, first_id {id_type}, first_mixed long, own int, also int")
+    on = (F.col("part") == F.col("own")) & F.col("id").eqNullSafe(F.col("first_id")) & (F.shiftrightunsigned("mixed", 1) == F.col("first_mixed"))
+    both = dealt.join(F.broadcast(extra), on, "left").select(
+        "id", "text", F.shiftrightunsigned("mixed", 1).alias("mixed"), F.explode(F.array_compact(F.array(
             F.struct(F.col("part"), F.lit(0).alias("extra")),
             F.when(F.col("also").isNotNull(), F.struct(F.col("also").alias("part"), F.lit(1).alias("extra"))),
         ))).alias("to"),
     )
-    both = both.select("to.part", "to.extra", "place", "id", "text").repartitionById(len(splits) - 1, F.col("part"))
-    return both.sortWithinPartitions("part", "extra", F.desc("place"), "text").drop("place")
+    both = both.select("to.part", "to.extra", "mixed", "id", "text").repartitionById(n_parts, F.col("part"))
+    return both.sortWithinPartitions("part", "extra", F.desc_nulls_last("id"), F.desc("mixed")).drop("mixed")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,8 +152,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all, of the next document in descending order of id (after the last: the first). Both texts are parsed whole; what
     they have in common is parsed once. A null text counts as empty and has the empty fingerprint; likeness is 1
     between two empty texts and 0 between an empty and another one. A single document is its own neighbour. Equal
-    texts have equal fingerprints. Rows with equal ids follow each other in the order of their texts. An empty table
-    gives an empty result; other columns are ignored.
+    texts have equal fingerprints. Ids are numbers or strings, of any size; null ids order last; rows with equal ids
+    follow each other by a hash of the text. An empty table gives an empty result; other columns are ignored.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -100,26 +100,77 @@ def test_likeness_estimates_jaccard():
     assert lz_fingerprint.likeness(print_(""), print_("")) == 1.0 and lz_fingerprint.likeness(print_(""), print_(a)) == 0.0
 
 
+def plain_print(text):
+    """The fingerprint written out once more: a phrase's hash goes on from that of the phrase it extends."""
+    of = {"": 1}
+    for phrase in sorted(phrases(text), key=len):
+        of[phrase] = (of[phrase[:-1]] * 6364136223846793005 + ord(phrase[-1]) + 1) % 2**64
+    mixed = set()
+    for phrase, h in of.items():
+        if phrase:
+            h ^= h >> 30
+            h = h * 0xBF58476D1CE4E5B9 % 2**64
+            h ^= h >> 27
+            h = h * 0x94D049BB133111EB % 2**64
+            mixed.add(h >> 32)
+    return sorted(mixed)[:128]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    k = 128 if max(len(a), len(b)) >= 128 else len(a) + len(b)
+    smallest = sorted(set(a) | set(b))[:k]
+    return sum(x in a and x in b for x in smallest) / len(smallest)
+
+
 def brute_prints(rows):
-    rows = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -math.inf), r[1] or ""))
+    import base64
+    import struct
+
+    import xxhash
+
+    order = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), seed=42)) >> 1
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else rows[0][0], order(r[1])), reverse=True)
     out = []
+    text = lambda p: base64.b64encode(struct.pack(f"<{len(p)}I", *p)).decode()
     for k, (i, t) in enumerate(rows):
         t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
-        a, e, n = (lz_fingerprint.Phrases().read(lz_fingerprint.code_points(x)).fingerprint() for x in (t, edited, nxt))
-        out.append((i, len(t), edited, lz_fingerprint.written_out(a), lz_fingerprint.written_out(e), lz_fingerprint.likeness(a, e), lz_fingerprint.likeness(a, n)))
+        a, e, n = map(plain_print, (t, edited, nxt))
+        out.append((i, len(t), edited, text(a), text(e), plain_likeness(a, e), plain_likeness(a, n)))
     return out
 
 
+def same_prints(got, rows):
+    key = lambda r: (r[0] is None, r[0] or type(rows[0][0])(), r[2], r[4])
+    return sorted(map(tuple, got), key=key) == sorted(brute_prints(rows), key=key)
+
+
 @pytest.mark.parametrize("n", [1, 2, 9, 60])
 def test_fingerprints_against_brute_force(spark, n):
-    rows = list(enumerate((TEXTS[:10] + TEXTS[11:] + random_texts(60))[:n]))
+    rows = list(enumerate((TEXTS[:10] + TEXTS[12:] + random_texts(60))[:n]))
     if n > 20:
         rows += [(7, "repeated id"), (None, "null id"), rows[4]]
-    got = lz_fingerprint.fingerprints(frame(spark, rows).repartition(3)).collect()
-    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[4])
-    assert sorted(map(tuple, got), key=key) == sorted(brute_prints(rows), key=key)
+    assert same_prints(lz_fingerprint.fingerprints(frame(spark, rows).repartition(3)).collect(), rows)
+
+
+@pytest.mark.parametrize("ids", ["large", "text", "hot", "hot null"])
+def test_fingerprints_of_any_ids(spark, ids):
+    """Ids that no double tells apart, strings, and ids that most of the rows share."""
+    of = {"large": lambda i: 2**60 + i * 37 % 50 * 100, "text": lambda i: f"dé{i * 7 % 50}", "hot": lambda i: 5 if i % 5 else i, "hot null": lambda i: None if i % 4 == 1 else i}[ids]
+    rows = [(of(i), t) for i, t in enumerate(random_texts(50, 5))]
+    docs = spark.createDataFrame(rows, f"doc_id {'string' if ids == 'text' else 'long'}, text string").repartition(5)
+    dealt = lz_fingerprint.neighbours(docs, "doc_id", "text")
+    assert dealt.where("extra = 0").count() == 50
+    assert dealt.where("extra = 0").select("part").distinct().count() > 2
+    assert same_prints(lz_fingerprint.fingerprints(docs).collect(), rows)
+
+
+def test_fingerprints_refuse_other_ids(spark):
+    with pytest.raises(TypeError):
+        lz_fingerprint.fingerprints(spark.createDataFrame([(True, "a")], "doc_id boolean, text string"))
 
 
 def test_fingerprints_empty_table(spark):
