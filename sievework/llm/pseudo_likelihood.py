@@ -18,12 +18,12 @@ TOKENS = 1 << 14
 #: Stands for what lies beyond a text, and between two texts of a stream.
 BEYOND = TOKENS
 #: Neighbours on each side, numbers in an embedding and in the hidden layer, word distributions that the network mixes.
-REACH, HIDDEN, SORTS = 3, 16, 32
+REACH, HIDDEN, SORTS = 3, 16, 16
 #: Buckets into which the neighbours of a token are counted for the first embeddings.
 SKETCH = 32
 ROUNDS, BATCH, RATE = 2, 2048, 0.15
 #: Vectors that one task adds up.
-FAN_IN = 16
+FAN_IN = 4
 MOST_WORDS_REMEMBERED = 1_000_000
 #: Tokens that are counted, or scored, together.
 CHUNK = 1 << 16
@@ -49,6 +49,8 @@ class Tokens:
 
 
 GAP = np.full(REACH, BEYOND, np.int32)
+#: Sums of rows by a product; logits beyond MOST count as MOST.
+ONES, MOST = np.ones((SORTS, 1), np.float32), 60
 
 
 def streams(texts: Iterator[str], length: int) -> Iterator[np.ndarray]:
@@ -135,9 +137,9 @@ def layers(m: Model, stream: np.ndarray) -> tuple[np.ndarray, ...]:
     np.tanh(h, out=h)
     z = h @ m.out
     z += m.prior
-    z -= z.max(1, keepdims=True)
+    np.clip(z, -MOST, MOST, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= z @ ONES
     return e, a, h, z
 
 
@@ -169,13 +171,14 @@ class Trainer:
         if not count:
             return
         e, a, h, shares = layers(m, stream)
-        target = np.where(real, target, 0)
-        owed = shares * m.words[target]
-        owed /= owed.sum(1, keepdims=True)
-        owed *= real[:, None]
-        d = shares * real[:, None]
-        d -= owed
-        d /= count
+        whole = count == n
+        owed = shares * m.words[target if whole else np.where(real, target, 0)]
+        owed /= owed @ ONES
+        d = shares - owed
+        if not whole:
+            owed *= real[:, None]
+            d *= real[:, None]
+        d /= np.float32(count)
         dh = d @ m.out.T
         dh *= 1 - h * h
         da = dh @ m.mix.T
@@ -194,7 +197,8 @@ class Trainer:
         both = np.zeros((len(stream), HIDDEN + SORTS), np.float32)
         both[:, :HIDDEN] = de
         both[REACH : REACH + n, HIDDEN:] = owed
-        both = np.add.reduceat(both[order], first)
+        both = np.cumsum(both[order], axis=0, dtype=np.float32)[np.append(first[1:], len(order)) - 1]
+        both[1:] -= both[:-1].copy()
         self.move("embed", of, both[:, :HIDDEN])
         if of[-1] == BEYOND:
             of, both = of[:-1], both[:-1]
@@ -203,8 +207,9 @@ class Trainer:
 
     def move(self, name: str, at, gradient: np.ndarray) -> None:
         squares, values = self.squares[name], getattr(self.m, name)
-        squares[at] += gradient * gradient
-        values[at] -= RATE * gradient / np.sqrt(squares[at])
+        square = squares[at] + gradient * gradient
+        squares[at] = square
+        values[at] -= RATE * gradient / np.sqrt(square)
 
     def packed(self) -> np.ndarray:
         """What is learnt, times the tokens seen, and then the expected counts: a vector that may be added up."""
