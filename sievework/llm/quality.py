@@ -10,22 +10,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import free_name, text_of
 
 #: Labelled rows that a fit uses at most: those with the smallest hashes of their ids.
 MOST_ROWS = 20_000
 #: Preference pairs drawn from them.
 PAIRS = 200_000
+#: Pairs whose differences are held at once.
+SLICE = 20_000
 #: The score at which a document is taken for label 1.
 CUT = 0.3
-FEATURES = 15
+#: Surface counts of a text, and buckets of its hashed byte trigrams.
+COUNTS, TRIGRAMS = 15, 48
+FEATURES = COUNTS + TRIGRAMS
 
 
-def features(text: str) -> list[float]:
-    """FEATURES numbers from the whole text: shares of kinds of characters, word lengths, repetition, length."""
+def features(text: str) -> np.ndarray:
+    """FEATURES numbers from the whole text: shares of kinds of characters, word lengths, repetition and length, and the
+    square roots of the shares of its lower-cased byte trigrams by TRIGRAMS hash buckets."""
     raw = text.encode("utf-8", "surrogatepass")
-    if not raw:
-        return [0.0] * FEATURES
+    out = np.zeros(FEATURES)
+    if raw:
+        out[:COUNTS] = counts(raw)
+        low = np.frombuffer(raw.lower(), np.uint8).astype(np.uint32)
+        if len(low) > 2:
+            mixed = (low[:-2] << 16 | low[1:-1] << 8 | low[2:]) * np.uint32(2654435761) >> np.uint32(16)
+            out[COUNTS:] = np.sqrt(np.bincount(mixed % TRIGRAMS, minlength=TRIGRAMS) / len(mixed))
+    return out
+
+
+def counts(raw: bytes) -> list[float]:
     b = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     n = len(raw)
     words = raw.split()
@@ -73,13 +87,19 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-2, s
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.clip((x - mean) / scale, -8, 8)
     rng = np.random.default_rng(seed)
-    diff = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+    better, worse = rng.choice(good, pairs), rng.choice(bad, pairs)
     w = np.zeros(d)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        grad = diff.T @ p / pairs - ridge * w
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff / pairs + ridge * np.eye(d)
-        w += np.linalg.solve(hess, grad)
+        grad, hess = -ridge * w, ridge * np.eye(d)
+        for at in range(0, pairs, SLICE):
+            diff = z[better[at : at + SLICE]] - z[worse[at : at + SLICE]]
+            p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
+            grad += diff.T @ p / pairs
+            hess += (diff * (p * (1 - p))[:, None]).T @ diff / pairs
+        step = np.linalg.solve(hess, grad)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
     raw = z @ w
     cuts = np.quantile(raw, np.linspace(0, 1, 1001))
     of_good, of_bad = np.sort(raw[good]), np.sort(raw[bad])
@@ -94,16 +114,21 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    """The model from at most most_rows labelled, not held-out rows of docs; rows without label, id or text don't count."""
+    """The model from at most most_rows labelled, not held-out rows of docs; rows without label, id or text don't count.
+
+    Of several texts with one id the first in order counts, and of several labels the largest.
+    """
     wanted = labels.where(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(wanted), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [features(t) for t in batch["text"]], "y": batch["quality"].astype(int)})
 
-    got = rows.mapInPandas(run, "doc_id long, x array<double>, y int").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    got = rows.mapInPandas(run, f"doc_id {id_type}, x array<double>, y int").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(len(got), FEATURES)
     return fit(x, got["y"].to_numpy())
 
@@ -119,19 +144,22 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 
 
 def classify(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 where score >= CUT).
+    """One row per document: doc_id, score (0 to 1, higher: label 1 likelier), predicted (1 where score >= CUT).
 
-    A null text scores as an empty one. Without labels of both kinds every score is 0.5. Repeated rows score alike. An
-    empty table gives an empty result. Labels of unknown documents, null labels and repeated labels (the larger
-    counts) are allowed; columns of docs other than doc_id and text never enter a score.
+    A null text scores as an empty one; rows with a null id are scored as any other. Without labels of both kinds every
+    score is 0.5. Repeated rows score alike. An empty table gives an empty result. Labels of unknown documents, null
+    labels and repeated labels (the larger counts) are allowed. Columns other than doc_id and text, whatever their
+    names, neither enter a score nor come back.
     """
-    scored = score(docs, train(docs, labels, most_rows))
+    scored = score(docs.select("doc_id", "text"), train(docs, labels, most_rows)).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted as label 1, with all their columns and no others."""
-    name = "quality_score"
-    while name in docs.columns:
-        name += "_"
+    """The documents predicted as label 1, with all their columns and no others, whatever their names.
+
+    Null and empty texts are scored as empty ones; without labels of both kinds all documents stay; repeated rows and
+    an empty table are as in `classify`.
+    """
+    name = free_name(docs, "quality_score")
     return score(docs, train(docs, labels), name=name).where(F.col(name) >= CUT).drop(name)
