@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_of, written
 from .wordblocks import by_position, valued, word_blocks
 
 #: Rows whose decoded bytes a task holds at once.
@@ -29,6 +32,45 @@ def _cutter(pattern: str):
     return regex.compile(pattern).findall
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one pre-token: while neighbouring parts together make a token, the pair of lowest rank, the first of
+    equal ones, becomes one part. A heap holds the pairs, so a word of n bytes takes n log n steps."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    n = len(word)
+    if n < 32:
+        parts = [word[i : i + 1] for i in range(n)]
+        while True:
+            pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+            known = [p for p in pairs if p is not None]
+            if not known:
+                return [ranks[p] for p in parts]
+            i = pairs.index(min(known))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    # part i begins at byte i and ends where the next one begins; 0 marks one that has been taken up
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        middle = end[i]
+        if not middle or middle >= n or end[middle] != stop:
+            continue
+        end[i], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if before[i] >= 0 and (r := ranks.get(word[before[i] : stop])) is not None:
+            heapq.heappush(heap, (r, before[i], stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The pieces flat[starts[c] : starts[c] + lengths[c]] of all codes c, one after the other."""
     n = lengths[codes]
@@ -47,10 +89,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     coded, words = word_blocks(docs, id_col, text_col, lambda: _cutter(pattern))
 
     def merger():
-        import tiktoken
-
-        merge = _cached(shipped.value, lambda r: tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=r, special_tokens={})._core_bpe.encode_single_piece)
-        return lambda word: np.array(merge(word.encode()), "<u4")
+        ranks = shipped.value
+        return lambda word: np.array(merged(word.encode(), ranks), "<u4")
 
     def assemble(numbers: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[int, bytes]:
         ids = gather(numbers, starts, lengths, codes)
@@ -59,14 +99,34 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     return by_position(coded, valued(words, merger), assemble, "n_tokens long, ids binary", id_col, docs.schema[id_col].dataType.simpleString())
 
 
-_made: dict[int, object] = {}
+def encode_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What `encode` gives, in plain rows: one row per pre-token and position, a shuffle to the distinct words, which are
+    merged once, a join of their ids back, and a sort by position. Rows are ten times the texts' bytes, and a frequent
+    word is one key of the join; `encode` carries the same in blocks. Rows are told apart by a number."""
+    shipped = docs.sparkSession.sparkContext.broadcast(ranks)
+    rows = written(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "numbered")
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(_cutter(pattern))
+
+    @F.pandas_udf("array<int>")
+    def merge(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: merged(w.encode(), shipped.value))
+
+    places = rows.select("row", F.posexplode(cut("text")).alias("place", "word"))
+    words = places.select("word").distinct().withColumn("ids", merge("word"))
+    joined = places.join(words, "word").groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return rows.select("id", "row").join(joined, "row", "left").select(F.col("id").alias(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
-def _cached(ranks: dict[bytes, int], make):
-    """make(ranks), once for each Python worker."""
-    if id(ranks) not in _made:
-        _made[id(ranks)] = make(ranks)
-    return _made[id(ranks)]
+def decode_rows(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """encode_rows' result with `decoded`: ids by position joined with the token-byte table, and put together in order."""
+    table = encoded.sparkSession.createDataFrame([(i, t.hex()) for t, i in ranks.items()], "token int, bytes string")
+    rows = written(encoded.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    places = rows.select("row", F.posexplode("ids").alias("place", "token")).join(table, "token")
+    back = places.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "bytes"))), lambda x: x["bytes"]), "").alias("hex"))
+    return rows.join(back, "row", "left").withColumn("decoded", F.unhex(F.coalesce("hex", F.lit("")))).drop("row", "hex")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import deque
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,8 +13,10 @@ from .wordblocks import by_position, valued, word_blocks
 
 #: What SentencePiece puts for the space before a word.
 MARK = "▁"
-#: Code points, MARK among them, that decide the bucket of a word.
+#: Code points, MARK among them, that decide the bucket of a word; where many words begin alike, more of them do.
 PREFIX = 5
+#: Code points of a word that are kept in the trie; beyond them the states of one word are computed for it alone.
+DEPTH = 64
 
 
 def piece_scores(path: str) -> dict[str, float]:
@@ -40,23 +44,30 @@ class Trie:
     def count(self, word: str) -> int:
         """Tokens on the best path of `word`, from the terminal node."""
         node, path = self.root, [self.root]
-        for end, c in enumerate(word, 1):
+        for end, c in enumerate(word[:DEPTH], 1):
             after = node[2].get(c)
             if after is None:
-                after = node[2][c] = (*self.best(word, end, path), {})
+                after = node[2][c] = (*self.best(word, end, path, 0), {})
             path.append(after)
             node = after
+        if len(word) > DEPTH:
+            # only as many states back as the longest piece has code points
+            near = deque(path[-self.longest :], self.longest)
+            for end in range(DEPTH + 1, len(word) + 1):
+                near.append((*self.best(word, end, near, end - len(near)), None))
+            node = near[-1]
         return node[1]
 
-    def best(self, word: str, end: int, path: list[tuple]) -> tuple[float, int]:
+    def best(self, word: str, end: int, path: Sequence[tuple], first: int) -> tuple[float, int]:
+        """Best score and tokens up to `end`, from the states of the ends `first` and on in path."""
         n_bytes = len(word[end - 1].encode("utf-8", "surrogatepass"))
-        score, tokens, _ = path[end - 1]
+        score, tokens, _ = path[end - 1 - first]
         best = (score + self.floor * n_bytes, tokens + n_bytes)
         scores = self.scores.get
         for start in range(max(0, end - self.longest), end):
             piece = scores(word[start:end])
             if piece is not None:
-                score, tokens, _ = path[start]
+                score, tokens, _ = path[start - first]
                 score += piece
                 if score > best[0] or score == best[0] and tokens + 1 < best[1]:
                     best = (score, tokens + 1)
@@ -75,7 +86,9 @@ def token_counts(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_i
 
     Words are the runs between ASCII white space, each with MARK before it. Words that begin alike meet in one task,
     bucket by bucket, which inserts the distinct ones in a trie and keeps each one's count; the counts go back to the
-    documents and are summed up. A null or empty text has no tokens. Repeated rows each give a row; other columns are
+    documents and are summed up. Of many words that begin alike, buckets take those with the same longer beginning, so no
+    beginning makes one task's trie large; a word of any length adds DEPTH nodes at most. A null or empty text has no
+    tokens. Repeated rows each give a row; other columns are
     ignored; an empty table gives an empty result.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(scores)

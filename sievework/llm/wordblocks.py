@@ -51,13 +51,33 @@ def unpack_numbers(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def dealt_buckets(words: list[str], prefix: int | None, n_buckets: int) -> np.ndarray:
+    """The bucket of each word: a hash of the word, or of its first `prefix` code points. Where more words of the block than
+    an even share of the buckets begin alike, they are dealt by twice as long a beginning, and so on."""
+    if prefix is None:
+        return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % n_buckets for w in words], np.int64)
+    most, out, left = max(8, len(words) // n_buckets), np.empty(len(words), np.int64), range(len(words))
+    while left:
+        alike: dict[str, list[int]] = {}
+        for i in left:
+            alike.setdefault(words[i][:prefix], []).append(i)
+        left = []
+        for start, members in alike.items():
+            if len(members) > most:
+                left += [i for i in members if len(words[i]) > prefix]
+                members = [i for i in members if len(words[i]) <= prefix]
+            out[members] = zlib.crc32(start.encode("utf-8", "surrogatepass")) % n_buckets
+        prefix *= 2
+    return out
+
+
 def word_blocks(
     docs: DataFrame, id_col: str, text_col: str, splitter: Callable[[], Callable[[str], list[str]]], prefix: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(coded documents, words): (block, id, codes) and (bucket, block, packed words).
 
-    splitter() is called in each task and gives the function that cuts a text into pre-tokens. A word's bucket is a
-    hash of it, or of its first `prefix` code points. Codes number the words of a block by bucket and then by word.
+    splitter() is called in each task and gives the function that cuts a text into pre-tokens. Words are dealt to buckets
+    by `dealt_buckets`. Codes number the words of a block by bucket and then by word.
     Both results are parts of one table in the shared folder, bucketed by block, so documents are not shuffled when
     their values come back. Null texts count as empty; a document without words has no codes. Rows are carried one by
     one, so repeated rows and repeated ids stay apart.
@@ -83,7 +103,7 @@ def word_blocks(
 
     def block(number: int, ids: list, coded: list[np.ndarray], first_code: dict[str, int]) -> Iterator[pd.DataFrame]:
         words = list(first_code)
-        buckets = np.array([zlib.crc32(w[:prefix].encode("utf-8", "surrogatepass")) % n_buckets for w in words], np.int64)
+        buckets = dealt_buckets(words, prefix, n_buckets)
         order = sorted(range(len(words)), key=lambda i: (buckets[i], words[i]))
         code = np.empty(len(words), np.int32)
         code[order] = np.arange(len(words))

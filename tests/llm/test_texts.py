@@ -1,15 +1,16 @@
 """BPE, token counts, fingerprints, quality and language-model scores against brute force."""
 
 import hashlib
-import math
+import os
 import random
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from sievework.llm import bpe, lz_fingerprint, quality, unigram_counts
+from sievework.llm import bpe, lz_fingerprint, quality, unigram_counts, wordblocks
 
 DOCS = "doc_id long, text string, score string, n_tokens string"
 TEXTS = [
@@ -46,6 +47,24 @@ def test_bpe_as_tiktoken_and_round_trip(spark, ranks):
     assert digest[4].decoded_sha256 == hashlib.sha256(TEXTS[4].encode()).hexdigest()
 
 
+def test_merging_as_tiktoken(ranks):
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(7)
+    words = [w for t in TEXTS + random_texts(20) for w in bpe._cutter(public_tokenizers.PATTERN)(t or "")]
+    words += ["".join(rng.choice("aábcdeßtionrs 日本") for _ in range(rng.randrange(1, 90))) for _ in range(400)] + ["ab" * 16, "a" * 31, "a" * 32, "a" * 33]
+    for w in words:
+        assert bpe.merged(w.encode(), ranks) == enc._core_bpe.encode_single_piece(w.encode())
+
+
+def test_blocks_equal_plain_rows(spark, ranks):
+    rows = list(enumerate(TEXTS[:10] + TEXTS[12:] + random_texts(20))) + [(3, TEXTS[3]), (None, "no id")]
+    docs = frame(spark, rows).repartition(3)
+    plain = bpe.decode_rows(bpe.encode_rows(docs, ranks, public_tokenizers.PATTERN), ranks).collect()
+    blocks = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    assert [(r.doc_id, np.array(r.ids, "<u4").tobytes(), bytes(r.decoded)) for r in sorted(plain, key=key)] == [(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in sorted(blocks, key=key)]
+
+
 def test_bpe_empty_table(spark, ranks):
     assert bpe.decode(bpe.encode(frame(spark, []), ranks, public_tokenizers.PATTERN), ranks).count() == 0
 
@@ -63,8 +82,12 @@ def best_path(word, scores, longest, floor):
 
 def test_token_counts_against_direct_programming(spark):
     scores = unigram_counts.piece_scores(public_tokenizers.path("piece_bpe_32k.model"))
-    rows = [(i, t) for i, t in enumerate(TEXTS + random_texts(30)) if len(t or "") < 5000]
-    got = {r.doc_id: r for r in unigram_counts.token_counts(frame(spark, rows), scores).collect()}
+    rng = random.Random(5)
+    hot = [" ".join("http" + "".join(rng.choice("abcd./") for _ in range(rng.randrange(1, 90))) for _ in range(150)) for _ in range(6)]
+    rows = list(enumerate(TEXTS + random_texts(30) + hot + ["".join(rng.choice("thesingand") for _ in range(20_000))]))
+    found = unigram_counts.token_counts(frame(spark, [*rows, rows[5], (None, "no id")]), scores).collect()
+    assert len(found) == len(rows) + 2
+    got = {r.doc_id: r for r in found}
     longest, floor = max(map(len, scores)), min(scores.values()) - 1
     for i, t in rows:
         words = [w.decode() for w in (t or "").encode().split()]
@@ -73,6 +96,24 @@ def test_token_counts_against_direct_programming(spark):
     assert unigram_counts.token_counts(frame(spark, []), scores).count() == 0
 
 
+def test_words_that_begin_alike_are_dealt_by_longer_beginnings():
+    rng = random.Random(1)
+    words = list({"▁http" + "".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(3000)}) + ["▁http", "▁h", "▁the"] + [f"▁w{i}" for i in range(500)]
+    buckets = wordblocks.dealt_buckets(words, 5, 32)
+    assert np.bincount(buckets, minlength=32).max() < 3 * len(words) / 32
+    again = wordblocks.dealt_buckets(words[::-1], 5, 32)
+    assert np.array_equal(buckets, again[::-1])
+
+
+def test_a_long_word_adds_few_nodes():
+    trie = unigram_counts.Trie({"a": -1.0, "aa": -1.5, "ab": -1.2})
+    assert trie.count("ab" * 5000 + "a") == 5001
+    node, depth = trie.root, 0
+    while node[2]:
+        node, depth = next(iter(node[2].values())), depth + 1
+    assert depth == unigram_counts.DEPTH
+
+
 def phrases(text):
     known, start = set(), 0
     for end in range(1, len(text) + 1):
@@ -194,3 +235,18 @@ def test_quality_learns_and_defines_edges(spark):
     kept = quality.stage(docs, labels)
     assert kept.columns == docs.columns
     assert quality.classify(docs.limit(0), labels).count() == 0
+    # clashing names in any case, ids as text, and two texts of one id, in any order of rows
+    clash = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit(1).alias("Predicted"), F.lit(2).alias("QUALITY_SCORE"))
+    more = clash.unionByName(clash.where("doc_id IN ('7', '8')").withColumn("text", F.lit("another text")))
+    ways = [{(r.doc_id, round(r.score, 9)) for r in quality.classify(more.repartition(n, "text"), labels.withColumn("doc_id", F.col("doc_id").cast("string"))).collect()} for n in (1, 5)]
+    assert ways[0] == ways[1] and len(ways[0]) == len(rows) + 2
+    assert quality.stage(clash, labels.withColumn("doc_id", F.col("doc_id").cast("string"))).columns == clash.columns
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data here")
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = quality.classify(docs, labels).where(quality.held_out()).join(labels.where("quality IS NOT NULL").select("doc_id", "quality"), "doc_id").collect()
+    assert len(held) > 40 and sum(r.predicted == r.quality for r in held) >= 0.95 * len(held)
+    above = [a.score > b.score for a in held for b in held if a.quality == 1 and b.quality == 0]
+    assert sum(above) >= 0.98 * len(above)
