@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A run of the six ASCII white-space characters.
@@ -84,3 +84,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return rows.join(F.broadcast(hot), keys).unionByName(
         rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("shuffle_hash"), keys)
     )
+
+
+def running(df: DataFrame, order: list[Column], sums: list[str], name: str) -> DataFrame:
+    """df, written, with `number` (from 0, in the given order) and before_<c> for each of sums: its sum over the rows before.
+
+    Ranges of the order are sorted in tasks of their own, and only one row for each range goes through one task.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ranged = written(ranged, name).withColumn("range", F.shiftright("at", 33))
+    whole = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("rows"), *(F.sum(c).alias(f"all_{c}") for c in sums))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    whole = whole.select("range", F.coalesce(F.sum("rows").over(before), none).alias("base"), *(F.coalesce(F.sum(f"all_{c}").over(before), none).alias(f"base_{c}") for c in sums))
+    within = Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumns({f"in_{c}": F.coalesce(F.sum(c).over(within), none) for c in sums}).join(F.broadcast(whole), "range")
+    place = F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)
+    return inside.select(*df.columns, place.alias("number"), *((F.col(f"base_{c}") + F.col(f"in_{c}")).alias(f"before_{c}") for c in sums))

@@ -41,7 +41,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", F.get("slots", 0).alias("first_slot"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +95,22 @@ def oracle_sql() -> dict[str, str]:
             g AS (
                 SELECT doc_id, t.source, size, source_size, least(2.0 * source_size, level * w) AS target,
                     sum(size) OVER (PARTITION BY t.source ORDER BY ('0x' || substr(md5('mix:' || doc_id), 1, 10))::BIGINT, doc_id) - size AS start
-                FROM t JOIN r ON t.source IS NOT DISTINCT FROM r.source, f)
-            SELECT doc_id, source, size, CAST(source_size AS BIGINT) AS source_size, target,
-                CAST(greatest(0, least(size, round(target) - start)) + greatest(0, least(size, round(target) - source_size - start)) AS BIGINT) AS taken
-            FROM g""",
+                FROM t JOIN r ON t.source IS NOT DISTINCT FROM r.source, f),
+            h AS (SELECT doc_id, source, size, CAST(source_size AS BIGINT) AS source_size, target, start, CAST(round(target) AS BIGINT) AS goal,
+                CAST(greatest(0, least(size, round(target) - start)) + greatest(0, least(size, round(target) - source_size - start)) AS BIGINT) AS taken FROM g),
+            n AS (
+                SELECT *, sum(needs) OVER (ORDER BY source NULLS LAST) - needs AS before, sum(needs) OVER () AS total FROM (
+                    SELECT DISTINCT source, source_size, goal, (source_size + 1023) // 1024 AS blocks,
+                        goal // source_size * ((source_size + 1023) // 1024) + (goal % source_size + 1023) // 1024 AS needs FROM h WHERE goal > 0)),
+            q AS (SELECT j AS slot, (j * 2654435769) % 4294967296 / 4294967296.0::DOUBLE AS point FROM (SELECT unnest(range(coalesce(sum(needs), 0)::BIGINT)) AS j FROM n)),
+            k AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM q JOIN n ON point >= before::DOUBLE / total AND point < (before + needs)::DOUBLE / total),
+            c AS (SELECT source, total + row_number() OVER (ORDER BY source NULLS LAST, rank) - 1 AS slot, rank FROM (
+                SELECT n.source, total, unnest(range(coalesce(had, 0), needs::BIGINT)) AS rank FROM n LEFT JOIN (SELECT source, count(*) AS had FROM k GROUP BY source) d ON n.source IS NOT DISTINCT FROM d.source)),
+            b AS (
+                SELECT n.source, slot, rank % blocks * 1024 AS low, least(rank % blocks * 1024 + 1024, source_size, goal - rank // blocks * source_size) AS high
+                FROM (FROM k UNION ALL FROM c) a JOIN n ON a.source IS NOT DISTINCT FROM n.source WHERE rank < needs),
+            f1 AS (SELECT doc_id, min(slot)::BIGINT AS first_slot FROM h JOIN b ON h.source IS NOT DISTINCT FROM b.source AND start < high AND start + size > low AND size > 0 GROUP BY doc_id)
+            SELECT doc_id, source, size, source_size, target, taken, first_slot FROM h LEFT JOIN f1 USING (doc_id)""",
         "op9_warc": """
             WITH t AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
             g AS (SELECT hex, max(page_id) AS newest FROM t GROUP BY hex)

@@ -7,6 +7,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import jaccard, mixing, warc
 from sievework.llm.common import new_path
@@ -139,10 +140,15 @@ def test_mixing_edges_and_stage(spark):
     docs = frame(spark, [(i, "one two three", "a" if i % 2 else "b") for i in range(40)])
     out = mixing.stage(spark, docs)
     assert out.columns == docs.columns and 50 <= out.count() <= 70
+    # nulls in every column, repeats, clashing names
+    odd = frame(spark, [(None, None, None), (1, None, "a"), (1, None, "a"), (2, "w " * 5000, "a"), (2, "w " * 5000, "a"), (None, "x y", None)]).withColumn("MIX_SLOT", F.lit(1))
+    out = mixing.stage(spark, odd)
+    assert out.columns == odd.columns and out.where("text IS NULL").count() == 3
+    assert mixing.stage(spark, odd.limit(0)).count() == 0
 
 
 def test_schedule_is_of_low_discrepancy(spark):
-    sources = spark.createDataFrame([(0, 5.0), (1, 2.0), (2, 1.0)], "ordinal int, target double")
+    sources = spark.createDataFrame([(0, 25_000), (1, 10_000), (2, 5_000)], "ordinal int, needs long")
     slots = mixing.schedule(sources, 40_000).collect()
     assert len(slots) == 40_000
     for share, o in ((5 / 8, 0), (2 / 8, 1), (1 / 8, 2)):
@@ -151,6 +157,44 @@ def test_schedule_is_of_low_discrepancy(spark):
         assert all(abs((k + 1) - share * (s + 1)) < 8 for s, k in own)
 
 
+def test_schedule_of_many_sources(spark):
+    needs = [1 + (i * i) % 7 for i in range(3000)] + [40_000]
+    slots = mixing.schedule(spark.createDataFrame(list(enumerate(needs)), "ordinal long, needs long"), sum(needs)).collect()
+    edges = [0]
+    for n in needs:
+        edges.append(edges[-1] + n)
+    assert sorted(r.slot for r in slots) == list(range(sum(needs)))
+    for r in slots:
+        point = r.slot * mixing.GOLDEN % 2**32 / 2**32
+        assert edges[r.ordinal] / edges[-1] <= point < edges[r.ordinal + 1] / edges[-1]
+
+
+def test_the_mix_comes_through_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    rng = random.Random(8)
+    rows = [(i, f"d{i} " + "w " * rng.randrange(0, 30), rng.choice(["a", "b", "b", "c"])) for i in range(600)]
+    docs = frame(spark, rows)
+    taken = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    out = [(r.doc_id, r.source) for r in mixing.stage(spark, docs).collect()]
+    # copies stand in the order of their slots, and every source has its share of every tenth of them
+    at = {i: list(r.slots) for i, r in taken.items()}
+    slots = [at[i].pop(0) for i, _ in out]
+    assert slots == sorted(slots)
+    words = {s: sum(r.taken for r in taken.values() if r.source == s) for s in "abc"}
+    top = max(s for r in taken.values() for s in r.slots) + 1
+    planned, _ = mixing.plan(spark.createDataFrame([(0, sum(r.size for r in taken.values() if r.source == "a"), words["a"])], "ordinal long, source_size long, goal long"))
+    assert planned.agg(F.sum("words")).first()[0] == words["a"]
+    for k in range(10):
+        part = [i for i, s in zip(out, slots, strict=True) if k * top / 10 <= s < (k + 1) * top / 10]
+        for s in "abc":
+            share = sum(taken[i].size for i, own in part if own == s) / max(1, sum(taken[i].size for i, _ in part))
+            assert abs(share - words[s] / sum(words.values())) < 0.12
+    # without its schedule there is no mix
+    monkeypatch.setattr(mixing, "schedule", lambda sources, slots: spark.createDataFrame([], "ordinal long, slot long, rank long"))
+    with pytest.raises(RuntimeError, match="slots"):
+        mixing.mix(docs)
+
+
 PAGES = "page_id long, url string, html string, offset string"
 
 
