@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 #: Tokens are the lower-cased words hashed to this many values, so that every table over them has a fixed size.
 TOKENS = 1 << 14
@@ -29,6 +29,10 @@ MOST_WORDS_REMEMBERED = 1_000_000
 CHUNK = 1 << 16
 
 
+#: BEYOND is the largest.
+STORED = np.dtype("<u2")
+
+
 class Tokens:
     """The token of each word of a text, by a hash."""
 
@@ -45,22 +49,21 @@ class Tokens:
 
     def of(self, text: str) -> np.ndarray:
         known = self.known
-        return np.array([t if (t := known.get(w)) is not None else self.word(w) for w in text.lower().encode("utf-8", "surrogatepass").split()], np.int32)
+        return np.array([t if (t := known.get(w)) is not None else self.word(w) for w in text.lower().encode("utf-8", "surrogatepass").split()], STORED)
 
 
-GAP = np.full(REACH, BEYOND, np.int32)
+GAP = np.full(REACH, BEYOND, STORED)
 #: Sums of rows by a product; logits beyond MOST count as MOST.
 ONES, MOST = np.ones((SORTS, 1), np.float32), 60
 
 
-def streams(texts: Iterator[str], length: int) -> Iterator[np.ndarray]:
-    """All texts in order as one stream of tokens with REACH times BEYOND before, between and after them, cut into pieces of
+def streams(texts: Iterable[np.ndarray], length: int) -> Iterator[np.ndarray]:
+    """All tokenised texts in order as one stream with REACH times BEYOND before, between and after them, cut into pieces of
     `length` positions; each piece has REACH more positions on either side."""
-    tokens, held, size = Tokens(), [GAP], REACH
-
-    for text in texts:
-        held += [tokens.of(text), GAP]
-        size += len(held[-2]) + REACH
+    held, size = [GAP], REACH
+    for tokens in texts:
+        held += [tokens, GAP]
+        size += len(tokens) + REACH
         if size >= length + 2 * REACH:
             stream, at = np.concatenate(held), 0
             while len(stream) - at >= length + 2 * REACH:
@@ -190,9 +193,9 @@ class Trainer:
         for k, g in {"place": place, "mix": a.T @ dh, "bias": dh.sum(0), "out": h.T @ d, "prior": d.sum(0)}.items():
             self.move(k, slice(None), g)
         # rows of one token are added up at once
-        order = np.argsort(stream.astype(np.int16), kind="stable")
+        order = np.argsort(stream, kind="stable")
         of = stream[order]
-        first = np.flatnonzero(np.diff(of, prepend=-1))
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         of = of[first]
         both = np.zeros((len(stream), HIDDEN + SORTS), np.float32)
         both[:, :HIDDEN] = de
@@ -224,13 +227,22 @@ def unpacked(flat: np.ndarray, seen: int, counts: np.ndarray) -> Model:
     return Model(**out, words=distributions(flat[at:].reshape(TOKENS, SORTS).astype(float), counts))
 
 
-def _source(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(text_of(text_col).alias("text"))
+def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id as text, tokens): every row's tokens, two bytes each. A null text counts as empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens()
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "tokens": [tokens.of(t).tobytes() for t in batch["text"]]})
+
+    # ids travel as text: pandas would turn integers beside nulls into floats
+    return docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("text")).mapInPandas(run, "id string, tokens binary")
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[str]:
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
     for batch in batches:
-        yield from batch["text"]
+        for tokens in batch["tokens"]:
+            yield np.frombuffer(tokens, STORED)
 
 
 VECTOR = "part long, seen long, flat binary"
@@ -259,12 +271,13 @@ def summed(vectors: DataFrame) -> tuple[np.ndarray | None, int]:
     return (np.frombuffer(rows[0].flat, np.float32), rows[0].seen) if rows else (None, 0)
 
 
-def counted(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+def counted(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """How often each token stands in all texts, and how often a neighbour of it falls in each of SKETCH buckets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, seen, n = np.zeros(TOKENS), np.zeros((TOKENS + 1) * (SKETCH + 1)), 0
         for stream in streams(_texts(batches), CHUNK):
+            stream = stream.astype(np.int64)
             target = stream[REACH : len(stream) - REACH]
             counts += np.bincount(target, minlength=TOKENS + 1)[:TOKENS]
             n += int(np.count_nonzero(target < BEYOND))
@@ -274,18 +287,19 @@ def counted(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.nda
         if n:
             yield _vector(n, np.concatenate([counts, seen.reshape(TOKENS + 1, SKETCH + 1)[:-1, :-1].ravel()]))
 
-    flat, n = summed(_source(docs, text_col).mapInPandas(run, VECTOR))
+    flat, n = summed(texts.select("tokens").mapInPandas(run, VECTOR))
     if not n:
         return np.zeros(TOKENS), np.zeros((TOKENS, SKETCH))
     return flat[:TOKENS].astype(float), flat[TOKENS:].reshape(TOKENS, SKETCH).astype(float)
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
-    """The model of all of docs. In each round every task goes on from the same model over every token of its own documents;
-    then what they have learnt is averaged by the tokens they have seen, and their expected counts are added up to the
-    next word distributions. Results do not depend on how a task's rows come in batches."""
-    spark = docs.sparkSession
-    counts, seen = counted(docs, text_col)
+def fit(texts: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of all `tokenised` texts, which are read once for each round and once before. In each round every task
+    goes on from the same model over every token of its own texts; then what they have learnt is averaged by the tokens
+    they have seen, and their expected counts are added up to the next word distributions. Results do not depend on how
+    a task's rows come in batches."""
+    spark = texts.sparkSession
+    counts, seen = counted(texts)
     model = start(counts, seen)
     for _ in range(rounds):
         shipped = spark.sparkContext.broadcast(model)
@@ -297,18 +311,24 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Mode
             if trainer.seen:
                 yield _vector(trainer.seen, trainer.packed())
 
-        flat, n = summed(_source(docs, text_col).mapInPandas(run, VECTOR))
+        flat, n = summed(texts.select("tokens").mapInPandas(run, VECTOR))
         if not n:
             break
         model = unpacked(flat, n, counts)
     return model
 
 
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
+    """`fit` of docs, whose tokens are written to the shared folder first."""
+    return fit(written(tokenised(docs, docs.columns[0], text_col).select("tokens"), "tokens"), rounds)
+
+
 def scored(model: Model, texts: list[np.ndarray]) -> list[float]:
     """The sum of the log-probabilities of each tokenised text."""
     stream = np.concatenate([GAP, *(x for t in texts for x in (t, GAP))])
     edges = np.cumsum([0, *(len(t) + REACH for t in texts)])
-    each = np.concatenate([log_probabilities(model, stream[at : at + CHUNK + 2 * REACH]) for at in range(0, max(1, len(stream) - 2 * REACH), CHUNK)])
+    step = CHUNK // 16
+    each = np.concatenate([log_probabilities(model, stream[at : at + step + 2 * REACH]) for at in range(0, max(1, len(stream) - 2 * REACH), step)])
     total = np.concatenate([[0.0], np.cumsum(each), [0.0] * REACH])
     total[len(each) + 1 :] = total[len(each)]
     return (total[edges[1:]] - total[edges[:-1]]).tolist()
@@ -320,18 +340,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A null text counts as empty; an empty one has log_likelihood 0 and a null per_token. Rows with a null id are scored as
     any other; repeated rows score alike, an empty table gives an empty result, other columns are ignored. No shuffle.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    return _score(tokenised(docs, id_col, text_col), model, id_col, docs.schema[id_col].dataType.simpleString())
+
+
+def _score(texts: DataFrame, model: Model, id_col: str, id_type: str) -> DataFrame:
+    shipped = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, tokens = shipped.value, Tokens()
+        model = shipped.value
         for batch in batches:
             sums, waiting, size, n = [], [], 0, []
-            for text in batch["text"]:
-                waiting.append(tokens.of(text))
-                n.append(len(waiting[-1]))
+            for tokens in _texts([batch]):
+                waiting.append(tokens)
+                n.append(len(tokens))
                 size += n[-1]
-                if size >= CHUNK:
+                if size >= CHUNK // 16:
                     sums += scored(model, waiting)
                     waiting, size = [], 0
             if waiting:
@@ -339,12 +362,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             per = [s / k if k else None for s, k in zip(sums, n, strict=True)]
             yield pd.DataFrame({"id": batch["id"], "n_tokens": n, "log_likelihood": sums, "per_token": per})
 
-    # ids travel as text: pandas would turn integers beside nulls into floats
-    source = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("text"))
-    out = source.mapInPandas(run, "id string, n_tokens long, log_likelihood double, per_token double")
+    out = texts.mapInPandas(run, "id string, n_tokens long, log_likelihood double, per_token double")
     return out.select(F.col("id").cast(id_type).alias(id_col), "n_tokens", "log_likelihood", "per_token")
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`score` of docs by the model that `train` has from the same docs."""
-    return score(docs, train(docs, text_col), id_col, text_col)
+    """`score` of docs by the model that `fit` has from the same docs; the texts are tokenised once."""
+    texts = written(tokenised(docs, id_col, text_col), "tokens")
+    return _score(texts, fit(texts), id_col, docs.schema[id_col].dataType.simpleString())

@@ -44,28 +44,28 @@ def test_streams_hold_every_text_between_gaps(sizes):
     whole = [L.BEYOND] * L.REACH
     for t in texts:
         whole += [*L.Tokens().of(t).tolist(), *[L.BEYOND] * L.REACH]
-    pieces = list(L.streams(iter(texts), 16))
+    pieces = list(L.streams(map(L.Tokens().of, texts), 16))
     middle = np.concatenate([p[L.REACH : len(p) - L.REACH] for p in pieces]).tolist() if pieces else []
     assert middle == (whole[L.REACH : len(whole) - L.REACH] if any(sizes) or len(sizes) > 1 else [])
 
 
 def test_probabilities_of_all_tokens_add_up_to_one():
     m = small_model()
-    shares = L.layers(m, np.array([5, 6, 7, 8, 9, 10, L.BEYOND], np.int32))[3]
+    shares = L.layers(m, np.array([5, 6, 7, 8, 9, 10, L.BEYOND], L.STORED))[3]
     assert abs((shares @ m.words.T).sum() - 1) < 1e-3
     assert np.allclose(m.words.sum(0), 1, atol=1e-3)
 
 
 def test_scores_are_those_of_the_definition():
     m, rng = small_model(), np.random.default_rng(2)
-    texts = [rng.integers(0, L.TOKENS, n).astype(np.int32) for n in (1, 7, 0, 30)]
+    texts = [rng.integers(0, L.TOKENS, n).astype(L.STORED) for n in (1, 7, 0, 30)]
     got = L.scored(m, texts)
     assert np.allclose(got, [sum(plain_log_probability(m, t, i) for i in range(len(t))) for t in texts], atol=1e-3)
 
 
 def test_step_descends_by_the_gradient():
     m = small_model()
-    stream = np.concatenate([L.GAP, np.random.default_rng(3).integers(0, L.TOKENS, 40).astype(np.int32), L.GAP])
+    stream = np.concatenate([L.GAP, np.random.default_rng(3).integers(0, L.TOKENS, 40).astype(L.STORED), L.GAP])
     for v in vars(m):
         setattr(m, v, getattr(m, v).astype(np.float64))
     loss = lambda: -L.log_probabilities(m, stream).mean()
