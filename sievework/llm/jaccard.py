@@ -17,8 +17,10 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Share of the pairs at the threshold that must meet in a band.
 RECALL = 0.9999
-#: Documents in one side of a comparison task; larger candidate groups are split into blocks of this size on average.
-BLOCK = 256
+#: Documents, and bytes of n-grams, in one side of a comparison task; larger groups are split into blocks of this size on average.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Bands that a document shares with the first one of their buckets to be compared with all documents of its group.
+CORE_BANDS = 4
 #: Distinct n-grams held as columns of one dense incidence matrix.
 COLUMNS = 8192
 MOST_WORDS_REMEMBERED = 1_000_000
@@ -82,17 +84,17 @@ def word_key(text: str) -> bytes:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, n: int) -> DataFrame:
-    """id, word_key, bands (null for a text without words) of every row."""
+    """id, word_key, bands (null for a text without words), n_grams of every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, banded = Grams(n), Bands(bands, rows)
         for batch in batches:
             sets = [grams.of(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "word_key": [word_key(t) for t in batch["text"]], "bands": [banded.of(s) if len(s) else None for s in sets]})
+            yield pd.DataFrame({"id": batch["id"], "word_key": [word_key(t) for t in batch["text"]], "bands": [banded.of(s) if len(s) else None for s in sets], "n_grams": [len(s) for s in sets]})
 
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return source.mapInPandas(run, f"id {id_type}, word_key binary, bands array<long>")
+    return source.mapInPandas(run, f"id {id_type}, word_key binary, bands array<long>, n_grams long")
 
 
 def components(members: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -146,7 +148,8 @@ def _linked(sets: list[np.ndarray], of_left: np.ndarray, of_right: np.ndarray, t
 
 
 def _compare(group: pd.DataFrame, threshold: float) -> list[tuple]:
-    """(node, root, links) of each document of a candidate group, or pair of its blocks, that has a link here."""
+    """(node, root, links) of each document of a group, or pair of its blocks, that has a link here. In a bucket of a band
+    only pairs of different groups count that share no earlier band."""
     sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
     block, nodes, weight = group["block"].to_numpy(), group["node"].to_numpy(), group["size"].to_numpy()
     left = np.flatnonzero(block == group["left"].iloc[0])
@@ -154,6 +157,13 @@ def _compare(group: pd.DataFrame, threshold: float) -> list[tuple]:
     i, j = _linked(sets, left, right, threshold)
     i, j = left[i], right[j]
     apart = i < j if group["left"].iloc[0] == group["right"].iloc[0] else i != j
+    band = group["band"].iloc[0]
+    if band >= 0:
+        of = group["label"].to_numpy()
+        apart &= of[i] != of[j]
+    if band > 0:
+        bands = np.stack(group["bands"].to_numpy())[:, :band]
+        apart &= ~(bands[i] == bands[j]).any(1)
     i, j = i[apart], j[apart]
     links = np.zeros(len(nodes), np.int64)
     np.add.at(links, i, weight[j])
@@ -173,6 +183,34 @@ def _compare(group: pd.DataFrame, threshold: float) -> list[tuple]:
     return [(nodes[x], nodes[top(x)], int(links[x])) for x in np.flatnonzero(links)]
 
 
+def comparisons(met: DataFrame, n_grams: DataFrame) -> DataFrame:
+    """(node, label, work): what each candidate is to be compared with, as entries (group, band, blocks, block).
+
+    met: (node, band, bucket, size) of all buckets with two documents or more. A document that shares CORE_BANDS bands
+    with the smallest one of their buckets belongs to its group, and groups hang together by such documents only, so
+    a chance collision joins none. Within a group (band -1) all pairs are compared. A pair of different groups that
+    meets in a bucket is compared there: such buckets, whole, are further entries. So a document is sent once for its
+    group, and once for each bucket in which it meets another group. Large groups and buckets are cut into blocks.
+    """
+    total = max(1, met.count())
+    leads = written(met.groupBy("bucket", "size").agg(F.min("node").alias("first")), "leads")
+    led = join_groups(met.drop("size"), leads, ["bucket"], "size", total)
+    near = written(led.where("node <> first").groupBy("first", "node").agg(F.count(F.lit(1)).alias("bands")).where(F.col("bands") >= CORE_BANDS).select("first", "node"), "near")
+    cores = components(near.select("node", F.col("first").alias("bucket")).unionByName(near.select(F.col("first").alias("node"), F.col("first").alias("bucket"))))
+    nodes = met.select("node").distinct().join(cores, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    nodes = written(nodes.join(n_grams, "node"), "nodes")
+    blocks = lambda docs, grams: F.greatest(F.ceil(F.col(docs) / BLOCK), F.ceil(F.col(grams) * 8 / BLOCK_BYTES)).cast("int")
+    sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_grams").alias("grams"))
+    own = join_groups(nodes, written(sizes, "group-sizes"), ["label"], "docs", max(1, nodes.count())).where("docs > 1")
+    own = own.select("node", F.xxhash64("label", F.lit("group")).alias("group"), F.lit(-1).alias("band"), blocks("docs", "grams").alias("blocks"))
+    placed = written(met.join(nodes, "node"), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("docs"), F.sum("n_grams").alias("grams")).where("low <> high")
+    across = join_groups(placed, written(mixed.drop("low", "high"), "mixed"), ["bucket"], "docs", total)
+    across = across.select("node", F.col("bucket").alias("group"), "band", blocks("docs", "grams").alias("blocks"))
+    work = own.unionByName(across).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    return written(work.groupBy("node").agg(F.collect_list(F.struct("group", "band", "blocks", "block")).alias("work")).join(nodes, "node"), "work")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, n: int = WORDS) -> DataFrame:
     """One row per document: id, class_id, class_size, copy_of, n_links.
 
@@ -181,9 +219,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     through others, class_size their number, n_links the number of other documents linked directly. Documents with the
     same words are linked and carried as one (copy_of: the smallest id among them), weighted by their number.
 
-    Bands of minima propose candidates; candidates that hang together are compared on their full n-gram sets, pair of
-    blocks by pair of blocks, and only counts and spanning links leave such a task. Nothing is capped or sampled; a
-    pair at the threshold is proposed with probability `recall` at least.
+    Bands of minima propose candidates (`comparisons`), which are verified on their full n-gram sets, pair of blocks by
+    pair of blocks; only counts and spanning links leave such a task, and classes are closed over verified links alone.
+    Nothing is capped or sampled; a pair at the threshold is proposed with probability `recall` at least.
 
     A text without words, null or empty, is a copy of other such texts and linked to nothing else. Rows must have ids;
     rows with a null id are left out. Repeated rows count as one. An empty table gives an empty result.
@@ -198,46 +236,42 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     member = written(join_groups(keys, copies, ["word_key"], "size", total), "copy-members")
 
     firsts = signed.join(copies.select(F.col("node").alias("id"), "word_key"), ["id", "word_key"]).dropDuplicates(["id"])
-    banded = firsts.where("bands IS NOT NULL").select(F.col("id").alias("node"), F.posexplode("bands").alias("band", "hash"))
-    banded = written(banded.select("node", F.xxhash64("band", "hash").alias("bucket")), "bands")
+    firsts = firsts.where("bands IS NOT NULL").select(F.col("id").alias("node"), "bands", "n_grams")
+    banded = firsts.select("node", F.posexplode("bands").alias("band", "hash"))
+    banded = written(banded.select("node", "band", F.xxhash64("band", "hash").alias("bucket")), "bands")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = join_groups(banded, written(shared, "shared"), ["bucket"], "size", max(1, banded.count()))
-    together = components(met.select("node", "bucket"))
-    sizes = together.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
-    sized = join_groups(together, written(sizes, "group-sizes"), ["label"], "docs", max(1, together.count()))
-    blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
-    placed = written(sized.select("node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int").alias("block")), "placed")
+    met = written(join_groups(banded, written(shared, "shared"), ["bucket"], "size", max(1, banded.count())), "met")
+    work = comparisons(met, firsts.select("node", "n_grams"))
 
     texts = docs.select(F.col(id_col).alias("node"), text_of(text_col).alias("text"))
-    weights = copies.select("node", "size")
-    texts = texts.join(placed.join(weights, "node"), "node").dropDuplicates(["node"])
+    info = work.join(copies.select("node", "size"), "node").join(firsts.select("node", "bands"), "node")
+    texts = texts.join(info, "node").dropDuplicates(["node"])
 
-    def grams_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def grams_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         grams = Grams(n)
         for batch in batches:
-            yield batch.assign(grams=[grams.of(t).tobytes() for t in batch["text"]]).drop(columns="text")
+            yield pd.Series([grams.of(t).tobytes() for t in batch])
 
-    sets = texts.select("node", "label", "blocks", "block", "size", "text").mapInPandas(
-        grams_of, f"node {id_type}, label {id_type}, blocks int, block int, size long, grams binary"
-    )
+    sets = texts.select("node", "label", "size", "bands", "work", grams_of("text").alias("grams"))
     # small groups share tasks of about BLOCK documents; a large one has a task for each pair of its blocks
-    tasks = max(1, math.ceil(placed.where("blocks = 1").count() / BLOCK), parts(spark))
-    own = F.col("block")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("left"), F.greatest(own, o).alias("right"))))
-    sent = sets.select("*", pair.alias("pair")).select("node", "label", "size", "block", "grams", "pair.left", "pair.right", "blocks")
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(tasks))).otherwise(F.xxhash64("label", "left", "right"))
+    small = work.select("n_grams", F.explode("work").alias("w")).where("w.blocks = 1").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_grams"), F.lit(0)).alias("grams")).first()
+    tasks = max(1, math.ceil(small.docs / BLOCK), math.ceil(small.grams * 8 / BLOCK_BYTES), parts(spark))
+    own = F.col("w.block")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("w.blocks") - 1), lambda o: F.struct(F.least(own, o).alias("left"), F.greatest(own, o).alias("right"))))
+    sent = sets.withColumn("w", F.explode("work")).select("node", "label", "size", "grams", "w", F.when(F.col("w.band") > 0, F.col("bands")).alias("bands"), pair.alias("pair"))
+    sent = sent.select("node", "label", "size", "grams", "bands", "w.group", "w.band", "w.block", "w.blocks", "pair.left", "pair.right")
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(tasks))).otherwise(F.xxhash64("group", "left", "right"))
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (label, left, right), part in group.groupby(["label", "left", "right"], sort=False):
-            out += [(node, root, links, label, left, right) for node, root, links in _compare(part, threshold)]
-        return pd.DataFrame(out, columns=["node", "root", "links", "label", "left", "right"])
+        for (of, left, right), part in group.groupby(["group", "left", "right"], sort=False):
+            out += [(node, root, links, of, left, right) for node, root, links in _compare(part, threshold)]
+        return pd.DataFrame(out, columns=["node", "root", "links", "of", "left", "right"])
 
-    found = sent.withColumn("task", task).groupBy("task").applyInPandas(
-        verify, f"node {id_type}, root {id_type}, links long, label {id_type}, left int, right int"
-    )
+    found = sent.withColumn("task", task).groupBy("task").applyInPandas(verify, f"node {id_type}, root {id_type}, links long, of long, left int, right int")
     found = written(found, "links")
-    classes = components(found.select("node", F.xxhash64("label", "left", "right", "root").alias("bucket")))
+    classes = components(found.select("node", F.xxhash64("of", "left", "right", "root").alias("bucket")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links")).join(classes, "node")
 
     # what is linked to another text, and the copies of each: rows per document
@@ -252,6 +286,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of their class, with all their columns; rows without an id stay."""
+    """The documents with the smallest id of their class, with all their columns; rows without an id stay, and so do all rows
+    that share the smallest id. Null, empty and very long texts, an empty table and further columns, whatever their
+    names, are as in `similar`."""
     firsts = similar(docs).where("class_id = doc_id").select("doc_id").distinct()
     return docs.join(firsts, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -79,6 +79,25 @@ def test_similar_large_group_over_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.class_size, r.copy_of, r.n_links) for r in got} == brute_classes(rows)
 
 
+def test_a_chain_of_unlike_candidates_is_not_compared_as_one(spark, monkeypatch):
+    """Each text shares under half of its n-grams with the next one: candidates meet, but no group grows along the chain."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(60 * 400 + 200)]
+    rows = [(i, " ".join(words[i * 60 : i * 60 + 190])) for i in range(400)]
+    rows += [(1000 + i, rows[i * 20][1] + " more") for i in range(20)]
+    docs = frame(spark, [(i, t, "s") for i, t in rows])
+    asked, made = [], jaccard.comparisons
+    monkeypatch.setattr(jaccard, "comparisons", lambda met, n_grams: asked.append(out := made(met, n_grams)) or out)
+    got = jaccard.similar(docs).collect()
+    assert {r.doc_id: (r.class_id, r.class_size, r.copy_of, r.n_links) for r in got} == brute_classes(rows)
+    met = asked[0].count()
+    sent = asked[0].select(F.explode("work").alias("w")).agg(F.sum("w.blocks")).first()[0]
+    assert met > 150 and asked[0].groupBy("label").count().agg(F.max("count")).first()[0] < 30
+    assert sent < 12 * met  # all pairs of one group of that size would send every text to each of its blocks
+    assert len(rows) / 8 > 12
+
+
 def test_similar_empty_null_ids_repeats_and_stage(spark):
     assert jaccard.similar(frame(spark, [])).count() == 0
     text = " ".join(f"w{i}" for i in range(40))
