@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
-from .sampling import permuted_labels
+
+#: Rows of a group whose pairs are formed, at most; more are an error, and a keyed sample (`sampling.landmarks`) the way on.
+MOST = 4000
+
+
+def bounded(sample: DataFrame, groups: tuple[str, ...], most: int = MOST) -> DataFrame:
+    """sample, whose groups have at most `most` rows each."""
+    n = sample.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    if n > most:
+        raise ValueError(f"{n} rows in a group; pairs of over {most} rows are not formed")
+    return sample
 
 
-def pair_distances(sample: DataFrame, key: str, columns: list[str], groups: tuple[str, ...] = (), most: int = 4000) -> DataFrame:
-    """(groups, i, j, d): Euclidean distances of all ordered pairs within each group of a capped sample, i = j among them."""
-    s = sample.limit(most)
+def pair_distances(sample: DataFrame, key: str, columns: list[str], groups: tuple[str, ...] = (), most: int = MOST) -> DataFrame:
+    """(groups, i, j, d): Euclidean distances of all ordered pairs within each group of at most `most` rows, i = j among them."""
+    s = bounded(sample, groups, most)
     b = s.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col(key).alias("j"), *(F.col(c).alias(f"_{c}") for c in columns))
     on = [F.col(g) == F.col(f"_{g}") for g in groups] or F.lit(True)
     d = F.sqrt(sum(F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in columns))
-    return s.join(F.broadcast(b), on).select(*groups, F.col(key).alias("i"), "j", d.alias("d"))
+    return s.join(b, on).select(*groups, F.col(key).alias("i"), "j", d.alias("d"))
 
 
 def statistic(by_label: DataFrame, groups: tuple[str, ...]) -> DataFrame:
@@ -36,20 +49,38 @@ def energy_distance(sample: DataFrame, key: str, label: str, columns: list[str],
 
 
 def permutation_test(sample: DataFrame, key: str, label: str, columns: list[str], permutations: int, seed: int, groups: tuple[str, ...] = ()) -> DataFrame:
-    """(groups, statistic, p): (permutations with as large a statistic + 1) / (permutations + 1). Distances are computed once;
-    a permutation only sums them anew by label pair."""
-    from ..plans.staging import staged
-
-    d = staged(pair_distances(sample, key, columns, groups), "distances")
-    perm = permuted_labels(sample.select(*groups, key, label), key, label, permutations, seed, groups)
-    perm = staged(perm.select("permutation", *groups, F.col(key).alias("_k"), "permuted"), "permutations")
-    a = perm.select("permutation", *groups, F.col("_k").alias("i"), F.col("permuted").alias("a"))
-    b = perm.select("permutation", *groups, F.col("_k").alias("j"), F.col("permuted").alias("b"))
-    sums = d.join(a, [*groups, "i"]).join(b, ["permutation", *groups, "j"]).groupBy("permutation", *groups, "a", "b").agg(F.sum("d").alias("sum"), F.count(F.lit(1)).alias("n"))
-    null = statistic(sums, ("permutation", *groups)).withColumnRenamed("statistic", "null")
-    seen = energy_distance(sample, key, label, columns, groups)
-    both = null.join(F.broadcast(seen), list(groups)) if groups else null.join(F.broadcast(seen))
-    return both.groupBy(*groups, "statistic").agg(((F.count_if(F.col("null") >= F.col("statistic") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    """(groups, statistic, p): (permutations with as large a statistic + 1) / (permutations + 1).
+
+    A permutation gives the label to the rows that come first by a keyed uniform, as many as had it. Each group, of at most
+    MOST rows, is one task: its distances are computed once, and a permutation is a product with its labels.
+    """
+    names = [F.col(g) for g in groups] or [F.lit(0).alias("_all")]
+    keys = list(groups) or ["_all"]
+    rows = bounded(sample, groups).select(*names, F.col(key).cast("string").alias("_key"), F.col(label).cast("int").alias("_label"), F.array(*(F.col(c).cast("double") for c in columns)).alias("_x"))
+    order = sample.schema[key].dataType
+    rows = rows.withColumn("_order", F.col("_key").cast(order))
+
+    def test(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_order")
+        x, y = np.array(group["_x"].tolist()), group["_label"].to_numpy()
+        d = np.sqrt(sum((x[:, None, k] - x[None, :, k]) ** 2 for k in range(x.shape[1])))
+        ones = int(y.sum())
+        labels = np.zeros((permutations + 1, len(y)))
+        labels[0] = y
+        for p in range(permutations):
+            u = np.array([int(hashlib.md5(f"{seed}:{p}:{k}".encode()).hexdigest()[:8], 16) for k in group["_key"]])
+            labels[p + 1, np.argsort(u, kind="stable")[:ones]] = 1
+        n, m = ones, len(y) - ones
+        if not n or not m:
+            return pd.DataFrame([(*(group[k].iloc[0] for k in keys), None, None)], columns=[*keys, "statistic", "p"])
+        towards = labels @ d
+        xx, all_ = (towards * labels).sum(1), towards.sum(1)
+        s = 2 * (all_ - xx) / (n * m) - xx / n**2 - (d.sum() - 2 * all_ + xx) / m**2
+        p = (1 + np.count_nonzero(s[1:] >= s[0] - 1e-12)) / (permutations + 1)
+        return pd.DataFrame([(*(group[k].iloc[0] for k in keys), s[0], p)], columns=[*keys, "statistic", "p"])
+
+    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys).applyInPandas(test, f"{types}, statistic double, p double").select(*groups, "statistic", "p")
 
 
 def psi(df: DataFrame, reference: DataFrame, bin_col: str, groups: tuple[str, ...] = (), eps: float = 1e-6) -> DataFrame:

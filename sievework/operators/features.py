@@ -68,23 +68,30 @@ def pairwise_products(us: list[str]) -> dict[str, Column]:
     return {f"z{i}": c for i, c in enumerate(z)} | {f"z{i}z{j}": z[i] * z[j] for i in range(len(z)) for j in range(i + 1, len(z))}
 
 
-def random_products(us: list[str], count: int, seed: int) -> dict[str, Column]:
-    """`count` products of one to three sines or cosines of pi u, drawn by a seeded generator."""
+def random_terms(us: list[str], count: int, seed: int) -> list[list[tuple[str, str]]]:
+    """`count` products, each as one to three (sin or cos, column), drawn by a seeded generator."""
     rng = np.random.default_rng(seed)
-    out = {}
-    for k in range(count):
+    out = []
+    for _ in range(count):
         picked = rng.choice(len(us), size=int(rng.integers(1, 4)), replace=False)
-        terms = [(F.sin if rng.random() < 0.5 else F.cos)(math.pi * F.col(us[int(i)])) for i in picked]
-        out[f"r{k}"] = reduce(lambda a, b: a * b, terms)
+        out.append([("sin" if rng.random() < 0.5 else "cos", us[int(i)]) for i in picked])
     return out
 
 
+def random_products(us: list[str], count: int, seed: int) -> dict[str, Column]:
+    """`count` products of one to three sines or cosines of pi u, as `random_terms` draws them."""
+    wave = {"sin": F.sin, "cos": F.cos}
+    return {f"r{k}": reduce(lambda a, b: a * b, [wave[f](math.pi * F.col(u)) for f, u in terms]) for k, terms in enumerate(random_terms(us, count, seed))}
+
+
 def landmark_kernel(df: DataFrame, marks: DataFrame, columns: list[str], kernel, most: int = 5000) -> DataFrame:
     """(row_id, mark, k): kernel(columns of the row, columns of the landmark) for each row and landmark.
 
-    marks: at most `most` landmarks, a stated set; they are sent to every task.
+    marks: a stated set of at most `most` landmarks, which are sent to every task; more are an error.
     """
-    m = F.broadcast(marks.limit(most).select(F.col("row_id").alias("mark"), *(F.col(c).alias(f"_{c}") for c in columns)))
+    if marks.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} landmarks")
+    m = F.broadcast(marks.select(F.col("row_id").alias("mark"), *(F.col(c).alias(f"_{c}") for c in columns)))
     pairs = df.crossJoin(m)
     return pairs.select("row_id", "mark", kernel([F.col(c) for c in columns], [F.col(f"_{c}") for c in columns]).alias("k"))
 

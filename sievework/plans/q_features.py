@@ -13,7 +13,7 @@ from ..operators import sampling as P
 from . import views as V
 from .q_ranks import keyed_rank_sql
 from .q_tables import LS, split_of
-from .views import query
+from .views import query, u_sql
 
 R = F.round
 L = ("line_scored",)
@@ -131,7 +131,13 @@ def feat_pairwise_products(spark: SparkSession, d: str) -> DataFrame:
     return V.vectors(spark, d).select("row_id", *(R(c, 8).alias(k) for k, c in X.pairwise_products(["u0", "u1", "u2"]).items()))
 
 
-@query()
+def _product_sql(k: int, terms: list[tuple[str, str]]) -> str:
+    x = " * ".join(f"{f}(pi() * {u})" for f, u in terms)
+    sign = lambda draw: f"(CASE WHEN {u_sql(k, draw, 'row_id')} < ({x} + 1) / 2 THEN 1 ELSE -1 END)"
+    return f"({sign(0)} + {sign(1)}) / 2 AS r{k}"
+
+
+@query("SELECT row_id, " + ", ".join(_product_sql(k, t) for k, t in enumerate(X.random_terms(["u0", "u1", "u2", "u3"], 64, 9))) + " FROM vectors", "vectors")
 def feat_random_products(spark: SparkSession, d: str) -> DataFrame:
     """64 random products, read out with two draws each: a mean of two signs with the product as expectation."""
     out = V.vectors(spark, d)

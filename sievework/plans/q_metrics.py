@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
@@ -224,14 +225,20 @@ def bootstrap_simultaneous(spark: SparkSession, d: str) -> DataFrame:
     return i.select("method", R("low", 9).alias("low"), R("high", 9).alias("high"), B.practical(F.col("low"), F.col("high"), 0.01).alias("decision"))
 
 
-@query()
+NEST = f"SELECT draw, row_id, p, unnest(range(1, w + 1)) AS copy FROM (SELECT row_id, p, draw, {poisson_sql(u_sql(62, 'draw', 'row_id'))} AS w FROM patterns, (SELECT unnest(range(5)) AS draw) WHERE seed = 1) WHERE w > 0"
+NEST_U = u_sql(63, "shot", "draw || '/' || row_id || '/' || copy")
+
+
+@query(f"""WITH k AS ({NEST}), c AS (SELECT draw, row_id, copy, least(7, len(list_filter(list_transform(range(1, 9), lambda i: list_sum(p[1:i])), lambda e: e <= u))) AS cell, count(*) / 32 AS x
+    FROM (SELECT *, {NEST_U} AS u FROM k, (SELECT unnest(range(32)) AS shot)) GROUP BY ALL), r AS (SELECT draw, count(*) AS rows FROM k GROUP BY draw),
+    m AS (SELECT draw, cell, sum(x) AS s, sum(x * x) AS q FROM c GROUP BY draw, cell) SELECT draw, rows, round(2 * rows / (rows - 1) * sum(q / rows - pow(s / rows, 2)), 8) AS diversity FROM m JOIN r USING (draw) GROUP BY draw, rows""", "patterns")
 def bootstrap_nested(spark: SparkSession, d: str) -> DataFrame:
     """All rows resampled and their counts drawn anew in each of five draws: diversity of the resampled vectors of shot shares."""
     drawn = P.poisson_draws(V.patterns(spark, d, 1).select("row_id", "p"), "row_id", 5, 62)
     keyed = drawn.select("*", F.explode(F.sequence(F.lit(1), "weight")).alias("copy")).withColumn("k", F.concat_ws("/", *(F.col(c).cast("string") for c in ("draw", "row_id", "copy"))))
     cells = keyed.select("draw", F.posexplode(P.multinomial_cells(F.col("p"), "k", 32, 63)).alias("cell", "n")).withColumn("x", F.col("n") / 32)
     m = cells.groupBy("draw", "cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    return m.groupBy("draw", "rows").agg((2 * F.col("rows") / (F.col("rows") - 1) * F.sum(F.col("q") / F.col("rows") - F.pow(F.col("s") / F.col("rows"), 2))).alias("diversity"))
+    return m.groupBy("draw", "rows").agg((2 * F.col("rows") / (F.col("rows") - 1) * F.sum(F.col("q") / F.col("rows") - F.pow(F.col("s") / F.col("rows"), 2))).alias("diversity")).withColumn("diversity", R("diversity", 8))
 
 
 V.VIEW_SQL["ps"] = "SELECT method, (1 + count(*) FILTER (abs(delta - observed) >= abs(observed))) / (count(*) + 1) AS p FROM deltas JOIN observed USING (method) GROUP BY method"
@@ -299,7 +306,13 @@ def prevalence_stress(spark: SparkSession, d: str) -> DataFrame:
     return M.prevalence_stress(V.line_scored(spark, d), "s_b", "y", [0.0002, 0.01, 0.1]).withColumn("ap", R("ap", 9))
 
 
-@query()
+V.VIEW_SQL["few_split"] = f"SELECT *, CASE WHEN u < 0.5 THEN 'train' WHEN u < 0.75 THEN 'val' ELSE 'test' END AS split FROM (SELECT *, {u_sql(64, 0, 'row_id')} AS u FROM vectors)"
+V.VIEW_SQL["few_centres"] = f"""SELECT budget, replicate, avg(u0) AS c0, avg(u1) AS c1, avg(u2) AS c2, avg(u3) AS c3 FROM (SELECT *, row_number() OVER (PARTITION BY replicate, split ORDER BY {u_sql('replicate', 'split', 'row_id')}, row_id) AS k
+    FROM few_split, (SELECT unnest([0, 1, 2]) AS replicate) WHERE y = 1 AND split <> 'test'), (SELECT unnest([5, 10, 20]) AS budget) WHERE k <= CASE WHEN split = 'train' THEN budget * 4 // 5 ELSE budget // 5 END GROUP BY budget, replicate"""
+V.VIEW_SQL["few_scored"] = "SELECT budget, replicate, y, -(" + " + ".join(f"pow(u{i} - c{i}, 2)" for i in range(4)) + ") AS score FROM few_split, few_centres WHERE split = 'test'"
+
+
+@query("SELECT budget, replicate, round(auc, 9) AS auc FROM (" + auc_sql("few_scored", "budget, replicate") + ")", "vectors", "few_split", "few_centres", "few_scored")
 def label_scarcity_curve(spark: SparkSession, d: str) -> DataFrame:
     """AUC by label budget and replicate of a score fitted on that budget alone: distance to the positives' mean."""
     rows = V.vectors(spark, d).withColumn("split", F.when(S.keyed_uniform(64, 0, "row_id") < 0.5, "train").when(S.keyed_uniform(64, 0, "row_id") < 0.75, "val").otherwise("test"))
@@ -308,23 +321,25 @@ def label_scarcity_curve(spark: SparkSession, d: str) -> DataFrame:
         fit = P.label_budget(rows, "y", "row_id", "split", budget, 3).where("y = 1")
         centre = fit.groupBy("replicate").agg(*(F.avg(f"u{i}").alias(f"c{i}") for i in range(4)))
         scored = rows.where("split = 'test'").join(F.broadcast(centre)).withColumn("score", -sum(F.pow(F.col(f"u{i}") - F.col(f"c{i}"), 2) for i in range(4)))
-        m = M.auroc(scored, "score", "y", ("replicate",)).withColumn("budget", F.lit(budget))
+        m = scored.select("replicate", "y", "score", F.lit(budget).alias("budget"))
         out = m if out is None else out.unionByName(m)
-    return out
+    return M.auroc(out, "score", "y", ("budget", "replicate")).withColumn("auc", R("auc", 9))
 
 
-@query()
+ZS = [f"(x{i} - m{i}) / CASE WHEN s{i} > 0 THEN s{i} ELSE 1 END" for i in range(1, 9)]
+V.VIEW_SQL["count_scored"] = "SELECT y, unnest([1, 2, 4, 8]) AS features, unnest([" + ", ".join(" + ".join(ZS[:k]) for k in (1, 2, 4, 8)) + "]) AS score FROM features, (SELECT " + ", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(1, 9)) + " FROM features WHERE y = 0)"
+
+
+@query("SELECT features, round(auc, 7) AS auc FROM (" + auc_sql("count_scored", "features") + ")", "features", "count_scored")
 def feature_count_curve(spark: SparkSession, d: str) -> DataFrame:
     """AUC by number of features of the mean standard score."""
     from ..operators.encode import standardised
 
     xs = [f"x{i}" for i in range(1, 9)]
     z = standardised(V.features(spark, d), xs, F.col("y") == 0)
-    out = None
-    for k in (1, 2, 4, 8):
-        m = M.auroc(z.withColumn("score", sum(F.col(f"z_{x}") for x in xs[:k])), "score", "y").withColumn("features", F.lit(k))
-        out = m if out is None else out.unionByName(m)
-    return out
+    add = lambda k: reduce(lambda a, b: a + b, [F.col(f"z_{x}") for x in xs[:k]])
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("features"), add(k).alias("score")) for k in (1, 2, 4, 8))))
+    return M.auroc(z.select("y", each.alias("e")).select("y", "e.*"), "score", "y", ("features",)).withColumn("auc", R("auc", 7))
 
 
 @query("""SELECT eps, round(auc, 9) AS auc FROM (""" + auc_sql("(SELECT y, eps, round(CASE WHEN y = 1 THEN (1 - eps) * u0 + 0.5 * eps ELSE u0 END, 9) AS score FROM vectors, (SELECT unnest([0.0::DOUBLE, 0.2, 0.5]) AS eps))", "eps") + ")", "vectors")
@@ -376,7 +391,15 @@ def splice_replace(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("n"), R(F.avg(F.col("crossed").cast("int")), 9).alias("crossed"), R(F.sum("spliced"), 3).alias("total"))
 
 
-@query()
+SPLICE = f"""WITH t AS (SELECT row_id, y, p, round(s_a / 100000, 6) AS head FROM line_scored WHERE part = 'test'), b AS (SELECT row_id, row_number() OVER (ORDER BY head DESC, row_id) AS k FROM t WHERE p > 0.4 AND p <= 0.8),
+    s AS (SELECT p AS v, row_number() OVER (ORDER BY p DESC, row_id) AS k FROM t WHERE p > 0.4 AND p <= 0.8), m AS (SELECT row_id, y, 'replace' AS method, CASE WHEN p > 0.4 AND p <= 0.8 THEN head ELSE p END AS score FROM t UNION ALL
+        SELECT t.row_id, y, 'rerank', coalesce(v, p) FROM t LEFT JOIN b USING (row_id) LEFT JOIN s USING (k)),
+    w AS (SELECT * FROM (SELECT *, {poisson_sql(u_sql(66, 'draw', 'row_id'))} AS w FROM m, (SELECT unnest(range(10)) AS draw)) WHERE w > 0), a AS ({ap_sql('w', 'draw, method', w='w')}),
+    d AS (SELECT x.ap - z.ap AS delta FROM a x JOIN a z USING (draw) WHERE x.method = 'replace' AND z.method = 'rerank')
+    SELECT 'replace' AS method, round(avg(delta), 8) AS mean, """ + ", ".join(f"round(quantile_cont(delta, {q}), 8) AS {n}" for n, q in (("low", 0.025), ("high", 0.975), ("low_975", 0.0125), ("high_975", 0.9875))) + " FROM d"
+
+
+@query(SPLICE, *L)
 def splice_contrast(spark: SparkSession, d: str) -> DataFrame:
     """Replacing against re-ordering inside the band: paired draws of the difference, at two levels."""
     rows = V.line_scored(spark, d).where("part = 'test'").withColumn("head", R(F.col("s_a") / 100000, 6)).select("row_id", "y", "p", "head")
@@ -384,7 +407,8 @@ def splice_contrast(spark: SparkSession, d: str) -> DataFrame:
     m2 = G.band_rerank(rows, "p", "head", 0.4, 0.8).select("row_id", "y", F.lit("rerank").alias("method"), F.col("reranked").alias("score"))
     delta = B.paired_deltas(B.ap_draws(m1.unionByName(m2), "row_id", "method", "score", "y", 10, 66), "method", "ap", "rerank")
     a, b = B.interval(delta, "delta", ("method",), 0.95), B.interval(delta, "delta", ("method",), 0.975)
-    return a.join(b.select("method", F.col("low").alias("low_975"), F.col("high").alias("high_975")), "method")
+    both = a.join(b.select("method", F.col("low").alias("low_975"), F.col("high").alias("high_975")), "method")
+    return both.select("method", *(R(c, 8).alias(c) for c in ("mean", "low", "high", "low_975", "high_975")))
 
 
 @query("""SELECT method, round(ap, 9) AS ap, round(auc, 9) AS auc, round(ap - (SELECT ap FROM ap WHERE method = 'price'), 9) AS to_price, round(ap - (SELECT ap FROM ap WHERE method = 'const'), 9) AS to_const,

@@ -300,7 +300,8 @@ def keyed_noise(spark: SparkSession, d: str) -> DataFrame:
     return V.txn(spark, d).select("row_id", R(S.keyed_normal(38, 0, "row_id"), 7).alias("z"))
 
 
-@query()
+@query(f"""SELECT draw, count(*) AS rows, sum(y)::BIGINT AS positives FROM (SELECT draw, floor({u_sql(39, 'draw', 'slot')} * (SELECT count(*) FROM vectors)) + 1 AS place FROM
+    (SELECT unnest(range(20)) AS draw), (SELECT unnest(range((SELECT count(*) FROM vectors))) AS slot)) JOIN (SELECT y, row_number() OVER (ORDER BY row_id) AS place FROM vectors) USING (place) GROUP BY draw""", "vectors")
 def bootstrap_multinomial(spark: SparkSession, d: str) -> DataFrame:
     draws = P.multinomial_draws(V.vectors(spark, d).select("row_id", "y"), "row_id", 20, 39)
     return draws.groupBy("draw").agg(F.sum("weight").alias("rows"), F.sum(F.col("weight") * F.col("y")).alias("positives"))
@@ -320,7 +321,8 @@ def binomial_readout(spark: SparkSession, d: str) -> DataFrame:
     return V.line_scored(spark, d).select("row_id", R(P.binomial_readout(F.col("p"), 256, 41, 0, "row_id"), 7).alias("readout"))
 
 
-@query()
+@query(f"""SELECT least(7, len(list_filter(edges, lambda e: e <= u)))::INT AS cell, count(*) AS n FROM (SELECT list_transform(range(1, 9), lambda k: list_sum(p[1:k])) AS edges, {u_sql(42, 'shot', 'row_id')} AS u
+    FROM patterns, (SELECT unnest(range(16)) AS shot) WHERE seed = 1) GROUP BY 1""", "patterns")
 def multinomial_counts(spark: SparkSession, d: str) -> DataFrame:
     return P.multinomial_counts(V.patterns(spark, d, 1), "row_id", "p", 16, 42).groupBy("cell").agg(F.sum("n").alias("n"))
 

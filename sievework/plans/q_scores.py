@@ -90,7 +90,11 @@ def mc_expectation(spark: SparkSession, d: str) -> DataFrame:
     return C.monte_carlo(V.vectors(spark, d), U3, FILTER, 32, 71).withColumn("estimate", R("estimate", 8))
 
 
-@query()
+CBITS = " + ".join(f"(CASE WHEN {u_sql(f"'72.{i}'", 'draw', 'row_id')} < {PROB[i]} THEN {1 << i} ELSE 0 END)" for i in range(3))
+
+
+@query(f"""SELECT round(regr_slope(ln(rmse), ln(n)), 6) AS slope FROM (SELECT n, sqrt(avg(pow(estimate - exact, 2))) AS rmse FROM (SELECT n, row_id, avg({LIST}[({CBITS}) + 1]) AS estimate, max({cells_sql(FILTER)}) AS exact
+    FROM vectors, (SELECT unnest([4, 16, 64]) AS n), (SELECT unnest(range(64)) AS draw) WHERE draw < n GROUP BY n, row_id) GROUP BY n)""", *VEC)
 def mc_convergence(spark: SparkSession, d: str) -> DataFrame:
     """Slope of ln RMSE on ln N of the estimate; near -1/2."""
     rows = V.vectors(spark, d).withColumn("exact", C.expectation(us(), FILTER)).select("row_id", *U3, "exact")
@@ -98,7 +102,7 @@ def mc_convergence(spark: SparkSession, d: str) -> DataFrame:
     for n in (4, 16, 64):
         e = C.monte_carlo(rows, U3, FILTER, n, 72).join(rows, "row_id").agg(F.sqrt(F.avg(F.pow(F.col("estimate") - F.col("exact"), 2))).alias("rmse")).select(F.lit(n).alias("n"), "rmse")
         out = e if out is None else out.unionByName(e)
-    return out.agg(F.regr_slope(F.ln("rmse"), F.ln("n")).alias("slope"))
+    return out.agg(R(F.regr_slope(F.ln("rmse"), F.ln("n")), 6).alias("slope"))
 
 
 REJ = f"SELECT floor({u_sql("'73.c'", 'draw', 'row_id')} * 8)::INT AS cell, {u_sql("'73.k'", 'draw', 'row_id')} AS u FROM vectors, (SELECT unnest(range(16)) AS draw)"
@@ -182,16 +186,23 @@ def energy_distance(spark: SparkSession, d: str) -> DataFrame:
     return D.energy_distance(pool_of(spark, d), "row_id", "y", ["u0", "u1"]).withColumn("statistic", R("statistic", 8))
 
 
-@query()
+EACH, PERMUTATIONS = 200, 99
+V.VIEW_SQL["drift_rows"] = f"""SELECT w, row_id, ln(1 + amount) AS x FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY {u_sql(82, 0, 'row_id')}, row_id) AS k FROM
+    (SELECT *, ntile(8) OVER (ORDER BY t, row_id)::INT AS w FROM txn)) WHERE k <= {EACH}"""
+V.VIEW_SQL["drift_pool"] = """SELECT w, row_id, x, 1 AS late FROM drift_rows WHERE w > 1 UNION ALL SELECT k.w, f.row_id, f.x, 0 FROM drift_rows f, (SELECT DISTINCT w FROM drift_rows WHERE w > 1) k WHERE f.w = 1"""
+V.VIEW_SQL["drift_labels"] = f"""SELECT -1 AS permutation, w, row_id, x, late AS l FROM drift_pool UNION ALL SELECT permutation, w, row_id, x, (row_number() OVER (PARTITION BY permutation, w ORDER BY {u_sql(83, 'permutation', 'row_id')}, row_id)
+    <= sum(late) OVER (PARTITION BY permutation, w))::INT FROM drift_pool, (SELECT unnest(range({PERMUTATIONS})) AS permutation)"""
+
+
+@query("""WITH e AS (SELECT permutation, w, 2 * avg(abs(a.x - b.x)) FILTER (a.l = 1 AND b.l = 0) - avg(abs(a.x - b.x)) FILTER (a.l = 1 AND b.l = 1) - avg(abs(a.x - b.x)) FILTER (a.l = 0 AND b.l = 0) AS s
+    FROM drift_labels a JOIN drift_labels b USING (permutation, w) GROUP BY permutation, w), o AS (SELECT w, s AS seen FROM e WHERE permutation = -1)
+    SELECT w, round(seen, 8) AS statistic, (1 + count(*) FILTER (s >= seen - 1e-12)) / (count(*) + 1) AS p FROM e JOIN o USING (w) WHERE permutation >= 0 GROUP BY w, seen""", "txn", "drift_rows", "drift_pool", "drift_labels")
 def drift_permutation_test(spark: SparkSession, d: str) -> DataFrame:
-    """Eight windows of the events against the first one: 60 rows of each, 19 permutations."""
-    w = P.time_windows(V.txn(spark, d).withColumn("x", F.log1p("amount")), "t", "row_id", 8, 60, 82)
-    first = w.where("w = 1")
-    pooled = None
-    for k in range(2, 9):
-        part = w.where(F.col("w") == k).withColumn("late", F.lit(1)).unionByName(first.withColumn("late", F.lit(0))).withColumn("w", F.lit(k))
-        pooled = part if pooled is None else pooled.unionByName(part)
-    return D.permutation_test(pooled.select("w", "row_id", "late", "x"), "row_id", "late", ["x"], 19, 83, ("w",))
+    """Eight windows of the events against the first one: EACH rows of each, PERMUTATIONS permutations."""
+    w = P.time_windows(V.txn(spark, d).withColumn("x", F.log1p("amount")), "t", "row_id", 8, EACH, 82).select("w", "row_id", "x")
+    first = w.where("w = 1").select("row_id", "x", F.lit(0).alias("late"), F.explode(F.sequence(F.lit(2), F.lit(8))).alias("w"))
+    pooled = w.where("w > 1").withColumn("late", F.lit(1)).unionByName(first)
+    return D.permutation_test(pooled, "row_id", "late", ["x"], PERMUTATIONS, 83, ("w",)).withColumn("statistic", R("statistic", 8))
 
 
 @query("""SELECT w, count(*) AS n, round(avg((category = 'error')::INT), 9) AS rate, round(avg(amount), 6) AS mean, (SELECT min(w) FROM (SELECT w, avg(amount) AS m FROM (SELECT *, ntile(8) OVER (ORDER BY t, row_id)::INT AS w FROM txn) GROUP BY w)
