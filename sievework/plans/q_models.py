@@ -178,17 +178,33 @@ def method_guard(spark: SparkSession, d: str) -> DataFrame:
     }), "method string, status string, reason string")
 
 
+EVENTS = "row_id long, ts timestamp, card long, category string, amount double, y int"
+
+
+def event_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = V.table(spark, d, "events")
+    y = (F.col("event_type") == "error").cast("int")
+    at = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"))
+    return e.select(F.col("event_id").alias("row_id"), at.alias("ts"), F.col("user_id").alias("card"), F.col("event_type").alias("category"), F.col("value").alias("amount"), y.alias("y"))
+
+
 def stream_path(spark: SparkSession, d: str, files: int = 3) -> str:
     """The events as shuffled files of (row_id, ts, card, category, amount, y)."""
     path = scratch(spark, "events")
-    e = V.table(spark, d, "events")
-    y = (F.col("event_type") == "error").cast("int")
-    rows = e.select(F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("card"), F.col("event_type").alias("category"), F.col("value").alias("amount"), y.alias("y"))
-    rows.repartition(files, F.xxhash64("row_id") % files).write.parquet(path)
+    event_rows(spark, d).repartition(files, F.xxhash64("row_id") % files).write.parquet(path)
     return path
 
 
-EVENTS = "row_id long, ts timestamp, card long, category string, amount double, y int"
+SLICE = 10 * 86400
+
+
+def timed_path(spark: SparkSession, d: str) -> str:
+    """The events as one file for every ten days, written one after the other."""
+    path = scratch(spark, "events")
+    rows = event_rows(spark, d).withColumn("slice", F.floor(F.unix_micros("ts") / (SLICE * 1_000_000)))
+    for r in rows.select("slice").distinct().orderBy("slice").collect():  # one row for every ten days
+        rows.where(F.col("slice") == r.slice).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
 def stream_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -215,27 +231,36 @@ def stream_route(spark: SparkSession, d: str) -> DataFrame:
     return T.finished(T.route(stream_rows(spark, d), "amount", 40.0, 80.0), "routed").select("row_id", "region")
 
 
-@query()
+MONITOR = """SELECT t // {0} * {0} - k * {0} AS start, count(*) AS n, sum((category = 'error')::INT)::BIGINT AS positives, avg(amount) AS mean_score, avg((amount > 40 AND amount <= 80)::INT) AS in_band
+    FROM txn, (SELECT unnest(range({1})) AS k) GROUP BY 1"""
+
+
+@query(MONITOR.format(86400, 1), "txn")
 def stream_monitor_tumbling(spark: SparkSession, d: str) -> DataFrame:
     out = replayed(spark, d, "tumbling", lambda rows, late: T.monitor(rows, "ts", "amount", "y", 40.0, 80.0, "1 day", late=late))
     return out.select(F.col("start").cast("long").alias("start"), "n", "positives", "mean_score", "in_band")
 
 
-@query()
+@query(MONITOR.format(21600, 4), "txn")
 def stream_monitor_sliding(spark: SparkSession, d: str) -> DataFrame:
     out = replayed(spark, d, "sliding", lambda rows, late: T.monitor(rows, "ts", "amount", "y", 40.0, 80.0, "1 day", "6 hours", late))
     return out.select(F.col("start").cast("long").alias("start"), "n", "positives", "mean_score", "in_band")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS card, epoch_us(ts) AS us, value AS amount FROM events), f AS (SELECT *, coalesce((us - lag(us) OVER (PARTITION BY card ORDER BY us) >= 1800000000)::INT, 1) AS first FROM e),
+    g AS (SELECT *, sum(first) OVER (PARTITION BY card ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM f) SELECT card, min(us) // 1000000 AS start, count(*) AS n, sum(amount) AS total FROM g GROUP BY card, k""")
 def stream_card_session(spark: SparkSession, d: str) -> DataFrame:
     out = replayed(spark, d, "sessions", lambda rows, late: T.sessions(rows, "ts", "card", "amount", late=late))
     return out.select("card", F.col("start").cast("long").alias("start"), "n", "total")
 
 
-@query()
+@query("""WITH e AS (SELECT event_id AS row_id, user_id AS card, ln(1 + value) AS x, count(*) OVER w AS n, sum(ln(1 + value)) OVER w AS s, sum(ln(1 + value) * ln(1 + value)) OVER w AS q FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT card, row_id, n AS seen, CASE WHEN n = 0 THEN 0 ELSE round(greatest(-20.0, least(20.0, (x - s / n) / greatest(0.05, CASE WHEN n > 1 THEN sqrt(greatest(0.0, q - n * (s / n) * (s / n)) / (n - 1)) ELSE 0 END))), 6) END AS deviation FROM e""")
 def stream_card_deviation(spark: SparkSession, d: str) -> DataFrame:
-    return T.finished(T.card_deviation(stream_rows(spark, d), "card", "amount", "row_id"), "deviation")
+    """Files of ten days each, in order of time."""
+    rows = T.stream_of(spark, timed_path(spark, d), EVENTS, 1)
+    return T.finished(T.card_deviation(rows, "card", "amount", "ts", "row_id"), "deviation").withColumn("deviation", R("deviation", 6))
 
 
 @query("SELECT row_id, amount FROM txn", "txn")
@@ -248,12 +273,15 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return T.finished(T.deduplicated(T.stream_of(spark, both, EVENTS, 1), "ts", "row_id", "60 days"), "deduplicated").select("row_id", "amount")
 
 
-@query()
+@query(f"""WITH b AS (SELECT dense_rank() OVER (ORDER BY t // {SLICE}) - 1 AS batch, least(floor(amount / 10), 12)::INT AS bin FROM txn), r AS (SELECT bin, count(*) / (SELECT count(*) FROM b) AS q FROM b GROUP BY bin),
+    a AS (SELECT batch, count(*) AS whole FROM b GROUP BY batch), n AS (SELECT batch, bin, count(*) AS n FROM b GROUP BY batch, bin), p AS (SELECT batch, greatest(q, 1e-6) AS q, greatest(coalesce(n, 0) / whole, 1e-6) AS p FROM a CROSS JOIN r LEFT JOIN n USING (batch, bin))
+    SELECT batch, round(sum((p - q) * ln(p / q)), 9) AS psi FROM p GROUP BY batch""", "txn")
 def stream_psi(spark: SparkSession, d: str) -> DataFrame:
+    """Every ten days are a micro-batch, read against the histogram of all events."""
     bins = lambda df: df.withColumn("bin", F.least(F.floor(F.col("amount") / 10), F.lit(12)).cast("int"))
     rows = bins(V.txn(spark, d))
     whole = rows.count()
     reference = rows.groupBy("bin").agg((F.count(F.lit(1)) / max(1, whole)).alias("share"))
     out = scratch(spark, "psi")
-    T.psi_batches(stream_rows(spark, d), reference, bins, out)
-    return spark.read.schema("psi double, batch int").parquet(f"{out}/batch=*").select("batch", "psi")
+    T.psi_batches(T.stream_of(spark, timed_path(spark, d), EVENTS, 1), reference, bins, out)
+    return spark.read.schema("psi double, batch int").parquet(f"{out}/batch=*").select("batch", R("psi", 9).alias("psi"))

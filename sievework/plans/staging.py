@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, or in a temporary one where that is unset; removed when Python ends."""
+    """A new path in the shared folder, removed when Python ends. Where spark.checkpoint.dir is unset, a temporary folder
+    serves a local master; on a cluster, whose executors would not see it, this is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/sievework/{name}-{uuid.uuid4().hex}"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +22,27 @@ def stream_of(spark: SparkSession, path: str, schema: str, files_a_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started here keep their state in RocksDB; the session's own setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def finished(stream: DataFrame, name: str, mode: str = "append", then: Callable[[], None] | None = None) -> DataFrame:
     """Run the stream over what is there and return what it has written; with `then`, call it and go on with what it adds."""
     out = scratch(stream.sparkSession, name)
     writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}.state").option("path", out).outputMode(mode).trigger(availableNow=True)
-    writer.start().awaitTermination()
-    if then is not None:
-        then()
+    with rocks(stream.sparkSession):
         writer.start().awaitTermination()
+        if then is not None:
+            then()
+            writer.start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
@@ -46,8 +61,7 @@ def monitor(stream: DataFrame, time: str, score: str, label: str, low: float, hi
 
 
 def sessions(stream: DataFrame, time: str, card: str, amount: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    """Sessions of a card's activity: start, rows, total. The sessions still open are state, which RocksDB keeps."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    """Sessions of a card's activity: start, rows, total. The sessions still open are state; start it within `rocks`."""
     g = stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), card)
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("total")).select(card, F.col("w.start").alias("start"), "n", "total")
 
@@ -56,32 +70,38 @@ def deduplicated(stream: DataFrame, time: str, key: str, late: str = "1 day") ->
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def card_deviation(stream: DataFrame, card: str, amount: str, key: str) -> DataFrame:
-    """(card, row_id, seen, deviation) of every arriving row, by a stateful processor over RocksDB."""
+def card_deviation(stream: DataFrame, card: str, amount: str, time: str, key: str) -> DataFrame:
+    """(card, row_id, seen, deviation) of every arriving row, by a stateful processor; start it within `rocks`.
+
+    The rows of a card count in the order of time and key: a row's deviation is from all the card's rows before it, of
+    earlier micro-batches or its own, at least 0.05 wide and clipped to 20; the first row has 0. So the result does not
+    depend on how the rows are cut into batches, as long as these come in order of time. A card's rows of one batch are
+    sorted in one task.
+    """
 
     # defined here, so that it is sent by value: the process that sets up the state may not find this package
     class Deviation(StatefulProcessor):
-        """Keeps (n, sum, sum of squares) of log amounts by card; each row's deviation is from what came before its batch."""
+        """Keeps (n, sum, sum of squares) of log amounts by card."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.state = handle.getValueState("sums", "n long, s double, q double")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
             n, s, q = self.state.get() if self.state.exists() else (0, 0.0, 0.0)
-            mean = s / n if n else 0.0
-            sd = max(0.05, (max(0.0, (q - n * mean * mean) / (n - 1)) if n > 1 else 0.0) ** 0.5)
-            new_n, new_s, new_q = n, s, q
-            for batch in rows:
-                x = batch["x"]
-                new_n, new_s, new_q = new_n + len(x), new_s + float(x.sum()), new_q + float((x * x).sum())
-                yield pd.DataFrame({"card": key[0], "row_id": batch["row_id"], "seen": n, "deviation": ((x - mean) / sd).clip(-20, 20) if n else 0.0})
-            self.state.update((new_n, new_s, new_q))
+            batch = pd.concat(list(rows)).sort_values(["at", "row_id"])
+            x = batch["x"].to_numpy(float)
+            before = np.arange(n, n + len(x))
+            sums, squares = s + np.concatenate([[0.0], np.cumsum(x)]), q + np.concatenate([[0.0], np.cumsum(x * x)])
+            mean = sums[:-1] / np.maximum(before, 1)
+            spread = np.sqrt(np.maximum(0.0, squares[:-1] - before * mean * mean) / np.maximum(before - 1, 1))
+            deviation = np.clip((x - mean) / np.maximum(0.05, np.where(before > 1, spread, 0.0)), -20, 20)
+            self.state.update((n + len(x), float(sums[-1]), float(squares[-1])))
+            yield pd.DataFrame({"card": key[0], "row_id": batch["row_id"].to_numpy(), "seen": before, "deviation": np.where(before > 0, deviation, 0.0)})
 
         def close(self) -> None:
             pass
 
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = stream.select(F.col(card).alias("card"), F.col(key).alias("row_id"), F.log1p(amount).alias("x"))
+    rows = stream.select(F.col(card).alias("card"), F.col(key).alias("row_id"), F.unix_micros(time).alias("at"), F.log1p(amount).alias("x"))
     return rows.groupBy("card").transformWithStateInPandas(Deviation(), "card long, row_id long, seen long, deviation double", "append", "none")
 
 
