@@ -2,36 +2,147 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans.ordered import ordered
 from ..plans.staging import staged
 from .metrics import ap_tie_aware
 
-#: Draws that one order of the scores serves; their sums stay below the number of columns that Spark compiles as a whole.
-BLOCK = 8
+#: Draws that are read off the order of the scores together.
+BLOCK = 512
+CUTS = np.array(S.POISSON_CUTS)
+
+
+def row_weights(seed: int, first: int, draws: int, keys: list[str]) -> np.ndarray:
+    """The keyed Poisson(1) weights (`scalars.keyed_poisson`) of each row in the draws from `first` on: rows by draws."""
+    raw, md5 = [k.encode() for k in keys], hashlib.md5
+    out = np.empty((len(keys), draws))
+    for i in range(draws):
+        start = f"{seed}:{first + i}:".encode()
+        heads = np.frombuffer(b"".join([md5(start + k).digest() for k in raw]), ">u4")[::4]
+        out[:, i] = np.searchsorted(CUTS, heads / 2.0**32, side="right")
+    return out
 
 
 def ap_draws(df: DataFrame, key: str, method: str, score: str, label: str, draws: int, seed: int) -> DataFrame:
-    """(draw, method, ap): weights depend on (draw, key) alone, so methods share them; draws without both classes have no ap.
+    """(draw, method, ap): weights depend on (draw, key) alone, so methods share them; draws without positives have no ap.
 
-    A row carries the weights of BLOCK draws side by side, so one order of the scores serves them all.
+    The scores are put in order once, in ranges that are written; rows with one score may lie in several ranges. For
+    each BLOCK of draws the ranges are then read twice, row by row in batches: for the sums of weights of each range,
+    and, with the sums of the ranges before it, for the precisions at the ends of the runs of equal scores. Only a
+    few vectors of BLOCK numbers leave a range: the weighted precisions within it, and its first and last run, which
+    the neighbouring ranges may share.
     """
-    rows = df.select(method, F.col(score).alias("score"), key, label, F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // BLOCK))).alias("block"))
-    first = F.col("block") * BLOCK
-    rows = rows.withColumns({f"w{i}": S.keyed_poisson(seed, first + i, key) for i in range(BLOCK)})
-    sums = {f"n{i}": F.sum(f"w{i}") for i in range(BLOCK)} | {f"p{i}": F.sum(F.col(f"w{i}") * F.col(label)) for i in range(BLOCK)}
-    steps = staged(rows.groupBy(method, "block", "score").agg(*(v.alias(k) for k, v in sums.items())), "steps")
-    o = ordered(steps, "score", groups=(method, "block"), desc=True, sums={k: F.col(k) for k in sums}, ranks=False)
-    # a step without weight in a draw adds nothing to it
-    gain = lambda i: F.try_divide(F.col(f"p{i}") * F.col(f"run_p{i}"), F.col(f"run_n{i}"))
-    each = o.groupBy(method, "block").agg(*(F.try_divide(F.sum(gain(i)), F.max(f"all_p{i}")).alias(f"ap{i}") for i in range(BLOCK)))
-    found = F.explode(F.array(*(F.struct((first + i).alias("draw"), F.col(f"ap{i}").alias("ap")) for i in range(BLOCK))))
-    return staged(each.select(method, found.alias("e")).select("e.draw", method, "e.ap").where((F.col("draw") < draws) & F.col("ap").isNotNull()), "draws")
+    columns = [F.col(method).cast("string").alias("method"), F.col(score).cast("double").alias("score"), F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("label")]
+    order = [F.col("method"), F.desc("score"), F.xxhash64("key"), F.col("key")]
+    placed = df.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = staged(placed, "order").withColumn("range", F.shiftright("at", 33))
+    parts = [_block(placed, first, min(BLOCK, draws - first), seed) for first in range(0, draws, BLOCK)]
+    out = staged(reduce(lambda a, b: a.unionByName(b), parts), "draws")
+    return out.select("draw", F.col("method").cast(df.schema[method].dataType).alias(method), "ap")
+
+
+def _block(placed: DataFrame, first: int, draws: int, seed: int) -> DataFrame:
+    numbers = lambda raw: np.frombuffer(raw, float)
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            w, y = row_weights(seed, first, draws, batch["key"].tolist()), batch["label"].to_numpy(float)
+            for at, rows in batch.groupby(["range", "method"]).indices.items():
+                sums = np.stack([w[rows].sum(0), y[rows] @ w[rows]])
+                found[at] = found[at] + sums if at in found else sums
+        yield pd.DataFrame([(*at, n.tobytes(), p.tobytes()) for at, (n, p) in found.items()], columns=["range", "method", "n", "p"])
+
+    def before(group: pd.DataFrame) -> pd.DataFrame:
+        """Of one method: the sums of all ranges before each, and (range null) those of all ranges."""
+        group = group.groupby("range")[["n", "p"]].agg(lambda raws: sum(map(numbers, raws))).sort_index()
+        n, p = np.stack(group["n"].to_numpy()), np.stack(group["p"].to_numpy())
+        zero = np.zeros((1, draws))
+        n, p = np.concatenate([zero, np.cumsum(n, 0)]), np.concatenate([zero, np.cumsum(p, 0)])
+        return pd.DataFrame({"range": [*group.index, None], "n": [x.tobytes() for x in n], "p": [x.tobytes() for x in p]}).astype({"range": "Int64"})
+
+    def named(group: pd.DataFrame) -> pd.DataFrame:
+        return before(group).assign(method=group["method"].iloc[0])
+
+    sums = placed.select("range", "method", "key", "label").mapInPandas(totals, "range long, method string, n binary, p binary")
+    offsets = staged(sums.groupBy("method").applyInPandas(named, "range long, n binary, p binary, method string"), "offsets")
+
+    def precisions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, run_n, run_p, inside, held, is_first = None, None, None, None, None, True
+        out: list[tuple] = []
+
+        def close() -> None:
+            """The last run of a range; another may go on with it."""
+            nonlocal held
+            if held is not None:
+                out.append(("edge", here[1], held[0], held[2].tobytes(), (run_n + held[1]).tobytes(), (run_p + held[2]).tobytes()))
+                held = None
+            if here is not None:
+                out.append(("sum", here[1], None, inside.tobytes(), None, None))
+
+        for batch in batches:
+            for at, rows in batch.groupby(["range", "method"], sort=False):
+                if at != here:
+                    close()
+                    here, inside, is_first = at, np.zeros(draws), True
+                    run_n, run_p = numbers(rows["n"].iloc[0]).copy(), numbers(rows["p"].iloc[0]).copy()
+                    rows = rows.iloc[1:]
+                if not len(rows):
+                    continue
+                w, y, s = row_weights(seed, first, draws, rows["key"].tolist()), rows["label"].to_numpy(float), rows["score"].to_numpy(float)
+                new = np.concatenate([[True], (s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1]))])
+                begins = np.flatnonzero(new)
+                n, p = np.add.reduceat(w, begins), np.add.reduceat(w * y[:, None], begins)
+                s = s[begins]
+                if held is not None:
+                    if held[0] == s[0] or np.isnan(held[0]) and np.isnan(s[0]):
+                        n[0] += held[1]
+                        p[0] += held[2]
+                    else:
+                        n, p, s = np.vstack([held[1], n]), np.vstack([held[2], p]), np.concatenate([[held[0]], s])
+                held = (s[-1], n[-1], p[-1])
+                n, p = n[:-1], p[:-1]
+                if len(n):
+                    all_n, all_p = run_n + np.cumsum(n, 0), run_p + np.cumsum(p, 0)
+                    if is_first:
+                        out.append(("edge", here[1], s[0], p[0].tobytes(), all_n[0].tobytes(), all_p[0].tobytes()))
+                    gain = p * all_p / np.maximum(all_n, 1)
+                    inside += gain[is_first:].sum(0)
+                    run_n, run_p, is_first = all_n[-1], all_p[-1], False
+            yield pd.DataFrame(out, columns=["kind", "method", "score", "p", "all_n", "all_p"])
+            out = []
+        close()
+        yield pd.DataFrame(out, columns=["kind", "method", "score", "p", "all_n", "all_p"])
+
+    rows = placed.select("range", "method", "at", "score", "key", "label").unionByName(offsets.where("range IS NOT NULL").withColumn("at", F.lit(-1).cast("long")), allowMissingColumns=True)
+    dealt = rows.repartition(F.col("range")).sortWithinPartitions("range", "method", "at")
+    found = staged(dealt.mapInPandas(precisions, "kind string, method string, score double, p binary, all_n binary, all_p binary"), "precisions")
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        """One run of equal scores, from the ranges that hold it."""
+        p = sum(map(numbers, group["p"]))
+        n, q = (np.max([numbers(x) for x in group[c]], 0) for c in ("all_n", "all_p"))
+        return pd.DataFrame({"method": group["method"].iloc[:1], "p": [(p * q / np.maximum(n, 1)).tobytes()]})
+
+    def ended(group: pd.DataFrame) -> pd.DataFrame:
+        whole = numbers(group["whole"].dropna().iloc[0])
+        gain = sum(map(numbers, group["p"].dropna()), np.zeros(draws))
+        at = np.flatnonzero(whole > 0)
+        return pd.DataFrame({"draw": first + at, "method": group["method"].iloc[0], "ap": gain[at] / whole[at]})
+
+    edges = found.where("kind = 'edge'").groupBy("method", "score").applyInPandas(joined, "method string, p binary")
+    both = edges.unionByName(found.where("kind = 'sum'").select("method", "p")).withColumn("whole", F.lit(None).cast("binary"))
+    both = both.unionByName(offsets.where("range IS NULL").select("method", F.lit(None).cast("binary").alias("p"), F.col("p").alias("whole")))
+    return both.groupBy("method").applyInPandas(ended, "draw int, method string, ap double")
 
 
 def binned_ap_draws(df: DataFrame, method: str, score: str, label: str, draws: int, seed: int, bins: int = 1000) -> DataFrame:

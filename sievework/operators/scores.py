@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .contracts import unpivot
 from .encode import ecdf
-from .features import landmark_kernel
 
 add = lambda xs: reduce(lambda a, b: a + b, xs)
 
@@ -110,36 +111,95 @@ def cell_density(df: DataFrame, cells: Column, fit: Column) -> DataFrame:
     return p.join(F.broadcast(cost)).withColumn("score", -S.dot(F.col("_p"), F.col("_c.l"))).drop("_p", "_c")
 
 
+#: Landmarks of a density, and references of an outlier factor, at most; they go to every task.
+MOST_LANDMARKS, MOST_REFERENCES = 5_000, 40_000
+#: Rows whose distances to all landmarks are held at once.
+SLICE = 256
+
+
+def shipped_landmarks(marks: DataFrame, columns: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, coordinates) of a stated set of at most `most` landmarks, in order of the ids; more are an error."""
+    rows = marks.select("row_id", *(F.col(c).cast("double") for c in columns)).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} landmarks")
+    rows.sort(key=lambda r: r.row_id)
+    return np.array([r.row_id for r in rows]), np.array([list(r)[1:] for r in rows], float).reshape(len(rows), len(columns))
+
+
+def by_slices(df: DataFrame, columns: list[str], schema: str, made) -> DataFrame:
+    """made(ids, coordinates) of at most SLICE rows at a time, without a shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
+                yield made(part["row_id"].to_numpy(), part[columns].to_numpy(float))
+
+    return df.select("row_id", *(F.col(c).cast("double").alias(c) for c in columns)).mapInPandas(run, schema)
+
+
+def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return sum((x[:, None, k] - y[None, :, k]) ** 2 for k in range(x.shape[1]))
+
+
 def kde(df: DataFrame, marks: DataFrame, columns: list[str], bandwidth: float) -> DataFrame:
-    """(row_id, log_density): Gaussian kernels at the landmarks, summed up stably."""
-    d = len(columns)
-    e = landmark_kernel(df, marks, columns, lambda u, v: -add([(a - b) * (a - b) for a, b in zip(u, v, strict=True)]) / (2 * bandwidth * bandwidth))
-    top = e.groupBy("row_id").agg(F.max("k").alias("top"), F.collect_list("k").alias("ks"), F.count(F.lit(1)).alias("n"))
-    norm = d * math.log(bandwidth * math.sqrt(2 * math.pi))
-    total = F.aggregate("ks", F.lit(0.0), lambda acc, k: acc + F.exp(k - F.col("top")))
-    return top.select("row_id", (F.col("top") + F.ln(total) - F.ln("n") - norm).alias("log_density"))
+    """(row_id, log_density): Gaussian kernels at at most MOST_LANDMARKS landmarks, summed up stably."""
+    at = df.sparkSession.sparkContext.broadcast(shipped_landmarks(marks, columns, MOST_LANDMARKS)[1])
+    norm = len(columns) * math.log(bandwidth * math.sqrt(2 * math.pi))
+
+    def density(ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        e = -squared(x, at.value) / (2 * bandwidth * bandwidth)
+        top = e.max(1)
+        return pd.DataFrame({"row_id": ids, "log_density": top + np.log(np.exp(e - top[:, None]).sum(1)) - math.log(e.shape[1]) - norm})
+
+    return by_slices(df, columns, f"row_id {df.schema['row_id'].dataType.simpleString()}, log_density double", density)
 
 
 def best_bandwidth(df: DataFrame, marks: DataFrame, columns: list[str], bandwidths: list[float]) -> DataFrame:
-    """(bandwidth, likelihood): mean log-density of df for each bandwidth."""
+    """(bandwidth, likelihood, best): mean log-density of df for each bandwidth; the largest is best, the widest on ties."""
     rows = [kde(df, marks, columns, h).agg(F.avg("log_density").alias("likelihood")).select(F.lit(h).alias("bandwidth"), "likelihood") for h in bandwidths]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    return with_best(reduce(lambda a, b: a.unionByName(b), rows), "bandwidth", "likelihood")
+
+
+def with_best(grid: DataFrame, choice: str, value: str) -> DataFrame:
+    """A grid of a few rows with `best`: the one with the largest value, the largest choice on ties."""
+    top = grid.agg(F.max(F.struct(value, choice)).alias("top"))
+    return grid.join(F.broadcast(top)).withColumn("best", F.struct(value, choice) == F.col("top")).drop("top")
 
 
 def neighbours(df: DataFrame, marks: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """(row_id, mark, d): the k nearest other landmarks of each row, ties by id; an aggregate keeps k candidates."""
-    dist = landmark_kernel(df, marks, columns, lambda u, v: F.sqrt(add([(a - b) * (a - b) for a, b in zip(u, v, strict=True)]))).where("row_id <> mark")
-    w = Window.partitionBy("row_id").orderBy("k", "mark")  # as many rows as landmarks
-    return dist.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("row_id", "mark", F.col("k").alias("d"))
+    """(row_id, mark, d): the k nearest other landmarks of each row, ties by id. k candidates a row leave a task."""
+    shipped = df.sparkSession.sparkContext.broadcast(shipped_landmarks(marks, columns, MOST_REFERENCES))
+    type_ = df.schema["row_id"].dataType.simpleString()
+
+    def nearest(ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        names, at = shipped.value
+        d = np.sqrt(squared(x, at))
+        d[ids[:, None] == names[None, :]] = np.inf
+        m = min(k, len(names))
+        # landmarks are in order of their ids, so the first of equal distances are taken
+        bound = np.partition(d, m - 1, 1)[:, m - 1 : m] if m else np.zeros((len(ids), 1))
+        rows, found = np.nonzero((d <= bound) & np.isfinite(d))
+        order = np.lexsort((found, d[rows, found], rows))
+        rows, found = rows[order], found[order]
+        first = np.searchsorted(rows, rows)
+        keep = np.arange(len(rows)) - first < m
+        rows, found = rows[keep], found[keep]
+        return pd.DataFrame({"row_id": ids[rows], "mark": names[found], "d": d[rows, found]})
+
+    return by_slices(df, columns, f"row_id {type_}, mark {type_}, d double", nearest)
 
 
 def lof(df: DataFrame, marks: DataFrame, columns: list[str], k: int) -> DataFrame:
     """(row_id, score): local outlier factor of each row against the landmarks: how much sparser it lies than its neighbours."""
     among = neighbours(marks, marks, columns, k)
     kdist = among.groupBy("row_id").agg(F.max("d").alias("kd")).withColumnRenamed("row_id", "mark")
+
     def density(nn: DataFrame) -> DataFrame:
         reach = nn.join(F.broadcast(kdist), "mark").withColumn("reach", F.greatest("d", "kd"))
         return reach.groupBy("row_id").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd"))
+
+    # at most MOST_REFERENCES rows each
     of_marks = density(among).select(F.col("row_id").alias("mark"), F.col("lrd").alias("mark_lrd"))
     nn = neighbours(df, marks, columns, k)
     return nn.join(F.broadcast(of_marks), "mark").groupBy("row_id").agg(F.avg("mark_lrd").alias("m")).join(density(nn), "row_id").select("row_id", (F.col("m") / F.col("lrd")).alias("score"))
@@ -169,3 +229,9 @@ def attribution(score, us: list[str], step: float = 0.02) -> dict[str, Column]:
         moved = lambda e: score([S.clip(F.col(x) + e, 0.0, 1.0) if j == i else F.col(x) for j, x in enumerate(us)])  # noqa: B023, E731
         out[u] = (moved(step) - moved(-step)) / (2 * step)
     return out
+
+
+def pair_terms(us: list[str], b: dict[tuple[int, int], float]) -> dict[str, Column]:
+    """The pair terms -b_ij s_i s_j of the soft energy."""
+    signs = soft_signs([F.col(u) for u in us])
+    return {f"{us[i]}*{us[j]}": -w * signs[i] * signs[j] for (i, j), w in b.items()}

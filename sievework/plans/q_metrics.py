@@ -167,9 +167,9 @@ def power_precheck(spark: SparkSession, d: str) -> DataFrame:
 
 V.VIEW_SQL["marks64"] = f"SELECT * FROM {keyed_rank_sql(51, 'vectors')} WHERE r <= 64"
 V.VIEW_SQL["by_class"] = f"SELECT * FROM {keyed_rank_sql(52, 'vectors', 'y')} WHERE r <= 32"
-DRAWS, SEED = 12, 61
-W = poisson_sql(u_sql(SEED, "draw", "row_id"))
-V.VIEW_SQL["weighted"] = f"SELECT * FROM (SELECT *, {W} AS w FROM score_bundle, (SELECT unnest(range({DRAWS})) AS draw) WHERE part = 'test' AND method IN ('price', 'quantity', 'noise')) WHERE w > 0"
+DRAWS, SEED = 200, 61
+V.VIEW_SQL["weighted"] = f"""SELECT * EXCLUDE u FROM (SELECT *, {poisson_sql('u')} AS w FROM (SELECT *, {u_sql(SEED, 'draw', 'row_id')} AS u FROM score_bundle, (SELECT unnest(range({DRAWS})) AS draw)
+    WHERE part = 'test' AND method IN ('price', 'quantity', 'noise'))) WHERE w > 0"""
 V.VIEW_SQL["draws"] = ap_sql("weighted", "draw, method", w="w")
 V.VIEW_SQL["deltas"] = "SELECT draw, a.method, a.ap - b.ap AS delta FROM draws a JOIN draws b USING (draw) WHERE b.method = 'noise' AND a.method <> 'noise'"
 V.VIEW_SQL["point"] = ap_sql("(SELECT * FROM score_bundle WHERE part = 'test' AND method IN ('price', 'quantity', 'noise'))", "method")

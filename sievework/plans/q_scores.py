@@ -6,13 +6,16 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..functions import scalars as S
 from ..operators import drift as D
 from ..operators import encode as E
-
+from ..operators import metrics as M
 from ..operators import sampling as P
 from ..operators import scores as C
 from . import views as V
 from .q_features import marks_of
+from .q_metrics import ap_sql
 from .q_ranks import keyed_rank_sql
 from .q_tables import LS, split_of
 from .views import query, u_sql
@@ -128,35 +131,108 @@ def score_mahalanobis(spark: SparkSession, d: str) -> DataFrame:
     return C.mahalanobis(V.vectors(spark, d), ["u0", "u1"], F.col("y") == 0).select("row_id", R("score", 6).alias("score"))
 
 
-@query("""WITH k AS (SELECT v.row_id, -(pow(v.u0 - m.u0, 2) + pow(v.u1 - m.u1, 2)) / (2 * 0.1 * 0.1) AS e FROM vectors v, marks64 m), t AS (SELECT row_id, max(e) AS top FROM k GROUP BY row_id)
-    SELECT row_id, round(max(top) + ln(sum(exp(e - top))) - ln(count(*)) - 2 * ln(0.1 * sqrt(2 * pi())), 6) AS log_density FROM k JOIN t USING (row_id) GROUP BY row_id""", *VEC, "marks64")
+V.VIEW_SQL["marks5000"] = f"SELECT * FROM {keyed_rank_sql(51, 'vectors')} WHERE r <= {C.MOST_LANDMARKS}"
+V.VIEW_SQL["refs"] = f"SELECT * FROM {keyed_rank_sql(51, 'vectors')} WHERE r <= {C.MOST_REFERENCES}"
+V.VIEW_SQL["halved"] = f"SELECT *, {u_sql(94, 0, 'row_id')} < 0.5 AS val FROM vectors"
+
+
+@query("""WITH k AS (SELECT v.row_id, -(pow(v.u0 - m.u0, 2) + pow(v.u1 - m.u1, 2)) / (2 * 0.1 * 0.1) AS e FROM vectors v, marks5000 m), t AS (SELECT row_id, max(e) AS top FROM k GROUP BY row_id)
+    SELECT row_id, round(max(top) + ln(sum(exp(e - top))) - ln(count(*)) - 2 * ln(0.1 * sqrt(2 * pi())), 6) AS log_density FROM k JOIN t USING (row_id) GROUP BY row_id""", *VEC, "marks5000")
 def score_kde(spark: SparkSession, d: str) -> DataFrame:
-    return C.kde(V.vectors(spark, d), marks_of(spark, d, 64), ["u0", "u1"], 0.1).withColumn("log_density", R("log_density", 6))
+    return C.kde(V.vectors(spark, d), marks_of(spark, d, C.MOST_LANDMARKS), ["u0", "u1"], 0.1).withColumn("log_density", R("log_density", 6))
+
+
+WIDTHS = [0.02, 0.05, 0.1, 0.2]
+
 
+@query(f"""WITH k AS (SELECT h, v.row_id, -(pow(v.u0 - m.u0, 2) + pow(v.u1 - m.u1, 2)) / (2 * h * h) AS e FROM halved v, (SELECT * FROM {keyed_rank_sql(95, '(SELECT * FROM halved WHERE NOT val)')} WHERE r <= {C.MOST_LANDMARKS}) m,
+    (SELECT unnest({WIDTHS}::DOUBLE[]) AS h) WHERE v.val), t AS (SELECT h, row_id, max(e) AS top FROM k GROUP BY h, row_id),
+    l AS (SELECT h, row_id, max(top) + ln(sum(exp(e - top))) - ln(count(*)) - 2 * ln(h * sqrt(2 * pi())) AS l FROM k JOIN t USING (h, row_id) GROUP BY h, row_id), g AS (SELECT h AS bandwidth, avg(l) AS likelihood FROM l GROUP BY h)
+    SELECT bandwidth, round(likelihood, 6) AS likelihood, likelihood = (SELECT max(likelihood) FROM g) AS best FROM g""", *VEC, "halved")
+def kde_bandwidth_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Likelihood of the validation half under kernels at landmarks of the other, by bandwidth."""
+    rows = V.vectors(spark, d).withColumn("val", S.keyed_uniform(94, 0, "row_id") < 0.5)
+    marks = P.landmarks(rows.where("NOT val"), "row_id", C.MOST_LANDMARKS, 95)
+    return C.best_bandwidth(rows.where("val"), marks, ["u0", "u1"], WIDTHS).withColumn("likelihood", R("likelihood", 6))
 
-NN = """SELECT row_id, mark, d FROM (SELECT v.row_id, m.row_id AS mark, sqrt(pow(v.u0 - m.u0, 2) + pow(v.u1 - m.u1, 2)) AS d, row_number() OVER (PARTITION BY v.row_id ORDER BY sqrt(pow(v.u0 - m.u0, 2) + pow(v.u1 - m.u1, 2)), m.row_id) AS r
-    FROM {0} v, marks64 m WHERE v.row_id <> m.row_id) WHERE r <= 5"""
 
+NEIGHBOURS = 35
+NN = f"""SELECT row_id, mark, d FROM (SELECT v.row_id, m.row_id AS mark, sqrt(pow(v.u0 - m.u0, 2) + pow(v.u1 - m.u1, 2)) AS d, row_number() OVER (PARTITION BY v.row_id ORDER BY sqrt(pow(v.u0 - m.u0, 2) + pow(v.u1 - m.u1, 2)), m.row_id) AS r
+    FROM {{0}} v, refs m WHERE v.row_id <> m.row_id) WHERE r <= {NEIGHBOURS}"""
 
-@query(f"""WITH am AS ({NN.format('marks64')}), nn AS ({NN.format('vectors')}), kd AS (SELECT row_id AS mark, max(d) AS kd FROM am GROUP BY row_id),
+
+@query(f"""WITH am AS ({NN.format('refs')}), nn AS ({NN.format('vectors')}), kd AS (SELECT row_id AS mark, max(d) AS kd FROM am GROUP BY row_id),
     lm AS (SELECT row_id AS mark, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM am JOIN kd USING (mark) GROUP BY row_id), lv AS (SELECT row_id, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nn JOIN kd USING (mark) GROUP BY row_id)
-    SELECT row_id, round(avg(lm.lrd) / max(lv.lrd), 6) AS score FROM nn JOIN lm USING (mark) JOIN lv USING (row_id) GROUP BY row_id""", *VEC, "marks64")
+    SELECT row_id, round(avg(lm.lrd) / max(lv.lrd), 6) AS score FROM nn JOIN lm USING (mark) JOIN lv USING (row_id) GROUP BY row_id""", *VEC, "refs")
 def score_lof(spark: SparkSession, d: str) -> DataFrame:
-    return C.lof(V.vectors(spark, d), marks_of(spark, d, 64), ["u0", "u1"], 5).withColumn("score", R("score", 6))
+    return C.lof(V.vectors(spark, d), marks_of(spark, d, C.MOST_REFERENCES), ["u0", "u1"], NEIGHBOURS).withColumn("score", R("score", 6))
 
 
 MOVED = "least(1.0, greatest(0.0, u0 {0} 0.02))"
 
 
-def diff_sql() -> str:
+def diff_sql(u: str) -> str:
     e = energy_sql([f"cos(pi() * u{i})" for i in range(3)])
-    return f"(({e.replace('u0', MOVED.format('+'))}) - ({e.replace('u0', MOVED.format('-'))})) / 0.04"
+    moved = MOVED.replace("u0", u)
+    return f"(({e.replace(u, moved.format('+'))}) - ({e.replace(u, moved.format('-'))})) / 0.04"
+
+
+PAIRS = {f"u{i}*u{j}": f"-({w}) * cos(pi() * u{i}) * cos(pi() * u{j})" for (i, j), w in B3.items()}
 
 
-@query(f"SELECT row_id, round({diff_sql()}, 7) AS u0 FROM vectors", *VEC)
+@query("SELECT row_id, " + ", ".join(f"round({diff_sql(u)}, 7) AS {u}" for u in U3) + f", list_position(ts, list_max(ts)) AS top_pair, round(ps[list_position(ts, list_max(ts))], 7) AS top_term FROM (SELECT *, list_transform(ps, lambda x: abs(x)) AS ts FROM (SELECT *, [{', '.join(PAIRS.values())}] AS ps FROM vectors))", *VEC)
 def attribution_fd(spark: SparkSession, d: str) -> DataFrame:
+    """The slope along every feature, and the pair term that counts most (its number, from 1, and its value)."""
     each = C.attribution(lambda xs: C.energy(C.soft_signs(xs), A3, B3), U3)
-    return V.vectors(spark, d).select("row_id", R(each["u0"], 7).alias("u0"))
+    rows = V.vectors(spark, d).withColumn("ps", F.array(*C.pair_terms(U3, B3).values()))
+    size = F.transform("ps", lambda x: F.abs(x))
+    top = F.array_position(size, F.array_max(size))
+    return rows.select("row_id", *(R(each[u], 7).alias(u) for u in U3), top.alias("top_pair"), R(F.element_at("ps", top.cast("int")), 7).alias("top_term"))
+
+
+TAUS = [0.25, 0.5, 1.0, 1.5, 3.0]
+
+
+def filter_of(tau: float) -> list[float]:
+    return [math.exp(-2 * tau * e) for e in TABLE]
+
+
+V.VIEW_SQL["tau_scored"] = "SELECT y, unnest(" + str(TAUS) + "::DOUBLE[]) AS tau, unnest([" + ", ".join(f"round(-({cells_sql(filter_of(t))}), 9)" for t in TAUS) + "]) AS score FROM halved WHERE val"
+V.VIEW_SQL["tau_ap"] = ap_sql("tau_scored", "tau")
+
+
+@query("SELECT tau, round(ap, 9) AS ap, tau = (SELECT arg_max(tau, (round(ap, 9), tau)) FROM tau_ap) AS best FROM tau_ap", *VEC, "halved", "tau_scored", "tau_ap")
+def filter_tau_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision of the filter on the validation half, by tau."""
+    rows = V.vectors(spark, d).where(S.keyed_uniform(94, 0, "row_id") < 0.5)
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("tau"), R(C.filter_score(us(), TABLE, t), 9).alias("score")) for t in TAUS)))
+    ap = M.ap_tie_aware(rows.select("y", each.alias("e")).select("y", "e.*"), "score", "y", ("tau",)).withColumn("ap", R("ap", 9))
+    return C.with_best(ap, "tau", "ap")
+
+
+ERRORS = C.filter_errors(TABLE, 1.5, 40, 0.25)
+
+
+@query(f"""SELECT count(*) AS rows, round(max(abs(({cells_sql(FILTER)}) - ({cells_sql(CAUCHY)}))), 9) AS worst_row, round({ERRORS['sup_error']!r}::DOUBLE, 9) AS sup_error, round(1 - 2 / pi() * atan(40 * 0.25), 9) AS tail, round(2 * pi() / 0.25, 9) AS period,
+    max(abs(({cells_sql(FILTER)}) - ({cells_sql(CAUCHY)}))) <= {ERRORS['sup_error']!r} + 1e-12 AS within FROM vectors""", *VEC)
+def cauchy_filter_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The finite filter against the exact one: largest difference over the rows and over all cells, mass beyond the grid, alias period."""
+    gap = F.max(F.abs(C.filter_score(us(), TABLE, 1.5) - C.cauchy_score(us(), TABLE, 1.5)))
+    out = V.vectors(spark, d).agg(F.count(F.lit(1)).alias("rows"), gap.alias("gap"))
+    return out.select("rows", R("gap", 9).alias("worst_row"), *(R(F.lit(v), 9).alias(k) for k, v in ERRORS.items()), (F.col("gap") <= ERRORS["sup_error"] + 1e-12).alias("within"))
+
+
+V.VIEW_SQL["blend_scored"] = "SELECT y, unnest(['a', 'b', 'mean']) AS model, unnest([s_b / 50, s_c * 5, (s_b / 50 + s_c * 5) / 2]) AS score FROM line_scored WHERE part = 'val'"
+V.VIEW_SQL["blend_ap"] = ap_sql("blend_scored", "model")
+
+
+@query("SELECT model, round(ap, 9) AS ap, model = (SELECT arg_max(model, (round(ap, 9), model)) FROM blend_ap) AS best FROM blend_ap", "line_scored", "blend_scored", "blend_ap")
+def blend_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision on the validation part of two models and their mean, and the best of them."""
+    a, b = F.col("s_b") / 50, F.col("s_c") * 5
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("model"), x.alias("score")) for n, x in (("a", a), ("b", b), ("mean", (a + b) / 2)))))
+    rows = V.line_scored(spark, d).where("part = 'val'").select("y", each.alias("e")).select("y", "e.*")
+    return C.with_best(M.ap_tie_aware(rows, "score", "y", ("model",)).withColumn("ap", R("ap", 9)), "model", "ap")
 
 
 @query("SELECT row_id, round((s_b / 50 + s_c * 5) / 2, 9) AS score FROM line_scored", "line_scored")
