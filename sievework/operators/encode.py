@@ -4,24 +4,28 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.ordered import ordered
+from ..plans.staging import staged
 
 
 def ecdf(df: DataFrame, column: str, fit: Column, groups: tuple[str, ...] = ()) -> DataFrame:
     """df with n_lt and n_le (fit rows below, and up to, the value), n_fit and u = (n_lt + n_le) / (2 n_fit).
 
-    A rank, not a theta join: fit and other rows run through one order, summed up bucket by bucket.
+    A rank, not a theta join: values are counted first, so that one which many rows have is one row of the order, and
+    the ranks of the values are joined back. Small value tables are broadcast, and skewed values split, by Spark.
     """
-    o = ordered(df.withColumn("_fit", fit.cast("int")), column, groups=groups, sums={"fit": F.col("_fit")}, ranks=False)
-    same = Window.partitionBy(*groups, column)
-    # rows of a value share a bucket; the last of them has all fit rows up to the value
-    o = o.withColumn("n_le", F.max("run_fit").over(same)).withColumn("n_lt", F.col("n_le") - F.sum("_fit").over(same))
-    o = o.withColumn("n_fit", F.col("all_fit")).withColumn("u", S.clip((F.col("n_lt") + F.col("n_le")) / 2 / F.col("n_fit"), 0.0, 1.0))
-    return o.drop("_fit", "run_fit", "all_fit", "position", "total")
+    keys = [*groups, column]
+    values = staged(df.groupBy(*keys).agg(F.sum(fit.cast("int")).alias("_fit")), "values")
+    o = ordered(values, column, groups=groups, sums={"fit": F.coalesce("_fit", F.lit(0))}, ranks=False)
+    n_le, n_lt = F.col("run_fit"), F.col("run_fit") - F.coalesce("_fit", F.lit(0))
+    u = S.clip((n_lt + n_le) / 2 / F.col("all_fit"), 0.0, 1.0)
+    ranks = o.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), n_le.alias("n_le"), n_lt.alias("n_lt"), F.col("all_fit").alias("n_fit"), u.alias("u"))
+    on = [df[k].eqNullSafe(ranks[f"_k{i}"]) for i, k in enumerate(keys)]
+    return df.join(ranks, on).drop(*(f"_k{i}" for i in range(len(keys))))
 
 
 def frequency(df: DataFrame, column: str, fit: Column) -> DataFrame:

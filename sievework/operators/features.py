@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.ordered import ordered
+from ..plans.staging import staged
 from .aggregates import card_profile, robust_spread
 from .contracts import unpivot
 
@@ -19,7 +20,7 @@ def screen_auc(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(feature, auc): the rank form of the area, ties averaged, for each feature by itself."""
     long = unpivot(df, columns, "feature", "value", (label,))
     # values first: one row per feature and value carries the counts
-    g = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"))
+    g = staged(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos")), "values")
     o = ordered(g, "value", groups=("feature",), sums={"n": F.col("n"), "pos": F.col("pos")}, ranks=False)
     rank_sum = F.sum(F.col("pos") * (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2))
     a = o.groupBy("feature").agg(rank_sum.alias("r"), F.max("all_pos").alias("p"), F.max("all_n").alias("n"))
@@ -121,7 +122,6 @@ def gamma_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 def cross_view(df: DataFrame, left: list[str], right: list[str], fit: Column) -> DataFrame:
     """df with overlap = 1 - (1 + prod cos(pi (a_k - b_k) / 2)) / 2 of the canonical variates of two views, each mapped by its
     empirical distribution. Covariance blocks come from one aggregation; the small decomposition is done on the driver."""
-    from ..plans.staging import staged
     from .encode import ecdf
 
     cols = [*left, *right]

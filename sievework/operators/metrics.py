@@ -31,7 +31,8 @@ def ap_tie_aware(df: DataFrame, score: str, label: str, groups: tuple[str, ...]
 def ap_stable_order(df: DataFrame, score: str, label: str, key: str, groups: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """(groups, ap): each row is a step; the row order of key breaks ties."""
     w = F.col(weight) if weight else F.lit(1)
-    o = ordered(df, score, (key,), groups, desc=True, sums={"n": w, "pos": w * F.col(label)}, ranks=False).withColumn("_w", w * F.col(label))
+    rows = staged(df.select(*groups, score, key, w.alias("_n"), (w * F.col(label)).alias("_w")), "rows")
+    o = ordered(rows, score, (key,), groups, desc=True, sums={"n": F.col("_n"), "pos": F.col("_w")}, ranks=False)
     return o.groupBy(*groups).agg(F.try_divide(F.sum(F.col("_w") * F.col("run_pos") / F.col("run_n")), F.max("all_pos")).alias("ap"))
 
 

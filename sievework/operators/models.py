@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.ordered import ordered
+from ..plans.staging import staged
 from . import metrics as M
 from .sampling import kfold, landmarks
 
@@ -79,62 +81,78 @@ def pca_error(fit: DataFrame, df: DataFrame, columns: list[str], k: int | None =
     return df.withColumn("score", squares / len(columns) if mean else F.sqrt(squares))
 
 
-def isolation_forest(fit: DataFrame, columns: list[str], key: str, trees: int = 50, size: int = 256, seed: int = 1) -> list[tuple]:
-    """Trees over keyed samples of `size` fit rows each, grown in one task per tree; as rows (tree, node, feature, cut, n), a
-    leaf with feature -1. Its size is trees times twice the sample, whatever the input."""
-    draws = fit.select(key, *columns, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("_u", S.keyed_uniform(seed, "tree", key))
-    # candidates by hash threshold, then exactly `size` of them in the tree's task
-    n = max(1, fit.count())
-    draws = draws.where(F.col("_u") < min(1.0, 2.0 * size / n))
-    depth = math.ceil(math.log2(max(2, size)))
+def tree_samples(fit: DataFrame, columns: list[str], key: str, trees: int, size: int, seed: int) -> DataFrame:
+    """(tree, turn, _key, columns): for each tree keyed draws of rows, of which the first `size` different ones in the order of
+    turn are its sample. A tree draws positions, so the cost is trees times size, whatever the rows; where size is a
+    quarter of the rows or more, every row comes once for each tree in keyed order."""
+    n = fit.count()
+    rows = fit.select(F.col(key).cast("string").alias("_key"), *columns)
+    if n <= 4 * size:
+        every = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        return every.withColumn("turn", S.keyed_uniform(seed, "tree", "_key"))
+    placed = ordered(rows.withColumn("_u", S.keyed_uniform(seed, F.lit("place"), "_key")), "_u", ("_key",), ranks=False).withColumnRenamed("position", "at").drop("total", "_u")
+    draws = math.ceil(1.3 * size) + 64
+    slots = fit.sparkSession.range(0, trees * draws).select(F.expr(f"id div {draws}").cast("int").alias("tree"), (F.col("id") % draws).alias("turn"))
+    at = (F.floor(S.keyed_uniform(seed, "tree", "turn") * n) + 1).alias("at")
+    return slots.select("tree", F.col("turn").cast("double").alias("turn"), at).join(placed, "at").drop("at")
+
+
+def isolation_forest(fit: DataFrame, columns: list[str], key: str, trees: int = 300, size: int = 8192, seed: int = 1) -> list[tuple]:
+    """Trees over keyed samples of `size` fit rows each (all rows where there are fewer), grown in one task per tree.
+
+    A tree is (feature, cut, length) by node, where the children of node i are 2 i + 1 and 2 i + 2, a leaf has feature
+    -1 and length is the expected path of a row that ends there. Trees times twice the sample, whatever the input.
+    """
+    depth = math.ceil(math.log2(max(2, min(size, max(2, fit.count())))))
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(["_u", key])[columns].to_numpy(float)[:size]
+        x = rows.sort_values(["turn", "_key"]).drop_duplicates("_key")[columns].to_numpy(float)[:size]
         rng = np.random.default_rng([seed, int(rows["tree"].iloc[0])])
-        out, waiting = [], [(0, x, 0)]
+        feature, cut, length = np.full(2 ** (depth + 1), -1, "<i2"), np.zeros(2 ** (depth + 1), "<f8"), np.zeros(2 ** (depth + 1), "<f4")
+        waiting = [(0, x, 0)]
         while waiting:
             node, part, level = waiting.pop()
             low, high = (part.min(0), part.max(0)) if len(part) else (np.zeros(1), np.zeros(1))
             able = np.flatnonzero(high > low)
             if level >= depth or len(part) < 2 or not len(able):
-                out.append((node, -1, 0.0, len(part)))
+                length[node] = level + expected_path(len(part))
                 continue
-            f = int(rng.choice(able))
-            cut = float(rng.uniform(low[f], high[f]))
-            out.append((node, f, cut, len(part)))
-            waiting += [(2 * node + 1, part[part[:, f] < cut], level + 1), (2 * node + 2, part[part[:, f] >= cut], level + 1)]
-        return pd.DataFrame(out, columns=["node", "feature", "cut", "n"]).assign(tree=int(rows["tree"].iloc[0]))
+            f = int(able[rng.integers(len(able))])
+            feature[node], cut[node] = f, low[f] + rng.random() * (high[f] - low[f])
+            left = part[:, f] < cut[node]
+            waiting += [(2 * node + 1, part[left], level + 1), (2 * node + 2, part[~left], level + 1)]
+        return pd.DataFrame({"feature": [feature.tobytes()], "cut": [cut.tobytes()], "length": [length.tobytes()], "n": [len(x)]})
 
-    nodes = draws.groupBy("tree").applyInPandas(grow, "tree int, node long, feature int, cut double, n long")
-    return [tuple(r) for r in nodes.select("tree", "node", "feature", "cut", "n").collect()]  # trees x 2 size rows
+    grown = tree_samples(fit, columns, key, trees, size, seed).groupBy("tree").applyInPandas(grow, "feature binary, cut binary, length binary, n int").collect()
+    return [(np.frombuffer(r.feature, "<i2"), np.frombuffer(r.cut, "<f8"), np.frombuffer(r.length, "<f4"), r.n) for r in grown]
 
 
-def isolation_score(df: DataFrame, forest: list[tuple], columns: list[str], size: int = 256) -> DataFrame:
-    """df with score in (0, 1): 2^(-mean path / expected path); higher is more anomalous."""
-    shipped = df.sparkSession.sparkContext.broadcast(forest)
+def expected_path(n) -> np.ndarray:
+    """Mean path length of an unsuccessful search among n rows."""
+    n = np.maximum(np.asarray(n, float), 1.0)
+    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
+
 
-    def expected(n):
-        n = np.maximum(np.asarray(n, float), 1.0)
-        return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
+def isolation_score(df: DataFrame, forest: list[tuple], columns: list[str]) -> DataFrame:
+    """df with score in (0, 1): 2^(-mean path / expected path); higher is more anomalous. All rows of a batch go down a tree
+    level by level."""
+    shipped = df.sparkSession.sparkContext.broadcast(forest)
+    usual = float(np.mean([expected_path(n) for *_, n in forest])) if forest else 1.0
 
     @F.pandas_udf("double")
     def path(xs: pd.Series) -> pd.Series:
         x = np.array(xs.tolist(), float).reshape(len(xs), len(columns))
-        trees: dict[int, dict[int, tuple]] = {}
-        for tree, node, f, cut, n in shipped.value:
-            trees.setdefault(tree, {})[node] = (f, cut, n)
+        flat, base = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * len(columns)
         total = np.zeros(len(x))
-        for nodes in trees.values():
-            parts = [(0, np.arange(len(x)), 0)]
-            while parts:
-                node, rows, level = parts.pop()
-                f, cut, n = nodes[node]
-                if f < 0:
-                    total[rows] += level + expected(n)
-                else:
-                    left = x[rows, f] < cut
-                    parts += [(2 * node + 1, rows[left], level + 1), (2 * node + 2, rows[~left], level + 1)]
-        return pd.Series(2.0 ** (-(total / max(1, len(trees))) / float(expected(size))))
+        for feature, cut, length, _ in shipped.value:
+            node, going = np.zeros(len(x), np.int64), np.arange(len(x))
+            while len(going):
+                f = feature[node[going]]
+                going, f = going[f >= 0], f[f >= 0]
+                at = node[going]
+                node[going] = 2 * at + 2 - (flat[base[going] + f] < cut[at])
+            total += length[node]
+        return pd.Series(2.0 ** (-(total / max(1, len(shipped.value))) / max(usual, 1e-9)))
 
     return df.withColumn("score", path(F.array(*(F.col(c).cast("double") for c in columns))))
 
@@ -191,17 +209,18 @@ def assign(df: DataFrame, columns: list[str], centres: list[list[float]]) -> Dat
 
 
 def gbt_grid(train: DataFrame, val: DataFrame, columns: list[str], label: str, grid: list[dict], done: DataFrame | None = None) -> DataFrame:
-    """(cell, ap): validation average precision of each grid cell not yet in `done`, to be appended to it."""
-    finished = {r.cell for r in done.select("cell").collect()} if done is not None else set()  # one row per cell
-    rows = balanced(train, label)
-    out = None
-    for i, params in enumerate(grid):
-        if i in finished:
-            continue
-        model = GBTClassifier(labelCol=label, weightCol="w", seed=1, **params).fit(assembled(rows, columns))
-        ap = M.ap_tie_aware(scored(model, val, columns), "score", label).select(F.lit(i).alias("cell"), "ap")
-        out = ap if out is None else out.unionByName(ap)
-    return out if out is not None else train.sparkSession.createDataFrame([], "cell int, ap double")
+    """(cell, trees, ap): validation average precision, and the trees at which training stopped, of each grid cell that is not
+    yet in `done`, to be appended to it. Training stops where the validation loss no longer falls; each cell is written
+    as it ends when `done` comes from a table to which the caller appends."""
+    left = [i for i in range(len(grid))] if done is None else [r.cell for r in train.sparkSession.createDataFrame([(i,) for i in range(len(grid))], "cell int").join(done, "cell", "left_anti").collect()]
+    both = balanced(train, label).withColumn("_val", F.lit(False)).unionByName(val.withColumns({"w": F.lit(1.0), "_val": F.lit(True)}), allowMissingColumns=True)
+    rows = staged(assembled(both.select(label, "w", "_val", *columns), columns), "boosting")
+    out = []
+    for i in sorted(left):
+        model = GBTClassifier(labelCol=label, weightCol="w", seed=1, validationIndicatorCol="_val", **grid[i]).fit(rows)
+        ap = M.ap_tie_aware(scored(model, val, columns), "score", label)
+        out.append(ap.select(F.lit(i).alias("cell"), F.lit(model.getNumTrees).alias("trees"), "ap"))
+    return reduce(lambda a, b: a.unionByName(b), out) if out else train.sparkSession.createDataFrame([], "cell int, trees int, ap double")
 
 
 def oof(df: DataFrame, columns: list[str], label: str, key: str, folds: int = 5, seed: int = 1) -> DataFrame:
@@ -222,6 +241,14 @@ def residual_head(fit: DataFrame, df: DataFrame, base: str, columns: list[str],
     return scored(model, z.where("NOT _fit"), cols, "head").drop("_fit", "_logit", *cols)
 
 
+def strength_grid(fit: DataFrame, pool: DataFrame, base: str, columns: list[str], label: str, strengths: list[float]) -> DataFrame:
+    """(c, ap, best): average precision on the pool of the residual head by its strength."""
+    from .scores import with_best
+
+    each = [M.ap_tie_aware(residual_head(fit, pool, base, columns, label, c), "head", label).select(F.lit(c).alias("c"), "ap") for c in strengths]
+    return with_best(reduce(lambda a, b: a.unionByName(b), each), "c", "ap")
+
+
 def head_apply(base: str, weights: dict[str, float], on_logit: float, intercept: float) -> Column:
     return S.sigmoid(intercept + on_logit * S.logit(F.col(base)) + reduce(lambda p, q: p + q, [w * F.col(c) for c, w in weights.items()]))
 

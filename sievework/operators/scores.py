@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.staging import staged
 from .contracts import unpivot
 from .encode import ecdf
 
@@ -86,7 +87,7 @@ def tail_score(df: DataFrame, columns: list[str], key: str, fit: Column) -> Data
 
     Values first: each distinct value is ranked once and the scores are joined back as sums.
     """
-    long = unpivot(df.withColumn("_f", fit.cast("int")), columns, "feature", "value", (key, "_f"))
+    long = staged(unpivot(df.withColumn("_f", fit.cast("int")), columns, "feature", "value", (key, "_f")), "long")
     e = ecdf(long, "value", F.col("_f") == 1, ("feature",))
     f = ((F.col("n_lt") + F.col("n_le")) / 2 + 0.5) / (F.col("n_fit") + 1)
     tail = F.greatest(2 * F.least(f, 1 - f), 1 / (F.col("n_fit") + 1))

@@ -6,29 +6,62 @@ buckets, and one row of sums per bucket carries the totals on.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .staging import staged
 
-MOST_BUCKETS = 64
 #: Rows up to which one bucket does.
 ONE_BUCKET = 20_000
+#: Groups whose cuts and sums are broadcast; those of more groups are joined by a shuffle.
+FEW_GROUPS = 1_000
+
+
+def numeric(df: DataFrame, value: str) -> Column:
+    """A number that never falls as the value grows: the value, or the leading bytes of a string."""
+    if isinstance(df.schema[value].dataType, T.StringType):
+        return F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(value), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+    return F.col(value).cast("double")
+
+
+def place(cuts: Column, step: int, x: Column) -> Column:
+    """How many of the sorted cuts are below x: first among every step-th of them, then among the step that follow."""
+    coarse = F.size(F.filter(F.filter(cuts, lambda c, i: (i + 1) % step == 0), lambda c: c < x))
+    return coarse * step + F.size(F.filter(F.slice(cuts, coarse * step + 1, F.lit(step)), lambda c: c < x))
 
 
-def buckets(df: DataFrame, value: str, groups: tuple[str, ...] = ()) -> DataFrame:
-    """df with the column _b, increasing with value within each group; null and NaN count as the lowest and highest."""
-    n = min(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def buckets(df: DataFrame, value: str, groups: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """(df with the column _b, increasing with value within each group, whether the groups are few); null and NaN count as
+    the lowest and highest. As many buckets as shuffle partitions for each group of over ONE_BUCKET rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = [i / n for i in range(1, n)] or [0.5]
-    quantiles = F.percentile_approx(F.col(value).cast("double"), F.array(*map(F.lit, at)), F.lit(200))
-    found = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), quantiles.alias("_cuts")).collect()  # one row per group
-    keyed = [(*(r[g] for g in groups), sorted(set(r["_cuts"] or [])) if r["_n"] > ONE_BUCKET else []) for r in found]
-    place = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value).cast("double")))
+    x = numeric(df, value)
+    quantiles = F.percentile_approx(x, F.array(*map(F.lit, at)), F.lit(max(200, 10 * n)))
+    found = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), quantiles.alias("_cuts"))
+    cuts = F.when(F.col("_n") > ONE_BUCKET, F.array_sort(F.array_distinct("_cuts"))).otherwise(F.array().cast("array<double>"))
     if not groups:
-        cuts = keyed[0][0] if keyed else []
-        return df.withColumn("_b", place(F.array(*map(F.lit, cuts))) if cuts else F.lit(0))
-    fields = ", ".join(f"`_g{i}` {df.schema[g].dataType.simpleString()}" for i, g in enumerate(groups))
-    table = df.sparkSession.createDataFrame(keyed, f"{fields}, _cuts array<double>")
+        one = found.select(cuts.alias("_cuts")).first()
+        known = sorted(set(one["_cuts"] or [])) if one else []
+        if not known:
+            return df.withColumn("_b", F.lit(0)), True
+        step = max(1, math.isqrt(len(known)))
+        # every step-th cut is a literal of its own, so that no row filters the whole list for them
+        few = F.array(*map(F.lit, known[step - 1 :: step])) if len(known) >= step else F.array().cast("array<double>")
+        coarse = F.size(F.filter(few, lambda c: c < x)) if step > 1 else F.lit(0)
+        whole = F.array(*map(F.lit, known))
+        rest = F.slice(whole, coarse * step + 1, F.lit(step)) if step > 1 else whole
+        return df.withColumn("_b", coarse * step + F.size(F.filter(rest, lambda c: c < x))), True
+    # one row per group, written so that it is computed once
+    table = staged(found.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), cuts.alias("_cuts")), "cuts")
+    few_groups = table.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     on = [df[g].eqNullSafe(table[f"_g{i}"]) for i, g in enumerate(groups)]
-    return df.join(F.broadcast(table), on).withColumn("_b", place(F.col("_cuts"))).drop("_cuts", *(f"_g{i}" for i in range(len(groups))))
+    joined = df.join(F.broadcast(table) if few_groups else table, on)
+    step = max(1, math.isqrt(n))
+    b = place(F.col("_cuts"), step, x) if step > 2 else F.size(F.filter("_cuts", lambda c: c < x))
+    return joined.withColumn("_b", b).drop("_cuts", *(f"_g{i}" for i in range(len(groups)))), few_groups
 
 
 def ordered(
@@ -37,7 +70,7 @@ def ordered(
     """df with position (1-based, by value then tie), below (rows before this value), ties, total, and for each of sums:
     run_<name> (up to and with this row) and all_<name>."""
     sums = sums or {}
-    b = buckets(df.withColumns({f"_s_{k}": v for k, v in sums.items()}), value, groups)
+    b, few_groups = buckets(df.withColumns({f"_s_{k}": v for k, v in sums.items()}), value, groups)
     order = [F.desc(value) if desc else F.asc(value), *map(F.asc, tie)]
     here = Window.partitionBy(*groups, "_b")
     rows = here.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -53,7 +86,7 @@ def ordered(
         *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums), *(F.sum(f"_t_{k}").over(whole).alias(f"all_{k}") for k in sums),
     )
     on = [F.col("_b") == F.col("_bb"), *(F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups))]
-    out = out.join(F.broadcast(offsets), on)  # at most MOST_BUCKETS rows per group
+    out = out.join(F.broadcast(offsets) if few_groups else offsets, on)  # a row per bucket of each group
     out = out.withColumn("position", F.col("_o") + F.col("_p"))
     if ranks:
         out = out.withColumn("below", F.col("_o") + F.col("_r"))

@@ -15,7 +15,7 @@ from ..operators import scores as C
 from ..streaming import streams as T
 from . import views as V
 from .q_features import marks_of
-from .staging import scratch
+from .staging import scratch, staged
 from .views import query
 
 R = F.round
@@ -45,7 +45,7 @@ def score_pca_error(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def score_isolation_forest(spark: SparkSession, d: str) -> DataFrame:
     rows = V.features(spark, d)
-    forest = L.isolation_forest(rows.where("y = 0"), XS, "row_id", 25)
+    forest = L.isolation_forest(rows.where("y = 0"), XS, "row_id")
     return L.isolation_score(rows, forest, XS).select("row_id", "y", "score")
 
 
@@ -54,16 +54,22 @@ def score_gmm_diag(spark: SparkSession, d: str) -> DataFrame:
     """The number of components of highest likelihood on held-out rows."""
     rows = V.vectors(spark, d)
     fit, val = halves(rows.where("y = 0"))
-    models = {k: L.gmm_diag(fit, U4, k, 5) for k in (1, 4)}
+    models = {k: L.gmm_diag(fit, U4, k, 6) for k in (1, 4, 8)}
     best = max(models, key=lambda k: val.agg(F.avg(L.gmm_log_density(U4, models[k]))).first()[0] or 0.0)
     return rows.select("row_id", (-L.gmm_log_density(U4, models[best])).alias("score"))
 
 
 @query()
 def cluster_modes(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.vectors(spark, d)
-    out, _ = L.kmeans_modes(rows.where("y = 1"), rows.where("y = 1"), U4, 3)
-    return out.groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
+    """Sizes of the positives' clusters for 3, 4 and 6 of them, and which one is dominant (the first of the largest)."""
+    rows = V.vectors(spark, d).where("y = 1")
+    out = None
+    for k in (3, 4, 6):
+        n = L.kmeans_modes(rows, rows, U4, k)[0].groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
+        top = n.agg(F.max(F.struct("n", (-F.col("mode")).alias("m"))).alias("top"))
+        one = n.join(F.broadcast(top)).select(F.lit(k).alias("k"), "mode", "n", (F.col("mode") == -F.col("top.m")).alias("dominant"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 CENTRES = [[0.4, 0.5], [0.5, 0.4], [0.6, 0.6]]
@@ -89,10 +95,11 @@ def model_logistic(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def model_gbt_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Four cells, in two runs of which the second goes on from the first; the best one."""
     fit, val = halves(V.features(spark, d))
-    grid = [{"maxDepth": 2, "maxIter": 3}, {"maxDepth": 3, "maxIter": 3}]
-    first = L.gbt_grid(fit, val, XS, "y", grid[:1])
-    return first.unionByName(L.gbt_grid(fit, val, XS, "y", grid, first))
+    grid = [{"maxDepth": depth, "maxIter": 8, "stepSize": step} for depth in (2, 3) for step in (0.1, 0.3)]
+    first = staged(L.gbt_grid(fit, val, XS, "y", grid[:2]), "cells")
+    return C.with_best(first.unionByName(L.gbt_grid(fit, val, XS, "y", grid, first)), "cell", "ap")
 
 
 @query()
@@ -110,6 +117,13 @@ def residual_head(spark: SparkSession, d: str) -> DataFrame:
     return L.residual_head(fit, test, "p", ["s_a", "s_b"], "y").select("row_id", "y", "head")
 
 
+@query()
+def residual_head_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision on the pool by the head's strength, and the best one."""
+    fit, pool = heads(spark, d)
+    return L.strength_grid(fit, pool, "p", ["s_a", "s_b"], "y", [0.01, 0.1, 1.0, 10.0])
+
+
 @query()
 def control_noise_head(spark: SparkSession, d: str) -> DataFrame:
     fit, test = heads(spark, d)
@@ -144,16 +158,37 @@ def calibrate_isotonic(spark: SparkSession, d: str) -> DataFrame:
     return both.select("row_id", ((F.col("a") + F.col("b")) / 2).alias("mean"), (1 - (1 - F.col("a")) * (1 - F.col("b"))).alias("either"))
 
 
+def kernel_rows(spark: SparkSession, d: str, gamma: float) -> tuple[DataFrame, DataFrame]:
+    from ..operators.features import nystrom
+
+    rows = V.vectors(spark, d)
+    f = nystrom(rows, marks_of(spark, d, 32), U4, lambda u, v: S.rbf_kernel(u, v, gamma)).join(rows.select("row_id", "y"), "row_id")
+    return halves(staged(f, "kernel"))
+
+
+FS = [f"f{i}" for i in range(32)]
+
+
 @query()
 def kernel_head(spark: SparkSession, d: str) -> DataFrame:
     """Logistic regression on 32 landmark features."""
-    from ..operators.features import nystrom
+    fit, test = kernel_rows(spark, d, 4.0)
+    return L.scored(L.logistic(fit, FS, "y", 10.0), test, FS).select("row_id", "y", "score")
 
-    rows = V.vectors(spark, d)
-    f = nystrom(rows, marks_of(spark, d, 32), U4, lambda u, v: S.rbf_kernel(u, v, 4.0)).join(rows.select("row_id", "y"), "row_id")
-    cols = [f"f{i}" for i in range(32)]
-    fit, test = halves(f)
-    return L.scored(L.logistic(fit, cols, "y", 10.0), test, cols).select("row_id", "y", "score")
+
+@query()
+def kernel_head_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Two stages: the width by average precision at one strength, then the strength at the best width."""
+    out, best = None, None
+    for stage, cells in ((1, [(g, 1.0) for g in (1.0, 4.0, 16.0)]), (2, [(None, c) for c in (0.1, 10.0, 100.0)])):
+        for gamma, c in cells:
+            gamma = best[0] if gamma is None else gamma
+            fit, test = kernel_rows(spark, d, gamma)
+            ap = M.ap_tie_aware(L.scored(L.logistic(fit, FS, "y", c), test, FS), "score", "y").first().ap or 0.0
+            if best is None or ap > best[2]:
+                best = (gamma, c, ap)
+            out = [*(out or []), (stage, gamma, c, ap)]
+    return spark.createDataFrame([(*r, r[1:] == best) for r in out], "stage int, gamma double, c double, ap double, best boolean")
 
 
 @query()
@@ -164,7 +199,7 @@ def transfer_eval(spark: SparkSession, d: str) -> DataFrame:
     a, b = halves(rows, 93)
     out = None
     for name, fit, read in (("first to second", a, b), ("second to first", b, a)):
-        m = M.ranking_metrics(L.isolation_score(read, L.isolation_forest(fit.where("y = 0"), cols, "row_id", 15), cols), "score", "y").select(F.lit(name).alias("way"), "ap", "auc")
+        m = M.ranking_metrics(L.isolation_score(read, L.isolation_forest(fit.where("y = 0"), cols, "row_id", 100, 2048), cols), "score", "y").select(F.lit(name).alias("way"), "ap", "auc")
         out = m if out is None else out.unionByName(m)
     return out
 

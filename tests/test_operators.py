@@ -184,7 +184,7 @@ def test_models_beat_chance(spark):
     assert out.count() == 400 and out.where("score IS NULL").count() == 0
     assert M.auroc(out, "score", "y").first().auc > 0.85
     forest = L.isolation_forest(df.where("y = 0"), ["a", "b"], "row_id", 20, 64)
-    assert M.auroc(L.isolation_score(df, forest, ["a", "b"], 64), "score", "y").first().auc > 0.7
+    assert M.auroc(L.isolation_score(df, forest, ["a", "b"]), "score", "y").first().auc > 0.7
     model = L.gmm_diag(df.where("y = 0"), ["a", "b"], 2, 8)
     assert M.auroc(df.withColumn("score", -L.gmm_log_density(["a", "b"], model)), "score", "y").first().auc > 0.7
     assert [s for _, s, _ in L.guarded({"ok": lambda: 1, "bad": lambda: 1 / 0})] == ["ok", "failed"]
