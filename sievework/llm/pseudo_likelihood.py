@@ -327,7 +327,7 @@ def scored(model: Model, texts: list[np.ndarray]) -> list[float]:
     """The sum of the log-probabilities of each tokenised text."""
     stream = np.concatenate([GAP, *(x for t in texts for x in (t, GAP))])
     edges = np.cumsum([0, *(len(t) + REACH for t in texts)])
-    step = CHUNK // 16
+    step = BATCH
     each = np.concatenate([log_probabilities(model, stream[at : at + step + 2 * REACH]) for at in range(0, max(1, len(stream) - 2 * REACH), step)])
     total = np.concatenate([[0.0], np.cumsum(each), [0.0] * REACH])
     total[len(each) + 1 :] = total[len(each)]
