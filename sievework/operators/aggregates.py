@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import ordered
+from ..plans.staging import staged
 
 
 def split_counts(df: DataFrame, by: str, label: str = "y") -> DataFrame:
@@ -29,10 +30,24 @@ def card_profile(df: DataFrame, card: str, amount: str) -> DataFrame:
     return by.join(df.agg(F.avg(x).alias("all_mean"), F.stddev_pop(x).alias("all_sd")))
 
 
+def quantiles(df: DataFrame, column: str, qs: list[float], groups: tuple[str, ...] = ()) -> DataFrame:
+    """(groups, q, value) by linear interpolation between order statistics; nulls don't count.
+
+    Values are counted first and put in order in buckets, so neither a group nor its distinct values meet in one task.
+    """
+    counts = staged(df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count(F.lit(1)).alias("_n")), "values")
+    o = ordered(counts, column, groups=groups, sums={"n": F.col("_n")}, ranks=False)
+    o = o.select(*groups, F.col(column).cast("double").alias("_v"), (F.col("run_n") - F.col("_n")).alias("_from"), "run_n", "all_n", F.explode(F.array(*(F.lit(float(q)) for q in qs))).alias("q"))
+    at = F.col("q") * (F.col("all_n") - 1)
+    holds = lambda rank: (F.col("_from") <= rank) & (rank < F.col("run_n"))
+    ends = o.groupBy(*groups, "q").agg(F.max(F.when(holds(F.floor(at)), F.col("_v"))).alias("_low"), F.max(F.when(holds(F.ceil(at)), F.col("_v"))).alias("_high"), F.max("all_n").alias("all_n"))
+    share = at - F.floor(at)
+    return ends.select(*groups, "q", F.when(share == 0, F.col("_low")).otherwise((1 - share) * F.col("_low") + share * F.col("_high")).alias("value"))
+
+
 def quantile_linear(df: DataFrame, column: str, qs: list[float]) -> DataFrame:
     """(q, value) by linear interpolation between order statistics."""
-    one = df.agg(F.percentile(column, F.array(*map(F.lit, qs))).alias("v"))
-    return one.select(F.posexplode("v").alias("i", "value")).select(F.get(F.array(*map(F.lit, qs)), F.col("i")).alias("q"), "value")
+    return quantiles(df, column, qs)
 
 
 def quantile_higher(df: DataFrame, column: str, q: float, groups: tuple[str, ...] = ()) -> DataFrame:
@@ -44,10 +59,14 @@ def quantile_higher(df: DataFrame, column: str, q: float, groups: tuple[str, ...
 
 def robust_spread(df: DataFrame, column: str, groups: tuple[str, ...] = (), floor: float = 1e-12) -> DataFrame:
     """Median, interquartile range and the variance of (x - median) / range, which is var / range^2; ranges under floor count as floor."""
-    p = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = df.groupBy(*groups).agg(p.alias("p"), F.var_pop(column).alias("v"))
-    width = F.greatest(F.get("p", 2) - F.get("p", 0), F.lit(floor))
-    return agg.select(*groups, F.get("p", 1).alias("median"), width.alias("iqr"), (F.col("v") / (width * width)).alias("robust_variance"))
+    of = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+    found = quantiles(df, column, [0.25, 0.5, 0.75], groups).groupBy(*groups).agg(of(0.25).alias("_lo"), of(0.5).alias("median"), of(0.75).alias("_hi"))
+    spread = df.groupBy(*groups).agg(F.var_pop(column).alias("v"))
+    spread = spread.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), "v")
+    on = [found[g].eqNullSafe(spread[f"_g{i}"]) for i, g in enumerate(groups)]
+    both = found.join(spread, on) if groups else found.join(F.broadcast(spread))  # one row each
+    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(floor))
+    return both.select(*groups, "median", width.alias("iqr"), (F.col("v") / (width * width)).alias("robust_variance"))
 
 
 def bincount(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -89,5 +108,3 @@ def draw_summary(df: DataFrame, value: str, groups: tuple[str, ...] = ()) -> Dat
     p = F.percentile(value, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     agg = df.groupBy(*groups).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), p.alias("p"))
     return agg.select(*groups, "mean", "sd", F.get("p", 1).alias("median"), F.get("p", 0).alias("low"), F.get("p", 2).alias("high"))
-
-

@@ -56,15 +56,19 @@ def time_source_check(rows: DataFrame, other: DataFrame, key: str, order: str, t
 
 
 def falls(df: DataFrame, value: str, order: str, width: int = 4096) -> DataFrame:
-    """One row, falls: steps at which value decreases in the order of an integer column; windows run over `width` ids."""
-    bucket = F.floor(F.col(order) / width)
-    here = Window.partitionBy("_k").orderBy(order)
-    rows = df.withColumn("_k", bucket)
-    inside = rows.withColumn("_d", (F.col(value) < F.lag(value).over(here)).cast("int")).groupBy("_k").agg(
-        F.sum("_d").alias("n"), F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last")
-    )
-    across = (F.col("first") < F.lag("last").over(Window.orderBy("_k"))).cast("int")
-    return inside.withColumn("edge", across).agg((F.coalesce(F.sum("n"), F.lit(0)) + F.coalesce(F.sum("edge"), F.lit(0))).alias("falls"))
+    """One row, falls: steps at which value decreases in the order of an integer column.
+
+    Windows run over `width` ids; of each only its first and last value and its count go on, to windows over `width` of
+    those, and so on, so that the last window has a row for every width^3 ids.
+    """
+    parts = df.select(F.col(order).alias("_k"), F.lit(0).cast("long").alias("n"), F.col(value).alias("first"), F.col(value).alias("last"))
+    for _ in range(3):
+        parts = parts.withColumn("_g", F.floor(F.col("_k") / width))
+        step = F.col("first") < F.lag("last").over(Window.partitionBy("_g").orderBy("_k"))
+        steps = parts.withColumn("_d", F.coalesce(step.cast("long"), F.lit(0)))
+        parts = steps.groupBy("_g").agg(F.sum(F.col("n") + F.col("_d")).alias("n"), F.min_by("first", "_k").alias("first"), F.max_by("last", "_k").alias("last")).withColumnRenamed("_g", "_k")
+    across = (F.col("first") < F.lag("last").over(Window.orderBy("_k"))).cast("long")
+    return parts.withColumn("edge", across).agg((F.coalesce(F.sum("n"), F.lit(0)) + F.coalesce(F.sum("edge"), F.lit(0))).alias("falls"))
 
 
 def finite_methods(scores: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans.ordered import ordered
 from ..plans.staging import staged
-from .aggregates import quantile_higher
+from .aggregates import quantile_higher, quantiles
 from .sampling import ntile
 
 
@@ -81,7 +81,7 @@ def f1_best_threshold(df: DataFrame, score: str, label: str, part: str) -> DataF
 
 def recall_at_fpr(df: DataFrame, score: str, label: str, fpr: float) -> DataFrame:
     """Recall above the linear (1 - fpr) quantile of the negatives."""
-    t = df.where(F.col(label) == 0).agg(F.percentile(score, 1 - fpr).alias("threshold"))
+    t = quantiles(df.where(F.col(label) == 0), score, [1 - fpr]).select(F.col("value").alias("threshold"))
     return df.join(F.broadcast(t)).groupBy("threshold").agg((F.count_if((F.col(score) > F.col("threshold")) & (F.col(label) == 1)) / F.sum(label)).alias("recall"))
 
 
