@@ -223,6 +223,19 @@ def rejection_cells(df: DataFrame, table: list[float], candidates: int, seed: in
     return d.groupBy("cell").agg(F.count_if(keep).alias("n"), F.count(F.lit(1)).alias("tried"))
 
 
+def rejection_rows(df: DataFrame, cell: Column, table: list[float], seed: int, key: str = "row_id") -> DataFrame:
+    """(cell, tried, n, accepted, expected, rate, distance): each row is kept with probability table[cell] / max, by a keyed
+    draw. accepted and expected are the cell's shares of the rows kept, as drawn and by its weight; rate is the share of
+    rows kept, distance half the sum of the shares' differences."""
+    top, by = max(table), F.get(F.array(*map(F.lit, table)), F.col("cell"))
+    keep = S.keyed_uniform(F.lit(f"{seed}.r"), 0, key) < by / top
+    c = df.withColumn("cell", cell).groupBy("cell").agg(F.count(F.lit(1)).alias("tried"), F.count_if(keep).alias("n")).withColumn("_w", F.col("tried") * by)
+    whole = c.agg(F.sum("tried").alias("_t"), F.sum("n").alias("_n"), F.sum("_w").alias("_a"))
+    c = c.join(F.broadcast(whole)).withColumn("accepted", F.try_divide("n", "_n")).withColumn("expected", F.col("_w") / F.col("_a"))
+    gap = c.agg((F.sum(F.abs(F.col("accepted") - F.col("expected"))) / 2).alias("distance"))
+    return c.join(F.broadcast(gap)).select("cell", "tried", "n", "accepted", "expected", (F.col("_n") / F.col("_t")).alias("rate"), "distance")  # a row per cell
+
+
 def attribution(score, us: list[str], step: float = 0.02) -> dict[str, Column]:
     """Central difference of score(columns) along each column, the moved value clipped to [0, 1]."""
     out = {}

@@ -116,6 +116,17 @@ def rejection_sample(spark: SparkSession, d: str) -> DataFrame:
     return C.rejection_cells(V.vectors(spark, d).select("row_id"), FILTER, 16, 73)
 
 
+@query(f"""WITH r AS (SELECT (u0 > 0.5)::INT + 2 * (u1 > 0.5)::INT + 4 * (u2 > 0.5)::INT AS cell, {u_sql("'74.r'", 0, 'row_id')} AS u FROM vectors),
+    c AS (SELECT cell, count(*) AS tried, count(*) FILTER (u < {LIST}[cell + 1] / {max(FILTER)!r}) AS n, count(*) * {LIST}[cell + 1] AS w FROM r GROUP BY cell),
+    s AS (SELECT cell, tried, n, n / sum(n) OVER () AS accepted, w / sum(w) OVER () AS expected, sum(n) OVER () / sum(tried) OVER () AS rate FROM c)
+    SELECT cell, tried, n, round(accepted, 8) AS accepted, round(expected, 8) AS expected, round(rate, 8) AS rate, round(sum(abs(accepted - expected)) OVER () / 2, 8) AS distance FROM s""", *VEC)
+def rejection_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each row kept by its own cell's filter value; the kept rows' histogram against the expected one."""
+    cell = C.add([(u > 0.5).cast("int") * (1 << i) for i, u in enumerate(us())])
+    out = C.rejection_rows(V.vectors(spark, d), cell, FILTER, 74)
+    return out.select("cell", "tried", "n", *(R(c, 8).alias(c) for c in ("accepted", "expected", "rate", "distance")))
+
+
 @query("""WITH l AS (SELECT row_id, split, unnest(['s_b', 's_c']) AS feature, unnest([s_b, s_c]) AS v FROM line_split),
     k AS (SELECT *, count(*) FILTER (split = 'train') OVER (PARTITION BY feature ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS le, count(*) FILTER (split = 'train') OVER (PARTITION BY feature, v) AS here,
         count(*) FILTER (split = 'train') OVER (PARTITION BY feature) AS n FROM l), f AS (SELECT row_id, n, ((le - here + le) / 2.0 + 0.5) / (n + 1) AS f FROM k)
