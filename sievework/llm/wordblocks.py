@@ -108,8 +108,10 @@ def word_blocks(
         code = np.empty(len(words), np.int32)
         code[order] = np.arange(len(words))
         yield pd.DataFrame({"block": number, "id": ids, "codes": [pack_numbers(code[c]) for c in coded], "bucket": None, "words": None})
+        if not words:
+            return
         buckets = buckets[order]
-        edges = np.flatnonzero(np.diff(buckets, prepend=-1)).tolist() if words else []
+        edges = np.flatnonzero(np.diff(buckets, prepend=-1)).tolist()
         lists = [pack_words([words[i] for i in order[a:b]]) for a, b in zip(edges, [*edges[1:], len(words)], strict=True)]
         yield pd.DataFrame({"block": number, "id": None, "codes": None, "bucket": buckets[edges], "words": lists})
 

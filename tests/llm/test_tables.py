@@ -246,6 +246,21 @@ def test_warc_repeats_null_ids_hot_payload_and_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_every_stage_takes_odd_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, ties, clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, Predicted int, quality_score int, row_key string, MIX_KEY string, size long, node long, id long"
+    odd = [(None, None, None, None), (1, "", "en", "a"), (2, "a b c d e f", None, "a"), (2, "a  b c d e f", "en", None), (3, "x" * 50_000, "en", "b"), (None, "no id", "en", "a"), (4, "w " * 20_000, "en", "b"), (4, "w " * 20_000, "en", "b"), (5, "\u2028 é 🎉", "en", "a")]
+    docs = spark.createDataFrame([(*r, None, 1.0, 2, 3, "k", "m", 4, 5, 6) for r in odd], names)
+    spark.createDataFrame([(2, 1, 0), (3, 0, None), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, f"file://{tmp_path}")
+            assert name == "byte-level BPE" or out.columns == rows.columns
+            assert out.count() == 0 if rows is not docs else out.count() > 0
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import public_tokenizers
     import tiktoken
