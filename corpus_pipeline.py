@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that each read what the one before has written."""
+"""The corpus pipeline: stages that each read what the one before has written.
+
+Null, empty and very long texts, null ids and sources, repeated rows, ties, an empty table and further columns with
+whatever names have a defined result in each stage, which the `stage` functions of the operators state.
+"""
 
 from __future__ import annotations
 
