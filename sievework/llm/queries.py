@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, line_dedup, lz_fingerprint, mixing, pseudo_likelihood, quality, unigram_counts, warc
+from . import bpe, exact_dedup, filter_audit, jaccard, line_dedup, lz_fingerprint, mixing, pseudo_likelihood, quality, sharding, unigram_counts, warc, whitening
 
 SPACES_SQL = r"[\x20\x09-\x0D]+"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -69,8 +69,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("deduped_text", 256).alias("deduped_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), [1.0] * 8)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_lz_fingerprint, op3_quality, op4_ngram_join, op5_mixing, op6_byte_bpe, op7_token_counts, op8_pseudo_likelihood, op9_warc, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lz_fingerprint, op3_quality, op4_ngram_join, op5_mixing, op6_byte_bpe, op7_token_counts, op8_pseudo_likelihood, op9_warc, op10_line_dedup, op11_whitening, op12_sharding, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -133,4 +145,33 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, len(lines) AS n_lines, len(gone) AS n_removed,
                 sha256(coalesce(array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(gone, i)), lambda i: lines[i + 1]), chr(10)), '')) AS deduped_sha256
             FROM j""",
+        "op12_sharding": """
+            WITH RECURSIVE bits AS (
+                SELECT b AS byte, 0 AS done, b AS value FROM (SELECT unnest(range(256)) AS b)
+                UNION ALL SELECT byte, done + 1, CASE value & 1 WHEN 1 THEN xor(value >> 1, 3988292384) ELSE value >> 1 END FROM bits WHERE done < 8),
+            crc AS MATERIALIZED (SELECT list(value ORDER BY byte) AS steps FROM bits WHERE done = 8),
+            t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(octet_length(encode(text)), 0) + 1 AS size FROM documents),
+            b AS (SELECT doc_id, size, list_transform(string_split(text, ''), lambda c: ord(c)) AS points FROM t WHERE text <> ''),
+            u AS (SELECT doc_id, flatten(list_transform(points, lambda p: CASE WHEN p < 128 THEN [p] WHEN p < 2048 THEN [192 | (p >> 6), 128 | (p & 63)]
+                WHEN p < 65536 THEN [224 | (p >> 12), 128 | ((p >> 6) & 63), 128 | (p & 63)] ELSE [240 | (p >> 18), 128 | ((p >> 12) & 63), 128 | ((p >> 6) & 63), 128 | (p & 63)] END)) AS bytes FROM b),
+            k AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes::BIGINT[]), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM u, crc),
+            r AS (SELECT doc_id, shard, -ln((('0x' || substr(md5(shard || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496) AS time FROM t, (SELECT unnest(range(9)) AS shard)),
+            a AS (SELECT doc_id, arg_min(shard, time) FILTER (shard < 8) AS shard, arg_min(shard, time) AS grown_shard FROM r GROUP BY doc_id)
+            SELECT doc_id, size, coalesce(text_crc32, 0) AS text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard::INT AS grown_shard
+            FROM t LEFT JOIN k USING (doc_id) JOIN a USING (doc_id)""",
+        "op13_filter_audit": rf"""
+            WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+            c AS (SELECT *, regexp_extract_all(text, '{WORD_SQL}') AS words, doc_id > min(doc_id) OVER (PARTITION BY text) AS copy FROM t),
+            m AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+                + 4 * (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * copy::INT AS fails FROM c),
+            s AS (SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM m LEFT JOIN labels USING (doc_id) GROUP BY part, fails),
+            l AS (SELECT i, chr(65 + i) AS letter, 1 << i AS own FROM (SELECT unnest(range(5))::INT AS i)),
+            o AS (SELECT [a.own, b.own, c.own, d.own, e.own] AS bits, concat(a.letter, b.letter, c.letter, d.letter, e.letter) AS filter_order FROM l a, l b, l c, l d, l e
+                WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+            p AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier FROM o, (SELECT unnest(range(1, 6))::INT AS step))
+            SELECT part, filter_order, step, sum(CASE WHEN fails & (own | earlier) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                sum(CASE WHEN fails & own > 0 AND fails & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN fails & own > 0 AND fails & earlier > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                sum(CASE WHEN fails = own THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN fails & own > 0 AND fails & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                sum(CASE WHEN fails & own > 0 AND fails & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost, sum(CASE WHEN fails & own > 0 THEN n * 120 // bit_count(fails) ELSE 0 END)::BIGINT AS shapley
+            FROM s, p GROUP BY part, filter_order, step""",
     }
