@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import ordered
-from ..plans.staging import staged
 
 
 def split_counts(df: DataFrame, by: str, label: str = "y") -> DataFrame:
@@ -35,7 +34,7 @@ def quantiles(df: DataFrame, column: str, qs: list[float], groups: tuple[str, ..
 
     Values are counted first and put in order in buckets, so neither a group nor its distinct values meet in one task.
     """
-    counts = staged(df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count(F.lit(1)).alias("_n")), "values")
+    counts = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count(F.lit(1)).alias("_n"))
     o = ordered(counts, column, groups=groups, sums={"n": F.col("_n")}, ranks=False)
     o = o.select(*groups, F.col(column).cast("double").alias("_v"), (F.col("run_n") - F.col("_n")).alias("_from"), "run_n", "all_n", F.explode(F.array(*(F.lit(float(q)) for q in qs))).alias("q"))
     at = F.col("q") * (F.col("all_n") - 1)

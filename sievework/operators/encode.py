@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.ordered import ordered
-from ..plans.staging import staged
 
 
 def ecdf(df: DataFrame, column: str, fit: Column, groups: tuple[str, ...] = ()) -> DataFrame:
@@ -19,7 +18,7 @@ def ecdf(df: DataFrame, column: str, fit: Column, groups: tuple[str, ...] = ())
     the ranks of the values are joined back. Small value tables are broadcast, and skewed values split, by Spark.
     """
     keys = [*groups, column]
-    values = staged(df.groupBy(*keys).agg(F.sum(fit.cast("int")).alias("_fit")), "values")
+    values = df.groupBy(*keys).agg(F.sum(fit.cast("int")).alias("_fit"))
     o = ordered(values, column, groups=groups, sums={"fit": F.coalesce("_fit", F.lit(0))}, ranks=False)
     n_le, n_lt = F.col("run_fit"), F.col("run_fit") - F.coalesce("_fit", F.lit(0))
     u = S.clip((n_lt + n_le) / 2 / F.col("all_fit"), 0.0, 1.0)

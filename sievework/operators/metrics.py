@@ -6,20 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans.ordered import ordered
-from ..plans.staging import staged
+from ..plans.ordered import midranks, ordered
 from .aggregates import quantile_higher, quantiles
 from .sampling import ntile
 
 
 def score_steps(df: DataFrame, score: str, label: str, groups: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
-    """One row per group and distinct score, best first: n, pos, run_n, run_pos, all_n, all_pos (weighted where asked).
-
-    The sums are written once: the passes that rank them then don't compute the scores and draws again.
-    """
+    """One row per group and distinct score, best first: n, pos, run_n, run_pos, all_n, all_pos (weighted where asked)."""
     w = F.col(weight) if weight else F.lit(1)
     g = df.groupBy(*groups, F.col(score).alias("score")).agg(F.sum(w).alias("n"), F.sum(w * F.col(label)).alias("pos"))
-    return ordered(staged(g, "steps"), "score", groups=groups, desc=True, sums={"n": F.col("n"), "pos": F.col("pos")}, ranks=False)
+    return ordered(g, "score", groups=groups, desc=True, sums={"n": F.col("n"), "pos": F.col("pos")}, ranks=False)
 
 
 def ap_tie_aware(df: DataFrame, score: str, label: str, groups: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
@@ -31,7 +27,7 @@ def ap_tie_aware(df: DataFrame, score: str, label: str, groups: tuple[str, ...]
 def ap_stable_order(df: DataFrame, score: str, label: str, key: str, groups: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """(groups, ap): each row is a step; the row order of key breaks ties."""
     w = F.col(weight) if weight else F.lit(1)
-    rows = staged(df.select(*groups, score, key, w.alias("_n"), (w * F.col(label)).alias("_w")), "rows")
+    rows = df.select(*groups, score, key, w.alias("_n"), (w * F.col(label)).alias("_w"))
     o = ordered(rows, score, (key,), groups, desc=True, sums={"n": F.col("_n"), "pos": F.col("_w")}, ranks=False)
     return o.groupBy(*groups).agg(F.try_divide(F.sum(F.col("_w") * F.col("run_pos") / F.col("run_n")), F.max("all_pos")).alias("ap"))
 
@@ -123,7 +119,7 @@ def weighted_bce(df: DataFrame, p: str, label: str, eps: float = 1e-7) -> DataFr
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation of midranks."""
-    mid = lambda x, c, name: ordered(x, c).withColumn(name, F.col("below") + (F.col("ties") + 1) / 2).drop("below", "ties", "position", "total")
+    mid = lambda x, c, name: midranks(x, c).withColumn(name, F.col("below") + (F.col("ties") + 1) / 2).drop("below", "ties")
     return mid(mid(df, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("spearman"))
 
 

@@ -10,7 +10,7 @@ from ..operators import aggregates as A
 from ..operators import contracts as C
 from ..operators import sampling as P
 from . import views as V
-from .ordered import ordered
+from .ordered import midranks, ordered
 from .q_tables import LS, split_of
 from .views import poisson_sql, query, table, u_sql
 
@@ -108,12 +108,12 @@ def seed_aggregate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT row_id, row_number() OVER (ORDER BY t, row_id) AS position FROM txn", "txn")
 def chrono_rank(spark: SparkSession, d: str) -> DataFrame:
-    return P.chrono_rank(V.txn(spark, d), "t", "row_id").select("row_id", "position")
+    return P.chrono_rank(V.txn(spark, d).select("row_id", "t"), "t", "row_id").select("row_id", "position")
 
 
 @query("SELECT row_id, rank() OVER (ORDER BY s_b) + (count(*) OVER (PARTITION BY s_b) - 1) / 2.0 AS midrank FROM line_scored", *L)
 def midrank(spark: SparkSession, d: str) -> DataFrame:
-    return ordered(V.line_scored(spark, d), "s_b").select("row_id", (F.col("below") + (F.col("ties") + 1) / 2).alias("midrank"))
+    return midranks(V.line_scored(spark, d).select("row_id", "s_b"), "s_b").select("row_id", (F.col("below") + (F.col("ties") + 1) / 2).alias("midrank"))
 
 
 @query("""SELECT row_id, round((count(*) FILTER (split = 'train') OVER (ORDER BY s_a RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
@@ -122,8 +122,8 @@ def midrank(spark: SparkSession, d: str) -> DataFrame:
 def ecdf_midrank(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.encode import ecdf
 
-    rows = split_of(V.line_scored(spark, d))
-    return ecdf(rows, "s_a", F.col("split") == "train").select("row_id", R("u", 9).alias("u"))
+    rows = split_of(V.line_scored(spark, d).select("row_id", "t", "s_a"))
+    return ecdf(rows.select("row_id", "s_a", "split"), "s_a", F.col("split") == "train").select("row_id", R("u", 9).alias("u"))
 
 
 @query("""SELECT row_id, n_lt, n_le FROM (SELECT row_id, split, count(*) FILTER (split = 'train') OVER (ORDER BY s_c RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_le,
@@ -131,14 +131,14 @@ def ecdf_midrank(spark: SparkSession, d: str) -> DataFrame:
 def rank_range_join(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.encode import ecdf
 
-    rows = split_of(V.line_scored(spark, d))
-    return ecdf(rows, "s_c", F.col("split") == "train").where("split <> 'train'").select("row_id", "n_lt", "n_le")
+    rows = split_of(V.line_scored(spark, d).select("row_id", "t", "s_c"))
+    return ecdf(rows.select("row_id", "s_c", "split"), "s_c", F.col("split") == "train").where("split <> 'train'").select("row_id", "n_lt", "n_le")
 
 
 @query("""SELECT row_id, sum(y) OVER w AS tp, row_number() OVER w AS n, round(sum(y) OVER w / row_number() OVER w, 9) AS precision FROM line_scored
     WINDOW w AS (ORDER BY s_a DESC, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", *L)
 def cum_precision(spark: SparkSession, d: str) -> DataFrame:
-    o = ordered(V.line_scored(spark, d), "s_a", ("row_id",), desc=True, sums={"y": F.col("y")}, ranks=False)
+    o = ordered(V.line_scored(spark, d).select("row_id", "s_a", "y"), "s_a", ("row_id",), desc=True, sums={"y": F.col("y")}, ranks=False)
     return o.select("row_id", F.col("run_y").alias("tp"), F.col("position").alias("n"), R(F.col("run_y") / F.col("position"), 9).alias("precision"))
 
 
@@ -150,7 +150,7 @@ def tie_group_end(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT row_id, ntile(10) OVER (ORDER BY p, row_id) AS bin FROM line_scored", *L)
 def equal_frequency_bins(spark: SparkSession, d: str) -> DataFrame:
-    return P.ntile(V.line_scored(spark, d), "p", "row_id", 10, "bin").select("row_id", "bin")
+    return P.ntile(V.line_scored(spark, d).select("row_id", "p"), "p", "row_id", 10, "bin").select("row_id", "bin")
 
 
 @query("SELECT row_id, row_number() OVER (ORDER BY s_a DESC, row_id) AS band_position FROM line_scored WHERE p > 0.4 AND p <= 0.8", *L)
@@ -161,7 +161,7 @@ def band_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT row_id, run::DOUBLE AS run FROM (SELECT row_id, sum(s_b) OVER (ORDER BY s_a DESC, row_id) AS run FROM line_scored) WHERE run <= 5000""", *L)
 def cum_weight_budget(spark: SparkSession, d: str) -> DataFrame:
-    o = ordered(V.line_scored(spark, d), "s_a", ("row_id",), desc=True, sums={"w": F.col("s_b")}, ranks=False)
+    o = ordered(V.line_scored(spark, d).select("row_id", "s_a", "s_b"), "s_a", ("row_id",), desc=True, sums={"w": F.col("s_b")}, ranks=False)
     return o.where("run_w <= 5000").select("row_id", F.col("run_w").alias("run"))
 
 

@@ -13,20 +13,22 @@ from sievework.plans import ordered as O
 
 
 @pytest.fixture
-def small_buckets(spark, monkeypatch):
-    """Many buckets on few rows."""
-    monkeypatch.setattr(O, "ONE_BUCKET", 5)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "23")
+def small_buckets(spark):
+    """Many ranges on few rows."""
+    changed = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("few", [1000, 2])
+@pytest.mark.parametrize("sent", [1000, 2])
 @pytest.mark.parametrize("groups", [(), ("g",)])
 @pytest.mark.parametrize("text", [False, True])
-def test_positions_and_sums(spark, small_buckets, monkeypatch, few, groups, text):
-    monkeypatch.setattr(O, "FEW_GROUPS", few)
+def test_positions_and_sums(spark, small_buckets, monkeypatch, sent, groups, text):
+    monkeypatch.setattr(O, "MOST_SENT", sent)
     rng = random.Random(9)
     rows = [(i, i % 3 if i % 7 else None, rng.choice([None, 2.5, rng.random() * 50, float(rng.randrange(6))])) for i in range(150)]
     if text:
@@ -44,11 +46,44 @@ def test_positions_and_sums(spark, small_buckets, monkeypatch, few, groups, text
             assert r.below == sum((a, b) < (known, v) for a, b, _ in own) and r.ties == sum((a, b) == (known, v) for a, b, _ in own)
 
 
-def test_cuts_are_found_in_two_steps(spark):
-    cuts = [float(x) for x in range(0, 200, 2)]
-    df = spark.range(220).select(F.col("id").cast("double").alias("x"))
-    got = df.select("x", O.place(F.array(*map(F.lit, cuts)), 10, F.col("x")).alias("b")).collect()
-    assert all(r.b == sum(c < r.x for c in cuts) for r in got)
+def hot_time(spark):
+    """Nine tenths of the rows share one time, and all keys share their first nine bytes."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, F.lit(5)).otherwise(F.col("id") % 1000).alias("t"), F.format_string("row-%09d", F.col("id") * 7 % 20_011).alias("k"))
+    return rows.repartition(6)
+
+
+@pytest.mark.parametrize("value,tie", [("t", ("k",)), ("k", ()), ("t", ())])
+def test_a_hot_value_and_a_long_common_beginning_spread_over_all_ranges(spark, small_buckets, value, tie):
+    counts = [r["count"] for r in O.ranged(hot_time(spark), value, tie).groupBy("_b").count().collect()]
+    assert len(counts) == 23 and max(counts) < 2 * 20_000 / 23
+
+
+def test_ranks_of_a_hot_value_equal_sql(spark, small_buckets, monkeypatch):
+    monkeypatch.setattr(O, "MOST_SENT", 50)
+    rows = hot_time(spark)
+    want = rows.collect()
+    place = {k: i for i, (_, k) in enumerate(sorted((r.t, r.k) for r in want), 1)}
+    below, ties = {}, {}
+    for r in want:
+        ties[r.t] = ties.get(r.t, 0) + 1
+    for t in ties:
+        below[t] = sum(n for x, n in ties.items() if x < t)
+    for r in O.ordered(rows, "t", ("k",)).collect():
+        assert (r.position, r.below, r.ties, r.total) == (place[r.k], below[r.t], ties[r.t], 20_000)
+
+
+def test_rows_that_are_equal_in_all_columns(spark, small_buckets):
+    rows = spark.range(3000).select(F.lit(1.5).alias("v"), F.lit("g").alias("g"), F.lit(2).alias("n"))
+    got = O.ordered(rows, "v", (), ("g",), sums={"n": F.col("n")}).collect()
+    assert sorted(r.position for r in got) == list(range(1, 3001)) and {(r.run_n, r.all_n) for r in got if r.position == 7} == {(14, 6000)}
+    assert {(r.below, r.ties) for r in got} == {(0, 3000)}
+
+
+def test_order_of_dates_decimals_nan_and_falling_nulls(spark, small_buckets):
+    rows = spark.sql("SELECT * FROM VALUES (1, DATE'2024-01-02', 1.50BD, double('NaN')), (2, NULL, NULL, NULL), (3, DATE'2023-01-02', 2.25BD, 1.0D), (4, DATE'2024-01-02', 1.50BD, 7.0D) t(k, d, x, f)")
+    for column, desc in [("d", False), ("d", True), ("x", False), ("x", True), ("f", False), ("f", True)]:
+        got = [r.k for r in O.ordered(rows, column, ("k",), desc=desc).orderBy("position").collect()]
+        assert got == [r.k for r in rows.orderBy(F.desc(column) if desc else F.asc(column), "k").collect()]
 
 
 def test_quantiles_by_group(spark, small_buckets):
