@@ -266,20 +266,20 @@ def stream_route(spark: SparkSession, d: str) -> DataFrame:
     return T.finished(T.route(stream_rows(spark, d), "amount", 40.0, 80.0), "routed").select("row_id", "region")
 
 
-MONITOR = """SELECT t // {0} * {0} - k * {0} AS start, count(*) AS n, sum((category = 'error')::INT)::BIGINT AS positives, avg(amount) AS mean_score, avg((amount > 40 AND amount <= 80)::INT) AS in_band
+MONITOR = """SELECT t // {0} * {0} - k * {0} AS start, count(*) AS n, sum((category = 'error')::INT)::BIGINT AS positives, round(avg(amount), 6) AS mean_score, round(avg((amount > 40 AND amount <= 80)::INT), 6) AS in_band
     FROM txn, (SELECT unnest(range({1})) AS k) GROUP BY 1"""
 
 
 @query(MONITOR.format(86400, 1), "txn")
 def stream_monitor_tumbling(spark: SparkSession, d: str) -> DataFrame:
     out = replayed(spark, d, "tumbling", lambda rows, late: T.monitor(rows, "ts", "amount", "y", 40.0, 80.0, "1 day", late=late))
-    return out.select(F.col("start").cast("long").alias("start"), "n", "positives", "mean_score", "in_band")
+    return out.select(F.col("start").cast("long").alias("start"), "n", "positives", R("mean_score", 6).alias("mean_score"), R("in_band", 6).alias("in_band"))
 
 
 @query(MONITOR.format(21600, 4), "txn")
 def stream_monitor_sliding(spark: SparkSession, d: str) -> DataFrame:
     out = replayed(spark, d, "sliding", lambda rows, late: T.monitor(rows, "ts", "amount", "y", 40.0, 80.0, "1 day", "6 hours", late))
-    return out.select(F.col("start").cast("long").alias("start"), "n", "positives", "mean_score", "in_band")
+    return out.select(F.col("start").cast("long").alias("start"), "n", "positives", R("mean_score", 6).alias("mean_score"), R("in_band", 6).alias("in_band"))
 
 
 @query("""WITH e AS (SELECT user_id AS card, epoch_us(ts) AS us, value AS amount FROM events), f AS (SELECT *, coalesce((us - lag(us) OVER (PARTITION BY card ORDER BY us) >= 1800000000)::INT, 1) AS first FROM e),
