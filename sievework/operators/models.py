@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -208,21 +208,6 @@ def assign(df: DataFrame, columns: list[str], centres: list[list[float]]) -> Dat
     return df.withColumn("mode", F.array_min(F.array(*(F.struct(x.alias("d"), F.lit(i).alias("i")) for i, x in enumerate(d))))["i"])
 
 
-def gbt_grid(train: DataFrame, val: DataFrame, columns: list[str], label: str, grid: list[dict], done: DataFrame | None = None) -> DataFrame:
-    """(cell, trees, ap): validation average precision, and the trees at which training stopped, of each grid cell that is not
-    yet in `done`, to be appended to it. Training stops where the validation loss no longer falls; each cell is written
-    as it ends when `done` comes from a table to which the caller appends."""
-    left = [i for i in range(len(grid))] if done is None else [r.cell for r in train.sparkSession.createDataFrame([(i,) for i in range(len(grid))], "cell int").join(done, "cell", "left_anti").collect()]
-    both = balanced(train, label).withColumn("_val", F.lit(False)).unionByName(val.withColumns({"w": F.lit(1.0), "_val": F.lit(True)}), allowMissingColumns=True)
-    rows = staged(assembled(both.select(label, "w", "_val", *columns), columns), "boosting")
-    out = []
-    for i in sorted(left):
-        model = GBTClassifier(labelCol=label, weightCol="w", seed=1, validationIndicatorCol="_val", **grid[i]).fit(rows)
-        ap = M.ap_tie_aware(scored(model, val, columns), "score", label)
-        out.append(ap.select(F.lit(i).alias("cell"), F.lit(model.getNumTrees).alias("trees"), "ap"))
-    return reduce(lambda a, b: a.unionByName(b), out) if out else train.sparkSession.createDataFrame([], "cell int, trees int, ap double")
-
-
 def oof(df: DataFrame, columns: list[str], label: str, key: str, folds: int = 5, seed: int = 1) -> DataFrame:
     """(key, label, fold, score): each row scored once, by the model of the other folds."""
     f = kfold(df.select(key, label, *columns), key, folds, seed).drop("position", "total").cache()
