@@ -86,12 +86,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts count as empty, and empty texts are copies of each other. A row without an id stays only where no row
     of its group has an id. Of repeated rows (same id and equal text) one is kept. An empty table gives an empty
-    result. Other columns are ignored, whatever their names.
+    result. Other columns are ignored, whatever their names. The documents may be any table, a join's result too, that
+    gives the same rows each time it is read; if rows are not found again, that is an error.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    # the file that holds the row, its id there, and a hash that tells rows of one id apart
-    where = F.concat_ws("#", F.input_file_name(), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.xxhash64(F.col(text_col))))
+    # the id and a hash that tells rows of one id apart: the same however the rows are read, from files or out of a join
+    where = F.concat_ws("#", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.xxhash64(F.col(text_col))))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), where.alias("locator"))
     keys_path, work = new_path(spark, "digests"), new_path(spark, "dedup")
     source.select("id", digest(normalised()).alias("digest"), "locator").write.parquet(keys_path)
@@ -108,6 +109,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     info = written(join_groups(info, groups, ["digest"], "group_size", total), "info")
     lone = info.where("group_size = 1").select("id", "digest", "keep_id", "group_size")
     checked = written(_compared(source, info.where("group_size > 1"), digest), "compared")
+    hits = info.where("group_size > 1").agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    if checked.count() != hits:
+        raise RuntimeError(f"{hits} rows hit a digest, but {checked.count()} were found again by their locators: the documents changed between two reads")
     same = checked.where("other IS NULL").select("id", "digest", "keep_id", "group_size")
     # rows with the digest, but not the text, of the row that stays; as good as never any
     other = checked.where("other IS NOT NULL")

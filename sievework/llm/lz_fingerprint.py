@@ -8,8 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,19 +75,34 @@ def written_out(fingerprint: np.ndarray) -> str:
     return base64.b64encode(fingerprint.astype("<u4").tobytes()).decode()
 
 
-LOWEST = -1.7976931348623157e308
+#: Sampled ids for each range of ids.
+SAMPLED = 30
 
 
-def place_of(id_: Column, type_: T.DataType) -> Column:
-    """A number that never falls as the id grows: the id itself, as far as a double holds it, or the leading bytes of a
-    string. A null id has the lowest place."""
-    if isinstance(type_, T.NumericType):
-        place = id_.cast("double")
-    elif isinstance(type_, T.StringType):
-        place = F.conv(F.rpad(F.substring(F.hex(F.encode(id_, "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
-    else:
-        raise TypeError(f"ids must be numbers or strings, not {type_.simpleString()}")
-    return F.coalesce(place, F.lit(LOWEST))
+def cuts_of(ids: DataFrame, ranges: int) -> list:
+    """ranges - 1 ids in order, null first, at even steps of a sorted sample of the column `id`; an id that many rows have
+    stands there more than once. SAMPLED ids a range are put in order in one task, whatever the number of rows."""
+    share = SAMPLED * ranges / max(1, ids.count())
+    sample = ids.sample(False, share, 17) if share < 1 else ids
+    numbered = sample.select("id", F.row_number().over(Window.orderBy(F.asc_nulls_first("id"))).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("m"))
+    slice_ = lambda i: F.floor(i * ranges / F.col("m"))
+    # as many cuts as steps that end at the row, more than one where the sample is smaller than the ranges
+    times = F.least(slice_(F.col("i")), F.lit(ranges - 1)) - slice_(F.col("i") - 1)
+    return [r.id for r in numbered.where(times > 0).orderBy("i").select("id", times.alias("times")).collect() for _ in range(r.times)]
+
+
+def range_of(edges: list, type_: T.DataType) -> Column:
+    """How many of the edges, distinct ids in order, are at or below the row's id, found by halving. A null id is below all
+    others and at an edge that is null."""
+    known = [e for e in edges if e is not None]
+    none = len(edges) - len(known)
+    if not known:
+        return F.lit(none)
+    cuts = F.array(*(F.lit(e) for e in known)).cast(T.ArrayType(type_))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(known).bit_length()))))
+    # beyond the last edge there is null, which no id is at or above
+    found = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.coalesce(F.get(cuts, low + step - 1) <= F.col("id"), F.lit(False)), low + step).otherwise(low))
+    return F.lit(none) + F.when(F.col("id").isNull(), 0).otherwise(found)
 
 
 def neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,22 +110,22 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     The last document of a part needs the first one of the next lower part (the lowest needs the highest), so those
     first documents, one for each part, come a second time as extra rows at the end. One shuffle of the texts. Parts are
-    cut at quantiles of the ids' places and rows are ordered by the ids themselves. Null ids order last. Rows with equal
-    ids follow each other by a hash of the text; an id that many rows share is cut into parts by that hash.
+    cut at sampled ids, compared as they are, so ids of any length that begin alike are cut like others. Null ids order
+    last. Rows with equal ids follow each other by a hash of the text; an id that many rows share is cut into parts by
+    that hash.
     """
     spark, type_ = docs.sparkSession, docs.schema[id_col].dataType
+    if not isinstance(type_, T.NumericType | T.StringType):
+        raise TypeError(f"ids must be numbers or strings, not {type_.simpleString()}")
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    rows = rows.select("id", "text", place_of(F.col("id"), type_).alias("place"), F.xxhash64("text").alias("mixed"))
+    rows = rows.select("id", "text", F.xxhash64("text").alias("mixed"))
     ranges = parts(spark)
-    cuts = Counter(rows.approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else [])
-    shared = rows.where(F.col("place").isin([c for c, n in cuts.items() if n > 1])) if max(cuts.values(), default=0) > 1 else rows.limit(0)
-    # places of one id alone that take several ranges: as many rows as there are such cuts
-    hot = shared.groupBy("place").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <=> high").collect()
-    pieces = {r.place: cuts[r.place] for r in hot}
-    edges = sorted(cuts)
-    splits = [-float("inf"), *edges, float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="place", outputCol="range").transform(rows) if edges else rows.withColumn("range", F.lit(0.0))
-    # parts number the ranges upwards; a hot place has its pieces before the rest of the range that it begins
+    cuts = cuts_of(rows.select("id"), ranges) if ranges > 1 else []
+    times = Counter(cuts)
+    edges = list(dict.fromkeys(cuts))
+    pieces = {e: n for e, n in times.items() if n > 1}
+    dealt = rows.withColumn("range", range_of(edges, type_))
+    # parts number the ranges upwards; a hot id has its pieces before the rest of the range that it begins
     first_part, at = [0], 0
     for edge in edges:
         at += 1
@@ -120,7 +134,9 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n_parts = at + 1
     base = F.element_at(F.array(*map(F.lit, first_part)), (F.col("range") + 1).cast("int"))
     if pieces:
-        held = F.element_at(F.create_map(*(F.lit(x) for pair in pieces.items() for x in pair)), F.col("place"))
+        known = {e: n for e, n in pieces.items() if e is not None}
+        held = F.lit(None).cast("int") if not known else F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)).cast(T.MapType(type_, T.IntegerType())), F.col("id"))
+        held = F.when(F.col("id").isNull(), F.lit(pieces.get(None)).cast("int")).otherwise(held)
         of_range = F.element_at(F.array(*(F.lit(pieces.get(e, 0)) for e in [None, *edges])), (F.col("range") + 1).cast("int"))
         piece = F.floor((F.shiftrightunsigned("mixed", 1) / float(1 << 63)) * held)
         dealt = dealt.withColumn("part", (base + F.when(held.isNotNull(), F.least(piece, held - 1)).otherwise(of_range)).cast("int"))

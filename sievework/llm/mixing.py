@@ -17,8 +17,8 @@ SHARE, MOST_PASSES = 1.5, 2
 BLOCK = 1024
 #: 2^32 divided by the golden ratio: slot j stands at the fractional part of j / ratio.
 GOLDEN = 2654435769
-#: Consecutive slots that are ranked together, and pieces into which a source is cut to number its words.
-CHUNK, PIECES = 1 << 14, 64
+#: Consecutive slots that are ranked together.
+CHUNK = 1 << 14
 
 
 def size_of(text_col: str = "text") -> Column:
@@ -49,17 +49,13 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def _numbered(sized: DataFrame) -> DataFrame:
     """sized with `start`: the words of the source that come before the document in an order shuffled by a hash of the id.
 
-    Each source is cut into PIECES and more by the leading bits of the hash, so the windows run over pieces, and only
-    one sum for each piece runs over a source.
+    Rows of one id, or without one, follow each other by the hash of their texts and then by number. Ranges of the whole
+    order are summed up in tasks of their own, so neither a source nor an id that many rows share is one task.
     """
-    pieces = PIECES * max(1, parts(sized.sparkSession) // 8)
     mixed = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc").cast("string"), F.lit("")))), 1, 10), 16, 10).cast("long")
-    placed = sized.withColumn("mixed", mixed).withColumn("piece", F.floor(F.col("mixed") * pieces / (1 << 40)))
-    within = Window.partitionBy("ordinal", "piece").orderBy("mixed", "doc", "row").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("ordinal").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("ordinal", "piece").agg(F.sum("size").alias("words")).select("ordinal", "piece", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return inside.join(sums, ["ordinal", "piece"]).withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside", "mixed", "piece")
+    order = [F.col(c) for c in ("ordinal", "mixed", "doc", "row", "nth")]
+    placed = running(sized.withColumn("mixed", mixed), order, ["size"], "in-order")
+    return placed.withColumn("start", F.col("before_size") - F.col("ahead")).drop("before_size", "ahead", "mixed", "nth", "number")
 
 
 def schedule(sources: DataFrame, slots: int) -> DataFrame:
@@ -134,11 +130,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the last in order. Ids may be null or repeat: rows are told apart by a hash of id and text; equal rows follow
     each other, in any order. Reruns agree. An empty table gives an empty result; other columns are ignored.
     """
-    sized = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), F.xxhash64(id_col, text_col).alias("row"))
+    sized = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), F.xxhash64(id_col, text_col).alias("row"), F.monotonically_increasing_id().alias("nth"))
     sized = sized.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
     sized = written(sized, "sizes")
-    sources = written(targets(sized).withColumn("goal", F.round("target").cast("long")), "sources")
-    joined = join_groups(sized, sources.select("key", "docs", "ordinal", "source_size", "target"), ["key"], "docs", sized.count()).drop("docs", "key")
+    sources = running(targets(sized).withColumn("goal", F.round("target").cast("long")), [F.col("ordinal")], ["source_size"], "sources")
+    sources = written(sources.drop("number").withColumnRenamed("before_source_size", "ahead"), "sources")
+    joined = join_groups(sized, sources.select("key", "docs", "ordinal", "source_size", "target", "ahead"), ["key"], "docs", sized.count()).drop("docs", "key")
     planned, _ = plan(sources)
     placed = written(_numbered(joined), "placed")
     within = F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))

@@ -31,6 +31,26 @@ def test_exact_dedup_against_brute_force(spark):
         assert got[i].text_sha256 == hashlib.sha256(norm(t).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("hint", ["broadcast", "merge", "shuffle_hash"])
+def test_exact_dedup_of_a_join_of_two_sources(spark, tmp_path, hint):
+    docs, labels = f"{tmp_path}/docs", f"{tmp_path}/labels"
+    frame(spark, ROWS).repartition(3).write.parquet(docs)
+    spark.createDataFrame([(i, i % 2) for i, _ in ROWS], "doc_id long, quality int").write.parquet(labels)
+    both = spark.read.parquet(docs).join(spark.read.parquet(labels).hint(hint), "doc_id")
+    got = exact_dedup.exact_dedup(both)
+    assert got.count() == len(ROWS)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exact_dedup.exact_dedup(frame(spark, ROWS)).collect()))
+    kept = exact_dedup.stage(spark, both)
+    assert kept.columns == both.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got.where("kept").collect())
+
+
+def test_rows_that_are_not_found_again_are_an_error(spark, monkeypatch):
+    lose = exact_dedup._compared
+    monkeypatch.setattr(exact_dedup, "_compared", lambda source, hits, digest: lose(source.where("id <> 2"), hits, digest))
+    with pytest.raises(RuntimeError, match="found again"):
+        exact_dedup.exact_dedup(frame(spark, ROWS))
+
+
 def test_exact_dedup_repeated_rows_and_null_ids(spark):
     rows = [(1, "a"), (1, "a"), (1, "a"), (2, "a"), (None, "a"), (None, "alone"), (3, "b"), (3, "c")]
     got = exact_dedup.exact_dedup(frame(spark, rows))

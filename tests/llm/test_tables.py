@@ -166,6 +166,26 @@ def test_mixing_edges_and_stage(spark):
     assert mixing.stage(spark, odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["same", "other"])
+def test_mixing_of_rows_without_ids_or_with_one_id(spark, monkeypatch, text):
+    """They are numbered in many ranges, not in one, and the mix is as exact as with ids."""
+    rows = [(None if i % 3 else 7, "one text of five words" if text == "same" else f"text {i} of " + "w " * (i % 9), "ab"[i % 2]) for i in range(3000)]
+    orders, real = [], mixing.running
+    monkeypatch.setattr(mixing, "running", lambda df, order, sums, name: orders.append((name, df, order)) or real(df, order, sums, name))
+    got = mixing.mix(frame(spark, rows).repartition(4)).collect()
+    size = {s: sum(len(t.split()) for _, t, q in rows if q == s) for s in "ab"}
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.5 and own[0].source_size == size[s] and all(r.taken <= 2 * r.size for r in own)
+    df, order = next((d, o) for n, d, o in orders if n == "in-order")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in df.repartitionByRange(*order).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 1.5 * 3000 / 4
+
+
 def test_schedule_is_of_low_discrepancy(spark):
     sources = spark.createDataFrame([(0, 25_000), (1, 10_000), (2, 5_000)], "ordinal int, needs long")
     slots = mixing.schedule(sources, 40_000).collect()

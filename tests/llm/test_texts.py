@@ -209,6 +209,17 @@ def test_fingerprints_of_any_ids(spark, ids):
     assert same_prints(lz_fingerprint.fingerprints(docs).collect(), rows)
 
 
+@pytest.mark.parametrize("ids", ["doc-{:09d}", "https://example.org/pages/{:05d}/index.html"])
+def test_ids_that_begin_alike_are_dealt_evenly(spark, ids):
+    """One id far below and one far above the rest change nothing."""
+    rows = [("a", "low"), ("zz", "high"), *((ids.format(i), f"text {i} of them") for i in range(600))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    sizes = [r["count"] for r in lz_fingerprint.neighbours(docs, "doc_id", "text").where("extra = 0").groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.7 * 602 / 4
+    few = rows[:40]
+    assert same_prints(lz_fingerprint.fingerprints(spark.createDataFrame(few, "doc_id string, text string").repartition(3)).collect(), few)
+
+
 def test_fingerprints_refuse_other_ids(spark):
     with pytest.raises(TypeError):
         lz_fingerprint.fingerprints(spark.createDataFrame([(True, "a")], "doc_id boolean, text string"))
