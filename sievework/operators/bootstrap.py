@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 from statistics import NormalDist
@@ -16,24 +17,48 @@ from ..functions import scalars as S
 from ..plans.staging import staged
 from .metrics import ap_tie_aware
 
-#: Draws that are read off the order of the scores together.
-BLOCK = 512
-CUTS = np.array(S.POISSON_CUTS)
+#: Draws that are read off the order of the scores together, and weights that a task makes at once.
+BLOCK, WEIGHTS = 2048, 1 << 20
+#: Poisson(1) has weight k where the draw's 32-bit number is at or above k of these.
+CUTS = [math.ceil(c * 2**32) for c in S.POISSON_CUTS if math.ceil(c * 2**32) < 2**32]
+#: Draws that are tried for one that is asked for.
+DRAWN_ON = 8
+#: Step of the counter from draw to draw, and the multipliers that mix 32 bits.
+STEP, FIRST, SECOND = 0x9E3779B9, 0x85EBCA6B, 0xC2B2AE35
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers of 32 bits, mixed in place so that each bit depends on all."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(FIRST)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(SECOND)
+    x ^= x >> np.uint32(16)
+    return x
 
 
 def row_weights(seed: int, first: int, draws: int, keys: list[str]) -> np.ndarray:
-    """The keyed Poisson(1) weights (`scalars.keyed_poisson`) of each row in the draws from `first` on: rows by draws."""
-    raw, md5 = [k.encode() for k in keys], hashlib.md5
-    out = np.empty((len(keys), draws))
-    for i in range(draws):
-        start = f"{seed}:{first + i}:".encode()
-        heads = np.frombuffer(b"".join([md5(start + k).digest() for k in raw]), ">u4")[::4]
-        out[:, i] = np.searchsorted(CUTS, heads / 2.0**32, side="right")
-    return out
+    """Poisson(1) weights of each row in the draws from `first` on: rows by draws.
+
+    One digest a row, of seed and key, gives two words: the first starts a counter that draws step on, and the second is
+    mixed into what the first mixing makes of it, so rows share their weights only if both words agree.
+    """
+    words = np.frombuffer(b"".join([hashlib.md5(f"{seed}:{k}".encode()).digest()[:8] for k in keys]), ">u4").astype(np.uint32).reshape(-1, 2)
+    with np.errstate(over="ignore"):
+        x = words[:, :1] + np.arange(first, first + draws, dtype=np.uint64).astype(np.uint32) * np.uint32(STEP)
+        x = mixed(mixed(x) ^ words[:, 1:])
+    out = np.zeros(x.shape, np.uint8)
+    for c in CUTS:
+        out += x >= np.uint32(c)
+    return out.astype(float)
 
 
 def ap_draws(df: DataFrame, key: str, method: str, score: str, label: str, draws: int, seed: int) -> DataFrame:
-    """(draw, method, ap): weights depend on (draw, key) alone, so methods share them; draws without positives have no ap.
+    """(draw, method, ap) of `draws` valid draws a method: weights depend on (draw, key) alone, so methods share them.
+
+    A draw is valid if it has positives and negatives; others are passed over and later draws take their place, so the
+    numbers of the draws may have gaps. A method that has rows of one class alone has none; one that has still too few
+    after DRAWN_ON times as many draws has fewer rows here.
 
     The scores are put in order once, in ranges that are written; rows with one score may lie in several ranges. For
     each BLOCK of draws the ranges are then read twice, row by row in batches: for the sums of weights of each range,
@@ -45,17 +70,37 @@ def ap_draws(df: DataFrame, key: str, method: str, score: str, label: str, draws
     order = [F.col("method"), F.desc("score"), F.xxhash64("key"), F.col("key")]
     placed = df.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     placed = staged(placed, "order").withColumn("range", F.shiftright("at", 33))
-    parts = [_block(placed, first, min(BLOCK, draws - first), seed) for first in range(0, draws, BLOCK)]
-    out = staged(reduce(lambda a, b: a.unionByName(b), parts), "draws")
+    classes = placed.groupBy("method").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).where("p > 0 AND n > 0")
+    able = classes.count()
+    parts, first, more = [], 0, draws
+    while more and first < DRAWN_ON * draws:
+        for at in range(first, first + more, BLOCK):
+            parts.append(staged(_block(placed, at, min(BLOCK, first + more - at), seed), "draws"))
+        first += more
+        done = reduce(lambda a, b: a.unionByName(b), parts)
+        counts = [r.n for r in done.groupBy("method").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row a method
+        lacks = max([draws - n for n in counts] + [draws] * (len(counts) < able), default=0)
+        more = 0 if lacks <= 0 else 2 * lacks
+    if not parts:
+        return df.sparkSession.createDataFrame([], f"draw int, {method} {df.schema[method].dataType.simpleString()}, ap double")
+    # a row for each draw and method
+    out = done.withColumn("nth", F.row_number().over(Window.partitionBy("method").orderBy("draw"))).where(F.col("nth") <= draws)
     return out.select("draw", F.col("method").cast(df.schema[method].dataType).alias(method), "ap")
 
 
 def _block(placed: DataFrame, first: int, draws: int, seed: int) -> DataFrame:
     numbers = lambda raw: np.frombuffer(raw, float)
 
+    def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The batches in pieces of WEIGHTS weights."""
+        size = max(1, WEIGHTS // draws)
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                yield batch.iloc[at : at + size]
+
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[tuple, np.ndarray] = {}
-        for batch in batches:
+        for batch in few(batches):
             w, y = row_weights(seed, first, draws, batch["key"].tolist()), batch["label"].to_numpy(float)
             for at, rows in batch.groupby(["range", "method"]).indices.items():
                 sums = np.stack([w[rows].sum(0), y[rows] @ w[rows]])
@@ -89,7 +134,7 @@ def _block(placed: DataFrame, first: int, draws: int, seed: int) -> DataFrame:
             if here is not None:
                 out.append(("sum", here[1], None, inside.tobytes(), None, None))
 
-        for batch in batches:
+        for batch in few(batches):
             for at, rows in batch.groupby(["range", "method"], sort=False):
                 if at != here:
                     close()
@@ -124,7 +169,9 @@ def _block(placed: DataFrame, first: int, draws: int, seed: int) -> DataFrame:
         yield pd.DataFrame(out, columns=["kind", "method", "score", "p", "all_n", "all_p"])
 
     rows = placed.select("range", "method", "at", "score", "key", "label").unionByName(offsets.where("range IS NOT NULL").withColumn("at", F.lit(-1).cast("long")), allowMissingColumns=True)
-    dealt = rows.repartition(F.col("range")).sortWithinPartitions("range", "method", "at")
+    # ranges are numbered from 0, and each goes to a task of its own
+    ranges = int(placed.agg(F.coalesce(F.max("range"), F.lit(0))).first()[0]) + 1
+    dealt = rows.repartitionById(ranges, F.col("range").cast("int")).sortWithinPartitions("range", "method", "at")
     found = staged(dealt.mapInPandas(precisions, "kind string, method string, score double, p binary, all_n binary, all_p binary"), "precisions")
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
@@ -134,14 +181,14 @@ def _block(placed: DataFrame, first: int, draws: int, seed: int) -> DataFrame:
         return pd.DataFrame({"method": group["method"].iloc[:1], "p": [(p * q / np.maximum(n, 1)).tobytes()]})
 
     def ended(group: pd.DataFrame) -> pd.DataFrame:
-        whole = numbers(group["whole"].dropna().iloc[0])
+        whole, rows = (numbers(group[c].dropna().iloc[0]) for c in ("whole", "rows"))
         gain = sum(map(numbers, group["p"].dropna()), np.zeros(draws))
-        at = np.flatnonzero(whole > 0)
+        at = np.flatnonzero((whole > 0) & (rows > whole))
         return pd.DataFrame({"draw": first + at, "method": group["method"].iloc[0], "ap": gain[at] / whole[at]})
 
     edges = found.where("kind = 'edge'").groupBy("method", "score").applyInPandas(joined, "method string, p binary")
-    both = edges.unionByName(found.where("kind = 'sum'").select("method", "p")).withColumn("whole", F.lit(None).cast("binary"))
-    both = both.unionByName(offsets.where("range IS NULL").select("method", F.lit(None).cast("binary").alias("p"), F.col("p").alias("whole")))
+    both = edges.unionByName(found.where("kind = 'sum'").select("method", "p")).withColumns({"whole": F.lit(None).cast("binary"), "rows": F.lit(None).cast("binary")})
+    both = both.unionByName(offsets.where("range IS NULL").select("method", F.lit(None).cast("binary").alias("p"), F.col("p").alias("whole"), F.col("n").alias("rows")))
     return both.groupBy("method").applyInPandas(ended, "draw int, method string, ap double")
 
 

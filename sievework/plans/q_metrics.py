@@ -18,7 +18,7 @@ from ..operators import sampling as P
 from . import views as V
 from .q_ranks import keyed_rank_sql
 from .q_tables import MS, manifest, observed_manifest
-from .views import poisson_sql, query, table, u_sql
+from .views import poisson_sql, query, table, u_sql, weights_sql
 
 R = F.round
 L = ("line_scored",)
@@ -168,8 +168,7 @@ def power_precheck(spark: SparkSession, d: str) -> DataFrame:
 V.VIEW_SQL["marks64"] = f"SELECT * FROM {keyed_rank_sql(51, 'vectors')} WHERE r <= 64"
 V.VIEW_SQL["by_class"] = f"SELECT * FROM {keyed_rank_sql(52, 'vectors', 'y')} WHERE r <= 32"
 DRAWS, SEED = 200, 61
-V.VIEW_SQL["weighted"] = f"""SELECT * EXCLUDE u FROM (SELECT *, {poisson_sql('u')} AS w FROM (SELECT *, {u_sql(SEED, 'draw', 'row_id')} AS u FROM score_bundle, (SELECT unnest(range({DRAWS})) AS draw)
-    WHERE part = 'test' AND method IN ('price', 'quantity', 'noise'))) WHERE w > 0"""
+V.VIEW_SQL["weighted"] = weights_sql("(SELECT * FROM score_bundle WHERE part = 'test' AND method IN ('price', 'quantity', 'noise'))", SEED, DRAWS)
 V.VIEW_SQL["draws"] = ap_sql("weighted", "draw, method", w="w")
 V.VIEW_SQL["deltas"] = "SELECT draw, a.method, a.ap - b.ap AS delta FROM draws a JOIN draws b USING (draw) WHERE b.method = 'noise' AND a.method <> 'noise'"
 V.VIEW_SQL["point"] = ap_sql("(SELECT * FROM score_bundle WHERE part = 'test' AND method IN ('price', 'quantity', 'noise'))", "method")
@@ -350,14 +349,14 @@ def shift_curve(spark: SparkSession, d: str) -> DataFrame:
 
 
 NOISY = f"""SELECT draw, shots, y, round(least(1.0, greatest(0.0, p + sqrt(-2 * ln({u_sql(65, 'draw', 'row_id')} + {2.0**-33!r})) * cos(2 * pi() * {u_sql(65, "draw || ''''", 'row_id')}) * sqrt(p * (1 - p) / shots))), 6) AS score
-    FROM line_scored, (SELECT unnest(range(5)) AS draw), (SELECT unnest([16, 256]) AS shots) WHERE part = 'test'"""
+    FROM line_scored, (SELECT unnest(range(30)) AS draw), (SELECT unnest([16, 256]) AS shots) WHERE part = 'test'"""
 V.VIEW_SQL["noisy"] = NOISY
 
 
 @query("SELECT shots, round(avg(ap), 6) AS mean, round(stddev_samp(ap), 6) AS sd FROM (" + ap_sql("noisy", "draw, shots") + ") GROUP BY shots", *L, "noisy")
 def shot_noise_distribution(spark: SparkSession, d: str) -> DataFrame:
-    """AP over five noisy readouts at two shot levels."""
-    rows = V.line_scored(spark, d).where("part = 'test'").select("row_id", "y", "p", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("draw"))
+    """AP over thirty noisy readouts at two shot levels."""
+    rows = V.line_scored(spark, d).where("part = 'test'").select("row_id", "y", "p", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("draw"))
     rows = rows.select("*", F.explode(F.array(F.lit(16), F.lit(256))).alias("shots"))
     noisy = rows.withColumn("score", R(P.binomial_readout(F.col("p"), F.col("shots"), 65, "draw", "row_id"), 6))
     ap = M.ap_tie_aware(noisy, "score", "y", ("draw", "shots"))
@@ -394,7 +393,7 @@ def splice_replace(spark: SparkSession, d: str) -> DataFrame:
 SPLICE = f"""WITH t AS (SELECT row_id, y, p, round(s_a / 100000, 6) AS head FROM line_scored WHERE part = 'test'), b AS (SELECT row_id, row_number() OVER (ORDER BY head DESC, row_id) AS k FROM t WHERE p > 0.4 AND p <= 0.8),
     s AS (SELECT p AS v, row_number() OVER (ORDER BY p DESC, row_id) AS k FROM t WHERE p > 0.4 AND p <= 0.8), m AS (SELECT row_id, y, 'replace' AS method, CASE WHEN p > 0.4 AND p <= 0.8 THEN head ELSE p END AS score FROM t UNION ALL
         SELECT t.row_id, y, 'rerank', coalesce(v, p) FROM t LEFT JOIN b USING (row_id) LEFT JOIN s USING (k)),
-    w AS (SELECT * FROM (SELECT *, {poisson_sql(u_sql(66, 'draw', 'row_id'))} AS w FROM m, (SELECT unnest(range(10)) AS draw)) WHERE w > 0), a AS ({ap_sql('w', 'draw, method', w='w')}),
+    w AS ({weights_sql('m', 66, 200)}), a AS ({ap_sql('w', 'draw, method', w='w')}),
     d AS (SELECT x.ap - z.ap AS delta FROM a x JOIN a z USING (draw) WHERE x.method = 'replace' AND z.method = 'rerank')
     SELECT 'replace' AS method, round(avg(delta), 8) AS mean, """ + ", ".join(f"round(quantile_cont(delta, {q}), 8) AS {n}" for n, q in (("low", 0.025), ("high", 0.975), ("low_975", 0.0125), ("high_975", 0.9875))) + " FROM d"
 
@@ -405,7 +404,7 @@ def splice_contrast(spark: SparkSession, d: str) -> DataFrame:
     rows = V.line_scored(spark, d).where("part = 'test'").withColumn("head", R(F.col("s_a") / 100000, 6)).select("row_id", "y", "p", "head")
     m1 = G.splice_replace(rows, "p", "head", 0.4, 0.8).select("row_id", "y", F.lit("replace").alias("method"), F.col("spliced").alias("score"))
     m2 = G.band_rerank(rows, "p", "head", 0.4, 0.8).select("row_id", "y", F.lit("rerank").alias("method"), F.col("reranked").alias("score"))
-    delta = B.paired_deltas(B.ap_draws(m1.unionByName(m2), "row_id", "method", "score", "y", 10, 66), "method", "ap", "rerank")
+    delta = B.paired_deltas(B.ap_draws(m1.unionByName(m2), "row_id", "method", "score", "y", 200, 66), "method", "ap", "rerank")
     a, b = B.interval(delta, "delta", ("method",), 0.95), B.interval(delta, "delta", ("method",), 0.975)
     both = a.join(b.select("method", F.col("low").alias("low_975"), F.col("high").alias("high_975")), "method")
     return both.select("method", *(R(c, 8).alias(c) for c in ("mean", "low", "high", "low_975", "high_975")))

@@ -47,6 +47,23 @@ def poisson_sql(u: str) -> str:
     return "(" + " + ".join(f"({u} >= {c!r})::INT" for c in S.POISSON_CUTS) + ")"
 
 
+def weights_sql(source: str, seed: int, draws: int) -> str:
+    """SQL twin of bootstrap.row_weights: the rows of source by draw, with their weight w; rows of weight 0 are left out."""
+    from ..operators.bootstrap import CUTS, FIRST, SECOND, STEP
+
+    def mixed(of: str) -> str:
+        for shift, factor in ((16, FIRST), (13, SECOND), (16, None)):
+            step = f"xor(x, x >> {shift})"
+            of = f"SELECT * REPLACE ({f'({step} * {factor}::UBIGINT) % 4294967296::UBIGINT' if factor else step} AS x) FROM ({of})"
+        return of
+
+    words = ", ".join(f"('0x' || substr(md5('{seed}:' || row_id), {at}, 8))::UBIGINT AS {name}" for at, name in ((1, "_lo"), (9, "_hi")))
+    first = mixed(f"SELECT *, (_lo + draw::UBIGINT * {STEP}::UBIGINT) % 4294967296::UBIGINT AS x FROM (SELECT *, {words} FROM {source}), (SELECT unnest(range({draws})) AS draw)")
+    second = mixed(f"SELECT * REPLACE (xor(x, _hi) AS x) FROM ({first})")
+    weight = " + ".join(f"(x >= {c})::INT" for c in CUTS)
+    return f"SELECT * EXCLUDE (x, _lo, _hi) FROM (SELECT *, {weight} AS w FROM ({second})) WHERE w > 0"
+
+
 def seconds(column: str):
     """Seconds since 1970 of a timestamp without time zone."""
     return F.floor(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))") / 1_000_000)

@@ -151,8 +151,14 @@ def test_draws_of_average_precision(spark, parts):
     finally:
         spark.conf.unset(name)
 
+    def mixed(x):
+        x = (x ^ x >> 16) * 0x85EBCA6B % 2**32
+        x = (x ^ x >> 13) * 0xC2B2AE35 % 2**32
+        return x ^ x >> 16
+
     def weight(d, key):
-        u = int(hashlib.md5(f"3:{d}:{key}".encode()).hexdigest()[:8], 16) / 2**32
+        digest = hashlib.md5(f"3:{key}".encode()).hexdigest()
+        u = mixed(mixed((int(digest[:8], 16) + d * 0x9E3779B9) % 2**32) ^ int(digest[8:16], 16)) / 2**32
         return sum(u >= c for c in S.POISSON_CUTS)
 
     for d in range(7):
@@ -168,15 +174,26 @@ def test_draws_of_average_precision(spark, parts):
     assert len(got) == 21
 
 
-def test_draws_without_positives_and_over_a_block(spark, monkeypatch):
+def test_draws_of_one_class_are_replaced(spark, monkeypatch):
+    """Of a draw that lacks positives or negatives another takes the place; a method of one class has none."""
     monkeypatch.setattr(B, "BLOCK", 3)
     df = spark.createDataFrame([("a", 0, "m", 1.0), ("b", 1, "m", 0.5), ("c", 0, "none", 0.5)], "key string, y int, method string, score double")
-    got = {(r.draw, r.method) for r in B.ap_draws(df, "key", "method", "score", "y", 8, 1).collect()}
-    with_b = {d for d in range(8) if B.row_weights(1, d, 1, ["b"])[0, 0] > 0}
-    assert got == {(d, "m") for d in with_b} and 0 < len(with_b) < 8
+    got = sorted((r.draw, r.method) for r in B.ap_draws(df, "key", "method", "score", "y", 8, 1).collect())
+    w = B.row_weights(1, 0, 64, ["a", "b"])
+    valid = [d for d in range(64) if w[0, d] > 0 and w[1, d] > 0][:8]
+    assert got == [(d, "m") for d in valid] and valid[-1] > 8
     assert B.ap_draws(df.limit(0), "key", "method", "score", "y", 8, 1).count() == 0
 
 
+def test_weights_are_poisson_and_unrelated():
+    w = B.row_weights(5, 100, 400, [f"k{i}" for i in range(2000)])
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.01
+    assert max(abs(np.mean(w == k) - math.exp(-1) / math.factorial(k)) for k in range(6)) < 0.002
+    off = np.corrcoef(w[:60])[np.triu_indices(60, 1)], np.corrcoef(w[:, :60].T)[np.triu_indices(60, 1)]
+    assert np.abs(off[0]).max() < 0.25 and np.abs(off[1]).max() < 0.12
+    assert (B.row_weights(5, 130, 7, ["k3"]) == w[3, 30:37]).all()
+
+
 def test_permutation_test(points, spark):
     rows, df = points
     sample = df.where("row_id < 60").select("row_id", "y", "a", F.lit("w").alias("g"))
