@@ -246,15 +246,6 @@ def stream_path(spark: SparkSession, d: str, files: int = 3) -> str:
 SLICE = 10 * 86400
 
 
-def timed_path(spark: SparkSession, d: str) -> str:
-    """The events as one file for every ten days, written one after the other."""
-    path = scratch(spark, "events")
-    rows = event_rows(spark, d).withColumn("slice", F.floor(F.unix_micros("ts") / (SLICE * 1_000_000)))
-    for r in rows.select("slice").distinct().orderBy("slice").collect():  # one row for every ten days
-        rows.where(F.col("slice") == r.slice).drop("slice").coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
 def stream_rows(spark: SparkSession, d: str) -> DataFrame:
     return T.stream_of(spark, stream_path(spark, d), EVENTS, 1)
 
@@ -279,20 +270,20 @@ def stream_route(spark: SparkSession, d: str) -> DataFrame:
     return T.finished(T.route(stream_rows(spark, d), "amount", 40.0, 80.0), "routed").select("row_id", "region")
 
 
-MONITOR = """SELECT t // {0} * {0} - k * {0} AS start, count(*) AS n, sum((category = 'error')::INT)::BIGINT AS positives, round(avg(amount), 6) AS mean_score, round(avg((amount > 40 AND amount <= 80)::INT), 6) AS in_band
+MONITOR = """SELECT t // {0} * {0} - k * {0} AS start, count(*) AS n, sum((category = 'error')::INT)::BIGINT AS positives, round(avg(amount), 9) AS mean_score, round(avg((amount > 40 AND amount <= 80)::INT), 9) AS in_band
     FROM txn, (SELECT unnest(range({1})) AS k) GROUP BY 1"""
 
 
 @query(MONITOR.format(86400, 1), "txn")
 def stream_monitor_tumbling(spark: SparkSession, d: str) -> DataFrame:
     out = replayed(spark, d, "tumbling", lambda rows, late: T.monitor(rows, "ts", "amount", "y", 40.0, 80.0, "1 day", late=late))
-    return out.select(F.col("start").cast("long").alias("start"), "n", "positives", R("mean_score", 6).alias("mean_score"), R("in_band", 6).alias("in_band"))
+    return out.select(F.col("start").cast("long").alias("start"), "n", "positives", R("mean_score", 9).alias("mean_score"), R("in_band", 9).alias("in_band"))
 
 
 @query(MONITOR.format(21600, 4), "txn")
 def stream_monitor_sliding(spark: SparkSession, d: str) -> DataFrame:
     out = replayed(spark, d, "sliding", lambda rows, late: T.monitor(rows, "ts", "amount", "y", 40.0, 80.0, "1 day", "6 hours", late))
-    return out.select(F.col("start").cast("long").alias("start"), "n", "positives", R("mean_score", 6).alias("mean_score"), R("in_band", 6).alias("in_band"))
+    return out.select(F.col("start").cast("long").alias("start"), "n", "positives", R("mean_score", 9).alias("mean_score"), R("in_band", 9).alias("in_band"))
 
 
 @query("""WITH e AS (SELECT user_id AS card, epoch_us(ts) AS us, value AS amount FROM events), f AS (SELECT *, coalesce((us - lag(us) OVER (PARTITION BY card ORDER BY us) >= 1800000000)::INT, 1) AS first FROM e),
@@ -306,9 +297,9 @@ def stream_card_session(spark: SparkSession, d: str) -> DataFrame:
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
     SELECT card, row_id, n AS seen, CASE WHEN n = 0 THEN 0 ELSE round(greatest(-20.0, least(20.0, (x - s / n) / greatest(0.05, CASE WHEN n > 1 THEN sqrt(greatest(0.0, q - n * (s / n) * (s / n)) / (n - 1)) ELSE 0 END))), 6) END AS deviation FROM e""")
 def stream_card_deviation(spark: SparkSession, d: str) -> DataFrame:
-    """Files of ten days each, in order of time."""
-    rows = T.stream_of(spark, timed_path(spark, d), EVENTS, 1)
-    return T.finished(T.card_deviation(rows, "card", "amount", "ts", "row_id"), "deviation").withColumn("deviation", R("deviation", 6))
+    """The files are in no order of time: rows wait in state until the watermark has passed them."""
+    out = replayed(spark, d, "deviation", lambda rows, late: T.card_deviation(rows, "card", "amount", "ts", "row_id", late))
+    return out.withColumn("deviation", R("deviation", 6))
 
 
 @query("SELECT row_id, amount FROM txn", "txn")
@@ -321,15 +312,14 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return T.finished(T.deduplicated(T.stream_of(spark, both, EVENTS, 1), "ts", "row_id", "60 days"), "deduplicated").select("row_id", "amount")
 
 
-@query(f"""WITH b AS (SELECT dense_rank() OVER (ORDER BY t // {SLICE}) - 1 AS batch, least(floor(amount / 10), 12)::INT AS bin FROM txn), r AS (SELECT bin, count(*) / (SELECT count(*) FROM b) AS q FROM b GROUP BY bin),
-    a AS (SELECT batch, count(*) AS whole FROM b GROUP BY batch), n AS (SELECT batch, bin, count(*) AS n FROM b GROUP BY batch, bin), p AS (SELECT batch, greatest(q, 1e-6) AS q, greatest(coalesce(n, 0) / whole, 1e-6) AS p FROM a CROSS JOIN r LEFT JOIN n USING (batch, bin))
-    SELECT batch, round(sum((p - q) * ln(p / q)), 9) AS psi FROM p GROUP BY batch""", "txn")
+@query(f"""WITH b AS (SELECT t // {SLICE} * {SLICE} AS start, least(floor(amount / 10), 12)::INT AS bin FROM txn), r AS (SELECT bin, count(*) / (SELECT count(*) FROM b) AS q FROM b GROUP BY bin),
+    a AS (SELECT start, count(*) AS whole FROM b GROUP BY start), n AS (SELECT start, bin, count(*) AS n FROM b GROUP BY start, bin), p AS (SELECT start, whole, greatest(q, 1e-6) AS q, greatest(coalesce(n, 0) / whole, 1e-6) AS p FROM a CROSS JOIN r LEFT JOIN n USING (start, bin))
+    SELECT start, whole AS n, round(sum((p - q) * ln(p / q)), 9) AS psi FROM p GROUP BY start, whole""", "txn")
 def stream_psi(spark: SparkSession, d: str) -> DataFrame:
-    """Every ten days are a micro-batch, read against the histogram of all events."""
-    bins = lambda df: df.withColumn("bin", F.least(F.floor(F.col("amount") / 10), F.lit(12)).cast("int"))
-    rows = bins(V.txn(spark, d))
-    whole = rows.count()
-    reference = rows.groupBy("bin").agg((F.count(F.lit(1)) / max(1, whole)).alias("share"))
-    out = scratch(spark, "psi")
-    T.psi_batches(T.stream_of(spark, timed_path(spark, d), EVENTS, 1), reference, bins, out)
-    return spark.read.schema("psi double, batch int").parquet(f"{out}/batch=*").select("batch", R("psi", 9).alias("psi"))
+    """Windows of ten days of event time against the histogram of all events, from files in no order of time."""
+    rows = V.txn(spark, d).withColumn("bin", F.least(F.floor(F.col("amount") / 10), F.lit(12)).cast("int"))
+    whole = max(1, rows.count())
+    reference = {r.bin: r.n / whole for r in rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # thirteen bins at most
+    bin_of = F.least(F.floor(F.col("amount") / 10), F.lit(12)).cast("int")
+    out = replayed(spark, d, "psi", lambda stream, late: T.psi_windows(stream, "ts", bin_of, reference, f"{SLICE} seconds", late))
+    return out.select(F.col("start").cast("long").alias("start"), "n", R("psi", 9).alias("psi"))

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -70,46 +70,78 @@ def deduplicated(stream: DataFrame, time: str, key: str, late: str = "1 day") ->
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def card_deviation(stream: DataFrame, card: str, amount: str, time: str, key: str) -> DataFrame:
-    """(card, row_id, seen, deviation) of every arriving row, by a stateful processor; start it within `rocks`.
+def card_deviation(stream: DataFrame, card: str, amount: str, time: str, key: str, late: str = "1 day") -> DataFrame:
+    """(card, row_id, seen, deviation) of every row, by a stateful processor; start it within `rocks`.
 
-    The rows of a card count in the order of time and key: a row's deviation is from all the card's rows before it, of
-    earlier micro-batches or its own, at least 0.05 wide and clipped to 20; the first row has 0. So the result does not
-    depend on how the rows are cut into batches, as long as these come in order of time. A card's rows of one batch are
-    sorted in one task.
+    The rows of a card count in the order of time and key: a row's deviation is from all the card's rows before it, at
+    least 0.05 wide and clipped to 20; the first row has 0. A row waits in its card's list state until the watermark has
+    passed it, so that none can still come before it; a timer then takes those that are due, in order. So the result
+    depends neither on the order of the files nor on how the rows are cut into batches. Rows behind the watermark are
+    dropped, as are rows without a card or a time. State holds what came within `late`, and three sums a card.
     """
 
     # defined here, so that it is sent by value: the process that sets up the state may not find this package
     class Deviation(StatefulProcessor):
-        """Keeps (n, sum, sum of squares) of log amounts by card."""
+        """Keeps a card's waiting rows, and (n, sum, sum of squares) of the log amounts of those that were taken."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("sums", "n long, s double, q double")
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-            n, s, q = self.state.get() if self.state.exists() else (0, 0.0, 0.0)
-            batch = pd.concat(list(rows)).sort_values(["at", "row_id"])
-            x = batch["x"].to_numpy(float)
+            self.handle = handle
+            self.sums = handle.getValueState("sums", "n long, s double, q double")
+            self.waiting = handle.getListState("waiting", "at long, row_id long, x double")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows))
+            self.waiting.appendList(list(zip(batch["at"].tolist(), batch["row_id"].tolist(), batch["x"].tolist(), strict=True)))
+            # the first moment at which one of these rows is due; timers that are no longer needed find nothing due
+            self.handle.registerTimer(int(batch["at"].min()) // 1000 + 1)
+            yield pd.DataFrame({"card": [], "row_id": [], "seen": [], "deviation": []})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now = timerValues.getCurrentWatermarkInMs()
+            rows = sorted(tuple(r) for r in self.waiting.get())
+            due = [r for r in rows if r[0] // 1000 < now]
+            left = rows[len(due) :]
+            if not due:
+                return
+            if left:
+                self.waiting.put(left)
+                self.handle.registerTimer(left[0][0] // 1000 + 1)
+            else:
+                self.waiting.clear()
+            n, s, q = self.sums.get() if self.sums.exists() else (0, 0.0, 0.0)
+            x = np.array([r[2] for r in due])
             before = np.arange(n, n + len(x))
             sums, squares = s + np.concatenate([[0.0], np.cumsum(x)]), q + np.concatenate([[0.0], np.cumsum(x * x)])
             mean = sums[:-1] / np.maximum(before, 1)
             spread = np.sqrt(np.maximum(0.0, squares[:-1] - before * mean * mean) / np.maximum(before - 1, 1))
             deviation = np.clip((x - mean) / np.maximum(0.05, np.where(before > 1, spread, 0.0)), -20, 20)
-            self.state.update((n + len(x), float(sums[-1]), float(squares[-1])))
-            yield pd.DataFrame({"card": key[0], "row_id": batch["row_id"].to_numpy(), "seen": before, "deviation": np.where(before > 0, deviation, 0.0)})
+            self.sums.update((n + len(x), float(sums[-1]), float(squares[-1])))
+            yield pd.DataFrame({"card": key[0], "row_id": [r[1] for r in due], "seen": before, "deviation": np.where(before > 0, deviation, 0.0)})
 
         def close(self) -> None:
             pass
 
-    rows = stream.select(F.col(card).alias("card"), F.col(key).alias("row_id"), F.unix_micros(time).alias("at"), F.log1p(amount).alias("x"))
-    return rows.groupBy("card").transformWithStateInPandas(Deviation(), "card long, row_id long, seen long, deviation double", "append", "none")
+    rows = stream.withWatermark(time, late).select(F.col(time).alias("when"), F.col(card).alias("card"), F.col(key).alias("row_id"), F.unix_micros(time).alias("at"), F.log1p(amount).alias("x"))
+    rows = rows.where("`when` IS NOT NULL").withColumns({"card": F.coalesce("card", F.lit(NO_CARD)), "row_id": F.coalesce("row_id", F.lit(0)), "x": F.coalesce("x", F.lit(0.0))})
+    out = rows.groupBy("card").transformWithStateInPandas(Deviation(), "card long, row_id long, seen long, deviation double", "append", "EventTime")
+    return out.where(F.col("card") != NO_CARD)
+
+
+#: Stands for a missing card, whose rows are left out; they still move the watermark.
+NO_CARD = -(1 << 63)
 
 
-def psi_batches(stream: DataFrame, reference: DataFrame, bins, out: str) -> None:
-    """Append to `out` the population stability index of every micro-batch against a frozen reference histogram."""
-    from ..operators.drift import psi
+def psi_windows(stream: DataFrame, time: str, bin_of: Column, reference: dict[int, float], width: str, late: str = "1 day", eps: float = 1e-6) -> DataFrame:
+    """(start, n, psi) of each window of event time as it closes: the population stability index of its histogram over the
+    bins of a frozen reference (bin to share). The histograms are the stream's state; shares below eps count as eps."""
+    bins = sorted(reference)
+    counts = [F.count_if(F.col("_bin") == b).alias(f"_n{i}") for i, b in enumerate(bins)]
+    binned = stream.withWatermark(time, late).withColumn("_bin", bin_of)
+    windows = binned.groupBy(F.window(time, width).alias("w")).agg(F.count(F.lit(1)).alias("n"), *counts)
 
-    def one(batch: DataFrame, number: int) -> None:
-        psi(bins(batch), reference, "bin").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def term(i: int, share: float) -> Column:
+        p, q = F.greatest(F.col(f"_n{i}") / F.col("n"), F.lit(eps)), max(share, eps)
+        return (p - q) * F.ln(p / q)
 
-    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{out}.state").trigger(availableNow=True).start().awaitTermination()
+    total = sum((term(i, reference[b]) for i, b in enumerate(bins)), F.lit(0.0))
+    return windows.select(F.col("w.start").alias("start"), "n", total.alias("psi"))
