@@ -37,16 +37,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def row_weights(seed: int, first: int, draws: int, keys: list[str]) -> np.ndarray:
-    """Poisson(1) weights of each row in the draws from `first` on: rows by draws.
+def row_numbers(seed: int, first: int, draws: int, keys: list[str]) -> np.ndarray:
+    """A number of 32 bits for each row in each of the draws from `first` on: rows by draws.
 
     One digest a row, of seed and key, gives two words: the first starts a counter that draws step on, and the second is
-    mixed into what the first mixing makes of it, so rows share their weights only if both words agree.
+    mixed into what the first mixing makes of it, so rows share their numbers only if both words agree.
     """
     words = np.frombuffer(b"".join([hashlib.md5(f"{seed}:{k}".encode()).digest()[:8] for k in keys]), ">u4").astype(np.uint32).reshape(-1, 2)
     with np.errstate(over="ignore"):
         x = words[:, :1] + np.arange(first, first + draws, dtype=np.uint64).astype(np.uint32) * np.uint32(STEP)
-        x = mixed(mixed(x) ^ words[:, 1:])
+        return mixed(mixed(x) ^ words[:, 1:])
+
+
+def row_weights(seed: int, first: int, draws: int, keys: list[str]) -> np.ndarray:
+    """Poisson(1) weights of each row in the draws from `first` on: rows by draws."""
+    x = row_numbers(seed, first, draws, keys)
     out = np.zeros(x.shape, np.uint8)
     for c in CUTS:
         out += x >= np.uint32(c)

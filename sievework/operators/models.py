@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -14,11 +16,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..plans.ordered import ordered
 from ..plans.staging import staged
 from . import metrics as M
+from .bootstrap import row_numbers
 from .sampling import kfold, landmarks
 
 
@@ -82,49 +85,58 @@ def pca_error(fit: DataFrame, df: DataFrame, columns: list[str], k: int | None =
 
 
 def tree_samples(fit: DataFrame, columns: list[str], key: str, trees: int, size: int, seed: int) -> DataFrame:
-    """(tree, turn, _key, columns): for each tree keyed draws of rows, of which the first `size` different ones in the order of
-    turn are its sample. A tree draws positions, so the cost is trees times size, whatever the rows; where size is a
-    quarter of the rows or more, every row comes once for each tree in keyed order."""
-    n = fit.count()
-    rows = fit.select(F.col(key).cast("string").alias("_key"), *columns)
-    if n <= 4 * size:
-        every = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        return every.withColumn("turn", S.keyed_uniform(seed, "tree", "_key"))
-    placed = ordered(rows.withColumn("_u", S.keyed_uniform(seed, F.lit("place"), "_key")), "_u", ("_key",), ranks=False).withColumnRenamed("position", "at").drop("total", "_u")
-    draws = math.ceil(1.3 * size) + 64
-    slots = fit.sparkSession.range(0, trees * draws).select(F.expr(f"id div {draws}").cast("int").alias("tree"), (F.col("id") % draws).alias("turn"))
-    at = (F.floor(S.keyed_uniform(seed, "tree", "turn") * n) + 1).alias("at")
-    return slots.select("tree", F.col("turn").cast("double").alias("turn"), at).join(placed, "at").drop("at")
+    """(tree, turn, _key, columns): for each tree the rows with the lowest keyed numbers, `size` of them and a few more.
+
+    A row's number for a tree comes from its key alone, and a row belongs to a tree if the number is below the share that
+    gives `size` rows and six deviations: no order over the rows and no join, and only trees times size rows are sent.
+    """
+    n = max(1, fit.count())
+    most = min(2**32, math.ceil((size + 6 * math.sqrt(size) + 16) / n * 2**32))
+    rows = fit.select(F.col(key).cast("string").alias("_key"), *(F.col(c).cast("double").alias(c) for c in columns))
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            for at in range(0, len(keys), 1024):
+                turn = row_numbers(seed, 0, trees, ["" if k is None else k for k in keys[at : at + 1024]])
+                row, tree = np.nonzero(turn < most)
+                picked = batch.take(pa.array(row + at))
+                yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(turn[row, tree].astype(np.int64)), *picked.columns], ["tree", "turn", *batch.schema.names])
+
+    return rows.mapInArrow(thinned, "tree int, turn long, _key string, " + ", ".join(f"`{c}` double" for c in columns))
 
 
 def isolation_forest(fit: DataFrame, columns: list[str], key: str, trees: int = 300, size: int = 8192, seed: int = 1) -> list[tuple]:
     """Trees over keyed samples of `size` fit rows each (all rows where there are fewer), grown in one task per tree.
 
-    A tree is (feature, cut, length) by node, where the children of node i are 2 i + 1 and 2 i + 2, a leaf has feature
-    -1 and length is the expected path of a row that ends there. Trees times twice the sample, whatever the input.
+    A tree is (feature, cut, left, length, n) by node: a row below the cut goes to left, another to left + 1; a leaf has
+    itself as left and an infinite cut, and length is the expected path of a row that ends there.
     """
     depth = math.ceil(math.log2(max(2, min(size, max(2, fit.count())))))
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values(["turn", "_key"]).drop_duplicates("_key")[columns].to_numpy(float)[:size]
         rng = np.random.default_rng([seed, int(rows["tree"].iloc[0])])
-        feature, cut, length = np.full(2 ** (depth + 1), -1, "<i2"), np.zeros(2 ** (depth + 1), "<f8"), np.zeros(2 ** (depth + 1), "<f4")
+        feature, cut, left, length = [0], [np.inf], [0], [0.0]
         waiting = [(0, x, 0)]
         while waiting:
             node, part, level = waiting.pop()
             low, high = (part.min(0), part.max(0)) if len(part) else (np.zeros(1), np.zeros(1))
             able = np.flatnonzero(high > low)
             if level >= depth or len(part) < 2 or not len(able):
-                length[node] = level + expected_path(len(part))
+                length[node] = level + float(expected_path(len(part)))
                 continue
-            f = int(able[rng.integers(len(able))])
-            feature[node], cut[node] = f, low[f] + rng.random() * (high[f] - low[f])
-            left = part[:, f] < cut[node]
-            waiting += [(2 * node + 1, part[left], level + 1), (2 * node + 2, part[~left], level + 1)]
-        return pd.DataFrame({"feature": [feature.tobytes()], "cut": [cut.tobytes()], "length": [length.tobytes()], "n": [len(x)]})
+            f, first = int(able[rng.integers(len(able))]), len(feature)
+            feature[node], cut[node], left[node] = f, low[f] + rng.random() * (high[f] - low[f]), first
+            for child in (first, first + 1):
+                feature.append(0), cut.append(np.inf), left.append(child), length.append(0.0)
+            below = part[:, f] < cut[node]
+            waiting += [(first, part[below], level + 1), (first + 1, part[~below], level + 1)]
+        packed = (np.array(feature, "<i2"), np.array(cut, "<f8"), np.array(left, "<i4"), np.array(length, "<f4"))
+        return pd.DataFrame([[*(a.tobytes() for a in packed), len(x)]], columns=["feature", "cut", "left", "length", "n"])
 
-    grown = tree_samples(fit, columns, key, trees, size, seed).groupBy("tree").applyInPandas(grow, "feature binary, cut binary, length binary, n int").collect()
-    return [(np.frombuffer(r.feature, "<i2"), np.frombuffer(r.cut, "<f8"), np.frombuffer(r.length, "<f4"), r.n) for r in grown]
+    grown = tree_samples(fit, columns, key, trees, size, seed).groupBy("tree").applyInPandas(grow, "feature binary, cut binary, left binary, length binary, n int").collect()
+    return [(np.frombuffer(r.feature, "<i2"), np.frombuffer(r.cut, "<f8"), np.frombuffer(r.left, "<i4"), np.frombuffer(r.length, "<f4"), r.n) for r in grown]
 
 
 def expected_path(n) -> np.ndarray:
@@ -135,26 +147,37 @@ def expected_path(n) -> np.ndarray:
 
 def isolation_score(df: DataFrame, forest: list[tuple], columns: list[str]) -> DataFrame:
     """df with score in (0, 1): 2^(-mean path / expected path); higher is more anomalous. All rows of a batch go down a tree
-    level by level."""
-    shipped = df.sparkSession.sparkContext.broadcast(forest)
+    level by level; one that has come to a leaf stays there. Nulls count as NaN, which is below no cut."""
+    shipped = df.sparkSession.sparkContext.broadcast([(*tree[:4], tree_depth(tree)) for tree in forest])
     usual = float(np.mean([expected_path(n) for *_, n in forest])) if forest else 1.0
-
-    @F.pandas_udf("double")
-    def path(xs: pd.Series) -> pd.Series:
-        x = np.array(xs.tolist(), float).reshape(len(xs), len(columns))
-        flat, base = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * len(columns)
-        total = np.zeros(len(x))
-        for feature, cut, length, _ in shipped.value:
-            node, going = np.zeros(len(x), np.int64), np.arange(len(x))
-            while len(going):
-                f = feature[node[going]]
-                going, f = going[f >= 0], f[f >= 0]
-                at = node[going]
-                node[going] = 2 * at + 2 - (flat[base[going] + f] < cut[at])
-            total += length[node]
-        return pd.Series(2.0 ** (-(total / max(1, len(shipped.value))) / max(usual, 1e-9)))
-
-    return df.withColumn("score", path(F.array(*(F.col(c).cast("double") for c in columns))))
+    k, names = len(columns), [*df.columns, "score"]
+    inner = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            flat = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[-k:]], 1).ravel()
+            base, total = np.arange(n) * k, np.zeros(n)
+            for feature, cut, left, length, levels in shipped.value:
+                node = np.zeros(n, np.int64)
+                for _ in range(levels):
+                    above = ~(flat.take(base + feature.take(node)) < cut.take(node)) & (left.take(node) != node)
+                    node = left.take(node) + above
+                total += length[node]
+            score = 2.0 ** (-(total / max(1, len(shipped.value))) / max(usual, 1e-9))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-k], pa.array(score)], names)
+
+    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
+    return df.select(*df.columns, *inner).mapInArrow(run, schema)
+
+
+def tree_depth(tree: tuple) -> int:
+    """Splits on the longest way down a tree, whose children have higher numbers than their parents."""
+    left = tree[2]
+    depth = np.zeros(len(left), int)
+    for node in np.flatnonzero(left != np.arange(len(left))):
+        depth[left[node] : left[node] + 2] = depth[node] + 1
+    return int(depth.max(initial=0))
 
 
 def gmm_diag(fit: DataFrame, columns: list[str], k: int, rounds: int = 10, seed: int = 1, key: str = "row_id", floor: float = 1e-6) -> list[tuple]:

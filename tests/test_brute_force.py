@@ -103,10 +103,10 @@ def test_isolation_trees_and_paths(spark, points):
     got = {r.row_id: r.score for r in L.isolation_score(df, forest, COLS).collect()}
 
     def path(tree, x):
-        feature, cut, length, _ = tree
+        feature, cut, left, length, _ = tree
         node = 0
-        while feature[node] >= 0:
-            node = 2 * node + (1 if x[feature[node]] < cut[node] else 2)
+        while left[node] != node:
+            node = left[node] + (0 if x[feature[node]] < cut[node] else 1)
         return float(length[node])
 
     for r in rows[:40]:
@@ -117,7 +117,10 @@ def test_isolation_trees_and_paths(spark, points):
     first, again = (L.isolation_forest(many.repartition(k), COLS, "row_id", 3, 64, 2) for k in (1, 4))
     assert [n for *_, n in first] == [64] * 3 and all(np.array_equal(a[1], b[1]) for a, b in zip(first, again, strict=True))
     drawn = L.tree_samples(many, COLS, "row_id", 3, 64, 2)
-    assert drawn.groupBy("tree").agg(F.count_distinct("_key").alias("n")).where("n < 64").count() == 0
+    sizes = [r.n for r in drawn.groupBy("tree").agg(F.count_distinct("_key").alias("n")).collect()]
+    assert len(sizes) == 3 and all(64 <= n < 64 + 120 for n in sizes)  # not every row for every tree
+    few = L.isolation_forest(many.limit(20), COLS, "row_id", 2, 64, 2)
+    assert [n for *_, n in few] == [20, 20]
 
 
 def test_kde_and_neighbours(points):
