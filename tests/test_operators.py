@@ -55,8 +55,8 @@ def test_monotone_transform_and_partitioning_change_nothing(spark):
         assert (got.ap, got.auc) == pytest.approx((want.ap, want.auc))
 
 
-def test_buckets_carry_ranks_over(spark, monkeypatch):
-    monkeypatch.setattr(O, "ONE_BUCKET", 10)
+def test_ranges_carry_ranks_over(spark, monkeypatch):
+    monkeypatch.setattr(O, "MOST_SENT", 1)
     rng = random.Random(2)
     vals = [rng.choice([None, 1.0, 2.0, 2.0, rng.random() * 100]) for _ in range(300)]
     df = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(vals)], "id long, v double, g int").repartition(5)
