@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.staging import staged
+from .boxes import Boxes
 from .contracts import unpivot
 from .encode import ecdf
 
@@ -114,8 +115,8 @@ def cell_density(df: DataFrame, cells: Column, fit: Column) -> DataFrame:
 
 #: Landmarks of a density, and references of an outlier factor, at most; they go to every task.
 MOST_LANDMARKS, MOST_REFERENCES = 5_000, 40_000
-#: Rows whose distances to all landmarks are held at once.
-SLICE = 256
+#: The share of a kernel sum that may be left out.
+KERNEL_ERROR = 1e-10
 
 
 def shipped_landmarks(marks: DataFrame, columns: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,33 +128,27 @@ def shipped_landmarks(marks: DataFrame, columns: list[str], most: int) -> tuple[
     return np.array([r.row_id for r in rows]), np.array([list(r)[1:] for r in rows], float).reshape(len(rows), len(columns))
 
 
-def by_slices(df: DataFrame, columns: list[str], schema: str, made) -> DataFrame:
-    """made(ids, coordinates) of at most SLICE rows at a time, without a shuffle."""
+def by_batches(df: DataFrame, columns: list[str], schema: str, made) -> DataFrame:
+    """The tables that made(ids, coordinates) gives for each Arrow batch, without a shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.iloc[at : at + SLICE]
-                yield made(part["row_id"].to_numpy(), part[columns].to_numpy(float))
+            yield from made(batch["row_id"].to_numpy(), batch[columns].to_numpy(float))
 
     return df.select("row_id", *(F.col(c).cast("double").alias(c) for c in columns)).mapInPandas(run, schema)
 
 
-def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return sum((x[:, None, k] - y[None, :, k]) ** 2 for k in range(x.shape[1]))
+def kde(df: DataFrame, marks: DataFrame, columns: list[str], bandwidth: float, error: float = KERNEL_ERROR) -> DataFrame:
+    """(row_id, log_density): Gaussian kernels at at most MOST_LANDMARKS landmarks, which go to every task in boxes. Boxes that
+    together hold at most `error` of a row's sum are left out."""
+    boxes = Boxes(*shipped_landmarks(marks, columns, MOST_LANDMARKS))
+    shipped = df.sparkSession.sparkContext.broadcast(boxes)
+    norm = len(columns) * math.log(bandwidth * math.sqrt(2 * math.pi)) + math.log(max(1, len(boxes.at)))
 
+    def density(ids: np.ndarray, x: np.ndarray) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"row_id": ids, "log_density": shipped.value.log_kernel_sum(x, bandwidth, error) - norm})
 
-def kde(df: DataFrame, marks: DataFrame, columns: list[str], bandwidth: float) -> DataFrame:
-    """(row_id, log_density): Gaussian kernels at at most MOST_LANDMARKS landmarks, summed up stably."""
-    at = df.sparkSession.sparkContext.broadcast(shipped_landmarks(marks, columns, MOST_LANDMARKS)[1])
-    norm = len(columns) * math.log(bandwidth * math.sqrt(2 * math.pi))
-
-    def density(ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        e = -squared(x, at.value) / (2 * bandwidth * bandwidth)
-        top = e.max(1)
-        return pd.DataFrame({"row_id": ids, "log_density": top + np.log(np.exp(e - top[:, None]).sum(1)) - math.log(e.shape[1]) - norm})
-
-    return by_slices(df, columns, f"row_id {df.schema['row_id'].dataType.simpleString()}, log_density double", density)
+    return by_batches(df, columns, f"row_id {df.schema['row_id'].dataType.simpleString()}, log_density double", density)
 
 
 def best_bandwidth(df: DataFrame, marks: DataFrame, columns: list[str], bandwidths: list[float]) -> DataFrame:
@@ -169,26 +164,17 @@ def with_best(grid: DataFrame, choice: str, value: str) -> DataFrame:
 
 
 def neighbours(df: DataFrame, marks: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """(row_id, mark, d): the k nearest other landmarks of each row, ties by id. k candidates a row leave a task."""
-    shipped = df.sparkSession.sparkContext.broadcast(shipped_landmarks(marks, columns, MOST_REFERENCES))
+    """(row_id, mark, d): the k nearest other landmarks of each row, ties by id. The landmarks go to every task in boxes, and
+    only boxes within reach are looked into; k candidates a row leave a task."""
+    # landmarks are in order of their ids, so the first of equal distances are taken
+    shipped = df.sparkSession.sparkContext.broadcast(Boxes(*shipped_landmarks(marks, columns, MOST_REFERENCES)))
     type_ = df.schema["row_id"].dataType.simpleString()
 
-    def nearest(ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        names, at = shipped.value
-        d = np.sqrt(squared(x, at))
-        d[ids[:, None] == names[None, :]] = np.inf
-        m = min(k, len(names))
-        # landmarks are in order of their ids, so the first of equal distances are taken
-        bound = np.partition(d, m - 1, 1)[:, m - 1 : m] if m else np.zeros((len(ids), 1))
-        rows, found = np.nonzero((d <= bound) & np.isfinite(d))
-        order = np.lexsort((found, d[rows, found], rows))
-        rows, found = rows[order], found[order]
-        first = np.searchsorted(rows, rows)
-        keep = np.arange(len(rows)) - first < m
-        rows, found = rows[keep], found[keep]
-        return pd.DataFrame({"row_id": ids[rows], "mark": names[found], "d": d[rows, found]})
-
-    return by_slices(df, columns, f"row_id {type_}, mark {type_}, d double", nearest)
+    def nearest(ids: np.ndarray, x: np.ndarray) -> Iterator[pd.DataFrame]:
+        for rows, found, d in shipped.value.nearest(ids, x, k):
+            yield pd.DataFrame({"row_id": rows, "mark": found, "d": d})
+
+    return by_batches(df, columns, f"row_id {type_}, mark {type_}, d double", nearest)
 
 
 def lof(df: DataFrame, marks: DataFrame, columns: list[str], k: int) -> DataFrame:
