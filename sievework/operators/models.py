@@ -13,7 +13,6 @@ from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronCl
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +21,7 @@ from ..functions import scalars as S
 from ..plans.staging import staged
 from . import metrics as M
 from .bootstrap import row_numbers
+from .isotonic import calibrated, pools
 from .sampling import kfold, landmarks
 
 
@@ -272,8 +272,7 @@ def mlp(fit: DataFrame, df: DataFrame, columns: list[str], label: str, hidden: i
 
 def isotonic(fit: DataFrame, df: DataFrame, score: str, label: str) -> DataFrame:
     """df with calibrated: the isotonic regression of label on score, fitted on fit."""
-    model = IsotonicRegression(labelCol=label, featuresCol="features").fit(assembled(fit, [score]))
-    return model.transform(assembled(df, [score])).withColumnRenamed("prediction", "calibrated").drop("features")
+    return calibrated(df, pools(fit, score, label), score)
 
 
 def guarded(methods: dict[str, object]) -> list[tuple[str, str, str]]:
