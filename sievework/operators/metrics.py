@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.ordered import midranks, ordered
+from ..plans.selection import written_first_rows
 from .aggregates import quantile_higher, quantiles
 from .sampling import ntile
 
@@ -91,7 +92,8 @@ def operating_point(df: DataFrame, score: str, label: str, part: str, fpr: float
 
 def recall_at_budget(df: DataFrame, score: str, order: str, label: str, key: str, low: float, high: float, budget: int) -> DataFrame:
     """flagged: positives above the band; reviewed: positives among the band's `budget` best by order; recall of both together."""
-    best = df.where((F.col(score) > low) & (F.col(score) <= high)).orderBy(F.desc(order), key).limit(budget).agg(F.coalesce(F.sum(label), F.lit(0)).alias("reviewed"))
+    band = df.where((F.col(score) > low) & (F.col(score) <= high)).select(order, key, label)
+    best = written_first_rows(band, order, key, budget, desc=True).agg(F.coalesce(F.sum(label), F.lit(0)).alias("reviewed"))
     base = df.agg(F.coalesce(F.sum(F.when(F.col(score) > high, F.col(label))), F.lit(0)).alias("flagged"), F.sum(label).alias("positives"))
     return base.join(best).withColumn("recall", F.try_divide(F.col("flagged") + F.col("reviewed"), F.col("positives")))
 
@@ -127,7 +129,7 @@ def band_capture(df: DataFrame, orders: list[str], label: str, key: str, ks: lis
     """(ordering, k, positives) among the k best of df by each ordering."""
     out = None
     for o in orders:
-        top = ordered(df.select(key, o, label).orderBy(F.desc(o), key).limit(max(ks)), o, (key,), desc=True, ranks=False)
+        top = ordered(written_first_rows(df.select(key, o, label), o, key, max(ks), desc=True), o, (key,), desc=True, ranks=False)
         c = top.select(label, "position", F.explode(F.array(*map(F.lit, ks))).alias("k")).where("position <= k").groupBy("k").agg(F.sum(label).alias("positives"))
         c = c.select(F.lit(o).alias("ordering"), "k", "positives")
         out = c if out is None else out.unionByName(c)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import ordered
+from ..plans.selection import written_first_rows
 
 
 def region(score: Column, low: float | Column, high: float | Column) -> Column:
@@ -31,4 +32,4 @@ def splice_replace(df: DataFrame, score: str, head: str, low: float, high: float
 
 def with_gain(df: DataFrame, budget: int, order: str, key: str = "row_id") -> DataFrame:
     """The `budget` best rows by order, ties by key."""
-    return df.orderBy(F.desc(order), key).limit(budget)
+    return written_first_rows(df, order, key, budget, desc=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.ordered import ordered
+from ..plans.selection import written_first_rows
 
 
 def chrono_rank(df: DataFrame, time: str, key: str) -> DataFrame:
@@ -44,8 +45,8 @@ def sample_stratified(df: DataFrame, label: str, key: str, size: int, seed: int)
 
 
 def sample_class_cap(df: DataFrame, label: str, key: str, negatives: int, seed: int) -> DataFrame:
-    """All rows of label 1 and `negatives` of label 0 without replacement: a top-k by hash."""
-    some = df.where(F.col(label) == 0).withColumn("_u", S.keyed_uniform(seed, 0, key)).orderBy("_u", key).limit(negatives).drop("_u")
+    """All rows of label 1 and `negatives` of label 0 without replacement: the first by hash."""
+    some = written_first_rows(df.where(F.col(label) == 0).withColumn("_u", S.keyed_uniform(seed, 0, key)), "_u", key, negatives).drop("_u")
     return df.where(F.col(label) == 1).unionByName(some)
 
 
@@ -53,7 +54,7 @@ def sample_minority_majority(df: DataFrame, label: str, key: str, majority: int,
     """All rows of the smaller class (label 1 on a tie) and `majority` of the larger."""
     n1 = df.where(F.col(label) == 1).count()
     minor = 1 if n1 <= df.where(F.col(label) == 0).count() else 0
-    some = df.where(F.col(label) == 1 - minor).withColumn("_u", S.keyed_uniform(seed, 0, key)).orderBy("_u", key).limit(majority).drop("_u")
+    some = written_first_rows(df.where(F.col(label) == 1 - minor).withColumn("_u", S.keyed_uniform(seed, 0, key)), "_u", key, majority).drop("_u")
     return df.where(F.col(label) == minor).unionByName(some)
 
 
