@@ -2,85 +2,115 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from ..plans.ordered import ordered
+from ..plans.staging import staged
 
-#: Rows of a group whose pairs are formed, at most; more are an error, and a keyed sample (`sampling.landmarks`) the way on.
-MOST = 4000
-
-
-def bounded(sample: DataFrame, groups: tuple[str, ...], most: int = MOST) -> DataFrame:
-    """sample, whose groups have at most `most` rows each."""
-    n = sample.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-    if n > most:
-        raise ValueError(f"{n} rows in a group; pairs of over {most} rows are not formed")
-    return sample
-
-
-def pair_distances(sample: DataFrame, key: str, columns: list[str], groups: tuple[str, ...] = (), most: int = MOST) -> DataFrame:
-    """(groups, i, j, d): Euclidean distances of all ordered pairs within each group of at most `most` rows, i = j among them."""
-    s = bounded(sample, groups, most)
-    b = s.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col(key).alias("j"), *(F.col(c).alias(f"_{c}") for c in columns))
-    on = [F.col(g) == F.col(f"_{g}") for g in groups] or F.lit(True)
-    d = F.sqrt(sum(F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in columns))
-    return s.join(b, on).select(*groups, F.col(key).alias("i"), "j", d.alias("d"))
-
-
-def statistic(by_label: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """(groups, statistic) 2 E|X-Y| - E|X-X'| - E|Y-Y'| from (groups, a, b, sum, n), a and b the labels of a pair."""
-    mean = lambda c: F.sum(F.when(c, F.col("sum"))) / F.sum(F.when(c, F.col("n")))
-    x, y = F.col("a") == 1, F.col("b") == 1
-    return by_label.groupBy(*groups).agg((2 * mean(x & ~y) - mean(x & y) - mean(~x & ~y)).alias("statistic"))
+#: Rows of a block; the distances of a pair of blocks are one task's.
+BLOCK = 512
 
 
 def energy_distance(sample: DataFrame, key: str, label: str, columns: list[str], groups: tuple[str, ...] = ()) -> DataFrame:
-    """(groups, statistic) between the rows of label 1 and label 0 of each group."""
-    d = pair_distances(sample, key, columns, groups)
-    names = sample.select(*groups, F.col(key).alias("_k"), F.col(label).alias("_l"))
-    a = names.select(*groups, F.col("_k").alias("i"), F.col("_l").alias("a"))
-    b = names.select(*groups, F.col("_k").alias("j"), F.col("_l").alias("b"))
-    joined = d.join(F.broadcast(a), [*groups, "i"]).join(F.broadcast(b), [*groups, "j"])
-    return statistic(joined.groupBy(*groups, "a", "b").agg(F.sum("d").alias("sum"), F.count(F.lit(1)).alias("n")), groups)
+    """(groups, statistic) 2 E|X-Y| - E|X-X'| - E|Y-Y'| between the rows of label 1 and label 0 of each group; null where one is absent."""
+    return permutation_tests(sample, key, label, {"all": columns}, 0, 0, groups).select(*groups, "statistic")
 
 
 def permutation_test(sample: DataFrame, key: str, label: str, columns: list[str], permutations: int, seed: int, groups: tuple[str, ...] = ()) -> DataFrame:
-    """(groups, statistic, p): (permutations with as large a statistic + 1) / (permutations + 1).
+    """(groups, statistic, p) of one representation."""
+    return permutation_tests(sample, key, label, {"all": columns}, permutations, seed, groups).drop("representation")
+
 
-    A permutation gives the label to the rows that come first by a keyed uniform, as many as had it. Each group, of at most
-    MOST rows, is one task: its distances are computed once, and a permutation is a product with its labels.
+def permutation_tests(
+    sample: DataFrame, key: str, label: str, representations: dict[str, list[str]], permutations: int, seed: int, groups: tuple[str, ...] = (), block: int = BLOCK
+) -> DataFrame:
+    """(groups, representation, statistic, p): the energy distance of each representation (a list of columns), and
+    (permutations with as large a statistic + 1) / (permutations + 1).
+
+    A permutation gives the label to the rows that come first by a keyed uniform, then by key, as many as had it. A group's
+    rows are cut into blocks, each with its labels in all permutations as bits; every pair of blocks meets once, and its
+    distances are multiplied by both blocks' labels. So a task holds two blocks, whatever the group's size, and rows and
+    permutations are packed; blocks sent are the square of their number. keys must differ within a group.
+    """
+    columns = list(dict.fromkeys(c for r in representations.values() for c in r))
+    of = {name: [columns.index(c) for c in r] for name, r in representations.items()}
+    gs = [f"_of{i}" for i in range(len(groups))] or ["_of"]
+    grouped = [F.col(g).alias(f"_of{i}") for i, g in enumerate(groups)] or [F.lit(0).alias("_of")]
+    rows = sample.select(*grouped, F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"), F.array(*(F.col(c).cast("double") for c in columns)).alias("_x"))
+    numbered = ordered(rows, "_key", (), tuple(gs), sums={"ones": F.col("_label")}, ranks=False)
+    place = numbered.select(*gs, "_key", "_label", "_x", F.col("total").alias("_n"), F.col("all_ones").alias("_ones"), F.floor((F.col("position") - 1) / block).alias("_block"))
+    labelled = with_permutations(place, gs, permutations, seed)
+    types = "".join(f"`{g}` {labelled.schema[g].dataType.simpleString()}, " for g in gs)
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        x, bits = np.array(part["_x"].tolist(), float), np.array(part["_labels"].tolist(), np.uint8)
+        one = part.iloc[:1][[*gs, "_block", "_n", "_ones"]]
+        return one.assign(_rows=len(part), _at=[x.tobytes()], _bits=[np.packbits(bits).tobytes()])
+
+    blocks = staged(labelled.groupBy(*gs, "_block").applyInPandas(packed, f"{types}_block long, _n long, _ones long, _rows int, _at binary, _bits binary"), "blocks")
+    sent = blocks.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block))).alias("_other"))
+    sent = sent.withColumn("_first", F.least("_block", "_other")).withColumn("_second", F.greatest("_block", "_other"))
+
+    def met(pair: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for r in pair.sort_values("_block").to_dict("records"):
+            bits = np.unpackbits(np.frombuffer(r["_bits"], np.uint8), count=r["_rows"] * (permutations + 1))
+            sides.append((np.frombuffer(r["_at"]).reshape(r["_rows"], len(columns)), bits.reshape(r["_rows"], permutations + 1).T.astype(float)))
+        (x, lx), (y, ly) = sides[0], sides[-1]
+        out = []
+        for name, used in of.items():
+            d = np.sqrt(sum((x[:, None, k] - y[None, :, k]) ** 2 for k in used))
+            both = ((lx @ d) * ly).sum(1)
+            one, whole = lx @ d.sum(1), d.sum()
+            if len(sides) == 2:  # each pair counts from both sides
+                both, one, whole = 2 * both, one + ly @ d.sum(0), 2 * whole
+            out.append(pd.DataFrame({"representation": name, "_p": range(permutations + 1), "_both": both, "_one": one, "_whole": whole}))
+        out = pd.concat(out)
+        for g in (*gs, "_n", "_ones"):
+            out[g] = [pair[g].iloc[0]] * len(out)
+        return out[[*gs, "_n", "_ones", "representation", "_p", "_both", "_one", "_whole"]]
+
+    schema = f"{types}_n long, _ones long, representation string, _p int, _both double, _one double, _whole double"
+    sums = sent.groupBy(*gs, "_first", "_second").applyInPandas(met, schema)
+    total = sums.groupBy(*gs, "representation", "_n", "_ones", "_p").agg(*(F.sum(c).alias(c) for c in ("_both", "_one", "_whole")))
+    ones, rest = F.col("_ones"), F.col("_n") - F.col("_ones")
+    s = F.try_divide(2 * (F.col("_one") - F.col("_both")), ones * rest) - F.try_divide("_both", ones * ones) - F.try_divide(F.col("_whole") - 2 * F.col("_one") + F.col("_both"), rest * rest)
+    each = total.groupBy(*gs, "representation").agg(F.max(F.when(F.col("_p") == 0, s)).alias("statistic"), F.collect_list(F.when(F.col("_p") > 0, s)).alias("_s"))  # an entry per permutation
+    as_large = F.size(F.filter("_s", lambda v: v >= F.col("statistic") - 1e-12))
+    p = F.when(F.col("statistic").isNotNull(), (as_large + 1) / F.lit(permutations + 1))
+    return each.select(*(F.col(f"_of{i}").alias(g) for i, g in enumerate(groups)), "representation", "statistic", p.alias("p"))
+
+
+def with_permutations(rows: DataFrame, gs: list[str], permutations: int, seed: int) -> DataFrame:
+    """rows with _labels: the label itself, then that of each permutation.
+
+    The cut of a permutation, the number and key of the last row that gets the label, lies near the share of labels: numbers
+    below a range around it are counted and only those within are collected, some sixteen times the root of the rows; the
+    range is widened if the cut is not in it.
     """
-    names = [F.col(g) for g in groups] or [F.lit(0).alias("_all")]
-    keys = list(groups) or ["_all"]
-    rows = bounded(sample, groups).select(*names, F.col(key).cast("string").alias("_key"), F.col(label).cast("int").alias("_label"), F.array(*(F.col(c).cast("double") for c in columns)).alias("_x"))
-    order = sample.schema[key].dataType
-    rows = rows.withColumn("_order", F.col("_key").cast(order))
-
-    def test(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_order")
-        x, y = np.array(group["_x"].tolist()), group["_label"].to_numpy()
-        d = np.sqrt(sum((x[:, None, k] - x[None, :, k]) ** 2 for k in range(x.shape[1])))
-        ones = int(y.sum())
-        labels = np.zeros((permutations + 1, len(y)))
-        labels[0] = y
-        for p in range(permutations):
-            u = np.array([int(hashlib.md5(f"{seed}:{p}:{k}".encode()).hexdigest()[:8], 16) for k in group["_key"]])
-            labels[p + 1, np.argsort(u, kind="stable")[:ones]] = 1
-        n, m = ones, len(y) - ones
-        if not n or not m:
-            return pd.DataFrame([(*(group[k].iloc[0] for k in keys), None, None)], columns=[*keys, "statistic", "p"])
-        towards = labels @ d
-        xx, all_ = (towards * labels).sum(1), towards.sum(1)
-        s = 2 * (all_ - xx) / (n * m) - xx / n**2 - (d.sum() - 2 * all_ + xx) / m**2
-        p = (1 + np.count_nonzero(s[1:] >= s[0] - 1e-12)) / (permutations + 1)
-        return pd.DataFrame([(*(group[k].iloc[0] for k in keys), s[0], p)], columns=[*keys, "statistic", "p"])
-
-    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(test, f"{types}, statistic double, p double").select(*groups, "statistic", "p")
+    own = F.array(F.col("_label").cast("tinyint"))
+    if not permutations:
+        return rows.withColumn("_labels", own)
+    rows = staged(rows.withColumn("_u", F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda p: S.keyed_uniform(seed, p, "_key"))), "permuted")
+    long = rows.select(*gs, "_key", "_n", "_ones", F.posexplode("_u").alias("_p", "_v"))
+    share, width = F.col("_ones") / F.col("_n"), 4.0
+    while True:
+        reach = F.lit(width) / F.sqrt("_n") + F.lit(2.0) / F.col("_n")
+        near = F.when(F.abs(F.col("_v") - share) <= reach, F.struct(F.col("_v").alias("v"), F.col("_key").alias("k")))
+        found = long.groupBy(*gs, "_p").agg(F.max("_ones").alias("_ones"), F.count_if(F.col("_v") < share - reach).alias("_below"), F.sort_array(F.collect_list(near)).alias("_near"))
+        at = (F.col("_ones") - F.col("_below") - 1).cast("int")
+        cuts = staged(found.select(*gs, "_p", "_ones", F.when(at >= 0, F.get("_near", at)).alias("cut")), "cuts")
+        if cuts.where("cut IS NULL AND _ones > 0").isEmpty():
+            break
+        width *= 4
+    cuts = cuts.groupBy(*(F.col(g).alias(f"c{g}") for g in gs)).agg(F.sort_array(F.collect_list(F.struct("_p", "cut"))).alias("_cuts"))  # one entry per permutation
+    on = [F.col(g).eqNullSafe(F.col(f"c{g}")) for g in gs]
+    taken = lambda v, c: F.coalesce(F.struct(v.alias("v"), F.col("_key").alias("k")) <= c["cut"], F.lit(False)).cast("tinyint")
+    return rows.join(cuts, on).withColumn("_labels", F.concat(own, F.zip_with("_u", "_cuts", taken))).drop("_u", "_cuts", *(f"c{g}" for g in gs))
 
 
 def psi(df: DataFrame, reference: DataFrame, bin_col: str, groups: tuple[str, ...] = (), eps: float = 1e-6) -> DataFrame:

@@ -292,6 +292,17 @@ def drift_permutation_test(spark: SparkSession, d: str) -> DataFrame:
     return D.permutation_test(pooled, "row_id", "late", ["x"], PERMUTATIONS, 83, ("w",)).withColumn("statistic", R("statistic", 8))
 
 
+@query()
+def drift_permutation_views(spark: SparkSession, d: str) -> DataFrame:
+    """Eight windows of the events against the first one, 2,000 rows of each, 200 permutations, in three representations."""
+    rows = V.txn(spark, d).withColumn("x", F.log1p("amount")).withColumns(dict(zip(("sin", "cos"), S.cyclic_hour(F.pmod("t", F.lit(86400)) / 3600), strict=True)))
+    w = P.time_windows(rows, "t", "row_id", 8, 2000, 82).select("w", "row_id", "x", "sin", "cos")
+    first = w.where("w = 1").select("row_id", "x", "sin", "cos", F.lit(0).alias("late"), F.explode(F.sequence(F.lit(2), F.lit(8))).alias("w"))
+    pooled = w.where("w > 1").withColumn("late", F.lit(1)).unionByName(first)
+    views = {"amount": ["x"], "hour": ["sin", "cos"], "both": ["x", "sin", "cos"]}
+    return D.permutation_tests(pooled, "row_id", "late", views, 200, 83, ("w",)).withColumn("statistic", R("statistic", 8))
+
+
 @query("""SELECT w, count(*) AS n, round(avg((category = 'error')::INT), 9) AS rate, round(avg(amount), 6) AS mean, (SELECT min(w) FROM (SELECT w, avg(amount) AS m FROM (SELECT *, ntile(8) OVER (ORDER BY t, row_id)::INT AS w FROM txn) GROUP BY w)
     WHERE m > 40) AS first_high FROM (SELECT *, ntile(8) OVER (ORDER BY t, row_id)::INT AS w FROM txn) GROUP BY w""", "txn")
 def drift_report(spark: SparkSession, d: str) -> DataFrame:
