@@ -6,7 +6,7 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -39,6 +39,60 @@ def mutual_information(df: DataFrame, column: str, label: str, groups: tuple[str
     return t.groupBy(*groups).agg(F.sum(term).alias("mi"))
 
 
+#: digamma(1) to digamma(7) are sums of 1 / i less this constant.
+EULER = 0.5772156649015329
+
+
+def digamma(n: Column) -> Column:
+    """The digamma function of a whole number from 1 on: exact sums below 8, then the usual series."""
+    small = [sum(1 / i for i in range(1, m)) - EULER for m in range(1, 8)]
+    x = n.cast("double")
+    series = F.ln(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6) + 1 / (240 * x**8)
+    return F.when(n < 8, F.get(F.array(*map(F.lit, small)), (n - 1).cast("int"))).otherwise(series)
+
+
+def nearest_information(df: DataFrame, columns: list[str], label: str, key: str, k: int = 3, span: int = 10_000) -> DataFrame:
+    """(feature, mi): information (nats) between each numeric column and the label, by nearest neighbours.
+
+    A row's radius r is the distance to its k-th neighbour of its class (of a class of fewer rows, the last); m counts rows of
+    any class strictly between x - r and x + r, or equal to x where r is 0. The estimate is digamma(n) plus the means of
+    digamma(neighbours) - digamma(rows of the class) - digamma(m). Rows without a finite value or a label, and those of
+    classes of one row, are left out; a column without others has no result. keys must differ.
+
+    Each class is put in order once and cut into spans of positions, which take k rows of the spans beside them along, so
+    lag and lead see every neighbour. m is the difference of two counts, from one order of values and interval ends.
+    """
+    span = max(span, k)
+    long = unpivot(df.select(key, label, *(F.col(c).cast("double").alias(c) for c in columns)), columns, "feature", "value", (key, label))
+    long = long.select("feature", F.col(key).alias("id"), F.col(label).alias("y"), "value").where(F.col("y").isNotNull() & (F.abs(F.col("value")) < F.lit(float("inf"))))
+    rows = ordered(long, "value", ("id",), ("feature", "y"), ranks=False).where("total > 1")
+    rows = staged(rows.select("*", F.floor((F.col("position") - 1) / span).alias("part")), "neighbours")
+    inside = (F.col("position") - 1) % span
+    beside = F.array(F.col("part"), F.when(inside < k, F.col("part") - 1), F.when(inside >= span - k, F.col("part") + 1))
+    spread = rows.select("*", F.explode(F.filter(beside, lambda p: p.isNotNull())).alias("at"))
+    w = Window.partitionBy("feature", "y", "at").orderBy("position")
+    x = F.col("value")
+    left = lambda j: F.coalesce(x - F.lag("value", j).over(w), F.lit(float("inf"))) if j else F.lit(0.0)
+    right = lambda j: F.coalesce(F.lead("value", j).over(w) - x, F.lit(float("inf"))) if j else F.lit(0.0)
+    found = F.least(F.lit(k), F.col("total") - 1)
+    # the i-th neighbour is at the least distance that some i rows in a row, around this one, all keep
+    reach = F.array(*(F.least(*(F.greatest(left(j), right(i - j)) for j in range(i + 1))) for i in range(1, k + 1)))
+    near = spread.select("*", F.get(reach, (found - 1).cast("int")).alias("r")).where(F.col("at") == F.col("part"))
+    near = staged(near.select("feature", "id", "value", "r", "total", found.alias("found")), "radii")
+    # at equal values: ends that count what is below come first, then rows, then ends that count what is equal too
+    low, high, tied = x - F.col("r"), x + F.col("r"), F.col("r") == 0
+    ends = F.array(
+        F.struct(F.when(tied, x).otherwise(low).alias("value"), F.when(tied, 0).otherwise(2).alias("turn"), F.lit(-1).alias("sign")),
+        F.struct(x.alias("value"), F.lit(1).alias("turn"), F.lit(0).alias("sign")),
+        F.struct(F.when(tied, x).otherwise(high).alias("value"), F.when(tied, 2).otherwise(0).alias("turn"), F.lit(1).alias("sign")),
+    )
+    events = near.select("feature", "id", "total", "found", F.inline(ends)).withColumnRenamed("total", "of_class")
+    counted = ordered(events, "value", ("turn",), ("feature",), sums={"rows": (F.col("turn") == 1).cast("int")}, ranks=False).where("turn <> 1")
+    m = counted.groupBy("feature", "id", "of_class", "found", "all_rows").agg(F.sum(F.col("sign") * F.col("run_rows")).alias("m"))
+    term = digamma(F.col("found")) - digamma(F.col("of_class")) - digamma(F.col("m"))
+    return m.groupBy("feature", "all_rows").agg(F.avg(term).alias("mean")).select("feature", (digamma(F.col("all_rows")) + F.col("mean")).alias("mi"))
+
+
 def screen_robust_variance(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(feature, robust_variance) over the rows of label 0."""
     return robust_spread(unpivot(df.where(F.col(label) == 0), columns, "feature", "value"), "value", ("feature",)).select("feature", "robust_variance")

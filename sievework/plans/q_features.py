@@ -86,6 +86,27 @@ def screen_mutual_info(spark: SparkSession, d: str) -> DataFrame:
     return X.mutual_information(V.features(spark, d), "x6", "y").select(R("mi", 8).alias("mi"))
 
 
+def digamma_sql(n: str) -> str:
+    small = ", ".join(repr(sum(1 / i for i in range(1, m)) - X.EULER) for m in range(1, 8))
+    return f"CASE WHEN {n} < 8 THEN ([{small}])[{n}::INT] ELSE ln({n}) - 1 / (2 * {n}::DOUBLE) - 1 / (12 * pow({n}, 2)) + 1 / (120 * pow({n}, 4)) - 1 / (252 * pow({n}, 6)) + 1 / (240 * pow({n}, 8)) END"
+
+
+NEAREST = f"""WITH v AS (SELECT row_id, y, unnest(['x1', 'x2', 'x5']) AS feature, unnest([x1, x2, x5])::DOUBLE AS x FROM features),
+    o AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS ny, x - lag(x, 1) OVER w AS a1, x - lag(x, 2) OVER w AS a2, x - lag(x, 3) OVER w AS a3, lead(x, 1) OVER w - x AS b1, lead(x, 2) OVER w - x AS b2, lead(x, 3) OVER w - x AS b3
+        FROM v WINDOW w AS (PARTITION BY feature, y ORDER BY x, row_id)),
+    r AS (SELECT feature, row_id, x, ny, least(coalesce(a3, 1e300), greatest(coalesce(a2, 1e300), coalesce(b1, 1e300)), greatest(coalesce(a1, 1e300), coalesce(b2, 1e300)), coalesce(b3, 1e300)) AS r FROM o),
+    c AS (SELECT feature, x AS at, count(*) AS n, sum(count(*)) OVER (PARTITION BY feature ORDER BY x) AS upto FROM v GROUP BY feature, x),
+    h AS (SELECT r.*, c.upto FROM r ASOF LEFT JOIN c ON r.feature = c.feature AND r.x + r.r > c.at), l AS (SELECT h.*, c.upto AS below FROM h ASOF LEFT JOIN c ON h.feature = c.feature AND h.x - h.r >= c.at),
+    m AS (SELECT l.feature, ny, CASE WHEN r = 0 THEN c.n ELSE coalesce(l.upto, 0) - coalesce(below, 0) END::BIGINT AS m, count(*) OVER (PARTITION BY l.feature) AS n FROM l JOIN c ON l.feature = c.feature AND l.x = c.at)
+    SELECT feature, round({digamma_sql("n")} + avg({digamma_sql("3")} - ({digamma_sql("ny")}) - ({digamma_sql("m")})), 7) AS mi FROM m GROUP BY feature, n"""
+
+
+@query(NEAREST, "features")
+def screen_information_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Three numeric columns by three neighbours of the own class."""
+    return X.nearest_information(V.features(spark, d), ["x1", "x2", "x5"], "y", "row_id").withColumn("mi", R("mi", 7))
+
+
 @query("""SELECT feature, round(var_pop(v) / pow(greatest(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 1e-12), 2), 6) AS robust_variance FROM
     (SELECT unnest(['x1', 'x2', 'x5']) AS feature, unnest([x1, x2, x5]) AS v FROM features WHERE y = 0) GROUP BY feature""", "features")
 def screen_robust_variance(spark: SparkSession, d: str) -> DataFrame:
