@@ -231,6 +231,22 @@ def assign(df: DataFrame, columns: list[str], centres: list[list[float]]) -> Dat
     return df.withColumn("mode", F.array_min(F.array(*(F.struct(x.alias("d"), F.lit(i).alias("i")) for i, x in enumerate(d))))["i"])
 
 
+def dominant_holdout(fit: DataFrame, test: DataFrame, columns: list[str], label: str, k: int, seed: int = 1) -> tuple[DataFrame, DataFrame, list[list[float]], int]:
+    """(fit without the dominant kind, evaluation, centres, dominant): positives are clustered on fit, the largest cluster there,
+    the first of equals, is dominant. Its positives are kept from the fit and are the only positives of the evaluation, which
+    has all negatives of test. Without positives in fit nothing is kept out and the evaluation has its negatives alone."""
+    positives = fit.where(F.col(label) == 1)
+    if positives.isEmpty():
+        return fit, test.where(F.col(label) == 0), [], -1
+    sizes, centres = kmeans_modes(positives, positives, columns, k, seed)
+    counts = {r.mode: r["count"] for r in sizes.groupBy("mode").count().collect()}  # at most k rows
+    dominant = min(counts, key=lambda m: (-counts[m], m))
+    novel = (F.col(label) == 1) & (F.col("mode") == dominant)
+    left = assign(fit, columns, centres).where(~novel).drop("mode")
+    evaluation = assign(test, columns, centres).where((F.col(label) == 0) | novel).drop("mode")
+    return left, evaluation, centres, dominant
+
+
 def oof(df: DataFrame, columns: list[str], label: str, key: str, folds: int = 5, seed: int = 1) -> DataFrame:
     """(key, label, fold, score): each row scored once, by the model of the other folds."""
     f = kfold(df.select(key, label, *columns), key, folds, seed).drop("position", "total").cache()

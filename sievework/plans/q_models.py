@@ -74,6 +74,20 @@ def cluster_modes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query()
+def mode_holdout_dominant(spark: SparkSession, d: str) -> DataFrame:
+    """For 3 and 4 kinds of positives: the dominant one is unknown to the fit, and a logistic model is judged on it alone."""
+    fit, test = halves(V.vectors(spark, d))
+    out = None
+    for k in (3, 4):
+        known, unknown, _, _ = L.dominant_holdout(fit, test, U4, "y", k)
+        sizes = known.agg(F.count(F.lit(1)).alias("fit_rows"), F.sum("y").alias("fit_positives")).join(unknown.agg(F.count(F.lit(1)).alias("eval_rows"), F.sum("y").alias("eval_positives")))
+        ap = M.ranking_metrics(L.scored(L.logistic(known, U4, "y"), unknown, U4), "score", "y").select("ap", "auc")
+        one = sizes.join(ap).select(F.lit(k).alias("k"), "*")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 CENTRES = [[0.4, 0.5], [0.5, 0.4], [0.6, 0.6]]
 
 
