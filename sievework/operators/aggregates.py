@@ -75,7 +75,13 @@ def bincount(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def vector_mean(df: DataFrame, column: str, groups: tuple[str, ...] = ()) -> DataFrame:
     """(groups, cell, mean) over the rows' vectors."""
-    return df.select(*groups, F.posexplode(column).alias("cell", "_x")).groupBy(*groups, "cell").agg(F.avg("_x").alias("mean"))
+    return exploded(df, column, groups).groupBy(*groups, "cell").agg(F.avg("x").alias("mean"))
+
+
+def exploded(df: DataFrame, column: str, groups: tuple[str, ...] = ()) -> DataFrame:
+    """(groups, cell, x) by entry of the rows' vectors. The outer form: for a plain posexplode Spark adds a filter on the
+    vector's size, which computes the whole vector once more wherever it is not stored."""
+    return df.select(*groups, F.posexplode_outer(column).alias("cell", "x")).where("cell IS NOT NULL")
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +146,40 @@ def multinomial_cells(vector: Column, key: str, shots: int, seed: int) -> Column
     return F.get(F.transform(F.array(drawn), count), 0)
 
 
+def shot_moments(drawn: DataFrame, key: str, vector: str, shots: int, seed: int) -> DataFrame:
+    """(draw, cell, rows, s, q) of each task: its copies of rows in the draw, and the sums and sums of squares of their counts
+    by cell. drawn has a row's key, weight and probability vector (of one length) by draw; each of its `weight` copies
+    counts `shots` cells of its own, as multinomial_cells does for the key draw/key/copy."""
+    rows = drawn.select(F.col("draw").cast("int").alias("draw"), F.col(key).cast("string").alias("key"), F.col("weight").cast("int").alias("weight"), F.col(vector).cast("array<double>").alias("p"))
+    heads = [f"{seed}:{shot}:".encode() for shot in range(shots)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            draws, weights, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1).to_pylist()
+            p = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+            copied = np.repeat(np.arange(batch.num_rows), weights)
+            edges, cells = np.cumsum(p, 1), p.shape[1]
+            names = [f"{d}/{k}/{c}".encode() for d, k, w in zip(draws.tolist(), keys, weights.tolist(), strict=True) for c in range(1, w + 1)]
+            for at in range(0, len(names), 4096):
+                words = b"".join([md5(h + k).digest()[:4] for k in names[at : at + 4096] for h in heads])
+                u = np.frombuffer(words, ">u4").reshape(-1, shots) / float(1 << 32)
+                own = copied[at : at + 4096]
+                # the cell is the number of edges up to u, but the last at most
+                cell = np.zeros(u.shape, np.int64)
+                for c in range(cells - 1):
+                    cell += edges[own, c : c + 1] <= u
+                n = np.bincount((np.arange(len(own))[:, None] * cells + cell).ravel(), minlength=len(own) * cells).reshape(-1, cells)
+                for d in np.unique(draws[own]).tolist():
+                    mine = n[draws[own] == d]
+                    sums = np.stack([np.full(cells, len(mine)), mine.sum(0), (mine * mine).sum(0)])
+                    found[d] = found[d] + sums if d in found else sums
+        for d, (count, s, q) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), d, np.int32)), pa.array(np.arange(len(s), dtype=np.int32)), *map(pa.array, (count, s, q))], ["draw", "cell", "rows", "s", "q"])
+
+    return rows.mapInArrow(run, "draw int, cell int, rows long, s long, q long")
+
+
 def permuted_labels(df: DataFrame, key: str, label: str, permutations: int, seed: int, groups: tuple[str, ...] = ()) -> DataFrame:
     """df by permutation, with `permuted`: as many ones as label has, on the rows that come first in keyed order."""
     reps = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("permutation"))
