@@ -148,22 +148,31 @@ def expected_path(n) -> np.ndarray:
 def isolation_score(df: DataFrame, forest: list[tuple], columns: list[str]) -> DataFrame:
     """df with score in (0, 1): 2^(-mean path / expected path); higher is more anomalous. All rows of a batch go down a tree
     level by level; one that has come to a leaf stays there. Nulls count as NaN, which is below no cut."""
-    shipped = df.sparkSession.sparkContext.broadcast([(*tree[:4], tree_depth(tree)) for tree in forest])
+    shipped = df.sparkSession.sparkContext.broadcast([(f.astype(np.int64), cut, left.astype(np.int64), length, tree_depth((f, cut, left, length, n))) for f, cut, left, length, n in forest])
     usual = float(np.mean([expected_path(n) for *_, n in forest])) if forest else 1.0
-    k, names = len(columns), [*df.columns, "score"]
+    k, names, most = len(columns), [*df.columns, "score"], np.finfo(float).max
     inner = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             flat = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[-k:]], 1).ravel()
+            # what is below no cut is above all, and at a leaf, whose cut is infinite, it stays
+            flat = np.where(flat < most, flat, most)
             base, total = np.arange(n) * k, np.zeros(n)
+            at, x, limit, right = np.empty(n, np.int64), np.empty(n), np.empty(n), np.empty(n, bool)
             for feature, cut, left, length, levels in shipped.value:
                 node = np.zeros(n, np.int64)
                 for _ in range(levels):
-                    above = ~(flat.take(base + feature.take(node)) < cut.take(node)) & (left.take(node) != node)
-                    node = left.take(node) + above
-                total += length[node]
+                    # clip does without the check of bounds; all places are within them
+                    feature.take(node, out=at, mode="clip")
+                    at += base
+                    flat.take(at, out=x, mode="clip")
+                    cut.take(node, out=limit, mode="clip")
+                    np.greater_equal(x, limit, out=right)
+                    left.take(node, out=at, mode="clip")
+                    np.add(at, right, out=node)
+                total += length.take(node)
             score = 2.0 ** (-(total / max(1, len(shipped.value))) / max(usual, 1e-9))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-k], pa.array(score)], names)
 
