@@ -57,40 +57,48 @@ def nearest_information(df: DataFrame, columns: list[str], label: str, key: str,
     A row's radius r is the distance to its k-th neighbour of its class (of a class of fewer rows, the last); m counts rows of
     any class strictly between x - r and x + r, or equal to x where r is 0. The estimate is digamma(n) plus the means of
     digamma(neighbours) - digamma(rows of the class) - digamma(m). Rows without a finite value or a label, and those of
-    classes of one row, are left out; a column without others has no result. keys must differ.
+    classes of one row, are left out; a column without others has no result.
 
-    Each class is put in order once and cut into spans of positions, which take k rows of the spans beside them along, so
-    lag and lead see every neighbour. m is the difference of two counts, from one order of values and interval ends.
+    r and m depend on class and value alone, so rows are counted by these first and their keys go nowhere; key only names
+    the rows. The values of each class are put in order once and cut into spans of positions, which take k values of the
+    spans beside them along, so lag and lead see every neighbour. m is the difference of two counts, from one order of
+    values and interval ends.
     """
     span = max(span, k)
-    long = unpivot(df.select(key, label, *(F.col(c).cast("double").alias(c) for c in columns)), columns, "feature", "value", (key, label))
-    long = long.select("feature", F.col(key).alias("id"), F.col(label).alias("y"), "value").where(F.col("y").isNotNull() & (F.abs(F.col("value")) < F.lit(float("inf"))))
-    rows = ordered(long, "value", ("id",), ("feature", "y"), ranks=False).where("total > 1")
-    rows = staged(rows.select("*", F.floor((F.col("position") - 1) / span).alias("part")), "neighbours")
+    long = unpivot(df.select(label, *(F.col(c).cast("double").alias(c) for c in columns)), columns, "feature", "value", (label,))
+    long = long.select("feature", F.col(label).alias("y"), "value").where(F.col("y").isNotNull() & (F.abs(F.col("value")) < F.lit(float("inf"))))
+    values = long.groupBy("feature", "y", "value").agg(F.count(F.lit(1)).alias("copies"))
+    rows = ordered(values, "value", (), ("feature", "y"), sums={"n": F.col("copies")}, ranks=False).where("all_n > 1")
+    rows = rows.select("feature", "y", "value", "copies", "position", F.col("all_n").alias("of_class"), F.floor((F.col("position") - 1) / span).alias("part"))
     inside = (F.col("position") - 1) % span
     beside = F.array(F.col("part"), F.when(inside < k, F.col("part") - 1), F.when(inside >= span - k, F.col("part") + 1))
     spread = rows.select("*", F.explode(F.filter(beside, lambda p: p.isNotNull())).alias("at"))
     w = Window.partitionBy("feature", "y", "at").orderBy("position")
     x = F.col("value")
-    left = lambda j: F.coalesce(x - F.lag("value", j).over(w), F.lit(float("inf"))) if j else F.lit(0.0)
-    right = lambda j: F.coalesce(F.lead("value", j).over(w) - x, F.lit(float("inf"))) if j else F.lit(0.0)
-    found = F.least(F.lit(k), F.col("total") - 1)
-    # the i-th neighbour is at the least distance that some i rows in a row, around this one, all keep
-    reach = F.array(*(F.least(*(F.greatest(left(j), right(i - j)) for j in range(i + 1))) for i in range(1, k + 1)))
-    near = spread.select("*", F.get(reach, (found - 1).cast("int")).alias("r")).where(F.col("at") == F.col("part"))
-    near = staged(near.select("feature", "id", "value", "r", "total", found.alias("found")), "radii")
+    shifted = {f"_{f.__name__}_{c}_{j}": f(c, j).over(w) for f in (F.lag, F.lead) for c in ("value", "copies") for j in range(1, k + 1)}
+    near = spread.select("*", *(c.alias(name) for name, c in shifted.items())).where(F.col("at") == F.col("part"))
+    far = F.lit(float("inf"))
+    away = lambda side, j: F.coalesce(F.abs(x - F.col(f"_{side}_value_{j}")), far) if j else F.lit(0.0)
+    upto = lambda side, j: reduce(lambda a, b: a + b, [F.coalesce(f"_{side}_copies_{i}", F.lit(0)) for i in range(1, j + 1)], F.lit(0))
+    found = F.least(F.lit(k), F.col("of_class") - 1)
+    # the least reach over i values to the left and j to the right that hold enough rows together
+    enough = lambda i, j: F.col("copies") - 1 + upto("lag", i) + upto("lead", j) >= F.col("found")
+    reach = F.least(*(F.when(enough(i, j), F.greatest(away("lag", i), away("lead", j))).otherwise(far) for i in range(k + 1) for j in range(k + 1 - i)))
+    near = near.withColumn("found", found).withColumn("r", reach)
+    near = staged(near.select("feature", "y", "value", "copies", "r", "of_class", "found"), "radii")
     # at equal values: ends that count what is below come first, then rows, then ends that count what is equal too
     low, high, tied = x - F.col("r"), x + F.col("r"), F.col("r") == 0
     ends = F.array(
-        F.struct(F.when(tied, x).otherwise(low).alias("value"), F.when(tied, 0).otherwise(2).alias("turn"), F.lit(-1).alias("sign")),
-        F.struct(x.alias("value"), F.lit(1).alias("turn"), F.lit(0).alias("sign")),
-        F.struct(F.when(tied, x).otherwise(high).alias("value"), F.when(tied, 2).otherwise(0).alias("turn"), F.lit(1).alias("sign")),
+        F.struct(F.when(tied, x).otherwise(low).alias("end"), F.when(tied, 0).otherwise(2).alias("turn"), F.lit(-1).alias("sign")),
+        F.struct(x.alias("end"), F.lit(1).alias("turn"), F.lit(0).alias("sign")),
+        F.struct(F.when(tied, x).otherwise(high).alias("end"), F.when(tied, 2).otherwise(0).alias("turn"), F.lit(1).alias("sign")),
     )
-    events = near.select("feature", "id", "total", "found", F.inline(ends)).withColumnRenamed("total", "of_class")
-    counted = ordered(events, "value", ("turn",), ("feature",), sums={"rows": (F.col("turn") == 1).cast("int")}, ranks=False).where("turn <> 1")
-    m = counted.groupBy("feature", "id", "of_class", "found", "all_rows").agg(F.sum(F.col("sign") * F.col("run_rows")).alias("m"))
+    events = near.select("feature", "y", "value", "copies", "of_class", "found", F.inline(ends))
+    counted = ordered(events, "end", ("turn",), ("feature",), sums={"rows": F.when(F.col("turn") == 1, F.col("copies")).otherwise(0)}, ranks=False).where("turn <> 1")
+    m = counted.groupBy("feature", "y", "value", "copies", "of_class", "found", "all_rows").agg(F.sum(F.col("sign") * F.col("run_rows")).alias("m"))
     term = digamma(F.col("found")) - digamma(F.col("of_class")) - digamma(F.col("m"))
-    return m.groupBy("feature", "all_rows").agg(F.avg(term).alias("mean")).select("feature", (digamma(F.col("all_rows")) + F.col("mean")).alias("mi"))
+    mean = F.sum(F.col("copies") * term) / F.col("all_rows")
+    return m.groupBy("feature", "all_rows").agg(mean.alias("mean")).select("feature", (digamma(F.col("all_rows")) + F.col("mean")).alias("mi"))
 
 
 def screen_robust_variance(df: DataFrame, columns: list[str], label: str) -> DataFrame:

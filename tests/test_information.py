@@ -43,6 +43,22 @@ def test_nearest_information(spark, span):
         assert got[name] == pytest.approx(by_hand([(r[1], r[2 + c]) for r in rows], 4), abs=1e-9)
 
 
+def test_copies_are_counted_first(spark, monkeypatch):
+    """What goes into the orders is a row a class and value, not a row a row."""
+    rng, sizes = random.Random(5), []
+    rows = [(i, rng.choice("ab"), rng.randrange(6) / 4 if i % 97 else 50.0 + i) for i in range(900)]
+
+    def watched(df, *a, f=X.ordered, **b):
+        sizes.append(df.count())
+        return f(df, *a, **b)
+
+    monkeypatch.setattr(X, "ordered", watched)
+    df = spark.createDataFrame(rows, "id int, y string, u double").repartition(3)
+    got = X.nearest_information(df, ["u"], "y", "id", 3, 5).first().mi
+    values = len({r[1:] for r in rows})
+    assert sizes == [values, 3 * values] and got == pytest.approx(by_hand([r[1:] for r in rows], 3), abs=1e-9)
+
+
 def test_digamma(spark):
     for r in spark.range(1, 60).select("id", X.digamma(F.col("id")).alias("v")).collect():
         assert math.isclose(r.v, psi(r.id), abs_tol=1e-11)
