@@ -37,3 +37,21 @@ def test_small_pieces(spark, monkeypatch, most):
     # bytes of a row in the order: 8 of score, 8 of words, 1 of label
     sizes = written["order"].select(F.length("scores") / 8, F.length("words") / 8, F.length("labels")).collect()
     assert all(a == b == c <= most for a, b, c in sizes) and sum(r[2] for r in sizes) == 720
+
+
+def test_later_draws_read_the_same_pieces(spark, monkeypatch):
+    """However many blocks of draws are read, rows are put in order and written once, and keys are no part of that."""
+    df = spark.createDataFrame([(f"r{i}", "a", float(i % 11), int(i % 4 == 0)) for i in range(120)], "id string, method string, score double, y int")
+    want = {r.draw: r.ap for r in B.ap_draws(df, "id", "method", "score", "y", 9, 3).collect()}
+    names, columns = [], []
+
+    def kept(made, name, f=B.staged):
+        names.append(name)
+        columns.extend(made.columns if name == "order" else [])
+        return f(made, name)
+
+    monkeypatch.setattr(B, "staged", kept)
+    monkeypatch.setattr(B, "BLOCK", 4)
+    got = {r.draw: r.ap for r in B.ap_draws(df, "id", "method", "score", "y", 9, 3).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    assert names.count("order") == 1 and names.count("draws") == 3 and "key" not in columns
