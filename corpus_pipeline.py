@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row that is left."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+    return bpe.digests(bpe.round_trip(docs, ranks, public_tokenizers.PATTERN))
 
 
 STAGES = [("quality classifier", classify), ("exact dedup", deduplicate), ("n-gram join", join_similar), ("mixing", mix), ("byte-level BPE", encode)]

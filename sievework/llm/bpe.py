@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -78,6 +78,20 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.
     return flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens, one after the other, and by id where a token's begin and how many they are."""
+    tokens = sorted(ranks, key=ranks.get)
+    ranked = np.array([ranks[t] for t in tokens])
+    lengths, starts = np.zeros(ranked[-1] + 1, np.int64), np.zeros(ranked[-1] + 1, np.int64)
+    lengths[ranked] = [len(t) for t in tokens]
+    starts[ranked] = np.cumsum(lengths[ranked]) - lengths[ranked]
+    return np.frombuffer(b"".join(tokens), np.uint8), starts, lengths
+
+
+def bytes_of(ids: bytes, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bytes:
+    return gather(flat, starts, lengths, np.frombuffer(ids, "<u4")).tobytes()
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens and ids (little-endian unsigned 32-bit integers in one binary value) of every row's whole text.
 
@@ -85,6 +99,24 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     back to the blocks that hold it. A null or empty text has no tokens. Repeated rows each give a row; columns other
     than the two named are ignored; an empty table gives an empty result.
     """
+    return _encoded(docs, ranks, pattern, id_col, text_col, lambda ids: (len(ids), ids.tobytes()), "n_tokens long, ids binary")
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What `decode` gives of `encode`: the task that has put a text's ids together decodes them from the token-byte table.
+
+    Ids don't go to a second Python worker beside the first, so an executor has one worker for each core here, not two.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(token_table(ranks))
+
+    def both(ids: np.ndarray) -> tuple[int, bytes, bytes]:
+        raw = ids.tobytes()
+        return len(ids), raw, bytes_of(raw, *table.value)
+
+    return _encoded(docs, ranks, pattern, id_col, text_col, both, "n_tokens long, ids binary, decoded binary")
+
+
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, of_ids: Callable[[np.ndarray], tuple], columns: str) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)
     coded, words = word_blocks(docs, id_col, text_col, lambda: _cutter(pattern))
 
@@ -92,11 +124,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         ranks = shipped.value
         return lambda word: np.array(merged(word.encode(), ranks), "<u4")
 
-    def assemble(numbers: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[int, bytes]:
-        ids = gather(numbers, starts, lengths, codes)
-        return len(ids), ids.tobytes()
+    def assemble(numbers: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple:
+        return of_ids(gather(numbers, starts, lengths, codes))
 
-    return by_position(coded, valued(words, merger), assemble, "n_tokens long, ids binary", id_col, docs.schema[id_col].dataType.simpleString())
+    return by_position(coded, valued(words, merger), assemble, columns, id_col, docs.schema[id_col].dataType.simpleString())
 
 
 def encode_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,20 +166,14 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     The table has one row per token of the vocabulary, a fixed size, so every task gets it whole and gathers from it.
     Other columns pass through as Arrow has them. Null ids decode to null; an id that the vocabulary lacks fails the job.
     """
-    tokens = sorted(ranks, key=ranks.get)
-    table = encoded.sparkSession.sparkContext.broadcast((np.array([ranks[t] for t in tokens]), tokens))
+    table = encoded.sparkSession.sparkContext.broadcast(token_table(ranks))
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked, pieces = table.value
-        lengths, starts = np.zeros(ranked[-1] + 1, np.int64), np.zeros(ranked[-1] + 1, np.int64)
-        lengths[ranked] = [len(t) for t in pieces]
-        starts[ranked] = np.cumsum(lengths[ranked]) - lengths[ranked]
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                back = [None if ids is None else gather(flat, starts, lengths, np.frombuffer(ids, "<u4")).tobytes() for ids in part.column("ids").to_pylist()]
+                back = [None if ids is None else bytes_of(ids, *table.value) for ids in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.binary())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

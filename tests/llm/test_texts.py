@@ -65,6 +65,24 @@ def test_blocks_equal_plain_rows(spark, ranks):
     assert [(r.doc_id, np.array(r.ids, "<u4").tobytes(), bytes(r.decoded)) for r in sorted(plain, key=key)] == [(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in sorted(blocks, key=key)]
 
 
+def test_one_python_worker_a_task_puts_ids_together_and_decodes_them(spark, ranks, monkeypatch):
+    import __spark_entry__
+    import corpus_pipeline
+
+    docs = frame(spark, enumerate(TEXTS + random_texts(20))).repartition(2)
+    apart = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan(apart)
+    stage = corpus_pipeline.encode(spark, docs, "")
+    for df in (stage, __spark_entry__.queries()["op6_byte_bpe"](spark, "/root/testdata/sf0.001")):
+        assert "FlatMapCoGroupsInPandas" in plan(df) and "MapInArrow" not in plan(df)
+    assert sorted(map(tuple, stage.collect())) == sorted(map(tuple, bpe.digests(apart).collect()))
+    monkeypatch.setattr(bpe, "decode", None)
+    got = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apart.collect())) and got.columns == apart.columns
+    assert bpe.round_trip(frame(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
+
+
 def test_bpe_empty_table(spark, ranks):
     assert bpe.decode(bpe.encode(frame(spark, []), ranks, public_tokenizers.PATTERN), ranks).count() == 0
 
