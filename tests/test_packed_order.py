@@ -69,3 +69,27 @@ def test_rows_are_made_once_and_a_hot_score_is_dealt_out(spark, monkeypatch):
     assert got == want and made.value == n
     sizes = [r.n for r in written["order"].groupBy(F.expr("range >> 33")).agg(F.sum(F.col("p") + F.col("n")).alias("n")).collect()]
     assert sum(sizes) == n and len(sizes) >= 30 and max(sizes) <= 300
+
+
+@pytest.mark.parametrize(("most", "kept"), [(0, "none"), (2, "some"), (1000, "all")])
+def test_runs_are_kept_where_few(spark, monkeypatch, most, kept):
+    """Sums of few runs are written with the piece's totals, so its rows are weighted once; many runs are made from the rows again."""
+    n = 600
+    rows = [(f"r{i}", m, float(i // 2 if m == "a" else i // 200), int(i % 3 == 0)) for i in range(n) for m in "ab"]
+    df = spark.createDataFrame(rows, "id string, method string, score double, y int")
+    want = expected(spark, df, n, 4, 7)
+    monkeypatch.setattr(B, "PACKED", 150)
+    monkeypatch.setattr(B, "WEIGHTS", 240)
+    monkeypatch.setattr(B, "ROW_BYTES", 1)
+    monkeypatch.setattr(B, "KEPT", most)
+    written = {}
+
+    def keep(frame, name, f=B.staged):
+        written[name] = f(frame, name)
+        return written[name]
+
+    monkeypatch.setattr(B, "staged", keep)
+    got = {(r.draw, r.method): r.ap for r in B.ap_draws(df, "id", "method", "score", "y", 4, 7).collect()}
+    assert got == want
+    share = written["sums"].agg(F.avg(F.col("run_n").isNotNull().cast("int"))).first()[0]
+    assert {"none": share == 0, "some": 0 < share < 1, "all": share == 1}[kept]
