@@ -181,10 +181,11 @@ def gamma_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     return unpivot(df, columns, "c", "v").agg((1 / (len(columns) * F.var_pop("v"))).alias("gamma"))
 
 
-def cross_view(df: DataFrame, left: list[str], right: list[str], fit: Column) -> DataFrame:
-    """df with overlap = 1 - (1 + prod cos(pi (a_k - b_k) / 2)) / 2 of the canonical variates of two views, each mapped by its
-    empirical distribution. Covariance blocks come from one aggregation; the small decomposition is done on the driver."""
-    from .encode import ecdf
+def cross_view(df: DataFrame, left: list[str], right: list[str], fit: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """df, or its columns `keep`, with overlap = 1 - (1 + prod cos(pi (a_k - b_k) / 2)) / 2 of the canonical variates of two views, each mapped by its
+    empirical distribution. Covariance blocks come from one aggregation; the small decomposition is done on the driver. df is
+    read twice."""
+    from .block_ranks import block_ecdf
 
     cols = [*left, *right]
     one = df.where(fit).agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)), *(F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols))).first()
@@ -203,12 +204,10 @@ def cross_view(df: DataFrame, left: list[str], right: list[str], fit: Column) ->
     wa, wb = wa * signs, wb * signs
     centred = [F.col(c) - one[f"m{i}"] for i, c in enumerate(cols)]
     mixed = lambda xs, w: reduce(lambda p, q: p + q, [x * float(c) for x, c in zip(xs, w, strict=True)])
-    out = df.withColumn("_in_fit", fit).withColumns({f"_a{i}": mixed(centred[:k], wa[:, i]) for i in range(r)} | {f"_b{i}": mixed(centred[k:], wb[:, i]) for i in range(r)})
-    for c in [f"_{s}{i}" for s in "ab" for i in range(r)]:
-        # an empirical distribution reads its input several times, so each starts from a table
-        out = ecdf(staged(out, "variates"), c, F.col("_in_fit")).withColumn(f"{c}u", F.col("u")).drop("n_lt", "n_le", "n_fit", "u", c)
+    mix = {f"_a{i}": mixed(centred[:k], wa[:, i]) for i in range(r)} | {f"_b{i}": mixed(centred[k:], wb[:, i]) for i in range(r)}
+    out = block_ecdf(df, mix, fit, tuple(keep or df.columns))
     product = reduce(lambda p, q: p * q, [F.cos(math.pi * (F.col(f"_a{i}u") - F.col(f"_b{i}u")) / 2) for i in range(r)])
-    return out.withColumn("overlap", 1 - 0.5 * (1 + product)).drop("_in_fit", *(f"_{s}{i}u" for s in "ab" for i in range(r)))
+    return out.withColumn("overlap", 1 - 0.5 * (1 + product)).drop(*(f"_{s}{i}u" for s in "ab" for i in range(r)))
 
 
 def bounded_shift(u: Column, label: Column, eps: float) -> Column:

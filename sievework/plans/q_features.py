@@ -197,7 +197,7 @@ def rbf_gamma_scale(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def feat_cross_view_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return X.cross_view(V.written_features(spark, d, "row_id", "y", "x1", "x2", "x3", "x5", "x6", "x7"), ["x1", "x2", "x3"], ["x5", "x6", "x7"], F.col("y") == 0).select("row_id", "overlap")
+    return X.cross_view(V.written_features(spark, d, "row_id", "y", "x1", "x2", "x3", "x5", "x6", "x7"), ["x1", "x2", "x3"], ["x5", "x6", "x7"], F.col("y") == 0, ("row_id",))
 
 
 @query("SELECT row_id, round(CASE WHEN y = 1 THEN 0.7 * u0 + 0.15 ELSE u0 END, 8) AS u0 FROM vectors", "vectors")
