@@ -1,4 +1,4 @@
-"""Empirical distributions of several columns at once, for tables whose rows are too many to be shuffled once a column.
+"""Empirical distributions and ranks of several columns at once, for tables whose rows are too many to be shuffled once a column.
 
 Rows are packed in blocks where they are. A block sends, for each column, its distinct values in order with the numbers of
 their fit rows, cut at common bounds; each range of values adds these up and sends the ranks back, and only these and
@@ -146,3 +146,107 @@ def block_ecdf(df: DataFrame, columns: dict[str, Column], fit: Column, keep: tup
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{c}u` double" for c in names)])
     parts = max(df.sparkSession.sparkContext.defaultParallelism, total // (1 << 21))
     return own.unionByName(back).repartition(parts, "block").groupBy("block").applyInArrow(unpacked, schema)
+
+
+#: Rows of a block of rows in the order of their keys.
+KEYED = 1 << 16
+
+
+def ap_stable_orders(df: DataFrame, scores: dict[str, Column], label: str, key: str, name: str = "method") -> DataFrame:
+    """(name, ap) of each of the scores, where each row is a step and the order of key breaks ties, as ap_stable_order has it.
+
+    Rows are put in the order of their keys once, for all scores, and packed in blocks of that order; so of equal scores the
+    rows of the earlier block come first, and in a block the earlier rows. A block sends for each score its distinct values
+    with their numbers of rows, and the places of positives among these. Ranges are cut by score and block, so a score that
+    most rows have is cut like others.
+    """
+    names = list(scores)
+    columns = [c.cast("double").alias(f"_s{i}") for i, c in enumerate(scores.values())]
+    rows = df.repartitionByRange(F.asc(key)).sortWithinPartitions(F.asc(key)).select(F.coalesce(F.col(label) == 1, F.lit(False)).alias("_y"), *columns)
+
+    def packed_block(x: pa.Table, number: int) -> pa.RecordBatch:
+        own, found = np.flatnonzero(x.column("_y").to_numpy()), []
+        for i in range(len(names)):
+            places = places_of(x.column(f"_s{i}").combine_chunks())
+            order = np.argsort(places, kind="stable")
+            values, n = np.unique(places, return_counts=True)
+            begins, at = np.cumsum(n) - n, np.empty(len(order), np.int64)
+            at[order] = np.arange(len(order))
+            hits = np.sort(at[own])  # positives in the block's own order of scores
+            value = np.searchsorted(begins, hits, "right") - 1
+            marks = places[order][(2 * np.arange(MARKS) + 1) * len(order) // (2 * MARKS)]
+            found.append((thin(values), small(n).tobytes(), small(np.bincount(value, minlength=len(values))).tobytes(), (hits - begins[value] + 1).astype(np.int32).tobytes(), marks.tolist()))
+        kinds = [pa.list_(pa.binary())] * 4 + [pa.list_(pa.list_(pa.int64()))]
+        arrays = [pa.array([list(c)], t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([x.num_rows], pa.int64()), *arrays], ["block", "rows", "places", "counts", "positives", "nth", "marks"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, count = TaskContext.get().partitionId() << 32, [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                count += b.num_rows
+            while count >= KEYED:
+                t = pa.Table.from_batches(held).combine_chunks()
+                yield packed_block(t.slice(0, KEYED), number)
+                number, held, count = number + 1, t.slice(KEYED).to_batches(), count - KEYED
+        if count:
+            yield packed_block(pa.Table.from_batches(held).combine_chunks(), number)
+
+    packed = staged(rows.mapInArrow(blocks, "block long, rows long, places array<binary>, counts array<binary>, positives array<binary>, nth array<binary>, marks array<array<long>>"), "blocks")
+    ranges = max(1, math.ceil((packed.agg(F.sum("rows")).first()[0] or 0) / RANGE))
+    bounds: list[list[tuple[int, int]]] = [[] for _ in names]
+    if ranges > 1:  # MARKS rows a block and score, of which every so many is a bound
+        marks = packed.select("block", F.posexplode("marks").alias("column", "m")).select("column", "block", F.explode("m").alias("mark"))
+        every = max(1, packed.count() * MARKS // ranges)
+        nth = F.row_number().over(Window.partitionBy("column").orderBy("mark", "block"))
+        for r in marks.withColumn("_n", nth).where(F.col("_n") % every == 0).select("column", "mark", "block").collect():  # a row a range and score
+            bounds[r.column].append((r.mark, r.block))
+        bounds = [sorted(set(b)) for b in bounds]
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, *every in zip(b.column("block").to_pylist(), *(b.column(c) for c in ("places", "counts", "positives", "nth")), strict=True):
+                out = []
+                for i in range(len(names)):
+                    places, counts, positives, nth = thick(every[0][i].as_buffer()), *(x[i].as_buffer() for x in every[1:])
+                    before = np.concatenate([[0], np.cumsum(_numbers(positives, len(places)))]).tolist()
+                    ends = [0, *(int(np.searchsorted(places, p, "right" if block < at else "left")) for p, at in bounds[i]), len(places)]
+                    part = lambda raw, lo, hi: raw[lo * (raw.size // len(places)) : hi * (raw.size // len(places))].to_pybytes()  # noqa: B023, E731
+                    for at, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                        if lo < hi:
+                            out.append((block, i, at, thin(places[lo:hi]), part(counts, lo, hi), part(positives, lo, hi), nth[4 * before[lo] : 4 * before[hi]].to_pybytes()))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "column", "range", "places", "counts", "positives", "nth"])
+
+    def steps(group: pa.Table) -> pa.Table:
+        """The range's rows, and the places of its positives among them."""
+        group = group.sort_by("block")
+        places = [thick(x.as_buffer()) for x in group.column("places")]
+        n, pos = (np.concatenate([_numbers(x.as_buffer(), len(p)) for x, p in zip(group.column(c), places, strict=True)]) for c in ("counts", "positives"))
+        nth = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in group.column("nth")])
+        order = np.argsort(np.concatenate(places), kind="stable")
+        before = np.empty(len(order), np.int64)
+        before[order] = np.cumsum(n[order]) - n[order]
+        hits = np.sort(np.repeat(before, pos) + nth)
+        first = [group.column(c)[0].as_py() for c in ("column", "range")]
+        return pa.table([*(pa.array([x], pa.int32()) for x in first), *(pa.array([int(x)], pa.int64()) for x in (n.sum(), len(hits))), pa.array([thin(hits)], pa.binary())], ["column", "range", "n", "pos", "hits"])
+
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, len(names) * ranges // 4)
+    cut = packed.select("block", "places", "counts", "positives", "nth").mapInArrow(cuts, "block long, column int, range int, places binary, counts binary, positives binary, nth binary")
+    ranged = staged(cut.repartition(parts, "column", "range").groupBy("column", "range").applyInArrow(steps, "column int, range int, n long, pos long, hits binary"), "steps")
+    before, so_far = {}, {}
+    for r in sorted(ranged.select("column", "range", "n", "pos").collect(), key=lambda r: (r.column, r.range)):  # a row a range and score
+        n, pos = before[r.column, r.range] = so_far.get(r.column, (0, 0))
+        so_far[r.column] = n + r.n, pos + r.pos
+
+    def precisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for column, place, raw in zip(b.column("column").to_pylist(), b.column("range").to_pylist(), b.column("hits"), strict=True):
+                hits, (n, pos) = thick(raw.as_buffer()), before[column, place]
+                out.append(float(((pos + 1 + np.arange(len(hits))) / (n + hits)).sum()))
+            yield pa.RecordBatch.from_arrays([b.column("column"), pa.array(out, pa.float64())], ["column", "s"])
+
+    sums = ranged.select("column", "range", "hits").mapInArrow(precisions, "column int, s double").groupBy("column").agg(F.sum("s").alias("s")).collect()  # a row a score
+    return df.sparkSession.createDataFrame([(names[r.column], r.s / so_far[r.column][1] if so_far[r.column][1] else None) for r in sums], f"{name} string, ap double")
