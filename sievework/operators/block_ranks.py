@@ -42,9 +42,10 @@ def _numbers(raw, n: int) -> np.ndarray:
     return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int64)
 
 
-def block_ecdf(df: DataFrame, columns: dict[str, Column], fit: Column, keep: tuple[str, ...]) -> DataFrame:
-    """The columns `keep` of df and, for each of the named columns (double), u as `ecdf` has it: by the fit rows below, and up
-    to, the value. Null is lowest and NaN the greatest number."""
+def block_ecdf(df: DataFrame, columns: dict[str, Column], fit: Column, keep: tuple[str, ...], counts: bool = False) -> DataFrame:
+    """The columns `keep` of df and, for each of the named columns (double), <name>u as `ecdf` has it: by the fit rows below, and
+    up to, the value. With `counts` it is <name>n, the sum of these two counts, and n_fit. Null is lowest and NaN the
+    greatest number."""
     names = list(columns)
     n = len(names)
     kept = df.select(*keep).schema
@@ -101,19 +102,19 @@ def block_ecdf(df: DataFrame, columns: dict[str, Column], fit: Column, keep: tup
             for block, every, counted in zip(b.column("block").to_pylist(), b.column("places"), b.column("counts"), strict=True):
                 out = []
                 for i in range(n):
-                    places, counts = thick(every[i].as_buffer()), counted[i].as_buffer()
-                    width = counts.size // len(places)
+                    places, numbers = thick(every[i].as_buffer()), counted[i].as_buffer()
+                    width = numbers.size // len(places)
                     ends = [0, *np.searchsorted(places, bounds[i]).tolist(), len(places)]
-                    out += [(block, i, at, thin(places[lo:hi]), counts[lo * width : hi * width].to_pybytes()) for at, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if lo < hi]
+                    out += [(block, i, at, thin(places[lo:hi]), numbers[lo * width : hi * width].to_pybytes()) for at, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if lo < hi]
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "column", "range", "places", "counts"])
 
     def ranks(group: pa.Table) -> pa.Table:
         """For each block of a range, the fit rows of the range below and up to each of its values, as one sum, in steps."""
         places = [thick(x.as_buffer()) for x in group.column("places")]
-        counts = [_numbers(x.as_buffer(), len(p)) for x, p in zip(group.column("counts"), places, strict=True)]
+        own = [_numbers(x.as_buffer(), len(p)) for x, p in zip(group.column("counts"), places, strict=True)]
         values, of = np.unique(np.concatenate(places), return_inverse=True)
-        count = np.bincount(of, np.concatenate(counts), len(values)).astype(np.int64)
+        count = np.bincount(of, np.concatenate(own), len(values)).astype(np.int64)
         upto = np.cumsum(count)
         both, ends = (2 * upto - count)[of], np.cumsum([len(p) for p in places])[:-1]
         steps = [small(np.diff(x, prepend=0)) for x in np.split(both, ends)]
@@ -138,14 +139,18 @@ def block_ecdf(df: DataFrame, columns: dict[str, Column], fit: Column, keep: tup
             steps = _numbers(group.column("steps")[i].as_buffer(), group.column("n")[i].as_py())
             us[column].append(np.cumsum(steps) + 2 * offsets[column, place])
         found = [np.concatenate(u)[np.frombuffer(of[i].as_buffer(), np.uint16)] for i, u in enumerate(us)]
-        return pa.table([*rest.columns, *(pa.array(np.clip(u / 2 / fits, 0.0, 1.0) if fits else np.full(len(u), None, object), pa.float64()) for u in found)], [*rest.column_names, *(f"{c}u" for c in names)])
+        if not counts:
+            found = [np.clip(u / 2 / fits, 0.0, 1.0) if fits else np.full(len(u), None, object) for u in found]
+        return pa.table([*rest.columns, *(pa.array(u, kind) for u in found)], [*rest.column_names, *made])
 
+    made, kind = [f"{c}{'n' if counts else 'u'}" for c in names], pa.int64() if counts else pa.float64()
     null = lambda kind: F.lit(None).cast(kind)
     own = packed.select("block", F.lit(-1).alias("column"), F.lit(0).alias("range"), null("long").alias("n"), null("binary").alias("steps"), "kept", "of")
     back = ranked.select("block", "column", "range", "n", "steps", null("binary").alias("kept"), null("array<binary>").alias("of"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{c}u` double" for c in names)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{c}` {'long' if counts else 'double'}" for c in made)])
     parts = max(df.sparkSession.sparkContext.defaultParallelism, total // (1 << 21))
-    return own.unionByName(back).repartition(parts, "block").groupBy("block").applyInArrow(unpacked, schema)
+    out = own.unionByName(back).repartition(parts, "block").groupBy("block").applyInArrow(unpacked, schema)
+    return out.withColumn("n_fit", F.lit(fits)) if counts else out
 
 
 #: Rows of a block of rows in the order of their keys.

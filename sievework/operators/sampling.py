@@ -21,9 +21,36 @@ def chrono_rank(df: DataFrame, time: str, key: str) -> DataFrame:
 
 
 def split_chronological(df: DataFrame, time: str, key: str, train: float = 0.6, val: float = 0.8) -> DataFrame:
-    """The first floor(train n) rows in time are train, up to floor(val n) val, the rest test."""
-    cut = lambda q: F.floor(F.round(F.col("total") * q, 9))
-    return chrono_rank(df, time, key).withColumn("split", F.when(F.col("position") <= cut(train), "train").when(F.col("position") <= cut(val), "val").otherwise("test"))
+    """df with split: the first floor(train n) rows in (time, key) order are train, up to floor(val n) val, the rest test.
+
+    Times are counted, and only the rows of the two times at which a part ends are put in order, by key; df itself is
+    filtered where it is. Where rows equal in time and key fall on both sides of an end, all rows are put in order.
+    """
+    counts = ordered(df.groupBy(time).agg(F.count(F.lit(1)).alias("_n")), time, sums={"n": F.col("_n")}, ranks=False)
+    ends = []
+    for q in (train, val):
+        cut = F.floor(F.round(F.col("all_n") * q, 9))
+        at = counts.where((cut > F.col("run_n") - F.col("_n")) & (cut <= F.col("run_n"))).select(time, (cut - F.col("run_n") + F.col("_n")).alias("nth"), "_n").first()
+        if at is None:
+            ends.append(F.lit(False))
+        elif at.nth == at[2]:
+            ends.append(_upto(df, time, at[0]))
+        else:
+            same = F.col(time).eqNullSafe(F.lit(at[0]).cast(df.schema[time].dataType))
+            near = ordered(df.where(same).select(F.col(key).alias("_k")), "_k", ranks=False).where(F.col("position").isin(at.nth, at.nth + 1))
+            last, after = [r[0] for r in near.orderBy("position").select("_k").collect()]
+            if last == after:
+                cuts = [F.floor(F.round(F.col("total") * x, 9)) for x in (train, val)]
+                split = F.when(F.col("position") <= cuts[0], "train").when(F.col("position") <= cuts[1], "val").otherwise("test")
+                return chrono_rank(df, time, key).withColumn("split", split).drop("position", "total")
+            ends.append((_upto(df, time, at[0]) & ~same) | (same & _upto(df, key, last)))
+    return df.withColumn("split", F.when(ends[0], "train").when(ends[1], "val").otherwise("test"))
+
+
+def _upto(df: DataFrame, column: str, value) -> Column:
+    """Which rows have the value or a lower one; null is lowest."""
+    c = F.col(column)
+    return c.isNull() if value is None else c.isNull() | (c <= F.lit(value).cast(df.schema[column].dataType))
 
 
 def split_head(df: DataFrame, key: str, share: float = 0.8) -> DataFrame:
